@@ -10,13 +10,17 @@ from .tracks import by_run
 ON_FOIL_KMH = 11.0
 
 
+def with_islands(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH) -> DataFrame:
+    """points plus __fast (speed above limit; a null speed is not) and island, the number of islands begun so far."""
+    w = by_run(key)
+    marked = points.withColumn("__fast", F.coalesce(F.col("speed") > limit, F.lit(False)))
+    begun = marked.withColumn("__start", F.when(F.col("__fast") & ~F.coalesce(F.lag("__fast").over(w), F.lit(False)), 1).otherwise(0))
+    return begun.withColumn("island", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__start")
+
+
 def islands(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH) -> DataFrame:
     """key, island, start_tsi, end_tsi, start_distance, distance, duration of each stretch of speed above limit; a null speed ends one."""
-    w = by_run(key)
-    fast = F.col("speed") > limit
-    starts = F.when(fast & ~F.coalesce(F.lag("__fast").over(w), F.lit(False)), 1).otherwise(0)
-    marked = points.withColumn("__fast", fast).withColumn("__start", starts).withColumn("island", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = marked.filter("__fast").groupBy(key, "island").agg(
+    rows = with_islands(points, key, limit).filter("__fast").groupBy(key, "island").agg(
         F.min("tsi").alias("start_tsi"), F.max("tsi").alias("end_tsi"), F.min("distance").alias("start_distance"), (F.max("distance") - F.min("distance")).alias("distance"))
     return rows.withColumn("duration", F.col("end_tsi") - F.col("start_tsi"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m
-from .islands import ON_FOIL_KMH, island_stats, islands
+from .islands import ON_FOIL_KMH, with_islands
 from .tracks import by_run
 
 FOILING_HR_KMH = 15.0
@@ -55,14 +55,25 @@ def speed_and_heart(points: DataFrame, key: str = "run_id", limit: float = ON_FO
     return points.groupBy(key).agg(F.avg(F.when(F.col("speed") > limit, F.col("speed"))).alias("avg_foiling_speed"), F.avg(hr).alias("avg_hr"), F.max(hr).alias("max_hr"))
 
 
-def run_stats(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH, hr_limit: float = FOILING_HR_KMH) -> DataFrame:
-    """All of the above but land distances, and the islands, per run; points have distance and avg_speed_1k.
+def run_stats(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH, hr_limit: float = FOILING_HR_KMH, paddle_up_s: float = 15, first_s: float = 60) -> DataFrame:
+    """All of the above but land distances, and the islands, per run, in one pass; points have distance and avg_speed_1k.
 
-    Windows, aggregate and join share one hash partitioning on the run.
+    Rows are first summed up by island (and by the stretches between), those sums by run: the windows and both
+    aggregates share one hash partitioning on the run, and the points are read once.
     """
     w = by_run(key)
     hr = F.nullif(F.col("hr"), F.lit(0))
-    stepped = points.withColumns({"__time": F.lead("tsi").over(w) - F.col("tsi"), "__way": F.col("distance") - F.lag("distance").over(w)})
-    fast = F.col("speed") > hr_limit
-    whole = stepped.groupBy(key).agg(*_rollup(), F.min(F.when(fast, hr)).alias("min_foiling_hr"), F.avg(F.when(fast, hr)).alias("avg_foiling_hr"), F.max("avg_speed_1k").alias("max_speed_1k"), *_totals(limit))
-    return whole.join(island_stats(islands(points, key, limit), key), key, "left")
+    stepped = with_islands(points, key, limit).withColumns({"__time": F.lead("tsi").over(w) - F.col("tsi"), "__way": F.col("distance") - F.lag("distance").over(w)})
+    quick = F.col("speed") > hr_limit
+    parts = stepped.groupBy(key, "island", "__fast").agg(
+        F.min("tsi").alias("lo"), F.max("tsi").alias("hi"), F.min("distance").alias("from"), F.max("distance").alias("to"), F.max("speed").alias("top"), F.sum("speed").alias("sum"), F.count("speed").alias("n"),
+        F.min(F.when(quick, hr)).alias("hr_min"), F.sum(F.when(quick, hr)).alias("hr_sum"), F.count(F.when(quick, hr)).alias("hr_n"), F.max("avg_speed_1k").alias("best"), *_totals(limit))
+    island, span, way = F.col("__fast"), F.col("hi") - F.col("lo"), F.col("to") - F.col("from")
+    lasting = F.count_if(island & (span >= paddle_up_s))
+    longest = F.max_by(F.when(island, F.struct(way.alias("way"), "lo", "hi")), F.when(island, F.struct(way.alias("way"), (-F.col("lo")).alias("early"))))
+    out = parts.groupBy(key).agg(
+        F.min("lo").alias("ts"), F.max("top").alias("max_speed_kmh"), F.try_divide(F.sum("sum"), F.sum("n")).alias("avg_speed_kmh"), (F.max("hi") - F.min("lo")).alias("duration_sec"), (F.max("to") / 1000).alias("distance_km"),
+        F.min("hr_min").alias("min_foiling_hr"), F.try_divide(F.sum("hr_sum"), F.sum("hr_n")).alias("avg_foiling_hr"), F.max("best").alias("max_speed_1k"), F.sum("duration_on_foil").alias("duration_on_foil"), F.sum("distance_on_foil").alias("distance_on_foil"),
+        longest.alias("__l"), F.when(lasting > 0, lasting).alias("paddle_up_count"), F.min_by("from", F.when(island & (span >= first_s), F.col("lo"))).alias("distance_to_first_paddle_up"))
+    named = {"longest_segment_distance": "way", "longest_segment_start": "lo", "longest_segment_end": "hi"}
+    return out.withColumns({n: F.col(f"__l.{c}") for n, c in named.items()}).drop("__l")
