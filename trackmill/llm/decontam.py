@@ -5,8 +5,9 @@ gives the longest run of item words that ends there, so a window of WINDOW item
 has been seen exactly if that length reaches the window's. Words between two words that no item has cannot be part
 of a run, so only stretches of item words walk the automaton.
 
-Items go in blocks of BLOCK_WORDS words at most, one automaton each; a block travels to the tasks, and the texts
-pass all blocks in one scan each. The number of blocks follows the benchmark, never the corpus.
+Items go in blocks of BLOCK_WORDS words at most (or one longer item), one automaton each. One block at a time is
+built, travels to the tasks and meets all texts, so memory is that of a block (about 1 KB a word) whatever the
+benchmark's size; a benchmark of several blocks costs as many scans, and only rows with hits are kept between them.
 
 Definitions at the edges: a null text or item has no words and no hits; an item without words matches nothing;
 repeated items are reported each by its id; repeated rows are judged alike; null item ids are left out.
@@ -14,7 +15,6 @@ repeated items are reported each by its id; repeated rows are judged alike; null
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 WINDOW = 10
 BLOCK_WORDS = 200_000
 
@@ -131,19 +133,20 @@ class Automaton:
         return [(a, b) for a, b in found], items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Automaton]:
-    """One automaton for each block of items of benchmark (item_id, text)."""
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
-    used = 0
+def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
+    """One automaton for each block of items of benchmark (item_id, text); one at least."""
+    block: list[tuple[str, list[bytes]]] = []
+    used, made = 0, False
     rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).orderBy("item_id")
     for r in rows.toLocalIterator():
         ws = words(bytes(r["text"]) if r["text"] is not None else None)
         if used and used + len(ws) > block_words:
-            blocks.append([])
-            used = 0
-        blocks[-1].append((r["item_id"], ws))
+            yield Automaton(block, window)
+            block, used, made = [], 0, True
+        block.append((r["item_id"], ws))
         used += len(ws)
-    return [Automaton(b, window) for b in blocks]
+    if block or not made:
+        yield Automaton(block, window)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -166,25 +169,49 @@ def check_words(ws: list[bytes], blocks: list[Automaton]) -> tuple[list[tuple[in
     return merged(spans) if len(blocks) > 1 else spans, sorted(items)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (in words) and items of each of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+MATCH = "doc_id long, n_words long, n_hit long, spans array<struct<begin:int,end:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
-    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (in words) and items of each of docs (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
+
+    def against(block: Automaton) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size, hit, spans, items = [], [], [], []
+                for raw in batch.column("text").cast(pa.binary()).to_pylist():
+                    ws = words(raw)
+                    got, seen = check_words(ws, [shared.value])
+                    size.append(len(ws))
+                    hit.append(sum(b - a for a, b in got))
+                    spans.append([{"begin": a, "end": b} for a, b in got])
+                    items.append(seen)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), batch.column("key")], ["doc_id", "n_words", "n_hit", "spans", "items", "key"])
+
+        return rows.mapInArrow(matched, MATCH + ", key long")
+
+    blocks = automata(benchmark, window, block_words)
+    whole, more = against(next(blocks)), None
+    for block in blocks:
+        part = keep(against(block).filter("n_hit > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "spans", "items"), "hits")
+        more = part if more is None else more.union(part)
+    if more is None:
+        return whole.drop("key")
+    # Equal rows have equal hits, so id and text name a row well enough; a row's hits over all blocks are its own size at most.
+    more = more.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.flatten(F.collect_list("spans")).alias("spans2"), F.flatten(F.collect_list("items")).alias("items2"))
+    both = whole.join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, hit, spans, items = [], [], [], []
-            for raw in batch.column("text").cast(pa.binary()).to_pylist():
-                ws = words(raw)
-                got, seen = check_words(ws, shared.value)
-                size.append(len(ws))
-                hit.append(sum(b - a for a, b in got))
-                spans.append([{"begin": a, "end": b} for a, b in got])
-                items.append(seen)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+            spans = [merged([(x["begin"], x["end"]) for x in (*a, *(b or ()))]) for a, b in zip(batch.column("spans").to_pylist(), batch.column("spans2").to_pylist(), strict=True)]
+            items = [sorted({*a, *(b or ())}) for a, b in zip(batch.column("items").to_pylist(), batch.column("items2").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
 
-    schema = "doc_id long, n_words long, n_hit long, spans array<struct<begin:int,end:int>>, items array<string>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(matched, schema)
+    return both.select("doc_id", "n_words", "n_hit", "spans", "items", "spans2", "items2").mapInArrow(joined, MATCH)
 
 
 def cleaned(raw: bytes, blocks: list[Automaton], max_words: int, max_share: float) -> bytes | None:
@@ -208,22 +235,38 @@ def cleaned(raw: bytes, blocks: list[Automaton], max_words: int, max_share: floa
         raw = b" ".join([*parts, raw[at:]])  # what is joined may match anew, so it is checked again
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 0, max_share: float = 1.0) -> DataFrame:
-    """docs with all columns, matched spans of more than max_words words cut out of text, and rows gone whose spans cover more than max_share of their words."""
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 0, max_share: float = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs with all columns, matched spans of more than max_words words cut out of text, and rows gone whose spans cover more than max_share of their words.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("text")
-            out = [(i, None if raw is None else cleaned(raw, shared.value, max_words, max_share), raw is None) for i, raw in enumerate(batch.column(k).cast(pa.binary()).to_pylist())]
-            rows = [(i, t) for i, t, null in out if t is not None or null]
-            kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
-            arrays = list(kept.columns)
-            arrays[k] = pa.array([t for _, t in rows], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, kept.schema.names)
+    With several blocks of items the share is that of each block, and rounds go on until no text changes, since what is
+    joined by a cut may match another block anew.
+    """
+
+    def against(rows: DataFrame, block: Automaton) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    return docs.mapInArrow(cut, docs.schema)
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                k = batch.schema.get_field_index("text")
+                out = [(i, None if raw is None else cleaned(raw, [shared.value], max_words, max_share), raw is None) for i, raw in enumerate(batch.column(k).cast(pa.binary()).to_pylist())]
+                found = [(i, t) for i, t, null in out if t is not None or null]
+                kept = batch.take(pa.array([i for i, _ in found], pa.int64()))
+                arrays = list(kept.columns)
+                arrays[k] = pa.array([t for _, t in found], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, kept.schema.names)
 
+        return rows.mapInArrow(cut, rows.schema)
 
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    rows, before = docs, None
+    while True:
+        blocks = automata(benchmark, window, block_words)
+        rows, several = against(rows, next(blocks)), False
+        for block in blocks:
+            rows, several = against(keep(rows, "cut"), block), True
+        if not several:
+            return rows
+        rows = keep(rows, "cut")
+        now = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+        if now == before:
+            return rows
+        before = now
