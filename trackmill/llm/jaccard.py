@@ -2,16 +2,17 @@
 
 Rows of the matrix are distinct shingle sets (documents with equal sets are one row, whatever their number).
 Two sets of similarity t or more share one of the first n - ceil(t n) + 1 of their shingles under any fixed
-order (here: the order of the hashes), so only those columns of a row enter the product; a column's block is
-the set of rows that share that shingle.
+order (here: by hash, with shingles that many sets have at the end), so only those columns of a row enter the
+product; a column's block is the set of rows that share that shingle.
 
 Inside a block, candidates are taken in three rounds, so that a group of near copies never makes all its pairs:
 1. each row with the smallest row of its blocks; rows linked so far form components;
 2. each row with the smallest and the largest row of each block, where they are in different components;
 3. blocks that still hold rows of several components: the rest of the pairs, in sub-blocks of BLOCK_ROWS by
    BLOCK_ROWS rows sorted by size, keeping only pairs that pass the bounds.
-A pair is discarded early if its sizes are too far apart or if the bound from 256-bit parity sketches
-(|x Δ y| is at least the number of differing bits) puts its overlap too low; the rest get their exact overlap.
+A pair is discarded early if its sizes are too far apart or if the bound from parity sketches (|x Δ y| is at least
+the number of differing bits: 1024 of them, then for large sets as many as they have shingles) puts its overlap too
+low; the rest get their exact overlap.
 Together the rounds test every pair of rows that share a column and are not linked through others already.
 
 Definitions at the edges: a null or empty text, or one without words, has no shingles and is its own component; a
@@ -36,7 +37,11 @@ PERCENT = 80
 BLOCK_ROWS = 256
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts whose whole sets are needed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
-SKETCH_LONGS = 4
+SKETCH_LONGS = 16
+#: A shingle counts as frequent from so many sets on, or from more where over HEAVY_MAX (8 bytes each, broadcast) would; which ones do only matters for speed.
+HEAVY_SETS = 8
+HEAVY_MAX = 500_000
+SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 
 # Lower-cases A-Z and turns each separator (space, tab to carriage return) into a space.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -88,11 +93,27 @@ def _sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Parities of the set's members in 64 * SKETCH_LONGS classes."""
-    odd = np.bincount((found & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    """Parities of the set's members in 64 * SKETCH_LONGS classes or the next power of two up to the set's size."""
+    bits = 64 * SKETCH_LONGS
+    while bits < len(found):
+        bits *= 2
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def folded(longs: np.ndarray, size: int = SKETCH_LONGS) -> np.ndarray:
+    """The sketch of the same set in fewer classes."""
+    while len(longs) > size:
+        longs = longs[: len(longs) // 2] ^ longs[len(longs) // 2 :]
+    return longs
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """A lower bound of the sets' symmetric difference."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum())
+
+
 def node_of(found: np.ndarray) -> int:
     """The hash that stands for a whole set."""
     return int(mix64(mix64(found ^ _BASE).sum(keepdims=True)).view(np.int64)[0])
@@ -102,66 +123,117 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set, null if empty) and the prefix columns (once per set and task)."""
+def prefix_of(found: np.ndarray, heavy: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first shingles of a sorted set in the order that has those in heavy (sorted) at its end."""
+    size = prefix_size(len(found), percent)
+    for some in (found[: 2 * size], found):
+        at = np.searchsorted(heavy, some)
+        at[at == len(heavy)] = 0
+        light = heavy[at] != some if len(heavy) else np.ones(len(some), bool)
+        if light.sum() >= size:
+            return some[light][:size]
+    return np.concatenate((found[light], found[~light]))[:size]
+
+
+def heavy_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy_sets: int = HEAVY_SETS, heavy_max: int = HEAVY_MAX) -> np.ndarray:
+    """Shingles among the first by hash of many sets, heavy_max of them at most."""
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for found in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
+                if len(found) and (own := node_of(found)) not in seen:
+                    seen.add(own)
+                    out.append(found[: prefix_size(len(found), percent)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(firsts, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= heavy_sets)
+    counts = keep(counts, "frequent")
+    level = F.floor(F.log2("n"))
+    least, held = None, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += r["count"]
+        if held > heavy_max:
+            break
+        least = r["level"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    return np.sort(counts.filter(level >= least).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_shingles, node (hash of the set, null if empty), and once per set and task its prefix columns, sketch, and longer sketch if it is large."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.empty(0, np.uint64) if heavy is None else heavy)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            n, node, prefix = [], [], []
+            n, node, prefix, bits, more = [], [], [], [], []
             for found in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
                 n.append(len(found))
-                if not len(found):
-                    node.append(None)
-                    prefix.append(None)
-                    continue
-                own = node_of(found)
+                own = node_of(found) if len(found) else None
+                new = own is not None and own not in seen
                 node.append(own)
-                prefix.append(None if own in seen else found[: prefix_size(len(found), percent)].view(np.int64))
+                whole = sketch(found) if new else None
+                prefix.append(prefix_of(found, shared.value, percent).view(np.int64) if new else None)
+                bits.append(folded(whole) if new else None)
+                more.append(whole.tobytes() if new and len(whole) > SKETCH_LONGS else None)
                 seen.add(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "prefix"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs), pa.array(more, pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "sketch", "more"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id long, n_shingles long, node long, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(made, "doc_id long, n_shingles long, node long, prefix array<long>, sketch array<long>, more binary")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """node, n, sketch longs and all shingles (bytes) of the documents named by wanted (doc_id, node: one document for each set)."""
+    """node and all shingles (bytes) of the documents named by wanted (doc_id, node: one document for each set)."""
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("doc_id").alias("__id"), "node")
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id")).select("node", F.col("text").cast("string").alias("text"))
-    names = [f"s{i}" for i in range(SKETCH_LONGS)]
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id")).select("node", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, bits, whole, node = [], [], [], []
-            for own, found in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words), strict=True):
-                if not len(found) or node_of(found) != own:  # another text under the same id
-                    continue
-                node.append(own)
-                n.append(len(found))
-                bits.append(sketch(found))
-                whole.append(found.tobytes())
-            all_bits = np.array(bits, dtype=np.int64).reshape(len(n), SKETCH_LONGS)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), *[pa.array(all_bits[:, i]) for i in range(SKETCH_LONGS)], pa.array(whole, pa.binary())], ["node", "n", *names, "shingles"])
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            pairs = [(own, found.tobytes()) for own, found in zip(batch.column("node").to_pylist(), shingle_sets(texts, words), strict=True) if len(found) and node_of(found) == own]  # else another text under the same id
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())], ["node", "shingles"])
 
-    return texts.mapInArrow(made, "node long, n long, " + ", ".join(f"{x} long" for x in names) + ", shingles binary").dropDuplicates(["node"])
+    return texts.mapInArrow(made, "node long, shingles binary")
 
 
 def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
     """Whether the bounds from sizes and sketches leave the pair a chance; a and b prefix the columns n, s0, .."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
-    differing = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
-    # overlap <= (n + m - differing) / 2, and (100 + percent) * overlap >= percent * (n + m) is asked for
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((100 + percent) * (n + m - differing) >= 2 * percent * (n + m))
+    apart = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
+    # overlap <= (n + m - apart) / 2, and (100 + percent) * overlap >= percent * (n + m) is asked for
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m))
+
 
+def linked(docs: DataFrame, pairs: DataFrame, briefs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) whose exact overlap suffices. briefs: node, doc_id, n and the sketch of each set.
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) whose exact overlap suffices."""
-    brief = sets.drop("shingles")
+    Bounds come first, from sizes and sketches; only the texts of sets that are left are read again for whole sets.
+    """
     renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
+    brief = briefs.select("node", "n", *SKETCH)
     near = pairs.join(renamed(brief, "a_"), F.col("a") == F.col("a_node")).join(renamed(brief, "b_"), F.col("b") == F.col("b_node")).filter(may_link("a_", "b_", percent)).select("a", "b")
     near = keep(near, "near")
-    whole = sets.select("node", "shingles")
+    large = briefs.filter("more IS NOT NULL").select("node", "n", "more")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("a_more", "a_n", "b_more", "b_n")), strict=True):
+                gap = differing(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) if x and y else 0
+                ok.append(not (x and y) or (100 + percent) * (n + m - gap) >= 2 * percent * (n + m))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+
+    two = near.join(renamed(large, "a_"), F.col("a") == F.col("a_node"), "left").join(renamed(large, "b_"), F.col("b") == F.col("b_node"), "left")
+    near = keep(two.select("a", "b", "a_more", "a_n", "b_more", "b_n").mapInArrow(bounded, "a long, b long"), "nearer")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = keep(briefs.select("node", "doc_id").filter(F.col("doc_id").isNotNull()).join(nodes, "node", "left_semi"), "wanted")
+    whole = keep(whole_sets(docs, wanted, words), "sets").dropDuplicates(["node"])
     both = near.join(renamed(whole, "a_"), F.col("a") == F.col("a_node")).join(renamed(whole, "b_"), F.col("b") == F.col("b_node")).select("a", "b", "a_shingles", "b_shingles")
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +276,9 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -
     return rows.join(labels.select(F.col("node").alias("__n"), F.col("label").alias("__l")), F.col(node) == F.col("__n"), "left").withColumn(into, F.coalesce("__l", node)).drop("__n", "__l")
 
 
-def rest_pairs(blocks: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS, percent: int = PERCENT) -> DataFrame:
+def rest_pairs(blocks: DataFrame, briefs: DataFrame, block_rows: int = BLOCK_ROWS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) inside the same column that are in different components (label) and pass the bounds, by sub-blocks."""
-    rows = blocks.join(sets.drop("shingles"), "node")
+    rows = blocks.join(briefs.drop("doc_id", "more"), "node")
     order = Window.partitionBy("h").orderBy("n", "node")
     placed = rows.withColumn("i", F.floor((F.row_number().over(order) - 1) / block_rows).cast("int"))
     span = placed.groupBy("h", "i").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -214,9 +286,9 @@ def rest_pairs(blocks: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS,
     # Sub-blocks are sorted by size: i meets j >= i only while j's smallest set is small enough for i's largest.
     meets = span.join(other, (F.col("h") == F.col("__h")) & (F.col("j") >= F.col("i")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("h", "i", "j")
     left = placed.join(meets, ["h", "i"])
-    right = placed.select("h", F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", *[f"s{k}" for k in range(SKETCH_LONGS)])])
+    right = placed.select("h", F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", *SKETCH)])
     right = right.join(meets, ["h", "j"])
-    left = left.select("h", "i", "j", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", *[f"s{k}" for k in range(SKETCH_LONGS)])])
+    left = left.select("h", "i", "j", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", *SKETCH)])
     ok = (F.col("a_label") != F.col("b_label")) & ((F.col("i") != F.col("j")) | (F.col("a_node") < F.col("b_node"))) & may_link("a_", "b_", percent)
     met = left.join(right, ["h", "i", "j"]).filter(ok)
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
@@ -224,22 +296,24 @@ def rest_pairs(blocks: DataFrame, sets: DataFrame, block_rows: int = BLOCK_ROWS,
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of each of docs (doc_id, text)."""
-    rows = keep(incidence(docs, words, percent), "incidence")
+    rows = keep(incidence(docs, words, percent, heavy_shingles(docs, words, percent)), "incidence")
     columns = rows.filter(F.col("prefix").isNotNull()).select("node", F.explode("prefix").alias("h"))
     by = Window.partitionBy("h")
     blocks = columns.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).filter("lo < hi")
     blocks = keep(blocks, "blocks")
-    classes = keep(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    wanted = keep(classes.join(blocks.select("node").distinct(), "node", "left_semi").filter(F.col("doc_id").isNotNull()), "wanted")
-    sets = keep(whole_sets(docs, wanted, words), "sets")
+    own = rows.filter(F.col("node").isNotNull())
+    classes = keep(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
+    once = own.filter(F.col("sketch").isNotNull()).select("node", F.col("n_shingles").alias("n"), *[F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(SKETCH)], "more")
+    shared = blocks.select("node").distinct()
+    briefs = keep(once.join(shared, "node", "left_semi").dropDuplicates(["node"]).join(classes, "node"), "briefs")
 
     first = blocks.groupBy("node").agg(F.min("lo").alias("a")).filter("a < node").select("a", F.col("node").alias("b"))
-    links = linked(first, sets, percent)
+    links = linked(docs, first, briefs, words, percent)
     labels = keep(components(links), "labels")
 
     pairs = blocks.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(blocks.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct()
     apart = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")
-    more = linked(apart.join(first, ["a", "b"], "left_anti"), sets, percent)
+    more = linked(docs, apart.join(first, ["a", "b"], "left_anti"), briefs, words, percent)
     links = links.union(more)
     labels = keep(components(links), "labels")
 
@@ -247,7 +321,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     mixed = inner.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
     left_over = keep(inner.join(mixed, "h", "left_semi"), "rest")
     if not left_over.isEmpty():
-        last = linked(rest_pairs(left_over, sets, percent=percent), sets, percent)
+        last = linked(docs, rest_pairs(left_over, briefs, percent=percent), briefs, words, percent)
         if not last.isEmpty():
             labels = keep(components(links.union(last)), "labels")
 
