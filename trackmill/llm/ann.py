@@ -3,11 +3,12 @@
 Centroids and codebooks are fitted on a bounded sample; every vector is indexed. An index row is a block of up to
 BLOCK vectors of one list (a list of any size is many blocks): ids, codes and the vectors themselves. Queries
 travel to the lists they probe in groups of QUERY_GROUP, so a task scores a group against a block at once with the
-queries' asymmetric tables, keeps the RERANK best of each query by table, scores those exactly in double
-precision, and passes on k. The k best over all blocks follow by a window over each query. Nothing depends on a
+queries' asymmetric tables, keeps the RERANK * k best of each query by table, scores those exactly in double
+precision, and passes on k at most: only those no worse than the query's k-th best in the fitted sample, whose
+vectors are candidates as well. The k best over all blocks follow by a window over each query. Nothing depends on a
 list fitting a task, and equal vectors in any number only add blocks.
 
-The number of lists probed is the smallest (doubling) that reaches TARGET recall on sampled queries against the
+The number of lists probed is the smallest that reaches TARGET recall on sampled queries against the
 sample, measured while fitting. Definitions at the edges: vectors that are null, zero, of another length than
 most, or hold null or non-finite components take no part, nor do null ids; ties go to the smaller id; repeated ids
 are candidates each but never for a query of the same id; fewer than k candidates: all are returned.
@@ -15,7 +16,7 @@ are candidates each but never for a query of the same id; fewer than k candidate
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +30,10 @@ from .common import keep
 FIT_VECTORS = 16_384
 SUBSPACES = 16
 CODES = 64
-BLOCK = 512
+BLOCK = 2048
 QUERY_GROUP = 256
 RERANK = 8
-TARGET = 0.97
+TARGET = 0.96
 
 
 @dataclass
@@ -40,6 +41,33 @@ class Index:
     centroids: np.ndarray
     books: np.ndarray  # subspace, code, component
     probes: int
+    sample_ids: np.ndarray
+    sample: np.ndarray
+
+    sample_list: np.ndarray
+
+    def plan(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which lists each query probes, and the least score that is of use from each.
+
+        The nearest lists in number, and on until they hold twice k of the sample. Those first ones that do return
+        their best whatever it is, so that no query stays short; from the others only a score counts that is no worse
+        than the k-th best of the sample's vectors in all probed lists.
+        """
+        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+        size = np.bincount(self.sample_list, minlength=len(self.centroids))[order]
+        full = np.cumsum(size, axis=1) - size >= 2 * k + 1
+        ahead = np.zeros_like(full)
+        np.put_along_axis(ahead, order, ~full, axis=1)
+        full[:, : self.probes] = False
+        probed = np.zeros_like(full)
+        np.put_along_axis(probed, order, ~full, axis=1)
+        floor = np.full(len(q), -np.inf)
+        if len(self.sample_ids) >= k:
+            score = np.where(probed[:, self.sample_list], q @ self.sample.astype(np.float64).T, -np.inf)
+            score[ids[:, None] == self.sample_ids[None, :]] = -np.inf
+            floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+            floor -= np.where(np.isfinite(floor), 1e-9 * (1 + np.abs(floor)), 0)
+        return probed, np.where(ahead, -np.inf, floor[:, None])
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -81,10 +109,10 @@ def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target:
         return None
     part = min(1.0, fit_vectors / count)
     some = vectors.filter(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1_000_000)) < part * 1_000_000) if part < 1 else vectors
-    x = np.array([r[0] for r in some.select("vector").limit(2 * fit_vectors).collect()], dtype=np.float64)
-    if not len(x):
-        x = np.array([vectors.select("vector").first()[0]], dtype=np.float64)
-    x = x[np.lexsort(x.T[::-1])]  # whatever order the rows came in
+    rows = some.select("vec_id", "vector").limit(2 * fit_vectors).collect() or vectors.select("vec_id", "vector").limit(1).collect()
+    x, ids = np.array([r[1] for r in rows], dtype=np.float64), np.array([r[0] for r in rows], dtype=np.int64)
+    by = np.lexsort((*x.T[::-1], ids)[::-1])  # whatever order the rows came in
+    x, ids = x[by], ids[by]
     rng = np.random.default_rng(seed)
     dims = x.shape[1]
     lists = int(min(len(np.unique(x, axis=0)), max(1, 2 ** round(np.log2(max(1, min(count, 1 << 24) ** 0.5 / 2))))))
@@ -92,8 +120,9 @@ def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target:
     subspaces = next(m for m in range(min(SUBSPACES, dims), 0, -1) if dims % m == 0)
     rest = (x - centroids[nearest(x, centroids)]).reshape(len(x), subspaces, -1)
     books = np.stack([kmeans(rest[:, m], min(CODES, len(x)), 6, rng) for m in range(subspaces)])
-    index = Index(centroids, books, 1)
-    q = x[rng.permutation(len(x))[:200]]
+    index = Index(centroids, books, 1, ids, x.astype(np.float32) if (x == x.astype(np.float32)).all() else x, nearest(x, centroids))
+    q = np.unique(x, axis=0)
+    q = q[rng.permutation(len(q))[:200]]
     exact = q @ x.T
     best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
     own = nearest(x, centroids)
@@ -102,7 +131,7 @@ def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target:
     np.put_along_axis(where, order, np.arange(len(centroids))[None, :].repeat(len(q), axis=0), axis=1)
     rank = np.take_along_axis(where, own[best], axis=1)  # the probe at which each true neighbour turns up
     while index.probes < len(centroids) and (rank < index.probes).mean() < target:
-        index.probes = min(len(centroids), index.probes * 2)
+        index.probes = min(len(centroids), index.probes + max(1, index.probes // 4))
     return index
 
 
@@ -121,7 +150,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(index)  # sqrt(n) / 2 centroids, 2048 at most, and the codebooks
+    shared = spark.sparkContext.broadcast(index)  # sqrt(n) / 2 centroids, 2048 at most, the codebooks and the sample
     dims = index.centroids.shape[1]
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -153,44 +182,51 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of queries for each list they probe."""
-        waiting: dict[int, list[tuple[int, np.ndarray]]] = {}
+        waiting: dict[int, list[tuple[int, np.ndarray, float]]] = {}
 
         def packed(whose: int) -> pa.RecordBatch:
             got = waiting.pop(whose)
-            return pa.RecordBatch.from_arrays([pa.array([whose], pa.int32()), pa.array([_pack(np.array([i for i, _ in got], dtype=np.int64))], pa.binary()), pa.array([_pack(np.array([v for _, v in got]))], pa.binary())], ["list", "q_ids", "q_vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([whose], pa.int32()), *[pa.array([_pack(np.array(column))], pa.binary()) for column in zip(*got, strict=True)]], ["list", "q_ids", "q_vectors", "floors"])
 
         for batch in batches:
             ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("vector"))
-            order = np.argsort(-(x @ shared.value.centroids.T), axis=1, kind="stable")[:, : shared.value.probes]
-            for i, v, lists in zip(ids.tolist(), x, order.tolist(), strict=True):
-                for whose in lists:
-                    got = waiting.setdefault(whose, [])
-                    got.append((i, v))
-                    if len(got) >= QUERY_GROUP:
-                        yield packed(whose)
+            for a in range(0, len(ids), 256):
+                probed, low = shared.value.plan(ids[a : a + 256], x[a : a + 256], k)
+                yield from asked(ids[a : a + 256], x[a : a + 256], probed, low, waiting, packed)
         for whose in list(waiting):
             yield packed(whose)
 
+    def asked(ids: np.ndarray, x: np.ndarray, probed: np.ndarray, low: np.ndarray, waiting: dict, packed: Callable) -> Iterator[pa.RecordBatch]:
+        for i, v, floor, row in zip(ids.tolist(), x, low, probed, strict=True):
+            for whose in np.flatnonzero(row).tolist():
+                got = waiting.setdefault(whose, [])
+                got.append((i, v, floor[whose]))
+                if len(got) >= QUERY_GROUP:
+                    yield packed(whose)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], stored).reshape(-1, dims).astype(np.float64)
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], stored).reshape(-1, dims)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dims)
+                floor = np.frombuffer(row["floors"], np.float64)
                 table = tables(ix, q)
                 near = (q @ ix.centroids[row["list"]])[:, None] + sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
+                near -= np.arange(len(ids)) * (1e-12 * (1 + np.abs(near).max()))  # ids ascend, so ties keep the smaller
                 near[q_ids[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-near, axis=1, kind="stable")[:, : rerank * k]  # ids ascend, so ties keep the smaller
-                score = np.einsum("qd,qrd->qr", q, x[top])
-                score[np.take_along_axis(near, top, axis=1) == -np.inf] = -np.inf
+                some = min(rerank * k, len(ids))
+                top = np.argpartition(-near, some - 1, axis=1)[:, :some]
+                score = np.einsum("qd,qrd->qr", q, x[top].astype(np.float64))
+                score[(np.take_along_axis(near, top, axis=1) == -np.inf) | (score < floor[:, None])] = -np.inf
                 best = np.lexsort((ids[top], -score), axis=1)[:, :k]
                 out_id, out = np.take_along_axis(ids[top], best, axis=1), np.take_along_axis(score, best, axis=1)
                 ok = out != -np.inf
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], out.shape)[ok]), pa.array(out_id[ok]), pa.array(out[ok])], ["query_id", "vec_id", "score"])
 
     blocks = keep(good.select("vec_id", "vector").mapInArrow(indexed, "list int, ids binary, codes binary, vectors binary"), "index")
-    probes = good.filter("q").select("vec_id", "vector").distinct().mapInArrow(probing, "list int, q_ids binary, q_vectors binary")
+    probes = good.filter("q").select("vec_id", "vector").distinct().mapInArrow(probing, "list int, q_ids binary, q_vectors binary, floors binary")
     met = blocks.join(probes, "list").mapInArrow(scored, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
