@@ -164,7 +164,7 @@ BODIES = {
     "clean_despike": f"SELECT run_id, seq, {R('speed_accel')}, accel_outlier FROM c_accel",
     "clean_plateau": f"SELECT run_id, seq, {R('speed_plateau')}, plateau_outlier FROM c_plateau",
     "clean_final": f"SELECT run_id, seq, {R('speed_final')}, sanity_capped, round(distance, 4) AS distance FROM cleaned",
-    "clean_summary": "SELECT run_id, count(*) AS n_rows, count_if(geo OR bad) AS n_position_outlier, count_if(hampel_outlier) AS n_hampel_outlier, count_if(accel_outlier) AS n_accel_outlier, count_if(plateau_outlier) AS n_plateau_outlier, count_if(sanity_capped) AS n_sanity_capped, round(max(speed_final), 6) AS max_speed_final FROM cleaned GROUP BY run_id",
+    "clean_summary": "SELECT run_id, count(*) AS n_rows, CAST(count_if(geo OR bad) AS BIGINT) AS n_position_outlier, CAST(count_if(hampel_outlier) AS BIGINT) AS n_hampel_outlier, CAST(count_if(accel_outlier) AS BIGINT) AS n_accel_outlier, CAST(count_if(plateau_outlier) AS BIGINT) AS n_plateau_outlier, CAST(count_if(sanity_capped) AS BIGINT) AS n_sanity_capped, round(max(speed_final), 6) AS max_speed_final FROM cleaned GROUP BY run_id",
     "enriched_runs": "SELECT run_id, strftime(month, '%Y-%m-%d') AS month, strftime(week, '%Y-%m-%d') AS week, dry, round(distance_on_foil / nullif(distance_km * 1000, 0), 6) AS pct_dist_on_foil, round(duration_on_foil / nullif(duration_sec, 0), 6) AS pct_time_on_foil FROM info",
     "dashboard_totals": f"SELECT count(*) AS n_runs, {', '.join(f'round(sum({c}), 4) AS sum_{c}' for c in ('duration_sec', 'distance_km'))}, CAST(sum(paddle_up_count) AS BIGINT) AS sum_paddle_up_count, {', '.join(f'round(max({c}) + 1e-9, 6) AS {c}, arg_max(run_id, struct_pack(v := {c}, t := -ts)) AS {c}_run' for c in ('max_speed_kmh', 'max_speed_1k', 'longest_segment_distance'))} FROM info",
     "outings": "SELECT strftime(month, '%Y-%m-%d') AS month, region, count(*) AS n, round(sum(duration_sec), 4) AS duration_sec, CAST(sum(count(*)) OVER (PARTITION BY month) AS BIGINT) AS month_n, round(sum(sum(duration_sec)) OVER (PARTITION BY month), 4) AS month_duration_sec FROM info GROUP BY info.month, region",

@@ -248,7 +248,7 @@ def write_back_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def similar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.similar_runs(resolved(spark, sf_dir)).select("run_id", "other", "rank")
+    return matching.similar_runs(resolved(spark, sf_dir)).select("run_id", "other", F.col("rank").cast("long").alias("rank"))
 
 
 @query
