@@ -41,6 +41,8 @@ regions AS (SELECT run_id, ts, duration_sec, CASE run_id % 3 WHEN 0 THEN 'AFRICA
 wind_met AS (SELECT r.run_id, w.* FROM regions r JOIN wind w ON w.site = CASE r.region WHEN 'AFRICA' THEN 'kihei' WHEN 'AMERICA' THEN 'hookipa' END AND w.tsi >= r.ts - 1800 AND w.tsi <= r.ts + r.duration_sec),
 wind_stats AS (SELECT run_id, avg(wavg) AS avg_wavg, max(wavg) AS max_wavg, avg(wgust) AS avg_wgust, max(wgust) AS max_wgust,
   CASE WHEN avg(sin(radians(wdir))) = 0 AND avg(cos(radians(wdir))) = 0 THEN NULL ELSE CAST(round_even(round(degrees(atan2(avg(sin(radians(wdir))), avg(cos(radians(wdir))))) + 360, 9), 0) AS INT) % 360 END AS avg_wdir FROM wind_met GROUP BY run_id),
+crashed AS (SELECT * FROM (SELECT *, avg(speed) OVER (PARTITION BY run_id ORDER BY us RANGE BETWEEN 15000000 PRECEDING AND CURRENT ROW) AS avg_speed, lag(speed) OVER {_W} AS prev, min(tsi) OVER (PARTITION BY run_id) AS lo, max(tsi) OVER (PARTITION BY run_id) AS hi FROM dist) x
+  WHERE avg_speed > 15 AND speed < 5 AND coalesce(prev, 0) >= 5 AND tsi > lo + 300 AND tsi < hi - 300),
 seg_raw AS (SELECT *, coalesce(speed >= 11, false) AS raw, row_number() OVER {_W} AS rn FROM dist),
 seg_turn AS (SELECT *, CASE WHEN lag(raw) OVER {_W} = raw THEN 0 ELSE 1 END AS turn FROM seg_raw),
 seg_isl AS (SELECT *, sum(turn) OVER {_W} AS isl FROM seg_turn),
@@ -99,6 +101,8 @@ _BIN = "CASE WHEN wavg IS NULL THEN NULL " + " ".join(f"WHEN wavg >= {a} AND wav
 _LABEL = "CASE bin " + " ".join(f"WHEN {i} THEN '{a}–{b}'" for i, (a, b) in enumerate(zip(_BREAKS, _BREAKS[1:], strict=False))) + " ELSE '30+' END"
 _COMPASS = "list_extract(['N','E','S','W'], CAST(floor(sector * 10 / 90.0 + 0.5) AS INT) % 4 + 1)"
 
+_POINTS = (["N", "E", "S", "W"], ["N", "NE", "E", "SE", "S", "SW", "W", "NW"], "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split())
+
 BODIES = {
     "run_stats": f"SELECT r.run_id, r.ts, {R(*['r.' + c for c in _STATS[:4]])}, h.min_foiling_hr, {R('h.avg_foiling_hr')}, {N('k.max_speed_1k')}, {R('f.duration_on_foil', 'f.distance_on_foil', *['l.' + c for c in _STATS[8:11]])}, p.paddle_up_count, {R('d.distance_to_first_paddle_up')} FROM rolled r LEFT JOIN hearts h USING (run_id) LEFT JOIN best1k k USING (run_id) LEFT JOIN foil f USING (run_id) LEFT JOIN longest l USING (run_id) LEFT JOIN paddle p USING (run_id) LEFT JOIN firsts d USING (run_id)",
     "distance_running": f"SELECT run_id, seq, {R('step_m', 'distance')} FROM dist",
@@ -140,8 +144,20 @@ BODIES = {
     "wind_relative": "SELECT run_id, event_id, round(tsi - min(tsi) OVER (PARTITION BY run_id), 6) AS t FROM (" + slice_sql("wind", "CASE r.region WHEN 'AFRICA' THEN 'kihei' WHEN 'AMERICA' THEN 'hookipa' END", "wavg") + ") y",
     "wind_rose": f"""SELECT site, sector, CAST(sector * 10 AS DOUBLE) AS start_deg, {_COMPASS} AS compass, bin, {_LABEL} AS label, n, CAST(sum(n) OVER (PARTITION BY site, sector) AS BIGINT) AS sector_n, round((sum(n) OVER s - n) / total, 6) AS r0, round(sum(n) OVER s / total, 6) AS r1, round(n * 100 / total, 6) AS share FROM
       (SELECT *, CAST(sum(n) OVER (PARTITION BY site) AS DOUBLE) AS total FROM (SELECT site, CAST(floor(wdir / 10) AS INT) AS sector, {_BIN} AS bin, count(*) AS n FROM wind GROUP BY ALL) a) b WINDOW s AS (PARTITION BY site, sector ORDER BY bin ROWS UNBOUNDED PRECEDING)""",
-    "crashes": f"""SELECT run_id, seq, {R('tsi', 'speed', 'avg_speed')} FROM (SELECT *, avg(speed) OVER (PARTITION BY run_id ORDER BY us RANGE BETWEEN 15000000 PRECEDING AND CURRENT ROW) AS avg_speed, lag(speed) OVER {_W} AS prev, min(tsi) OVER (PARTITION BY run_id) AS lo, max(tsi) OVER (PARTITION BY run_id) AS hi FROM dist) x
-      WHERE avg_speed > 15 AND speed < 5 AND coalesce(prev, 0) >= 5 AND tsi > lo + 300 AND tsi < hi - 300""",
+    "crashes": f"SELECT run_id, seq, {R('tsi', 'speed', 'avg_speed')} FROM crashed",
+    "crash_density": f"""SELECT q, r, count(*) AS n, CAST(max(count(*)) OVER () AS BIGINT) AS max_n FROM (
+      SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r FROM (
+      SELECT *, abs(rq - q0) AS dq, abs(rr - r0) AS dr, abs(rs - s0) AS ds FROM (SELECT *, round_even(q0, 0) AS rq, round_even(r0, 0) AS rr, round_even(s0, 0) AS rs FROM (SELECT q0, r0, -q0 - r0 AS s0 FROM (
+      SELECT (x * sqrt(3) / 3 - y / 3) / 20 AS q0, y * 2 / 3 / 20 AS r0 FROM (SELECT (radians(lon) + 2.7333) * 200000 AS x, (-ln(tan(pi() / 4 + radians(lat) / 2)) + 0.376) * 200000 AS y FROM crashed) a
+      WHERE x BETWEEN 0 AND 960 AND y BETWEEN 0 AND 600) b) c) d) e) f GROUP BY q, r""",
+    "run_texts": """SELECT run_id, concat_ws(' ', CASE WHEN duration_sec >= 3600 THEN CAST(floor(duration_sec / 3600) AS INT) || 'h' END, CASE WHEN floor(duration_sec % 3600 / 60) > 0 THEN CAST(floor(duration_sec % 3600 / 60) AS INT) || 'm' END, CASE WHEN duration_sec % 60 >= 0.5 THEN CAST(floor(duration_sec % 60 + 0.5) AS INT) || 's' END) AS duration,
+      CASE WHEN s >= 86400 THEN CAST(floor(s / 86400) AS INT) || 'd ' || CAST(floor(s % 86400 / 3600) AS INT) || 'h' WHEN s >= 3600 THEN CAST(floor(s / 3600) AS INT) || 'h ' || CAST(floor(s % 3600 / 60) AS INT) || 'm' ELSE CAST(floor(s / 60) AS INT) || 'm ' || CAST(floor(s % 60) AS INT) || 's' END AS span,
+      CAST(floor(60 / avg_speed_kmh) AS INT) || ':' || lpad(CAST(CAST(floor((60 / avg_speed_kmh - floor(60 / avg_speed_kmh)) * 60) AS INT) AS VARCHAR), 2, '0') || ' min/km' AS pace, printf('%.2f kph', max_speed_kmh) AS top, CASE WHEN avg_foiling_hr IS NULL THEN 'unknown bpm' ELSE printf('%.0f bpm', avg_foiling_hr) END AS heart,
+      CASE WHEN distance_on_foil < 1000 THEN printf('%.0f m', distance_on_foil) ELSE printf('%.2f km', distance_on_foil / 1000) END AS on_foil, CASE WHEN coalesce(paddle_up_count, 0) = 0 THEN '?' ELSE CAST(paddle_up_count AS VARCHAR) END AS ups,
+      printf('%.0fg%.0f knots', max_speed_1k, max_speed_kmh) || CASE WHEN run_id % 3 = 0 THEN '' ELSE ' @' || (run_id % 3) || '°' END AS wind, strftime(make_timestamp(CAST(floor(ts) AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS at,
+      CASE WHEN duration_sec >= 1000 THEN CAST(CAST(floor(duration_sec) AS BIGINT) // 1000 AS VARCHAR) || ',' || lpad(CAST(CAST(floor(duration_sec) AS BIGINT) % 1000 AS VARCHAR), 3, '0') ELSE CAST(CAST(floor(duration_sec) AS BIGINT) AS VARCHAR) END AS comma, 'Foil ' || run_id AS foil FROM
+      (SELECT r.*, r.duration_sec * 70 AS s, h.avg_foiling_hr, f.distance_on_foil, p.paddle_up_count, k.max_speed_1k FROM rolled r LEFT JOIN hearts h USING (run_id) LEFT JOIN foil f USING (run_id) LEFT JOIN paddle p USING (run_id) LEFT JOIN best1k k USING (run_id)) x""",
+    "compass": "SELECT event_id, " + ", ".join(f"list_extract([{', '.join(repr(x) for x in names)}], CAST(floor(wdir / {360 / len(names)} + 0.5) AS INT) % {len(names)} + 1) AS p{len(names)}" for names in _POINTS) + " FROM wind",
     "on_off_segments": "SELECT run_id, seq, on_foil, segment FROM segs",
     "segment_stats": f"""SELECT run_id, segment, any_value(on_foil) AS on_foil, round(max(tsi) - min(tsi), 6) AS duration, round(max(distance) - min(distance), 6) AS distance, round(max(speed), 6) AS max_speed, round(avg(speed), 6) AS avg_speed, round(60 / nullif(avg(speed), 0), 6) AS pace,
       round(avg({_HR}), 6) AS avg_hr, max({_HR}) AS max_hr, min({_HR}) AS min_hr FROM segs GROUP BY run_id, segment""",

@@ -306,6 +306,27 @@ def crash_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crashes.density(_crashes(spark, sf_dir), scale=200_000, left=-2.7333, top=-0.376, width=960, height=600)
 
 
+@query
+def run_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable texts of each run's statistics."""
+    from ..functions import text
+
+    runs = runstats.run_stats(means(spark, sf_dir))
+    at = F.timestamp_seconds(F.col("ts"))
+    return runs.select(
+        "run_id", text.seconds(F.col("duration_sec")).alias("duration"), text.time_diff(F.col("ts"), F.col("ts") + F.col("duration_sec") * 70).alias("span"), text.pace(F.col("avg_speed_kmh")).alias("pace"), text.speed(F.col("max_speed_kmh")).alias("top"),
+        text.heart_rate(F.col("avg_foiling_hr")).alias("heart"), text.distance(F.col("distance_on_foil")).alias("on_foil"), text.whole_or_unknown(F.col("paddle_up_count")).alias("ups"), text.wind(F.col("max_speed_1k"), F.col("max_speed_kmh"), F.col("run_id") % 3).alias("wind"),
+        text.timestamp(at).alias("at"), text.comma(F.col("duration_sec").cast("long")).alias("comma"), text.foil_name(F.concat(F.lit("Foil "), F.col("run_id").cast("string"), F.lit(" 725.0 cm2"))).alias("foil"))
+
+
+@query
+def compass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compass points of each wind reading in three finenesses."""
+    from ..functions.geo import compass_point
+
+    return view(spark, sf_dir, "wind").select("event_id", *[compass_point(F.col("wdir"), k).alias(f"p{k}") for k in (4, 8, 16)])
+
+
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segments(dist(spark, sf_dir))
 
