@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import compass_point, wrap360
 
+# The station of each region, and feet in a metre.
 WIND_SITES = {"Kihei": "kihei", "Maui North Shore": "hookipa"}
 SWELL_SITES = {"Maui North Shore": "pauwela"}
 HOUR = 3600

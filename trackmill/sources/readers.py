@@ -62,6 +62,7 @@ def gpx(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("filename", "idx", F.col("idx").alias("seq"), "time", "tsi", "lat", "lon", "ele", "hdop", "hr")
 
 
+# The columns taken from buoy texts.
 BUOY_FIELDS = {"WVHT": ("wave_height", "float"), "DPD": ("wave_period", "float"), "MWD": ("wave_direction", "smallint"), "WTMP": ("water_temp", "float")}
 
 
