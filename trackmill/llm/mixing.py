@@ -35,7 +35,8 @@ ITERATIONS = 12
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Lower-cased runs of ASCII letters, digits and all characters beyond ASCII."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-/:-`{-\\x7f]+"), "")
 
 
 def shape(text: Column, words: Column, distinct: Column) -> Column:
@@ -43,10 +44,9 @@ def shape(text: Column, words: Column, distinct: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.char_length(text), F.lit(1))
     level = lambda share, cuts: sum((F.when(share > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("string")
-    capitals = (F.char_length(text) - F.char_length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / size
-    marks = (F.char_length(text) - F.char_length(F.translate(text, "!#$%&*@^~|<>{}[]=_", ""))) / size
+    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / size
     repeated = 1 - F.size(distinct) / F.greatest(F.size(words), F.lit(1))
-    return F.array(F.concat(F.lit("#capitals:"), level(capitals, (0.05, 0.3))), F.concat(F.lit("#marks:"), level(marks, (0.001, 0.02))),
+    return F.array(F.concat(F.lit("#capitals:"), level(share("[A-Z]"), (0.05, 0.3))), F.concat(F.lit("#marks:"), level(share("[!#$%&*@^~|<>{}\\[\\]=_]"), (0.001, 0.02))),
                    F.concat(F.lit("#repeated:"), level(repeated, (0.3, 0.5, 0.7, 0.85))), F.concat(F.lit("#words:"), level(F.size(words), (20, 100, 400))))
 
 
@@ -76,7 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words:
     domains = sorted(size)
     part = F.coalesce(*[F.when(F.col("domain") == d, min(1.0, fit_rows / len(domains) / size[d])) for d in domains])
     some = named.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    rows = featured(docs.select("doc_id", "text").join(some.select("doc_id", "domain"), "doc_id"))
+    # At most about fit_rows ids: the sample's bound is the broadcast's.
+    rows = featured(docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "domain")), "doc_id"))
     rows = keep(rows.select("domain", F.concat("__words", "__shape").alias("features")), "labelled")
     seen = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(seen)
