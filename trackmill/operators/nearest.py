@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine_m
+from ..shipping import ship
 
 #: Segments that go to each task as arrays (five doubles each); longer coastlines go in so many passes.
 SEGMENTS = 500_000
@@ -60,6 +61,7 @@ def nearest_land(points: DataFrame, segments: DataFrame, block: int = SEGMENTS)
     The coastline reaches the driver and the tasks in blocks of whole features, each of about block segments; points
     pass once per block and keep the closest so far.
     """
+    ship(points.sparkSession)
     out = points.withColumns({"nearest_land_lat": F.lit(None).cast("double"), "nearest_land_lon": F.lit(None).cast("double"), "__far": F.lit(None).cast("double")})
     count = segments.count()
     blocks = max(1, -(-count // block)) if count else 0
