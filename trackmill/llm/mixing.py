@@ -8,7 +8,8 @@
    its own posterior and those sums alone, so nothing is joined and nothing but those sums reaches the driver.
 3. copies = floor(r) + 1 with the chance of the fraction, drawn from a hash of the id.
 
-The step is scaled by the domains' token moments, so a few iterations suffice unless many rates meet zero.
+The step is scaled by the domains' token moments, so a few iterations suffice unless many rates meet zero;
+targets that no nonnegative rates meet are met as closely as that allows.
 Definitions at the edges: a null or empty text has no tokens, so no rate counts; it gets the prior as posterior;
 without any label there is one domain `all`; a document labelled twice counts twice; repeated rows get equal rates;
 null ids draw as one id.
@@ -169,6 +170,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> Dat
     model = fit(docs, labels)
     rows = with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posterior")
     steps = fit_rates(keep(rows, "posteriors"), model, targets)
-    posterior = with_posteriors(docs, model)
-    drawn = posterior.withColumn("__copies", copies(rate_of(steps, len(model.domains))))
-    return drawn.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    drawn = with_posteriors(whole, model).select("__row", copies(rate_of(steps, len(model.domains))).alias("__copies"))
+    return drawn.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select("__row.*")
