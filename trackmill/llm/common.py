@@ -10,13 +10,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Characters handled at once by the vectorised text helpers; a longer text is a chunk of its own.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 _own_folder: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
