@@ -216,24 +216,21 @@ def linked(docs: DataFrame, pairs: DataFrame, briefs: DataFrame, words: int = WO
     Bounds come first, from sizes and sketches; only the texts of sets that are left are read again for whole sets.
     """
     renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
-    brief = briefs.select("node", "n", *SKETCH)
-    near = pairs.join(renamed(brief, "a_"), F.col("a") == F.col("a_node")).join(renamed(brief, "b_"), F.col("b") == F.col("b_node")).filter(may_link("a_", "b_", percent)).select("a", "b")
-    near = keep(near, "near")
-    large = briefs.filter("more IS NOT NULL").select("node", "n", "more")
+    brief = briefs.select("node", "n", "more", *SKETCH)
+    met = pairs.join(renamed(brief, "a_"), F.col("a") == F.col("a_node")).join(renamed(brief, "b_"), F.col("b") == F.col("b_node")).filter(may_link("a_", "b_", percent))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("a_more", "a_n", "b_more", "b_n")), strict=True):
                 gap = differing(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) if x and y else 0
-                ok.append(not (x and y) or (100 + percent) * (n + m - gap) >= 2 * percent * (n + m))
+                ok.append((100 + percent) * (n + m - gap) >= 2 * percent * (n + m))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    two = near.join(renamed(large, "a_"), F.col("a") == F.col("a_node"), "left").join(renamed(large, "b_"), F.col("b") == F.col("b_node"), "left")
-    near = keep(two.select("a", "b", "a_more", "a_n", "b_more", "b_n").mapInArrow(bounded, "a long, b long"), "nearer")
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    near = keep(met.select("a", "b", "a_more", "a_n", "b_more", "b_n").mapInArrow(bounded, "a long, b long"), "near")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = keep(briefs.select("node", "doc_id").filter(F.col("doc_id").isNotNull()).join(nodes, "node", "left_semi"), "wanted")
-    whole = keep(whole_sets(docs, wanted, words), "sets").dropDuplicates(["node"])
+    whole = keep(whole_sets(docs, wanted, words), "sets").dropDuplicates(["node"])  # repeated rows
     both = near.join(renamed(whole, "a_"), F.col("a") == F.col("a_node")).join(renamed(whole, "b_"), F.col("b") == F.col("b_node")).select("a", "b", "a_shingles", "b_shingles")
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +254,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = keep(large, "large")
+        large = keep(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v")))
         edges = keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -270,6 +266,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(hubs.select("node", F.col("node").alias("label")))
 
 
+def roots(links: DataFrame, jumps: int = 1) -> DataFrame:
+    """node, label: a smaller node that each larger end of links is known to hang together with; not always the smallest."""
+    up = keep(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "roots")
+    for _ in range(jumps):
+        above = up.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+        up = up.join(above, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__l", "label").alias("label"))
+    return keep(up, "roots")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -> DataFrame:
     if labels is None:
         return rows.withColumn(into, F.col(node))
@@ -301,20 +306,21 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     by = Window.partitionBy("h")
     blocks = columns.withColumns({"lo": F.min("node").over(by), "hi": F.max("node").over(by)}).filter("lo < hi")
     blocks = keep(blocks, "blocks")
-    own = rows.filter(F.col("node").isNotNull())
-    classes = keep(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-    once = own.filter(F.col("sketch").isNotNull()).select("node", F.col("n_shingles").alias("n"), *[F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(SKETCH)], "more")
-    shared = blocks.select("node").distinct()
-    briefs = keep(once.join(shared, "node", "left_semi").dropDuplicates(["node"]).join(classes, "node"), "briefs")
-
-    first = blocks.groupBy("node").agg(F.min("lo").alias("a")).filter("a < node").select("a", F.col("node").alias("b"))
+    sketches = [F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(SKETCH)]
+    once = [F.first(c, ignorenulls=True).alias(c) for c in ("sketch", "more")]
+    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *once)
+    classes = keep(classes.select("node", "doc_id", "n", "more", *sketches), "classes")
+    briefs = keep(classes.join(blocks.select("node"), "node", "left_semi"), "briefs")
+
+    # The smaller row that most of a row's blocks begin with.
+    below = blocks.filter("lo < node").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("k"))
+    first = below.groupBy("node").agg(F.max_by("lo", F.struct("k", "lo")).alias("a")).select("a", F.col("node").alias("b"))
     links = linked(docs, first, briefs, words, percent)
-    labels = keep(components(links), "labels")
+    known = roots(links)
 
     pairs = blocks.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(blocks.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct()
-    apart = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").filter("la != lb").select("a", "b")
-    more = linked(docs, apart.join(first, ["a", "b"], "left_anti"), briefs, words, percent)
-    links = links.union(more)
+    apart = _labelled(_labelled(pairs, known, "a", "la"), known, "b", "lb").filter("la != lb").select("a", "b")
+    links = links.union(linked(docs, apart, briefs, words, percent))
     labels = keep(components(links), "labels")
 
     inner = _labelled(blocks.filter("node != lo AND node != hi").select("h", "node").distinct(), labels, "node", "label")
@@ -325,7 +331,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         if not last.isEmpty():
             labels = keep(components(links.union(last)), "labels")
 
-    named = _labelled(classes, labels, "node", "label")
+    named = _labelled(classes.select("node", "doc_id"), labels, "node", "label")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(smallest, "label").select(F.col("node").alias("__node"), "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(of_node, F.col("node") == F.col("__node"), "left")
