@@ -31,6 +31,8 @@ FIT_ROWS = 20_000
 FIT_WORDS = 256
 #: A feature counts only if its log-likelihood gain over chance is at least this.
 MIN_GAIN = 12.0
+#: .. and if some domain has it this often more or less than all together (log ratio): common words tell little and would add up.
+MIN_RATIO = 1.5
 SMOOTH = 5.0
 ITERATIONS = 12
 
@@ -62,7 +64,7 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 class Classifier:
-    """domains, log priors, and the weight of each feature for each domain."""
+    """domains, log priors (of a document without any feature), and the weight of each feature for each domain."""
 
     def __init__(self, domains: list[str], prior: list[float], weights: dict[str, list[float]]):
         self.domains, self.prior, self.weights = domains, prior, weights
@@ -91,13 +93,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words:
     share = [(F.col(f"c{i}") + SMOOTH * overall) / (seen[d] + SMOOTH) for i, d in enumerate(domains)]
     gain = sum((seen[d] * (p * F.ln(p / overall) + (1 - p) * F.ln((1 - p + 1e-9) / (1 - overall + 1e-9))) for p, d in zip(share, domains, strict=True)), F.lit(0.0))
     scored = counts.filter(every > 0).select("f", *[p.alias(f"p{i}") for i, p in enumerate(share)], overall.alias("all"), gain.alias("gain"))
-    top = scored.filter((F.col("gain") >= MIN_GAIN) & (F.col("all") < 1)).orderBy(F.desc("gain"), "f").limit(fit_words).collect()
+    told = F.array_max(F.array(*[F.abs(F.ln(F.col(f"p{i}") / F.col("all"))) for i in range(len(domains))]))
+    top = scored.filter((F.col("gain") >= MIN_GAIN) & (F.col("all") < 1) & (told >= MIN_RATIO)).orderBy(F.desc("gain"), "f").limit(fit_words).collect()
     total = sum(size.values())
-    weights = {}
+    prior, weights = [math.log(size[d] / total) for d in domains], {}
     for r in top:
-        p = [r[f"p{i}"] for i in range(len(domains))]
-        weights[r["f"]] = [math.log(x / r["all"]) for x in p]
-    return Classifier(domains, [math.log(size[d] / total) for d in domains], weights)
+        p, every = [r[f"p{i}"] for i in range(len(domains))], r["all"]
+        absent = [math.log((1 - min(x, 1 - 1e-6)) / (1 - min(every, 1 - 1e-6))) for x in p]  # what its absence says is in the prior,
+        prior = [a + b for a, b in zip(prior, absent, strict=True)]
+        weights[r["f"]] = [math.log(x / every) - a for x, a in zip(p, absent, strict=True)]  # and taken back by its presence
+    return Classifier(domains, prior, weights)
 
 
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
