@@ -79,6 +79,22 @@ def test_jaccard_empty_and_repeated(spark):
     assert sorted((r.doc_id is None, r.n_shingles, r.component_id) for r in got) == [(False, 0, 5), (False, 3, 5), (False, 3, 5), (True, 3, 5)]
 
 
+def test_jaccard_counts_links_inside_components(spark):
+    """Near copies in one group, some of them linked through others only, and equal sets."""
+    base = [f"w{i}" for i in range(64)]
+    rows = awkward(4) + [(200 + i, " ".join([*base[:i], *(f"{k}x{i}" for k in range(3)), *base[i + 3 :]])) for i in range(0, 60, 3)] + [(300 + i, " ".join(base)) for i in range(3)]
+    sets = {i: brute.shingles(t) for i, t in rows}
+    links = {i: sum(100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items() if i != j and x and y) for i, x in sets.items()}
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.n_links for r in jaccard.join(docs).collect()}
+    assert got == links and max(links.values()) > 20
+    found = jaccard.incidence(docs).filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("doc_id").alias("weight")).withColumn("label", F.lit(1).cast("long"))
+    many = {r.doc_id: r.weight - 1 + r.n_linked for r in jaccard.link_counts(docs, found, shingles=2000).join(found, "node").collect()}
+    assert many == {i: links[i] for i in many} and len(many) > 50
+    again = jaccard.join(frame(spark, [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (5, None)])).collect()
+    assert sorted((r.n_shingles, r.doc_id is None, r.n_links) for r in again) == [(0, False, 0), (3, False, 1), (3, False, 1), (3, True, 2)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (200, 200)]
     got = {r.node: r.label for r in jaccard.components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -13,11 +13,15 @@ Inside a block, candidates are taken in three rounds, so that a group of near co
 A pair is discarded early if its sizes are too far apart or if the bound from parity sketches (|x Δ y| is at least
 the number of differing bits: 1024 of them, then for large sets as many as they have shingles) puts its overlap too
 low; the rest get their exact overlap.
-Together the rounds test every pair of rows that share a column and are not linked through others already.
+Together the rounds test every pair of rows that share a column and are not linked through others already, which
+gives the components. A link never leaves its component, so the links of each document are counted there: all pairs
+of a component's rows whose sizes allow a link are tested, by products of sub-blocks with each other, and only each
+row's sum leaves a product.
 
 Definitions at the edges: a null or empty text, or one without words, has no shingles and is its own component; a
 text of fewer than WORDS words is one shingle; a null id stays null in the result, names
-no component, and a set that only such rows have is linked with nothing; repeated rows are equal sets. Shingles and sets are compared by 64-bit hashes.
+no component, and a set that only such rows have is linked with nothing; repeated rows are equal sets. The links of
+a row are all other rows with an id, equal sets included, that are similar enough. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BLOCK_ROWS = 256
+#: Sub-blocks in which links are counted hold about so many shingles, a set counting as LEAST_SHINGLES at least; so about 1,000 rows at most.
+COUNT_SHINGLES = 512_000
+LEAST_SHINGLES = 512
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts whose whole sets are needed; beyond, the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 SKETCH_LONGS = 16
@@ -187,19 +194,20 @@ def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy
     return rows.mapInArrow(made, "doc_id long, n_shingles long, node long, prefix array<long>, sketch array<long>, more binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """node and all shingles (bytes) of the documents named by wanted (doc_id, node: one document for each set)."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS, more: tuple[str, ...] = ()) -> DataFrame:
+    """node, the longs named by more, and all shingles (bytes) of the documents named by wanted (doc_id, node: one document for each set)."""
     few = wanted.count() <= BROADCAST_IDS
-    ids = wanted.select(F.col("doc_id").alias("__id"), "node")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id")).select("node", "text")
+    ids = wanted.select(F.col("doc_id").alias("__id"), "node", *more)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id")).select("node", *more, "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            pairs = [(own, found.tobytes()) for own, found in zip(batch.column("node").to_pylist(), shingle_sets(texts, words), strict=True) if len(found) and node_of(found) == own]  # else another text under the same id
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())], ["node", "shingles"])
+            sets = [found.tobytes() if len(found) and node_of(found) == own else None for own, found in zip(batch.column("node").to_pylist(), shingle_sets(texts, words), strict=True)]  # null: another text under the same id
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", *more)], pa.array(sets, pa.binary())], ["node", *more, "shingles"])
+            yield out.filter(out.column("shingles").is_valid())
 
-    return texts.mapInArrow(made, "node long, shingles binary")
+    return texts.mapInArrow(made, ", ".join(f"{c} long" for c in ("node", *more)) + ", shingles binary")
 
 
 def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
@@ -299,8 +307,89 @@ def rest_pairs(blocks: DataFrame, briefs: DataFrame, block_rows: int = BLOCK_ROW
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each of docs (doc_id, text)."""
+def overlaps(sets: list[np.ndarray], split: int, often: int = 32, width: int = 1024) -> np.ndarray:
+    """Overlaps of each of sets[:split] with each of sets[split:], or of all with all where split is their number; a set's own does not count."""
+    whole = split == len(sets)
+    begin = 0 if whole else split
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    out = np.zeros((split, len(sets) - begin), dtype=np.int64)
+    dense = times[col] >= often
+    # Shingles of few sets: each entry with the next ones of its column.
+    r, c = row[~dense], col[~dense]
+    order = np.lexsort((r, c))
+    r, c = r[order], c[order]
+    for d in range(1, often):
+        alike = c[d:] == c[:-d]
+        if not alike.any():
+            break
+        x, y = r[:-d][alike], r[d:][alike]
+        across = (x < split) & (y >= begin)
+        np.add.at(out, (x[across], y[across] - begin), 1)
+    if whole:
+        out += out.T
+    # Shingles of many sets: dense products of width columns, exact in float32.
+    r, c = row[dense], (np.cumsum(times >= often) - 1)[col[dense]]
+    for at in range(0, int((times >= often).sum()), width):
+        some = (c >= at) & (c < at + width)
+        part = np.zeros((len(sets), width), dtype=np.float32)
+        part[r[some], c[some] - at] = 1
+        out += (part[:split] @ part[begin:].T).astype(np.int64)
+    if whole:
+        np.fill_diagonal(out, 0)
+    return out
+
+
+def sums_of_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]], percent: int) -> np.ndarray:
+    """For each set of left, then right (rows and shingles), the rows in linked sets of the other side; or of left itself if right is empty."""
+    both = left + right
+    weight, n = np.array([w for w, _ in both]), np.array([len(s) for _, s in both])
+    split, begin = len(left), len(left) if right else 0
+    ok = ((100 + percent) * overlaps([s for _, s in both], split) >= percent * (n[:split, None] + n[None, begin:])).astype(np.float64)
+    return np.concatenate((ok @ weight[begin:], weight[:split] @ ok if right else [])).astype(np.int64)
+
+
+def link_counts(docs: DataFrame, members: DataFrame, words: int = WORDS, percent: int = PERCENT, shingles: int = COUNT_SHINGLES) -> DataFrame:
+    """node, n_linked: rows in the sets linked with that of node. members: node, doc_id, n, weight (rows) and label (component) of each set.
+
+    Sub-blocks are parts of a component of like size, dealt by hash; each product of two is a group of rows of its own.
+    """
+    scale = F.floor(F.log2("n") * 3).cast("long")
+    scaled = keep(members.select("node", "doc_id", "label", "n", "weight", scale.alias("scale")), "members")
+    parts = scaled.groupBy("label", "scale").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))) / shingles).alias("parts"))
+    block = F.col("scale") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = keep(scaled.join(parts, ["label", "scale"]).select("node", "doc_id", "label", "n", "weight", block.alias("own")), "placed")
+    span = placed.groupBy("label", F.col("own").alias("i")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = span.select(F.col("label").alias("__l"), F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meets = span.join(other, (F.col("label") == F.col("__l")) & (F.col("j") >= F.col("i")) & (F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
+    sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
+    roles = keep(meets.select(F.col("label").alias("__l"), "i", "j", F.explode(sides).alias("__own")), "roles")
+    sets = whole_sets(docs, placed, words, ("label", "own", "weight"))
+    rows = sets.join(roles, (F.col("label") == F.col("__l")) & (F.col("own") == F.col("__own"))).select("label", "i", "j", (F.col("own") != F.col("i")).alias("second"), "node", "weight", "shingles")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, ({}, {})  # by node, as rows may be repeated
+
+        def sums() -> pa.RecordBatch:
+            left, right = (list(side.values()) for side in group)
+            found = sums_of_links(left, right, percent) if len(left) + len(right) > 1 else np.zeros(len(left) + len(right), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([*group[0], *group[1]], pa.int64()), pa.array(found, pa.int64())], ["node", "n"])
+
+        for batch in batches:
+            for *key, second, node, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j", "second", "node", "weight", "shingles")), strict=True):
+                if key != at:
+                    yield sums()
+                    at, group = key, ({}, {})
+                group[second][node] = (weight, np.frombuffer(raw, np.uint64))
+        yield sums()
+
+    key = ("label", "i", "j")
+    partial = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(counted, "node long, n long")
+    return keep(partial.groupBy("node").agg(F.sum("n").alias("n_linked")), "counts")
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if count, n_links of each of docs (doc_id, text)."""
     rows = keep(incidence(docs, words, percent, heavy_shingles(docs, words, percent)), "incidence")
     columns = rows.filter(F.col("prefix").isNotNull()).select("node", F.explode("prefix").alias("h"))
     by = Window.partitionBy("h")
@@ -308,9 +397,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     blocks = keep(blocks, "blocks")
     sketches = [F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(SKETCH)]
     once = [F.first(c, ignorenulls=True).alias(c) for c in ("sketch", "more")]
-    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), *once)
-    classes = keep(classes.select("node", "doc_id", "n", "more", *sketches), "classes")
-    briefs = keep(classes.join(blocks.select("node"), "node", "left_semi"), "briefs")
+    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("doc_id").alias("weight"), *once)
+    classes = keep(classes.select("node", "doc_id", "n", "weight", "more", *sketches), "classes")
+    briefs = keep(classes.drop("weight").join(blocks.select("node"), "node", "left_semi"), "briefs")
 
     # The smaller row that most of a row's blocks begin with.
     below = blocks.filter("lo < node").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("k"))
@@ -331,8 +420,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         if not last.isEmpty():
             labels = keep(components(links.union(last)), "labels")
 
-    named = _labelled(classes.select("node", "doc_id"), labels, "node", "label")
+    named = _labelled(classes.select("node", "doc_id", "weight"), labels, "node", "label")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = named.join(smallest, "label").select(F.col("node").alias("__node"), "component_id")
+    of_node = named.join(smallest, "label").select(F.col("node").alias("__node"), "component_id", "weight")
     out = rows.select("doc_id", "n_shingles", "node").join(of_node, F.col("node") == F.col("__node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    shown = ["doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")]
+    if not count:
+        return out.select(*shown)
+    members = classes.select("node", "doc_id", "n", "weight").join(labels, "node")
+    linked_with = link_counts(docs, members, words, percent).withColumnRenamed("node", "__linked")
+    own = F.coalesce("weight", F.lit(0)) - F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), 1).otherwise(0)
+    return out.join(linked_with, F.col("node") == F.col("__linked"), "left").select(*shown, (own + F.coalesce("n_linked", F.lit(0))).alias("n_links"))

@@ -35,6 +35,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of its SQL; op4_link_counts has the links too."""
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"), count=False)
+
+
+def op4_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -88,7 +93,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data)
+    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op4_link_counts, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
