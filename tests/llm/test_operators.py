@@ -256,6 +256,23 @@ def test_notices_are_found_with_errors_and_not_beyond():
     assert scanner.spans("all of these words are reserved for others, and permission was granted") == []
 
 
+def test_adjacent_notices_are_all_found():
+    scanner = licenses.Scanner()
+    assert [(a, b) for a, b, _, _ in scanner.spans("all rights resrved. all rights reserved. all rights reservd")] == [(0, 18), (20, 39), (41, 59)]
+    rng = random.Random(12)
+    for label, text, errors in licenses.NOTICES:
+        for _ in range(20):
+            low, want = "", []
+            for _ in range(rng.randint(2, 6)):
+                changed = list(text)
+                for at in sorted(rng.sample(range(6, len(text) - 6), rng.randint(0, min(errors, 2))), reverse=True):
+                    changed[at : at + 1] = rng.choice([["#"], [changed[at], "#"]])
+                low += " " + "\n" * rng.randint(0, 3)
+                want.append((len(low), len(low) + len(changed)))
+                low += "".join(changed)
+            assert [(a, b) for a, b, found, _ in scanner.spans(low) if found == label] == want, low
+
+
 def test_urls(spark):
     rules = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
     bad = [(i, f"http://shop.com/pills/{i}", True) for i in range(60)]

@@ -2,7 +2,8 @@
 
 A notice of k allowed errors is split into k + 1 pieces: whatever k edits do, one piece stays as it is. All pieces
 of all notices go into one Aho-Corasick automaton; a text in which a piece is found is a candidate around that
-place only, and there the regex library's bounded-error matching verifies the notice and reports its span.
+place only, and there the regex library's bounded-error matching verifies the notice and reports its span: the best
+one of a stretch first, then those left and right of it.
 Work and memory are per text: no row depends on another.
 
 Definitions at the edges: a null text is empty; a text without words has no places; one span is reported for each
@@ -96,8 +97,12 @@ class Scanner:
         for n, stretch in near.items():
             label, text, _ = self.notices[n]
             for a, b in stretch:
-                for m in self.fuzzy[n].finditer(low, a, b):
-                    found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(text)))
+                todo = [(a, b)]
+                while todo:
+                    a, b = todo.pop()
+                    if m := self.fuzzy[n].search(low, a, b):
+                        found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(text)))
+                        todo += [(a, m.start()), (m.end(), b)]
         return sorted(found)
 
 
