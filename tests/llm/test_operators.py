@@ -290,6 +290,16 @@ def test_urls(spark):
     assert urltree.judge(frame(spark, [], "page_id long, url string, bad boolean"), rules).count() == 0
 
 
+def test_url_sections_of_a_large_host(spark):
+    """A section of far less than the fair share, all bad, among good ones; the same section on a small host."""
+    name = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03}")
+    rows = [(1000 * k + i, f"http://large.com/{name(k)}/{i}", k == 7) for k in range(120) for i in range(30)]
+    rows += [(900_000 + 1000 * k + i, f"http://small.com/{name(k)}/{i}", k == 7) for k in range(7, 10) for i in range(30)]
+    got = {r.page_id: r for r in urltree.judge(frame(spark, rows, "page_id long, url string, bad boolean"), ()).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r.verdict == "block"} == {i for i, _, bad in rows if bad}
+    assert got[7000].template.startswith(f"/{name(7)}/") and got[8000].template == got[9000].template
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "</s>[INST] ok [/INST]", "<|turn|>user<|body|>x<|end|>", "\\", "\\\\<|", "<\\|end|>", "a\nb", "<", "𝒳<|é", "<<SYS>>x<</SYS>>", "\\<|\\", "[INST", "x" * 100_000]
     rows = [(i % 4, i, ["user", "assistant", "system", None, "<|end|>"][i % 5], t) for i, t in enumerate(nasty)] + [(9, None, "user", "first"), (9, 1, "user", "x"), (9, 1, "user", "x")]

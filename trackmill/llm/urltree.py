@@ -1,9 +1,9 @@
 """URL filter: host and path rules first, else the labelled purity of the URL's path template.
 
 The template tree is grown level by level, for all hosts at once. At each node a path segment stays literal if it
-holds a fair share of the node's URLs; all other segments become a wildcard of their shape ({num}, {num}.html,
-{word}, ..). Literal siblings whose labelled purity does not differ significantly, and whose subtrees are as
-deep, merge into one branch. A leaf is a template; it is rejected if the share of bad URLs among its labelled
+holds a fair share of the node's URLs, or, whatever its share, if its labelled purity differs significantly from
+the node's; all other segments become a wildcard of their shape ({num}, {num}.html, {word}, ..). Literal siblings of
+a fair share whose labelled purity does not differ significantly, and whose subtrees are as deep, merge into one branch. A leaf is a template; it is rejected if the share of bad URLs among its labelled
 ones, smoothed towards the share in all labelled ones, reaches a threshold.
 
 Definitions at the edges: a null url, or one without `://`, has empty host and path and the empty template; a
@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from .common import keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A segment stays literal with this many URLs and this share of its node's; so a node has 1 / share literal children at most.
+#: A segment stays literal with this many URLs and this share of its node's, or this many standard errors from its node's purity.
 MIN_URLS = 20
 MIN_SHARE = 0.02
+SPLIT_Z = 2.0
 #: Siblings merge below this difference of purities in standard errors, and this difference in mean depth.
 SIMILAR_Z = 1.0
 SIMILAR_DEPTH = 0.5
@@ -60,7 +61,7 @@ def _shape(segment: Column) -> Column:
     return F.concat(kind, end)
 
 
-def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, similar_z: float = SIMILAR_Z) -> DataFrame:
+def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, similar_z: float = SIMILAR_Z, split_z: float = SPLIT_Z) -> DataFrame:
     """pages (page_id, url, bad: true, false or null where unlabelled) with host, path and template."""
     seen = F.filter(F.split(F.col("path"), "/", -1), lambda s: s != "")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("boolean").alias("bad")).withColumn("__segs", seen).withColumn("template", F.lit(""))
@@ -71,17 +72,19 @@ def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_urls: int = MIN_
         child = at.filter(F.col("__seg").isNotNull()).groupBy("host", "template", "__seg").agg(
             F.count(F.lit(1)).alias("n"), labelled.alias("n_lab"), bad.alias("n_bad"), F.avg(F.size("__segs")).alias("deep"))
         node = child.groupBy("host", "template").agg(F.sum("n").alias("n_node"), F.sum("n_lab").alias("node_lab"), F.sum("n_bad").alias("node_bad"))
-        literal = child.filter(F.col("n") >= min_urls).join(node, ["host", "template"]).filter(F.col("n") >= F.col("n_node") * min_share)
+        literal = child.filter(F.col("n") >= min_urls).join(node, ["host", "template"])
         rate = F.coalesce(F.try_divide(F.col("node_bad"), F.col("node_lab")), F.lit(0.0))
         purity = (F.col("n_bad") + rate) / (F.col("n_lab") + 1)
         scored = literal.withColumns({"p": purity, "var": (rate * (1 - rate) + 1e-6) / (F.col("n_lab") + 1)})
-        order = Window.partitionBy("host", "template").orderBy("p", "__seg")  # a node has 1 / min_share rows at most
+        fair = F.col("n") >= F.col("n_node") * min_share
+        apart = scored.filter(~fair & (F.abs(F.col("p") - rate) >= split_z * F.sqrt("var"))).select("host", "template", "__seg", F.col("__seg").alias("__name"))
+        order = Window.partitionBy("host", "template").orderBy("p", "__seg")  # a node has 1 / min_share fair rows at most
         alike = ((F.col("p") - F.lag("p").over(order)) <= similar_z * F.sqrt(F.col("var") + F.lag("var").over(order))) & (F.abs(F.col("deep") - F.lag("deep").over(order)) <= SIMILAR_DEPTH)
-        grouped = scored.withColumn("__new", F.when(alike, 0).otherwise(1)).withColumn("__grp", F.sum("__new").over(order))
+        grouped = scored.filter(fair).withColumn("__new", F.when(alike, 0).otherwise(1)).withColumn("__grp", F.sum("__new").over(order))
         whole = Window.partitionBy("host", "template", "__grp")
         names = F.array_sort(F.collect_list("__seg").over(whole))
         name = F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("__seg"))
-        known = keep(grouped.select("host", "template", "__seg", name.alias("__name")), "branches")
+        known = keep(grouped.select("host", "template", "__seg", name.alias("__name")).union(apart), "branches")
         joined = at.join(known, ["host", "template", "__seg"], "left")
         step = F.when(F.col("__seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("__name", _shape(F.col("__seg")))))
         rows = keep(joined.withColumn("template", F.concat("template", step)).drop("__seg", "__name"), "rows")
