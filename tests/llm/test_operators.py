@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -129,6 +132,15 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.match(frame(spark, []), benchmark).count() == 0
 
 
+def test_packed_automaton_is_small():
+    """Ten blocks of a benchmark: each one takes little once packed, and what is broadcast is one block."""
+    rng = random.Random(3)
+    items = [(str(i), [f"w{rng.randrange(5000)}".encode() for _ in range(100)]) for i in range(200)]
+    for k in range(0, 200, 20):
+        some = items[k : k + 20]
+        assert len(pickle.dumps(decontam.Automaton(some))) < 100 * sum(len(w) for _, w in some)
+
+
 def test_decontamination_blocks_agree(spark):
     items = [(str(i), f"a{i} b{i % 3} c{i % 2} d e f g h i j k".encode().split()) for i in range(9)]
     whole = decontam.Automaton(items)
@@ -172,6 +184,24 @@ def test_shards_are_whole_near_equal_and_gapless(spark):
     assert sum(len(v) > 1 for v in where.values()) <= 1  # only the text that fills several shards is split
 
 
+def test_shards_keep_texts_whole_where_they_fit(spark):
+    rng = random.Random(8)
+    rows = [(i, f"own {i} " + "x" * rng.randint(0, 80)) for i in range(4000)]
+    rows += [(10_000 + 1000 * g + i, f"group {g} " * 6) for g in range(12) for i in range(rng.randint(60, 330))]  # up to about half a shard
+    rows += [(90_000 + i, "larger than a shard " * 9) for i in range(900)]
+    rows += [(77, "one row, very often " * 3)] * 700  # equal ids and texts
+    got = shards.shard(frame(spark, rows).withColumn("__own", F.lit(1)).drop("__own"), 12, cell_rows=50).collect()
+    size, slots, where = defaultdict(int), defaultdict(list), defaultdict(set)
+    for r in got:
+        size[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+        where[r.text].add(r.shard)
+    mean = sum(size.values()) / 12
+    assert len(got) == len(rows) and sorted(size) == list(range(12)) and all(abs(v - mean) < 0.05 * mean for v in size.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert {t[:10] for t, s in where.items() if len(s) > 1} <= {"larger tha", "one row, v"}
+
+
 def test_shards_of_little(spark):
     assert shards.shard(frame(spark, []), 4).count() == 0
     one = shards.shard(frame(spark, [(1, "a")]), 4).collect()
@@ -197,6 +227,32 @@ def test_language_id(spark):
     assert thin == {i: (r.lang_pred, r.score) for i, r in got.items()}
 
 
+def test_language_id_equals_plain_sets(spark):
+    """The same n-grams in plain sets, without hashing: same languages, and scores as near as false positives allow; ties and repeated rows too."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice(LANGS[k]) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate(list(LANGS) * 40)]
+    ask = [*rows, *rows[:9], (900, "lorem straße città", None), (901, "lorem lorem straße straße", None), (902, "zq", None), (903, "Ipsum, DOLOR. más", None)]
+
+    def plain(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return [f" {w} "[i : i + n] for n in langid.ORDERS for w in words for i in range(len(w) + 3 - n)]
+
+    counts = {k: defaultdict(int) for k in LANGS}
+    for _, t, k in rows:
+        for g in plain(t):
+            counts[k][g] += 1
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    top = {g: max(c.get(g, 0) / total[k] for k, c in counts.items()) for c in counts.values() for g in c}
+    member = {k: {g for g, n in c.items() if n >= langid.MIN_COUNT and n / total[k] >= langid.MIN_SHARE * top[g]} for k, c in counts.items()}
+    filters = langid.fit(frame(spark, rows, "doc_id long, text string, lang string"), F.lit(True))
+    for r in langid.identify(frame(spark, ask, "doc_id long, text string, lang string"), filters).collect():
+        found = plain(r.text)
+        share = {k: sum(g in member[k] for g in found) / len(found) for k in LANGS}
+        assert abs(r.score - max(share.values())) < 0.02 and share[r.lang_pred] > max(share.values()) - 0.02, r
+    unknown = langid.identify(frame(spark, [(1, " ".join("qzxkwv"[i % 5 :] + "yj" * (i % 3) for i in range(60)), None)], "doc_id long, text string, lang string"), filters).first()
+    assert not unknown.lang_known
+
+
 def test_language_id_learns_from_its_rows_only(spark):
     rows = [(i, "lorem ipsum dolor" if i % 2 else "straße über schön", "aa" if i % 2 else "bb") for i in range(200)]
     wrong = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else k) for i, t, k in rows]
@@ -234,6 +290,16 @@ def test_personal_data_validators_and_context(spark):
     assert got[5].spans[0].score > got[6].spans[0].score
 
 
+def test_secrets_need_variety_and_context(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{key}"'), (2, f"see commit {key} of it"), (3, f"plain {key} text"), (4, "password: aaaaaaaaaaaaaaaaaaaaaaaaa1"), (5, f"API_KEY={key}=="), (6, "secret abcdefghijklmnopqrstuvwxyz"), (7, f"TOKEN '{key.upper()}'"), (8, f"the key of commit {key}"),
+            (9, "part GB82 WEST 1234 5698 7654 32 in stock"), (10, "GB82WEST12345698765432"), (11, None)] * 2
+    got = pii.find(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: [(s.kind, s.end - s.begin) for s in r.spans] for r in got if r.spans} == {1: [("secret", 40)], 5: [("secret", 42)], 7: [("secret", 40)], 10: [("iban", 22)]}
+    assert all(0 <= s.score <= 1 and s.score >= pii.MIN_SCORE for r in got for s in r.spans)
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(8)
     pieces = ["under the MIT License", "under\nthe-mit license", "apache license, version 2.0", "Apache License Version 2", "CC BY-NC", "cc.by.nc", "ccc by nc", "under the mit licensé", "word", "é", "12", "cc by", "nc", "_", "under the mit"]
@@ -273,6 +339,43 @@ def test_adjacent_notices_are_all_found():
             assert [(a, b) for a, b, found, _ in scanner.spans(low) if found == label] == want, low
 
 
+def edits(notice, low):
+    """Fewest edits between notice and a stretch of low that ends at each place."""
+    row = [0] * (len(low) + 1)
+    for i, x in enumerate(notice, 1):
+        new = [i]
+        for j, y in enumerate(low, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row
+
+
+def test_notices_equal_edit_distances(spark):
+    """A notice is reported exactly where the edit distance allows one: in texts with edited, cut, neighbouring and repeated notices."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        low = ""
+        for _ in range(rng.randint(0, 4)):
+            _, text, errors = rng.choice(licenses.NOTICES)
+            changed = list(text)
+            for _ in range(rng.choice([0, 1, errors, errors + 1, errors + 3])):
+                at = rng.randrange(len(changed))
+                changed[at : at + 1] = rng.choice([[], ["#"], [changed[at], "q"]])
+            low += rng.choice(["", " ", "\n\n", " word "]) + "".join(changed)
+        texts.append(low)
+    rows = [(i, t.upper() if i % 2 else t) for i, t in enumerate(texts)] * 2
+    for r in licenses.scan(frame(spark, rows)).collect():
+        low = texts[r.doc_id]
+        for label in {n[0] for n in licenses.NOTICES}:
+            own = [(edits(text, low), errors) for name, text, errors in licenses.NOTICES if name == label]
+            ends = {j for row, errors in own for j, d in enumerate(row) if d <= errors}
+            spans = [(x.begin, x.end) for x in r.spans if x.label == label]
+            assert bool(spans) == bool(ends) and all(b in ends for _, b in spans), (label, low)
+            slack = 2 * max(e for _, e in own)
+            assert all(any(a - slack <= j <= b + slack for a, b in spans) for j in ends), (label, low)
+
+
 def test_urls(spark):
     rules = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
     bad = [(i, f"http://shop.com/pills/{i}", True) for i in range(60)]
@@ -286,7 +389,7 @@ def test_urls(spark):
     assert got[0].template == got[300].template and got[0].template != got[100].template
     assert [(got[i].host, got[i].path, got[i].rule) for i in (302, 303, 304, 305, 306, 307, 308, 309)] == [
         ("", "", None), ("", "", None), ("a.example.net", "/en/1", "example.net/en/"), ("a.example.net", "/EN/1", "net/"), ("x.net", "", None), ("notexample.com", "/de/", None), ("m.example.com", "/de/9", "example.com/de/"), ("h", "/p", None)]
-    assert got[310].rule == "org/fr/" and got[310].template.endswith("**")
+    assert got[310].rule == "org/fr/" and got[310].template == "/{word}" * 41  # fr and 40 more
     assert urltree.judge(frame(spark, [], "page_id long, url string, bad boolean"), rules).count() == 0
 
 
@@ -300,6 +403,94 @@ def test_url_sections_of_a_large_host(spark):
     assert got[7000].template.startswith(f"/{name(7)}/") and got[8000].template == got[9000].template
 
 
+def plain_templates(rows, min_urls=urltree.MIN_URLS, min_share=urltree.MIN_SHARE, similar=urltree.SIMILAR_Z, apart=urltree.SPLIT_Z):
+    """The tree grown node by node: page -> (host, template)."""
+    def shape(s):
+        m = re.search(r"\.[A-Za-z0-9]{1,5}$", s)
+        stem, end = (s[: m.start()], m.group()) if m else (s, "")
+        kinds = ((r"[0-9]+", "{num}"), (r"[0-9A-Fa-f-]{16,}", "{hex}"), (r"[A-Za-z]+", "{word}"), (r".*[0-9].*", "{mixed}"))
+        return next((k for p, k in kinds if re.fullmatch(p, stem)), "{text}") + end
+
+    out, todo = {}, defaultdict(list)
+    for i, url, bad in rows:
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", url or "", re.S)
+        todo[m.group(1).lower() if m else "", ""].append((i, [s for s in (m.group(2) if m else "").split("/") if s], bad))
+    while todo:
+        (host, name), node = todo.popitem()
+        deeper = []
+        for i, segs, bad in node:
+            if segs:
+                deeper.append((i, segs, bad))
+            else:
+                out[i] = (host, name)
+        by = defaultdict(list)
+        for x in deeper:
+            by[x[1][0]].append(x)
+        labels = [b for _, _, b in deeper if b is not None]
+        rate = sum(labels) / len(labels) if labels else 0.0
+        known, fair = {}, []
+        for seg, xs in by.items():
+            lab = [b for _, _, b in xs if b is not None]
+            p, var = (sum(lab) + rate) / (len(lab) + 1), (rate * (1 - rate) + 1e-6) / (len(lab) + 1)
+            if len(xs) >= min_urls and len(xs) >= len(deeper) * min_share:
+                fair.append((p, seg, var, sum(len(x[1]) for x in xs) / len(xs)))
+            elif len(xs) >= min_urls and abs(p - rate) >= apart * var**0.5:
+                known[seg] = seg
+        groups = []
+        for x in sorted(fair):
+            last = groups[-1][-1] if groups else None
+            if last and x[0] - last[0] <= similar * (x[2] + last[2]) ** 0.5 and abs(x[3] - last[3]) <= urltree.SIMILAR_DEPTH:
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        for g in groups:
+            names = sorted(x[1] for x in g)
+            known |= dict.fromkeys(names, "{" + "|".join(names) + "}" if len(names) > 1 else names[0])
+        for i, segs, bad in deeper:
+            todo[host, f"{name}/{known.get(segs[0]) or shape(segs[0])}"].append((i, segs[1:], bad))
+    return out
+
+
+def test_url_tree_equals_plain_tree(spark):
+    """Merged branches, split sections, shapes, repeated rows, very long urls, columns of clashing names, no labels."""
+    rng = random.Random(14)
+    rows = [(i, f"http://{rng.choice(['a.com', 'A.com', 'b.org'])}/{rng.choice(['news', 'blog', 'shop', 'x1', 'pills'])}/{rng.choice(['2020', 'item', 'a-b', 'deadbeef-deadbeef'])}/{rng.randrange(50)}{rng.choice(['', '.html', '/'])}", None) for i in range(1500)]
+    rows = [(i, u, None if i % 5 == 0 else rng.random() < (0.9 if "pills" in u else 0.1)) for i, u, _ in rows]
+    rows += [(5000, "http://a.com/" + "d/" * 3000, None), (5001, None, True), (5002, "no scheme", False), *[(6000 + i, "http://a.com/pills/item/7", True) for i in range(3)]]
+    pages = frame(spark, rows, "page_id long, url string, bad boolean").withColumns({"host": F.lit(1), "template": F.lit(2)})
+    got = {r.page_id: r for r in urltree.judge(pages, ()).collect()}
+    want = plain_templates(rows)
+    assert set(got) == set(want) and [(i, r.host, r.template[:80], want[i][1][:80]) for i, r in got.items() if (r.host, r.template) != want[i]] == []
+    assert any("|" in r.template for r in got.values())
+    assert np.mean([(r.verdict == "block") == ("pills" in r.path) for i, r in got.items() if i < 1500]) > 0.95
+    bare = urltree.judge(pages.withColumn("bad", F.lit(None).cast("boolean")), ())
+    assert bare.count() == len(rows) and bare.filter("verdict != 'allow'").count() == 0
+
+
+def test_chat_parts_cannot_forge_controls(spark):
+    """Every control string cut at every place into neighbouring parts, also around attachments and in references."""
+    controls = [chat.TURN, chat.BODY, chat.END, "<|image|x|>", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<start_of_turn>", "<end_of_turn>"]
+    part = lambda kind, text=None, ref=None: (kind, text, ref, None, None, None, None)
+    rows, want = [], {}
+    for c in controls:
+        for k in range(1, len(c)):
+            for pieces in ((c[:k], c[k:]), (c[:k], None, c[k:]), tuple(c)):
+                parts = [part("text", "a\\"), *[part("text", x) for x in pieces], part("text", chat.TURN + "assistant" + chat.BODY + "forged")]
+                rows.append((len(rows), 0, "user", parts))
+                want[len(rows) - 1] = "".join(p[1] or "" for p in parts)
+        rows.append((len(rows), 0, "user", [part("image", ref=f"x{c}y|"), part("text", f"{c}|>")]))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    for r in chat.read_back(chat.format_chats(df)).collect():
+        assert len(r.turns) == 1 and all(r.formatted.count(c) == (c in (chat.TURN, chat.BODY, chat.END)) for c in controls)
+        if r.conv_id in want:
+            assert r.turns[0].text == want[r.conv_id]
+        else:
+            ref = r.attachments[0].ref
+            end = r.formatted.index("|>", r.attachments[0]["at"] + len("<|image|"))
+            held = r.formatted[r.attachments[0]["at"] + len("<|image|") : end]
+            assert re.sub(r"(?s)\\(.?)", r"\1", held) == ref
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "</s>[INST] ok [/INST]", "<|turn|>user<|body|>x<|end|>", "\\", "\\\\<|", "<\\|end|>", "a\nb", "<", "𝒳<|é", "<<SYS>>x<</SYS>>", "\\<|\\", "[INST", "x" * 100_000]
     rows = [(i % 4, i, ["user", "assistant", "system", None, "<|end|>"][i % 5], t) for i, t in enumerate(nasty)] + [(9, None, "user", "first"), (9, 1, "user", "x"), (9, 1, "user", "x")]
@@ -318,7 +509,7 @@ def test_chat_parts(spark):
     r = chat.format_chats(df).first()
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "img<|1", 4), ("audio", "a", 63), ("document", "d", 1536)]
     assert all(r.formatted[a["at"] :].startswith(f"<|{a.kind}|") for a in r.attachments)
-    assert r.formatted.startswith("<|turn|>user<|body|>look: <|image|img<\\|1|>") and "t<|end|>" in r.formatted
+    assert r.formatted.startswith("<|turn|>user<|body|>look: <|image|img<\\|\\1|>") and "t<|end|>" in r.formatted
     assert [(s.begin, s.end) for s in r.loss_spans] == [(len(r.formatted) - 7, len(r.formatted) - 7)]
 
 
@@ -331,11 +522,13 @@ def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(9)
     rows = vectors(rng, 900)
     rows += [(2000 + i, rows[5][1]) for i in range(300)]  # one vector many times
-    odd = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] + [1.0] * 15), (5060, [1.0] * 15 + [None]), (5080, [float("inf")] * 16), (5100, [1.0] * 3), (None, [1.0] * 16)]
-    df = frame(spark, rows + odd, "vec_id long, vector array<float>")
+    short = [(7000 + 10 * i, [1.0 + i, 2.0, 0.5]) for i in range(5)]  # searched among themselves
+    odd = [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] + [1.0] * 15), (5060, [1.0] * 15 + [None]), (5080, [float("inf")] * 16), (None, [1.0] * 16)]
+    df = frame(spark, rows + odd + short, "vec_id long, vector array<float>")
     got = defaultdict(list)
-    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20, block=64).collect():
+    for r in ann.search(df.withColumn("list", F.lit("x")), F.col("vec_id") % 20 == 0, 20, block=16, part_blocks=2).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert {q: [f[:2] for f in sorted(got.pop(q))] for q in (7000, 7020, 7040)} == {7000: [(1, 7040), (2, 7030), (3, 7020), (4, 7010)], 7020: [(1, 7040), (2, 7030), (3, 7010), (4, 7000)], 7040: [(1, 7030), (2, 7020), (3, 7010), (4, 7000)]}
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
     assert sorted(got) == [i for i in ids.tolist() if i % 20 == 0]
     recall = []
@@ -402,6 +595,113 @@ def test_mixing_copies_and_edges(spark):
     assert mixing.weigh(docs.limit(0), labels, {})[0].count() == 0
 
 
+def test_mixing_long_texts_ties_and_rich_vocabularies(spark):
+    """Very many different words, a very long text, rows alike, and an id labelled very often."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) + (" vile vile" if i % 3 == 0 else " kind")) for i in range(600)] + [(5000, LONG), (5001, LONG), (7, "vile")]
+    labels = [(i, "toxic" if i % 3 == 0 else "good") for i in range(600)] + [(3, "toxic")] * 500
+    got, model = mixing.weigh(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, domain string"), {"good": 1.0, "toxic": 0.5})
+    got = got.collect()
+    assert len(got) == 603 and {mixing.BUCKETS > b >= 0 for b in model.weights} == {True}
+    assert all((r.posterior[1] > 0.5) == (r.doc_id % 3 == 0) for r in got if r.doc_id < 600 and r.n_tokens > 5)
+    long = [r for r in got if r.doc_id >= 5000]
+    assert long[0].posterior == long[1].posterior and long[0].rate == long[1].rate
+
+
+def run_duck(name, sf_dir):
+    import duckdb
+
+    from trackmill.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    return [dict(zip(names, r, strict=True)) for r in cur.fetchall()]
+
+
+def test_queries_keep_their_contracts(spark):
+    """Every opN_ query on the smallest tables, against plain versions of the columns that its contract fixes."""
+    from trackmill.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").collect()
+    texts = {r.doc_id: r.text for r in read("documents")}
+    run = {name: [r.asDict() for r in f(spark, sf_dir).collect()] for name, f in queries.queries().items() if name.startswith("op")}
+    for name in queries.oracle_sql():
+        fixed = run_duck(name, sf_dir)
+        key = lambda r: str(sorted(r.items()))
+        assert sorted([{c: r[c] for c in fixed[0]} for r in run[name]], key=key) == sorted(fixed, key=key), name
+    for r in run["op1_language_id"]:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (not any(c.isalpha() for c in texts[r["doc_id"]] or ""))
+    assert len(run["op1_language_id"]) == len(texts)
+    by = defaultdict(list)
+    for r in run["op2_sharding"]:
+        assert (r["law"], r["grown_shard"], r["text_crc32"], r["size"]) == ("bytes", None, brute.crc(texts[r["doc_id"]]), 8 + len((texts[r["doc_id"]] or "").encode()))
+        by[r["shard"]].append(r["slot"])
+    assert set(by) <= set(range(24)) and all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == len(texts)
+    for r in run["op3_mixing"]:
+        assert r["rate"] >= 0 and abs(sum(v for k, v in r.items() if k.startswith("p_")) - 1) < 1e-9
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in read("embeddings") if r.embedding is not None}
+    hits = []
+    for q in {r["query_id"] for r in run["op5_nearest_neighbours"]}:
+        found = sorted((r["rank"], r["vec_id"], r["score"]) for r in run["op5_nearest_neighbours"] if r["query_id"] == q)
+        score = {i: float(v @ vectors[q]) for i, v in vectors.items() if i != q and np.isfinite(v).all() and v.any()}
+        assert q % 20 == 0 and [f[0] for f in found] == list(range(1, min(20, len(score)) + 1)) and all(abs(score[i] - s) < 1e-9 for _, i, s in found)
+        hits.append(len({f[1] for f in found} & set(sorted(score, key=lambda i: (-score[i], i))[:20])) / len(found))
+    assert np.mean(hits) >= 0.9
+    for r in run["op8_license_scan"]:
+        n, base = brute.phrases(texts[r["doc_id"]])
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    urls = {r.page_id: r.url for r in read("pages")}
+    for r in run["op9_url_filter"]:
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", urls[r["page_id"]] or "", re.S)
+        host, path = (brute.low(m.group(1)), m.group(2)) if m else ("", "")
+        fits = [(len(rule), rule, verdict) for verdict, rule in queries.RULES for h, p in [rule.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None) and (not fits or r["verdict"] == max(fits)[2])
+    for r in run["op10_personal_data"]:
+        base = brute.pii(texts[r["doc_id"]])
+        assert r["base_sha256"] == brute.sha(",".join(base)) and [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(b.startswith(k + ":") for b in base) for k in ("email", "ip", "card", "phone")]
+        assert set(base) <= set(r["spans"].split(","))
+
+
+def stage_input(spark, rows):
+    return frame(spark, [(i, t, "en", "web", len(t or ""), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __Row string")
+
+
+def test_pipeline_near_duplicates_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:59], "z"]), " ".join(f"o{i}" for i in range(20))
+    rows = [(1, text), (1, text), (2, text), (2, other), (3, near), (None, text), (None, other + " more"), (None, None), (5, None), (5, None), (6, ""), (7, "  "), (None, "alone but short"), (8, "alone but short"), (8, "alone but short")]
+    got = sorted(((r.doc_id is None, r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, stage_input(spark, rows), "").collect()), key=str)
+    want = sorted([(False, 1, text), (False, 2, other), (True, None, None), (False, 5, None), (False, 5, None), (False, 6, ""), (False, 7, "  "), (False, 8, "alone but short")], key=str)
+    assert got == want
+    empty = corpus_pipeline.near_duplicates(spark, stage_input(spark, rows[:0]), "")
+    assert empty.count() == 0 and empty.columns == stage_input(spark, []).columns
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Nulls, empty texts, repeated and null ids, extra columns of clashing names and empty tables go through each stage."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = [*awkward(), (None, None), (None, "no id here at all"), (20, "same id, other words"), (3, "one two")]
+    docs = stage_input(spark, rows)
+    count = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.select("doc_id", "text").collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0, name
+        kept = count(out)
+        if name == "shard":
+            assert kept == count(docs) and set(docs.columns) <= set(out.columns)
+        else:
+            assert out.columns == docs.columns and set(kept) <= set(count(docs)), name
+
+
 @pytest.mark.parametrize("name", ["pipeline"])
 def test_pipeline(spark, name):
     import corpus_pipeline
@@ -422,6 +722,26 @@ def test_pipeline(spark, name):
             "decontaminate": {i for i in before if brute.leaks(texts[i], windows)[1]},
         }[stage]
         assert before - after == gone, stage
+    # What the rates give, by the operator's own posteriors and a plain solver: a document's copies follow from its rate.
+    labels = {r.doc_id: "toxic" if r.toxic == 1 else {1: "good", 0: "poor"}.get(r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    named = spark.createDataFrame([(i, d) for i, d in labels.items()], "doc_id long, domain string")
+    from trackmill.llm.queries import TARGETS
+
+    weighed, model = mixing.weigh(kept, named, TARGETS)
+    weighed = weighed.collect()
+    n, p = np.array([r.n_tokens for r in weighed], float), np.array([r.posterior for r in weighed])
+    goal = (n[:, None] * p).sum(axis=0) * [TARGETS[d] for d in model.domains]
+    rate, scale = np.ones(len(n)), np.linalg.pinv((p * n[:, None]).T @ p)
+    for _ in range(500):
+        rate = np.maximum(rate - p @ (scale @ (p.T @ (rate * n) - goal)), 0)
+    assert np.allclose(p.T @ (rate * n), p.T @ (np.array([r.rate for r in weighed]) * n), rtol=2e-2, atol=1e-3 * goal.sum())
+    copies = {r.doc_id: r.copies for r in weighed}
+    assert all(math.floor(r.rate) <= r.copies <= math.floor(r.rate) + 1 for r in weighed)
     out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter(r.doc_id for r in out) == Counter({i: c for i, c in copies.items() if c})
+    bytes_of = Counter()
+    for r in out:
+        bytes_of[r.shard] += 8 + len(r.text.encode())
+    assert max(bytes_of.values()) <= sum(bytes_of.values()) / 24 + max(8 + len(r.text.encode()) for r in out)
     assert {r.doc_id for r in out} <= {r.doc_id for r in kept.collect()} and len({(r.shard, r.slot) for r in out}) == len(out)
     assert set(docs.columns) <= set(out[0].asDict())

@@ -5,13 +5,15 @@ BLOCK vectors of one list (a list of any size is many blocks): ids, codes and th
 travel to the lists they probe in groups of QUERY_GROUP, so a task scores a group against a block at once with the
 queries' asymmetric tables, keeps the RERANK * k best of each query by table, scores those exactly in double
 precision, and passes on k at most: only those no worse than the query's k-th best in the fitted sample, whose
-vectors are candidates as well. The k best over all blocks follow by a window over each query. Nothing depends on a
-list fitting a task, and equal vectors in any number only add blocks.
+vectors are candidates as well. The k best over all blocks follow by a window over each query. A list of many blocks
+is dealt out in parts of about PART_BLOCKS, each of which gets the list's query groups, so no list need fit a task
+and equal vectors in any number only add parts.
 
 The number of lists probed is the smallest that reaches TARGET recall on sampled queries against the
-sample, measured while fitting. Definitions at the edges: vectors that are null, zero, of another length than
-most, or hold null or non-finite components take no part, nor do null ids; ties go to the smaller id; repeated ids
-are candidates each but never for a query of the same id; fewer than k candidates: all are returned.
+sample, measured while fitting. Definitions at the edges: vectors that are null, zero, or hold null or non-finite
+components take no part, nor do null ids; vectors of each length are searched among themselves, as others have no inner
+product with them; ties go to the smaller id; repeated ids are candidates each but never for a query of the same id;
+fewer than k candidates: all are returned.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ FIT_VECTORS = 16_384
 SUBSPACES = 16
 CODES = 64
 BLOCK = 2048
+PART_BLOCKS = 16
 QUERY_GROUP = 256
 RERANK = 8
 TARGET = 0.96
@@ -108,8 +111,9 @@ def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target:
     if not count:
         return None
     part = min(1.0, fit_vectors / count)
-    some = vectors.filter(F.pmod(F.xxhash64(F.lit("fit"), "vec_id"), F.lit(1_000_000)) < part * 1_000_000) if part < 1 else vectors
-    rows = some.select("vec_id", "vector").limit(2 * fit_vectors).collect() or vectors.select("vec_id", "vector").limit(1).collect()
+    some = vectors.filter(F.pmod(F.xxhash64(F.lit("fit"), "vec_id", "vector"), F.lit(1_000_000)) < part * 1_000_000) if part < 1 else vectors
+    # Repeated rows count once, so the sample keeps its bound whatever is repeated.
+    rows = some.select("vec_id", "vector").distinct().collect() or vectors.select("vec_id", "vector").limit(1).collect()
     x, ids = np.array([r[1] for r in rows], dtype=np.float64), np.array([r[0] for r in rows], dtype=np.int64)
     by = np.lexsort((*x.T[::-1], ids)[::-1])  # whatever order the rows came in
     x, ids = x[by], ids[by]
@@ -139,13 +143,25 @@ def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | None = None, rerank: int = RERANK, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k of vectors (vec_id, vector) nearest to each one for which is_query holds, itself excluded, by inner product."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | None = None, rerank: int = RERANK, block: int = BLOCK, part_blocks: int = PART_BLOCKS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k of vectors (vec_id, vector) nearest to each one for which is_query holds, itself excluded, by inner product.
+
+    index, if given, is for vectors of its own length only.
+    """
+    good = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select(F.col("vec_id").cast("long").alias("vec_id"), "vector", is_query.alias("q"))
+    lengths = [r[0] for r in good.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    out = None
+    for n in lengths or [0]:
+        fits = index if index and index.centroids.shape[1] == n else None
+        part = _search(good.filter(F.size("vector") == n), k, fits, rerank, block, part_blocks)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _search(vectors: DataFrame, k: int, index: Index | None, rerank: int, block: int, part_blocks: int) -> DataFrame:
     spark = vectors.sparkSession
     stored = np.float32 if vectors.schema["vector"].dataType.simpleString() == "array<float>" else np.float64
-    good = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"), is_query.alias("q"))
-    usual = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    good = good.filter(F.size("vector") == (usual["n"] if usual else 0))
+    good = vectors.withColumn("vector", F.col("vector").cast("array<double>"))
     index = index or fit(good, k=k)
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
@@ -227,6 +243,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, index: Index | Non
 
     blocks = keep(good.select("vec_id", "vector").mapInArrow(indexed, "list int, ids binary, codes binary, vectors binary"), "index")
     probes = good.filter("q").select("vec_id", "vector").distinct().mapInArrow(probing, "list int, q_ids binary, q_vectors binary, floors binary")
-    met = blocks.join(probes, "list").mapInArrow(scored, "query_id long, vec_id long, score double")
+    sizes = blocks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part_blocks).cast("int").alias("parts"))  # a row for each list
+    sizes = keep(sizes, "sizes")
+    dealt = blocks.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).drop("parts")
+    asking = probes.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = dealt.join(asking, ["list", "part"]).mapInArrow(scored, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

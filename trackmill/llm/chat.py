@@ -7,35 +7,37 @@ formatted string and the number of tokens that the placeholder expands to. The t
     <|turn|>ROLE<|body|>CONTENT<|end|>        for each message, in order
 
 and the loss mask lists the spans (code points, end exclusive) of assistant contents. Texts and roles may hold
-anything: a backslash is doubled, and one is put behind the first character of every control string, so no
-control string is left in them, and unescape() gives the very text back.
+anything: a backslash is put behind every `<`, `[` and backslash, so that nothing that follows, in the same part or the
+next, makes a control string of them; unescape() drops each such backslash and gives the very text back. In the
+reference of a placeholder every `|` gets one too, so that it ends at the first `|>`.
 
 Definitions at the edges: a null text or role is the empty string; a null or empty list of parts is an empty
 content; an unknown part type is written as its text; turns order by number (nulls first), then role, then text;
 repeated rows are repeated turns; an empty table gives no rows. One conversation is one string, so a conversation
-must fit a row; conversations are dealt out by id.
+must fit a row; conversations are dealt out by id. Places follow from running sums over a conversation's turns, so time
+grows with its length alone; within one message it also grows with the square of its attachments.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
-#: Begins of control strings, of this template and of common others.
-CONTROL = r"(<)(\||/?s>|</?SYS>>|(?:start|end)_of_turn>)|(\[)(/?INST\])"
+#: First characters of all control strings, of this template and of common others, and the escape itself.
+MARKED = r"([<\[\\])"
 #: Tokens of an image: one for each tile of so many pixels a side; of audio, for each second; of a document, for each page.
 TILE, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 
 
-def escape(text: Column) -> Column:
-    doubled = F.regexp_replace(F.coalesce(text, F.lit("")), r"\\", r"\\\\")
-    return F.regexp_replace(doubled, CONTROL, r"$1$3\\$2$4")
+def escape(text: Column, marked: str = MARKED) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), marked, r"$1\\")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """What escape() was given: a backslash makes the next character, if any, stand for itself."""
+    return F.regexp_replace(text, r"(?s)\\(.?)", "$1")
 
 
 def part_tokens(part: Column) -> Column:
@@ -52,7 +54,7 @@ def is_attachment(part: Column) -> Column:
 
 def visit(part: Column) -> Column:
     """What a part writes."""
-    mark = F.concat(F.lit("<|"), part["type"], F.lit("|"), escape(part["ref"]), F.lit("|>"))
+    mark = F.concat(F.lit("<|"), part["type"], F.lit("|"), escape(part["ref"], r"([<\[\\|])"), F.lit("|>"))
     return F.when(is_attachment(part), mark).otherwise(escape(part["text"]))
 
 
@@ -74,24 +76,15 @@ def flatten(messages: DataFrame, parts: str = "parts") -> DataFrame:
 def format_chats(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted, loss_spans, attachments of messages (conv_id, turn, role, parts: array of PART)."""
     flat = flatten(messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts"))
-    turn = F.struct("turn", "role", "content", "attachments", "content_chars")
-    grouped = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    head = F.transform("turns", lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(BODY)))
-    written = grouped.withColumn("__heads", head)
-    text = F.array_join(F.zip_with("turns", "__heads", lambda t, h: F.concat(h, t["content"], F.lit(END))), "")
-    sizes = F.zip_with("turns", "__heads", lambda t, h: F.struct(
-        t["role"].isin(*loss_roles).alias("loss"), F.char_length(h).cast("long").alias("head"), t["content_chars"].alias("body"), t["attachments"].alias("attachments")))
-    span, att = "array<struct<begin:bigint,end:bigint>>", "array<struct<kind:string,ref:string,at:bigint,tokens:bigint>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("loss"), F.array().cast(att).alias("attachments"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["head"]
-        own = F.array(F.struct(begin.alias("begin"), (begin + x["body"]).alias("end")))
-        moved = F.transform(x["attachments"], lambda a: F.struct(a["kind"].alias("kind"), a["ref"].alias("ref"), (a["at"] + begin).alias("at"), a["tokens"].alias("tokens")))
-        return F.struct((begin + x["body"] + len(END)).cast("long").alias("at"), F.when(x["loss"], F.concat(acc["loss"], own)).otherwise(acc["loss"]).alias("loss"), F.concat(acc["attachments"], moved).alias("attachments"))
-
-    folded = written.withColumn("formatted", text).withColumn("__fold", F.aggregate(sizes, zero, step))
-    return folded.select("conv_id", "formatted", F.col("__fold")["loss"].alias("loss_spans"), F.col("__fold")["attachments"].alias("attachments"))
+    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
+    rows = flat.withColumns({"__head": head, "loss": F.col("role").isin(*loss_roles), "__size": F.char_length(head) + F.col("content_chars") + len(END)})
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("end", (F.sum("__size").over(before) - len(END)).cast("long")).withColumn("begin", F.col("end") - F.col("content_chars"))
+    moved = F.transform("attachments", lambda a: F.struct(a["kind"].alias("kind"), a["ref"].alias("ref"), (a["at"] + F.col("begin")).alias("at"), a["tokens"].alias("tokens")))
+    turn = F.struct("begin", "end", "loss", F.concat("__head", "content", F.lit(END)).alias("text"), moved.alias("attachments"))
+    grouped = ends.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["begin"].alias("begin"), t["end"].alias("end")))
+    return grouped.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("formatted"), spans.alias("loss_spans"), F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"))
 
 
 def text_parts(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ has been seen exactly if that length reaches the window's. Words between two wor
 of a run, so only stretches of item words walk the automaton.
 
 Items go in blocks of BLOCK_WORDS words at most (or one longer item), one automaton each. One block at a time is
-built, travels to the tasks and meets all texts, so memory is that of a block (about 1 KB a word) whatever the
-benchmark's size; a benchmark of several blocks costs as many scans, and only rows with hits are kept between them.
+built on the driver (about 1 KB a word), packed into arrays (under 100 bytes a word), travels so to the tasks and meets
+all texts, so memory is that of a block whatever the benchmark's size; a benchmark of several blocks costs as many
+scans, and only rows with hits are kept between them.
 
 Definitions at the edges: a null text or item has no words and no hits; an item without words matches nothing;
 repeated items are reported each by its id; repeated rows are judged alike; null item ids are left out.
@@ -15,6 +16,7 @@ repeated items are reported each by its id; repeated rows are judged alike; null
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, sliced
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Lower-cases A-Z and turns every other ASCII character but digits and letters into a space.
@@ -52,6 +54,7 @@ class Automaton:
         self.names = [name for name, _ in coded]
         self.shortest = min((min(len(s), window) for _, s in coded), default=0)
         self._report(coded)
+        self._pack()
 
     def _clone(self, p: int, w: int, q: int) -> int:
         """A copy of q for runs as short as p's and one word more."""
@@ -101,6 +104,34 @@ class Automaton:
         for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
             self.ends[s] = self.ends[self.link[s]] + tuple(sorted(by_state.get(s, ())))
 
+    def _pack(self) -> None:
+        """States as arrays: most have one next word, and windows of one length; only the others stay in dictionaries."""
+        width = len(self.ids)
+        self.next_word, self.next_state = array("i", [-1]) * len(self.size), array("i", [-1]) * len(self.size)
+        self.more: dict[int, int] = {}
+        for s, step in enumerate(self.step):
+            if len(step) == 1:
+                ((self.next_word[s], self.next_state[s]),) = step.items()
+            elif step:
+                self.next_word[s] = -2
+                self.more |= {s * width + w: to for w, to in step.items()}
+        need, begin, whose, odd = array("i"), array("i", [0]), array("i"), {}
+        for s, ends in enumerate(self.ends):
+            need.append(ends[0][0] if len(ends) == 1 else -1 if ends else 0)
+            if len(ends) == 1:
+                whose.extend(ends[0][1])
+            elif ends:
+                odd[s] = ends
+            begin.append(len(whose))
+        self.need, self.begin, self.whose, self.odd = need, begin, whose, odd
+        self.link, self.size = array("i", self.link), array("i", self.size)
+        del self.step, self.ends
+
+    def windows_at(self, s: int) -> Sequence[tuple[int, Sequence[int]]]:
+        """The windows that end when state s is reached."""
+        need = self.need[s]
+        return () if not need else self.odd[s] if need < 0 else ((need, self.whose[self.begin[s] : self.begin[s + 1]]),)
+
     def hits(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans of words hit (begin, end exclusive; merged, in order) and the items whose windows occur."""
         found: list[list[int]] = []
@@ -108,18 +139,23 @@ class Automaton:
         if not self.shortest or len(ws) < self.shortest:
             return [], items
         code = np.fromiter((-1 if (c := self.ids.get(w)) is None else c for w in ws), dtype=np.int64, count=len(ws))
+        next_word, next_state, more, width, link, size, needs = self.next_word, self.next_state, self.more, len(self.ids), self.link, self.size, self.need
         known = np.concatenate(([False], code >= 0, [False]))
         edge = np.flatnonzero(known[1:] != known[:-1])
         for a, b in edge.reshape(-1, 2)[np.diff(edge.reshape(-1, 2)).ravel() >= self.shortest].tolist():
             state = length = 0
             for i, w in enumerate(code[a:b].tolist(), a):
-                while (to := self.step[state].get(w)) is None and state:
-                    state = self.link[state]
-                    length = self.size[state]
-                if to is None:
+                while True:
+                    only = next_word[state]
+                    to = next_state[state] if only == w else more.get(state * width + w, -1) if only == -2 else -1
+                    if to >= 0 or not state:
+                        break
+                    state = link[state]
+                    length = size[state]
+                if to < 0:
                     continue
                 state, length = to, length + 1
-                for need, whose in self.ends[state]:
+                for need, whose in self.windows_at(state) if needs[state] else ():
                     if need > length:
                         continue
                     items.update(whose)
@@ -181,7 +217,7 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 size, hit, spans, items = [], [], [], []
                 for raw in batch.column("text").cast(pa.binary()).to_pylist():
                     ws = words(raw)
@@ -246,7 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 k = batch.schema.get_field_index("text")
                 out = [(i, None if raw is None else cleaned(raw, [shared.value], max_words, max_share), raw is None) for i, raw in enumerate(batch.column(k).cast(pa.binary()).to_pylist())]
                 found = [(i, t) for i, t, null in out if t is not None or null]

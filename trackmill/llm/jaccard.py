@@ -1,22 +1,20 @@
 """Exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are distinct shingle sets (documents with equal sets are one row, whatever their number).
-Two sets of similarity t or more share one of the first n - ceil(t n) + 1 of their shingles under any fixed
-order (here: by hash, with shingles that many sets have at the end), so only those columns of a row enter the
-product; a column's block is the set of rows that share that shingle.
-
-Inside a block, candidates are taken in three rounds, so that a group of near copies never makes all its pairs:
-1. each row with the smallest row of its blocks; rows linked so far form components;
-2. each row with the smallest and the largest row of each block, where they are in different components;
-3. blocks that still hold rows of several components: the rest of the pairs, in sub-blocks of BLOCK_ROWS by
-   BLOCK_ROWS rows sorted by size, keeping only pairs that pass the bounds.
-A pair is discarded early if its sizes are too far apart or if the bound from parity sketches (|x Δ y| is at least
-the number of differing bits: 1024 of them, then for large sets as many as they have shingles) puts its overlap too
-low; the rest get their exact overlap.
-Together the rounds test every pair of rows that share a column and are not linked through others already, which
-gives the components. A link never leaves its component, so the links of each document are counted there: all pairs
-of a component's rows whose sizes allow a link are tested, by products of sub-blocks with each other, and only each
-row's sum leaves a product.
+Rows of the matrix are distinct shingle sets (documents with equal sets are one row, whatever their number), columns
+are shingles. An entry of the product is the overlap of two rows: it is summed up from partial counts, one for each
+block of columns, and that sum decides whether the rows link. Pairs whose sizes cannot give enough overlap are
+discarded before: two sets of similarity t or more share one of the first n - ceil(t n) + 1 of their shingles under
+any fixed order (here: by hash, with shingles that many sets have at the end), so only rows that meet in one of those
+prefix columns are multiplied; then sizes too far apart, and a bound of the symmetric difference (the differing bits
+of parity sketches: 1024 of them, then for large sets as many as they have shingles), discard most of the rest.
+
+Blocks of rows are multiplied in an order that lets a group of near copies never make all its pairs:
+1. each row with the smallest row of its prefix columns, the one that it shares most of them with;
+2. each row with the smallest and the largest row of each column, where they are in different components;
+3. columns that still hold rows of several components: sub-blocks of their rows with each other.
+Together that tests every pair of rows that share a prefix column and are not linked through others already, which
+gives the components. A link never leaves its component, so each document's links are counted there: sub-blocks of a
+component's rows are multiplied with each other, and only each row's number of links leaves a product.
 
 Definitions at the edges: a null or empty text, or one without words, has no shingles and is its own component; a
 text of fewer than WORDS words is one shingle; a null id stays null in the result, names
@@ -33,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, keep, mix64
+from .common import chunked, forget, keep, mix64, sliced
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 BLOCK_ROWS = 256
+#: A set of more shingles than this is cut into blocks of columns.
+BLOCK_SHINGLES = 4096
+#: Sets that a task remembers so as not to describe them again; others may be described twice, which only costs time.
+SEEN_SETS = 200_000
 #: Sub-blocks in which links are counted hold about so many shingles, a set counting as LEAST_SHINGLES at least; so about 1,000 rows at most.
 COUNT_SHINGLES = 512_000
 LEAST_SHINGLES = 512
@@ -147,11 +149,12 @@ def heavy_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for found in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
                 if len(found) and (own := node_of(found)) not in seen:
-                    seen.add(own)
+                    if len(seen) < SEEN_SETS:
+                        seen.add(own)
                     out.append(found[: prefix_size(len(found), percent)])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out or [np.empty(0, np.uint64)]).view(np.int64))], ["h"])
 
@@ -164,9 +167,11 @@ def heavy_shingles(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         if held > heavy_max:
             break
         least = r["level"]
-    if least is None:
-        return np.empty(0, np.uint64)
-    return np.sort(counts.filter(level >= least).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    found = np.empty(0, np.uint64)
+    if least is not None:
+        found = np.sort(counts.filter(level >= least).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+    forget(counts)
+    return found
 
 
 def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy: np.ndarray | None = None) -> DataFrame:
@@ -175,7 +180,7 @@ def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             n, node, prefix, bits, more = [], [], [], [], []
             for found in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words):
                 n.append(len(found))
@@ -186,7 +191,8 @@ def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy
                 prefix.append(prefix_of(found, shared.value, percent).view(np.int64) if new else None)
                 bits.append(folded(whole) if new else None)
                 more.append(whole.tobytes() if new and len(whole) > SKETCH_LONGS else None)
-                seen.add(own)
+                if len(seen) < SEEN_SETS:
+                    seen.add(own)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, longs), pa.array(bits, longs), pa.array(more, pa.binary())], ["doc_id", "n_shingles", "node", "prefix", "sketch", "more"])
 
@@ -194,20 +200,44 @@ def incidence(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, heavy
     return rows.mapInArrow(made, "doc_id long, n_shingles long, node long, prefix array<long>, sketch array<long>, more binary")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS, more: tuple[str, ...] = ()) -> DataFrame:
-    """node, the longs named by more, and all shingles (bytes) of the documents named by wanted (doc_id, node: one document for each set)."""
+def level_of(n: Column) -> Column:
+    """A set of n shingles is cut into 2 ** level blocks of columns."""
+    over = F.floor((n - 1) / BLOCK_SHINGLES).cast("long")
+    return F.when(over <= 0, 0).otherwise(F.length(F.bin(over))).cast("int")
+
+
+def column_blocks(found: np.ndarray) -> list[np.ndarray]:
+    """A sorted set by blocks of columns: those of equal leading bits of the hash."""
+    level = ((len(found) - 1) // BLOCK_SHINGLES).bit_length()
+    if not level:
+        return [found]
+    edges = np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)
+    return np.split(found, np.searchsorted(found, edges))
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS, more: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
+    """node, the longs named by more, block and shingles (bytes) of the documents named by wanted (doc_id, node: one document for each set).
+
+    cut: a row for each of column_blocks(); else all shingles in one row, of block 0.
+    """
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select(F.col("doc_id").alias("__id"), "node", *more)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("__id")).select("node", *more, "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
+            rows, block, sets = [], [], []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            sets = [found.tobytes() if len(found) and node_of(found) == own else None for own, found in zip(batch.column("node").to_pylist(), shingle_sets(texts, words), strict=True)]  # null: another text under the same id
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", *more)], pa.array(sets, pa.binary())], ["node", *more, "shingles"])
-            yield out.filter(out.column("shingles").is_valid())
+            for i, (own, found) in enumerate(zip(batch.column("node").to_pylist(), shingle_sets(texts, words), strict=True)):
+                if len(found) and node_of(found) == own:  # else another text under the same id
+                    parts = column_blocks(found) if cut else [found]
+                    rows += [i] * len(parts)
+                    block += range(len(parts))
+                    sets += [p.tobytes() for p in parts]
+            kept = batch.select(["node", *more]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(block, pa.int32()), pa.array(sets, pa.binary())], ["node", *more, "block", "shingles"])
 
-    return texts.mapInArrow(made, ", ".join(f"{c} long" for c in ("node", *more)) + ", shingles binary")
+    return texts.mapInArrow(made, ", ".join(f"{c} long" for c in ("node", *more)) + ", block int, shingles binary")
 
 
 def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
@@ -221,38 +251,49 @@ def may_link(a: str, b: str, percent: int = PERCENT) -> Column:
 def linked(docs: DataFrame, pairs: DataFrame, briefs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Those of pairs (a, b) whose exact overlap suffices. briefs: node, doc_id, n and the sketch of each set.
 
-    Bounds come first, from sizes and sketches; only the texts of sets that are left are read again for whole sets.
+    Bounds come first, from sizes and sketches; only the texts of sets that are left are read again. Their rows are cut
+    into blocks of columns; each block of a pair gives a partial count, and the sum of those decides.
     """
     renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
     brief = briefs.select("node", "n", "more", *SKETCH)
     met = pairs.join(renamed(brief, "a_"), F.col("a") == F.col("a_node")).join(renamed(brief, "b_"), F.col("b") == F.col("b_node")).filter(may_link("a_", "b_", percent))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(sliced(batches, "a_more"), "b_more"):
             ok = []
             for x, n, y, m in zip(*(batch.column(c).to_pylist() for c in ("a_more", "a_n", "b_more", "b_n")), strict=True):
                 gap = differing(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) if x and y else 0
                 ok.append((100 + percent) * (n + m - gap) >= 2 * percent * (n + m))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+            yield batch.select(["a", "b", "a_n", "b_n"]).filter(pa.array(ok, pa.bool_()))
 
-    near = keep(met.select("a", "b", "a_more", "a_n", "b_more", "b_n").mapInArrow(bounded, "a long, b long"), "near")
+    near = keep(met.select("a", "b", "a_n", "b_n", "a_more", "b_more").mapInArrow(bounded, "a long, b long, a_n long, b_n long"), "near")
     nodes = near.select(F.explode(F.array("a", "b")).alias("node"))
     wanted = keep(briefs.select("node", "doc_id").filter(F.col("doc_id").isNotNull()).join(nodes, "node", "left_semi"), "wanted")
-    whole = keep(whole_sets(docs, wanted, words), "sets").dropDuplicates(["node"])  # repeated rows
-    both = near.join(renamed(whole, "a_"), F.col("a") == F.col("a_node")).join(renamed(whole, "b_"), F.col("b") == F.col("b_node")).select("a", "b", "a_shingles", "b_shingles")
-
-    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = keep(whole_sets(docs, wanted, words, cut=True), "sets")
+    whole = sets.dropDuplicates(["node", "block"])  # repeated rows
+    # The block of fewer columns of either set lies within one of the other's, as sizes that may link are less than a level apart.
+    level = near.withColumns({"__a": level_of(F.col("a_n")), "__b": level_of(F.col("b_n"))}).withColumn("__k", F.greatest("__a", "__b"))
+    blocks = level.withColumn("__j", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, __k) - 1"))))
+    blocks = blocks.select("a", "b", "a_n", "b_n", F.expr("shiftright(__j, __k - __a)").alias("a_at"), F.expr("shiftright(__j, __k - __b)").alias("b_at"))
+    first, second = (whole.select(F.col("node").alias(f"{p}_node"), F.col("block").alias(f"{p}_block"), F.col("shingles").alias(f"{p}_shingles")) for p in "ab")
+    both = blocks.join(first, (F.col("a") == F.col("a_node")) & (F.col("a_at") == F.col("a_block"))).join(second, (F.col("b") == F.col("b_node")) & (F.col("b_at") == F.col("b_block")))
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("a_shingles"), batch.column("b_shingles"), strict=True):
+            count = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("a_shingles"), batch.column("b_shingles"), strict=True)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                overlap = int((q[at] == p).sum())
-                ok.append((100 + percent) * overlap >= percent * (len(p) + len(q)))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+                if len(p) and len(q):
+                    at = np.searchsorted(q, p)
+                    at[at == len(q)] = 0
+                    count[i] = (q[at] == p).sum()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "a_n", "b_n")), pa.array(count)], ["a", "b", "a_n", "b_n", "overlap"])
 
-    return keep(both.mapInArrow(tested, "a long, b long"), "links")
+    partial = both.select("a", "b", "a_n", "b_n", "a_shingles", "b_shingles").mapInArrow(multiplied, "a long, b long, a_n long, b_n long, overlap long")
+    summed = partial.groupBy("a", "b", "a_n", "b_n").agg(F.sum("overlap").alias("overlap"))
+    links = keep(summed.filter((100 + percent) * F.col("overlap") >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "links")
+    forget(near, wanted, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,7 +306,8 @@ def components(links: DataFrame) -> DataFrame:
         large = keep(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", F.col("m").alias("v")))
-        edges = keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before, edges = edges, keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        forget(before, large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -276,11 +318,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def roots(links: DataFrame, jumps: int = 1) -> DataFrame:
     """node, label: a smaller node that each larger end of links is known to hang together with; not always the smallest."""
-    up = keep(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "roots")
+    own = up = keep(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "roots")
     for _ in range(jumps):
         above = up.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
         up = up.join(above, F.col("label") == F.col("__n"), "left").select("node", F.coalesce("__l", "label").alias("label"))
-    return keep(up, "roots")
+    out = keep(up, "roots")
+    forget(own)
+    return out
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -> DataFrame:
@@ -289,19 +333,34 @@ def _labelled(rows: DataFrame, labels: DataFrame | None, node: str, into: str) -
     return rows.join(labels.select(F.col("node").alias("__n"), F.col("label").alias("__l")), F.col(node) == F.col("__n"), "left").withColumn(into, F.coalesce("__l", node)).drop("__n", "__l")
 
 
+def sub_blocks(rows: DataFrame, key: str, weight: Column, most: int) -> DataFrame:
+    """rows (key, node, n, ..) plus own: the number of a sub-block inside key, of rows of like size that weigh about most together.
+
+    Counts by key and size come from sums over all rows, and rows are dealt to sub-blocks by their hash, so no key is ever
+    gathered in one place. A key that weighs no more than most is one sub-block.
+    """
+    scaled = rows.withColumn("__scale", F.floor(F.log2("n") * 3).cast("long"))
+    sums = scaled.groupBy(key, "__scale").agg(F.sum(weight).alias("__w"))
+    parts = sums.withColumn("__lone", F.sum("__w").over(Window.partitionBy(key)) <= most).select(key, "__scale", "__lone", F.ceil(F.col("__w") / most).alias("__parts"))
+    own = F.when(F.col("__lone"), F.lit(0)).otherwise(F.col("__scale") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("__parts")))
+    return scaled.join(parts, [key, "__scale"]).withColumn("own", own.cast("long")).drop("__scale", "__lone", "__parts")
+
+
+def meeting(placed: DataFrame, key: str, percent: int = PERCENT) -> DataFrame:
+    """key, i, j (i <= j): sub-blocks whose sizes allow links between them."""
+    span = placed.groupBy(key, F.col("own").alias("i")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    other = span.select(F.col(key).alias("__key"), F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    near = (F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100)
+    return span.join(other, (F.col(key) == F.col("__key")) & (F.col("j") >= F.col("i")) & near).select(key, "i", "j")
+
+
 def rest_pairs(blocks: DataFrame, briefs: DataFrame, block_rows: int = BLOCK_ROWS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) inside the same column that are in different components (label) and pass the bounds, by sub-blocks."""
-    rows = blocks.join(briefs.drop("doc_id", "more"), "node")
-    order = Window.partitionBy("h").orderBy("n", "node")
-    placed = rows.withColumn("i", F.floor((F.row_number().over(order) - 1) / block_rows).cast("int"))
-    span = placed.groupBy("h", "i").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = span.select(F.col("h").alias("__h"), F.col("i").alias("j"), F.col("lo").alias("lo2"))
-    # Sub-blocks are sorted by size: i meets j >= i only while j's smallest set is small enough for i's largest.
-    meets = span.join(other, (F.col("h") == F.col("__h")) & (F.col("j") >= F.col("i")) & (F.col("lo2") * percent <= F.col("hi") * 100)).select("h", "i", "j")
-    left = placed.join(meets, ["h", "i"])
-    right = placed.select("h", F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", *SKETCH)])
-    right = right.join(meets, ["h", "j"])
-    left = left.select("h", "i", "j", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "n", *SKETCH)])
+    placed = sub_blocks(blocks.join(briefs.drop("doc_id", "more"), "node"), "h", F.lit(1), block_rows)
+    meets = meeting(placed, "h", percent)
+    named = ("node", "label", "n", *SKETCH)
+    left = placed.withColumnRenamed("own", "i").join(meets, ["h", "i"]).select("h", "i", "j", *[F.col(c).alias(f"a_{c}") for c in named])
+    right = placed.withColumnRenamed("own", "j").join(meets, ["h", "j"]).select("h", "i", "j", *[F.col(c).alias(f"b_{c}") for c in named])
     ok = (F.col("a_label") != F.col("b_label")) & ((F.col("i") != F.col("j")) | (F.col("a_node") < F.col("b_node"))) & may_link("a_", "b_", percent)
     met = left.join(right, ["h", "i", "j"]).filter(ok)
     return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
@@ -354,14 +413,9 @@ def link_counts(docs: DataFrame, members: DataFrame, words: int = WORDS, percent
 
     Sub-blocks are parts of a component of like size, dealt by hash; each product of two is a group of rows of its own.
     """
-    scale = F.floor(F.log2("n") * 3).cast("long")
-    scaled = keep(members.select("node", "doc_id", "label", "n", "weight", scale.alias("scale")), "members")
-    parts = scaled.groupBy("label", "scale").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))) / shingles).alias("parts"))
-    block = F.col("scale") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))
-    placed = keep(scaled.join(parts, ["label", "scale"]).select("node", "doc_id", "label", "n", "weight", block.alias("own")), "placed")
-    span = placed.groupBy("label", F.col("own").alias("i")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = span.select(F.col("label").alias("__l"), F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meets = span.join(other, (F.col("label") == F.col("__l")) & (F.col("j") >= F.col("i")) & (F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
+    rows = members.select("node", "doc_id", "label", "n", "weight")
+    placed = keep(sub_blocks(rows, "label", F.greatest("n", F.lit(LEAST_SHINGLES)), shingles), "placed")
+    meets = meeting(placed, "label", percent)
     sides = F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))
     roles = keep(meets.select(F.col("label").alias("__l"), "i", "j", F.explode(sides).alias("__own")), "roles")
     sets = whole_sets(docs, placed, words, ("label", "own", "weight"))
@@ -375,7 +429,7 @@ def link_counts(docs: DataFrame, members: DataFrame, words: int = WORDS, percent
             found = sums_of_links(left, right, percent) if len(left) + len(right) > 1 else np.zeros(len(left) + len(right), np.int64)
             return pa.RecordBatch.from_arrays([pa.array([*group[0], *group[1]], pa.int64()), pa.array(found, pa.int64())], ["node", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches, "shingles"):
             for *key, second, node, weight, raw in zip(*(batch.column(c).to_pylist() for c in ("label", "i", "j", "second", "node", "weight", "shingles")), strict=True):
                 if key != at:
                     yield sums()
@@ -385,7 +439,9 @@ def link_counts(docs: DataFrame, members: DataFrame, words: int = WORDS, percent
 
     key = ("label", "i", "j")
     partial = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(counted, "node long, n long")
-    return keep(partial.groupBy("node").agg(F.sum("n").alias("n_linked")), "counts")
+    out = keep(partial.groupBy("node").agg(F.sum("n").alias("n_linked")), "counts")
+    forget(placed, roles)
+    return out
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: bool = True) -> DataFrame:
@@ -404,12 +460,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: boo
     # The smaller row that most of a row's blocks begin with.
     below = blocks.filter("lo < node").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("k"))
     first = below.groupBy("node").agg(F.max_by("lo", F.struct("k", "lo")).alias("a")).select("a", F.col("node").alias("b"))
-    links = linked(docs, first, briefs, words, percent)
-    known = roots(links)
+    first_links = linked(docs, first, briefs, words, percent)
+    known = roots(first_links)
 
     pairs = blocks.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(blocks.select(F.col("node").alias("a"), F.col("hi").alias("b"))).filter("a < b").distinct()
     apart = _labelled(_labelled(pairs, known, "a", "la"), known, "b", "lb").filter("la != lb").select("a", "b")
-    links = links.union(linked(docs, apart, briefs, words, percent))
+    links = keep(first_links.union(linked(docs, apart, briefs, words, percent)), "links")
     labels = keep(components(links), "labels")
 
     inner = _labelled(blocks.filter("node != lo AND node != hi").select("h", "node").distinct(), labels, "node", "label")
@@ -419,6 +475,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: boo
         last = linked(docs, rest_pairs(left_over, briefs, percent=percent), briefs, words, percent)
         if not last.isEmpty():
             labels = keep(components(links.union(last)), "labels")
+    forget(blocks, briefs, known, left_over)
 
     named = _labelled(classes.select("node", "doc_id", "weight"), labels, "node", "label")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 # The phrases that count word by word, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Short notices: label, text in lower case, edits allowed.
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tupl
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices)
         kinds = [pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())])), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64())]))]
-        for batch in batches:
+        for batch in sliced(batches):
             count, base, spans = [], [], []
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 low = (raw or b"").lower()

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by soft membership, in DataFrame functions only.
 
 1. A classifier learned from a table of labelled documents gives each document a posterior over domains: naive
-   Bayes over a bounded set of informative words and a few shape features (share of capitals, marks, repetition).
+   Bayes over all words, hashed into BUCKETS features whatever the vocabulary, and a few shape features (share of
+   capitals, marks, repetition); features count that tell domains apart beyond chance.
 2. Each document gets a nonnegative rate r (its expected number of copies). Projected-gradient least squares fits
    the rates so that the expected tokens of each domain, sum of r * tokens * posterior, match the targets. An
    iteration is one sum over all documents of as many numbers as there are domains; a document's rate follows from
@@ -11,7 +12,7 @@
 The step is scaled by the domains' token moments, so a few iterations suffice unless many rates meet zero;
 targets that no nonnegative rates meet are met as closely as that allows.
 Definitions at the edges: a null or empty text has no tokens, so no rate counts; it gets the prior as posterior;
-without any label there is one domain `all`; a document labelled twice counts twice; repeated rows get equal rates;
+without any label there is one domain `all`; a document labelled twice alike counts once; repeated rows get equal rates;
 null ids draw as one id.
 """
 
@@ -24,11 +25,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, without
+from .common import forget, keep, without
 
-#: Bound of the labelled documents (in expectation) that the classifier is fitted on, and of the words it uses.
+#: Bound of the labelled documents (in expectation) that the classifier is fitted on.
 FIT_ROWS = 20_000
-FIT_WORDS = 256
+#: Features that words are hashed into; a text of 500 words meets 1.5 % of them.
+BUCKETS = 1 << 15
 #: A feature counts only if its log-likelihood gain over chance is at least this.
 MIN_GAIN = 12.0
 #: .. and if some domain has it this often more or less than all together (log ratio): common words tell little and would add up.
@@ -42,21 +44,26 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-/:-`{-\\x7f]+"), "")
 
 
-def shape(text: Column, words: Column, distinct: Column) -> Column:
+def shape(text: Column, n_words: Column, n_distinct: Column) -> Column:
     """Features beside words: coarse levels of some shares."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.char_length(text), F.lit(1))
-    level = lambda share, cuts: sum((F.when(share > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("string")
+    level = lambda share, cuts: sum((F.when(share > c, 1).otherwise(0) for c in cuts), F.lit(0))
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / size
-    repeated = 1 - F.size(distinct) / F.greatest(F.size(words), F.lit(1))
-    return F.array(F.concat(F.lit("#capitals:"), level(share("[A-Z]"), (0.05, 0.3))), F.concat(F.lit("#marks:"), level(share("[!#$%&*@^~|<>{}\\[\\]=_]"), (0.001, 0.02))),
-                   F.concat(F.lit("#repeated:"), level(repeated, (0.3, 0.5, 0.7, 0.85))), F.concat(F.lit("#words:"), level(F.size(words), (20, 100, 400))))
+    named = {"capitals": level(share("[A-Z]"), (0.05, 0.3)), "marks": level(share("[!#$%&*@^~|<>{}\\[\\]=_]"), (0.001, 0.02)),
+             "repeated": level(1 - n_distinct / F.greatest(n_words, F.lit(1)), (0.3, 0.5, 0.7, 0.85)), "words": level(n_words, (20, 100, 400))}
+    return F.array(*[F.xxhash64(F.lit(f"#{name}"), value) for name, value in named.items()])
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens, __words (distinct) and __shape."""
-    return (docs.withColumn("__all", tokens(F.col("text"))).withColumn("__words", F.array_distinct("__all"))
-            .withColumns({"n_tokens": F.size("__all").cast("long"), "__shape": shape(F.col("text"), F.col("__all"), F.col("__words"))}).drop("__all"))
+    """docs with n_tokens and __features: hashes of its distinct words and of its shape."""
+    words = docs.withColumn("__all", tokens(F.col("text"))).withColumn("__words", F.array_distinct(F.transform("__all", lambda w: F.xxhash64(w))))
+    features = F.concat("__words", shape(F.col("text"), F.size("__all"), F.size("__words")))
+    return words.withColumns({"n_tokens": F.size("__all").cast("long"), "__features": features}).drop("__all", "__words")
+
+
+def bucket(feature: Column) -> Column:
+    return feature.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -64,27 +71,28 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 
 class Classifier:
-    """domains, log priors (of a document without any feature), and the weight of each feature for each domain."""
+    """domains, log priors (of a document without any telling feature), and the weights of each telling bucket for each domain."""
 
-    def __init__(self, domains: list[str], prior: list[float], weights: dict[str, list[float]]):
+    def __init__(self, domains: list[str], prior: list[float], weights: dict[int, list[float]]):
         self.domains, self.prior, self.weights = domains, prior, weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> Classifier:
-    """From docs (doc_id, text) and labels (doc_id, domain); the driver gets counts of fit_words features."""
-    named = labels.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull())
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
+    """From docs (doc_id, text) and labels (doc_id, domain); the driver gets counts of BUCKETS features at most."""
+    named = labels.filter(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "domain").distinct()
     size = {r["domain"]: r["n"] for r in named.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not size:
         return Classifier(["all"], [0.0], {})
     domains = sorted(size)
     part = F.coalesce(*[F.when(F.col("domain") == d, min(1.0, fit_rows / len(domains) / size[d])) for d in domains])
     some = named.filter(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < part * 1_000_000)
-    # At most about fit_rows ids: the sample's bound is the broadcast's.
-    rows = featured(docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id", "domain")), "doc_id"))
-    rows = keep(rows.select("domain", F.concat("__words", "__shape").alias("features")), "labelled")
-    seen = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # One row for each id and domain, about fit_rows in all: the sample's bound is the broadcast's.
+    rows = featured(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+    rows = keep(rows.select("domain", F.array_distinct(F.transform("__features", bucket)).alias("features")), "labelled")
+    seen = {r["domain"]: float(r["n"]) for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(seen)
     if not domains:
+        forget(rows)
         return Classifier(["all"], [0.0], {})
     counts = rows.select("domain", F.explode("features").alias("f")).groupBy("f").agg(*[F.count_if(F.col("domain") == d).cast("double").alias(f"c{i}") for i, d in enumerate(domains)])
     every = sum((F.col(f"c{i}") for i in range(len(domains))), F.lit(0.0))
@@ -94,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words:
     gain = sum((seen[d] * (p * F.ln(p / overall) + (1 - p) * F.ln((1 - p + 1e-9) / (1 - overall + 1e-9))) for p, d in zip(share, domains, strict=True)), F.lit(0.0))
     scored = counts.filter(every > 0).select("f", *[p.alias(f"p{i}") for i, p in enumerate(share)], overall.alias("all"), gain.alias("gain"))
     told = F.array_max(F.array(*[F.abs(F.ln(F.col(f"p{i}") / F.col("all"))) for i in range(len(domains))]))
-    top = scored.filter((F.col("gain") >= MIN_GAIN) & (F.col("all") < 1) & (told >= MIN_RATIO)).orderBy(F.desc("gain"), "f").limit(fit_words).collect()
+    top = scored.filter((F.col("gain") >= MIN_GAIN) & (F.col("all") < 1) & (told >= MIN_RATIO)).orderBy("f").collect()  # BUCKETS rows at most
+    forget(rows)
     total = sum(size.values())
     prior, weights = [math.log(size[d] / total) for d in domains], {}
     for r in top:
@@ -105,22 +114,36 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_words:
     return Classifier(domains, prior, weights)
 
 
+def lookup(values: Mapping[int, str], kind: str, size: int) -> Column:
+    """A constant array of size values, 0 where none is given."""
+    return F.from_json(F.lit("[" + ",".join(values.get(i, "0") for i in range(size)) + "]"), f"array<{kind}>")
+
+
 def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """docs with n_tokens and posterior (array, in the order of model.domains)."""
     rows = featured(without(docs, "n_tokens", "posterior"))
     k = len(model.domains)
     if not model.weights:
-        return rows.withColumn("posterior", F.array(*[F.lit(math.exp(p)) for p in model.prior])).drop("__words", "__shape")
-    words = [w for w in model.weights if not w.startswith("#")]
-    present = F.concat(F.array_intersect("__words", F.array(*[F.lit(w) for w in words]).cast("array<string>")), "__shape")
-    table = F.create_map(*[x for w, v in model.weights.items() for x in (F.lit(w), F.array(*[F.lit(float(a)) for a in v]))])
-    zero = F.array(*[F.lit(float(p)) for p in model.prior])
-    score = F.aggregate(present, zero, lambda acc, f: F.coalesce(F.zip_with(acc, F.try_element_at(table, f), lambda a, b: a + b), acc))
-    rows = rows.withColumn("__score", score)
-    top = F.array_max("__score")
-    rows = rows.withColumn("__raised", F.transform("__score", lambda s: F.exp(s - top)))
-    norm = sum((F.element_at("__raised", i + 1) for i in range(k)), F.lit(0.0))
-    return rows.withColumn("posterior", F.transform("__raised", lambda x: x / norm)).drop("__words", "__shape", "__score", "__raised")
+        top = max(model.prior)
+        norm = sum(math.exp(p - top) for p in model.prior)
+        return rows.withColumn("posterior", F.array(*[F.lit(math.exp(p - top) / norm) for p in model.prior])).drop("__features")
+    # One bit for each bucket tells whether it has weights, so most words are done with after one look.
+    bits: dict[int, int] = {}
+    for b in model.weights:
+        bits[b >> 5] = bits.get(b >> 5, 0) | 1 << (b & 31)
+    flags = lookup({i: str(v) for i, v in bits.items()}, "bigint", BUCKETS >> 5)
+    tells = lambda h: F.call_function("bit_get", F.get(flags, F.shiftright(bucket(h), 5)), bucket(h).bitwiseAND(F.lit(31))) == 1
+    rows = rows.withColumn("__told", F.array_distinct(F.transform(F.filter("__features", tells), bucket)))
+
+    def score(i: int) -> Column:
+        weight = lookup({b: f"{w[i]:.9g}" for b, w in model.weights.items()}, "double", BUCKETS)
+        return F.aggregate("__told", F.lit(float(model.prior[i])), lambda acc, b: acc + F.get(weight, b))
+
+    rows = rows.withColumns({f"__s{i}": score(i) for i in range(k)})
+    top = F.greatest(*[F.col(f"__s{i}") for i in range(k)]) if k > 1 else F.col("__s0")
+    raised = [F.exp(F.col(f"__s{i}") - top) for i in range(k)]
+    norm = sum(raised[1:], raised[0])
+    return rows.withColumn("posterior", F.array(*[r / norm for r in raised])).drop("__features", "__told", *[f"__s{i}" for i in range(k)])
 
 
 def rate_of(steps: list[list[float]], k: int) -> Column:
@@ -162,19 +185,19 @@ def copies(rate: Column) -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def weigh(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> tuple[DataFrame, Classifier]:
+def weigh(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], fit_rows: int = FIT_ROWS) -> tuple[DataFrame, Classifier]:
     """doc_id, n_tokens, posterior, rate and copies of each of docs (doc_id, text), and the classifier."""
-    model = fit(docs, labels, fit_rows, fit_words)
+    model = fit(docs, labels, fit_rows)
     rows = keep(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", "n_tokens", "posterior"), "posteriors")
     steps = fit_rates(rows, model, targets)
     return rows.withColumn("rate", rate_of(steps, len(model.domains))).withColumn("copies", copies(F.col("rate"))), model
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float]) -> DataFrame:
-    """docs with all columns, each row as often as its copies say."""
+    """docs with all columns, each row as often as its copies say. Rows are written once with their posteriors, so features are read off each text once."""
     model = fit(docs, labels)
-    rows = with_posteriors(docs.select("doc_id", "text"), model).select("n_tokens", "posterior")
-    steps = fit_rates(keep(rows, "posteriors"), model, targets)
     whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    drawn = with_posteriors(whole, model).select("__row", copies(rate_of(steps, len(model.domains))).alias("__copies"))
+    rows = keep(with_posteriors(whole, model).select("doc_id", "__row", "n_tokens", "posterior"), "posteriors")
+    steps = fit_rates(rows, model, targets)
+    drawn = rows.select("__row", copies(rate_of(steps, len(model.domains))).alias("__copies"))
     return drawn.select("__row", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select("__row.*")

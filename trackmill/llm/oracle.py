@@ -13,8 +13,9 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ')
 size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN size x ON x.doc_id = a.doc_id JOIN size y ON y.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+links AS (SELECT a, count(*) AS n FROM link GROUP BY a),
 reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
-SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id FROM d LEFT JOIN size z USING (doc_id) LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id"""
+SELECT d.doc_id, coalesce(any_value(z.n), 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id, coalesce(any_value(k.n), 0) AS n_links FROM d LEFT JOIN size z USING (doc_id) LEFT JOIN links k ON k.a = d.doc_id LEFT JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id"""
 
 OP6 = f"""WITH b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark), d AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
 win AS (SELECT DISTINCT item_id, len(list_slice(w, i + 1, i + 10)) AS n, array_to_string(list_slice(w, i + 1, i + 10), ' ') AS s FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, least(len(w), 1)))) AS i FROM b) x),
@@ -23,12 +24,12 @@ words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) x GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-# What escaping adds: one character for each backslash and each begin of a control string.
-_MORE = r"(length({0}) - length(replace({0}, '\', '')) + len(regexp_extract_all({0}, '<(?:[|]|/?s>|</?SYS>>|(?:start|end)_of_turn>)|[[]/?INST[]]')))"
+# What escaping adds: one character for each backslash, `<` and `[`.
+_MORE = r"(length({0}) - length(translate({0}, '<[\', '')))"
 OP7 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
   SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(text) + length(role) + {_MORE.format('text')} + {_MORE.format('role')} + 23) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
-SQL: dict[str, str] = {"op4_ngram_jaccard": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}
+SQL: dict[str, str] = {"op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}

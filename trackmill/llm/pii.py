@@ -4,8 +4,11 @@ DataFrame functions only. The places of a pattern's matches follow from the piec
 them and the matches that regexp_extract_all() gives, both of one leftmost scan. Patterns start at the first
 character of a run (or where the last match ended), and repeat possessively, so a scan stays linear on long runs.
 
-Base kinds (email, ip, card, phone) stay whatever their score; kinds of the method (iban, ssn) need a score of
-MIN_SCORE from validator and context. Definitions at the edges: a null or empty text has no spans; spans of
+A kind's score is raised where context words of it stand near and lowered where words stand near that speak against
+it. Base kinds (email, ip, card, phone) stay whatever their score; kinds of the method (iban, ssn, secret) need
+MIN_SCORE: an account code that passes its checksum stays unless it is called something else, a nine-digit number or a
+long random string counts only where it is called a taxpayer number or a key. Time for one text grows with its length
+and with the square of its valid spans of one kind. Definitions at the edges: a null or empty text has no spans; spans of
 different kinds may overlap; repeated rows are judged alike; columns called spans are replaced.
 """
 
@@ -23,11 +26,14 @@ MIN_SCORE = 0.5
 #: Characters on either side of a span in which context words count.
 CONTEXT_CHARS = 48
 CONTEXT_BONUS = 0.35
+CONTEXT_MALUS = 0.35
+#: A secret has this many different characters, digits and letters both.
+SECRET_VARIETY = 10
 
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: Java syntax, scanned leftmost. needs: a cheap pattern without which a text is not scanned."""
+    """pattern: Java syntax, scanned leftmost. needs: a cheap pattern without which a text is not scanned. context, against: words that raise or lower the score."""
 
     name: str
     pattern: str
@@ -35,6 +41,7 @@ class Kind:
     context: str
     base: bool
     score: float
+    against: str = "example|sample|dummy"
 
 
 # The patterns of the base kinds.
@@ -43,8 +50,9 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", "address|host|server|ip", True, 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][0-9 -]{11}", "card|visa|credit|payment", True, 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", "phone|call|tel|mobile|fax", True, 0.6),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "iban|account|bank|transfer", False, 0.5),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", "ssn|social security|taxpayer", False, 0.3),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "iban|account|bank|transfer", False, 0.55, "serial|part|order|sku|model|batch"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", "ssn|social security|taxpayer", False, 0.3, "serial|part|order|sku|model|batch"),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}", r"[A-Za-z0-9+/_-]{20}", "[a-z_]*(?:token|secret|key|passw(?:or)?d|pwd|credential)s?|bearer|authorization", False, 0.3, "commit|revision|sha1|sha256|md5|checksum|digest|uuid"),
 )
 
 
@@ -75,6 +83,9 @@ def valid(kind: str, found: Column) -> Column:
         return F.length(digits(found)).between(10, 15)
     if kind == "iban":
         return mod97(found) == 1
+    if kind == "secret":
+        kinds = F.size(F.array_distinct(F.split(found, "")))
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]") & (kinds >= SECRET_VARIETY)
     if kind == "ssn":
         return ~found.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
@@ -100,8 +111,9 @@ def found(text: Column, kind: Kind, number: int) -> Column:
     def scored(s: Column) -> Column:
         low = F.greatest(s["begin"] - CONTEXT_CHARS, F.lit(0))
         around = F.concat_ws(" ", F.substr(text, (low + 1).cast("int"), (s["begin"] - low).cast("int")), F.substr(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS)))
-        near = F.lower(around).rlike(rf"\b(?:{kind.context})\b")
-        return F.struct(s["begin"].alias("begin"), F.lit(number).alias("kind_no"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0)).alias("score"))
+        says = lambda words: F.lower(around).rlike(rf"\b(?:{words})\b")
+        shift = F.when(says(kind.context), CONTEXT_BONUS).otherwise(0.0) - F.when(says(kind.against), CONTEXT_MALUS).otherwise(0.0)
+        return F.struct(s["begin"].alias("begin"), F.lit(number).alias("kind_no"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + shift)), 6).alias("score"))
 
     spans = F.transform(placed, scored)
     if not kind.base:

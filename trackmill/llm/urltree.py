@@ -3,11 +3,14 @@
 The template tree is grown level by level, for all hosts at once. At each node a path segment stays literal if it
 holds a fair share of the node's URLs, or, whatever its share, if its labelled purity differs significantly from
 the node's; all other segments become a wildcard of their shape ({num}, {num}.html, {word}, ..). Literal siblings of
-a fair share whose labelled purity does not differ significantly, and whose subtrees are as deep, merge into one branch. A leaf is a template; it is rejected if the share of bad URLs among its labelled
-ones, smoothed towards the share in all labelled ones, reaches a threshold.
+a fair share whose labelled purity does not differ significantly, and whose subtrees are as deep, merge into one branch. A leaf is a template;
+it is rejected if the share of bad URLs among its labelled ones, smoothed towards the share in all labelled ones, reaches
+REJECT_PURITY, or is REJECT_LIFT times the overall share and REJECT_Z standard errors above it.
 
-Definitions at the edges: a null url, or one without `://`, has empty host and path and the empty template; a
-segment beyond max_depth counts to the tail `**` of its template; without labels the method allows all; repeated
+Levels are grown while some node has enough URLs to keep a literal; below that all segments are shapes, so a few very
+long paths cost no levels.
+
+Definitions at the edges: a null url, or one without `://`, has empty host and path and the empty template; without labels the method allows all; repeated
 rows each count and each get their verdict; null labels count as unlabelled.
 """
 
@@ -18,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import forget, keep
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A segment stays literal with this many URLs and this share of its node's, or this many standard errors from its node's purity.
@@ -30,7 +33,8 @@ SIMILAR_Z = 1.0
 SIMILAR_DEPTH = 0.5
 PRIOR_WEIGHT = 10.0
 REJECT_PURITY = 0.6
-MAX_DEPTH = 12
+REJECT_LIFT = 1.5
+REJECT_Z = 3.0
 
 
 def host_of(url: Column) -> Column:
@@ -61,14 +65,17 @@ def _shape(segment: Column) -> Column:
     return F.concat(kind, end)
 
 
-def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, similar_z: float = SIMILAR_Z, split_z: float = SPLIT_Z) -> DataFrame:
+def templates(pages: DataFrame, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE, similar_z: float = SIMILAR_Z, split_z: float = SPLIT_Z) -> DataFrame:
     """pages (page_id, url, bad: true, false or null where unlabelled) with host, path and template."""
     seen = F.filter(F.split(F.col("path"), "/", -1), lambda s: s != "")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("boolean").alias("bad")).withColumn("__segs", seen).withColumn("template", F.lit(""))
-    depth = rows.agg(F.max(F.size("__segs")).alias("n")).first()["n"] or 0
     labelled, bad = F.count("bad"), F.count_if("bad")
-    for level in range(min(depth, max_depth)):
+    level, kept = 0, None
+    while True:
         at = rows.withColumn("__seg", F.try_element_at("__segs", F.lit(level + 1)))
+        largest = at.filter(F.col("__seg").isNotNull()).groupBy("host", "template").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if largest < min_urls:
+            break
         child = at.filter(F.col("__seg").isNotNull()).groupBy("host", "template", "__seg").agg(
             F.count(F.lit(1)).alias("n"), labelled.alias("n_lab"), bad.alias("n_bad"), F.avg(F.size("__segs")).alias("deep"))
         node = child.groupBy("host", "template").agg(F.sum("n").alias("n_node"), F.sum("n_lab").alias("node_lab"), F.sum("n_bad").alias("node_bad"))
@@ -88,11 +95,13 @@ def templates(pages: DataFrame, max_depth: int = MAX_DEPTH, min_urls: int = MIN_
         joined = at.join(known, ["host", "template", "__seg"], "left")
         step = F.when(F.col("__seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("__name", _shape(F.col("__seg")))))
         rows = keep(joined.withColumn("template", F.concat("template", step)).drop("__seg", "__name"), "rows")
-    tail = F.when(F.size("__segs") > max_depth, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", tail)).drop("__segs")
+        forget(known, *([kept] if kept else []))
+        level, kept = level + 1, rows
+    rest = F.transform(F.slice("__segs", level + 1, F.greatest(F.size("__segs") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), _shape(s)))
+    return rows.withColumn("template", F.concat("template", F.array_join(rest, ""))).drop("__segs")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], prior_weight: float = PRIOR_WEIGHT, reject: float = REJECT_PURITY, **tree: float) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], prior_weight: float = PRIOR_WEIGHT, reject: float = REJECT_PURITY, lift: float = REJECT_LIFT, reject_z: float = REJECT_Z, **tree: float) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of each of pages (page_id, url, bad)."""
     rows = templates(pages, **tree)
     leaves = rows.groupBy("host", "template").agg(F.count("bad").alias("n_lab"), F.count_if("bad").alias("n_bad"))
@@ -100,5 +109,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], prior_weight: floa
     prior = (overall["b"] or 0) / (overall["n"] or 1)
     leaves = leaves.withColumn("purity", (F.col("n_bad") + prior_weight * prior) / (F.col("n_lab") + prior_weight))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("purity") >= reject, "block").otherwise("allow")
-    return rows.join(leaves.select("host", "template", "purity"), ["host", "template"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "purity")
+    error = F.sqrt(F.lit(prior * (1 - prior)) / (F.col("n_lab") + prior_weight))
+    worse = (F.col("purity") >= lift * prior) & (F.col("purity") - prior >= reject_z * error)
+    own = F.when(F.lit(prior > 0) & ((F.col("purity") >= reject) | worse), "block").otherwise("allow")
+    return rows.join(leaves.select("host", "template", "purity", "n_lab"), ["host", "template"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "purity")
