@@ -1,7 +1,8 @@
 """A training corpus from documents in five stages; each takes what the one before kept.
 
-1. language: documents without a language (no letters) go.
-2. near_duplicates: of each group linked by 5-word shingles at a similarity of 0.8, the document of smallest id stays.
+1. language: documents without letters go, and those whose best score is no better than chance would give.
+2. near_duplicates: of each group linked by 5-word shingles at a similarity of 0.8, the document of smallest id stays
+   (null ids last; of rows with equal id and text one); texts without words are linked with nothing and stay.
 3. decontaminate: a document in which a benchmark window occurs goes.
 4. mix: rates from the labelled table's classifier decide how often a document stays.
 5. shard: 24 shards of near-equal bytes, with a slot in each.
@@ -15,20 +16,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.llm import decontam, jaccard, langid, mixing, shards
-from trackmill.llm.common import shared_folder, table
+from trackmill.llm.common import keep, shared_folder, table
 from trackmill.llm.queries import TARGETS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.fit(docs.select("doc_id", "text", "lang"), ~langid.held_out())
-    return langid.identify(docs, filters).filter(F.col("lang_pred") != "und").select(*docs.columns)
+    return langid.identify(docs, filters).filter("lang_known").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal ids in a group one row stays as well."""
-    found = jaccard.join(docs.select("doc_id", "text"), count=False)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows are told apart by id and text together, so repeated and null ids neither lose texts nor keep copies."""
+    key = F.xxhash64("doc_id", "text").alias("__key")
+    rows = keep(docs.select("doc_id", key).groupBy("__key").agg(F.min("doc_id").alias("__id"), F.count(F.lit(1)).alias("__n")), "rows")
+    found = jaccard.join(docs.select(key, "text").withColumnRenamed("__key", "doc_id"), count=False)
+    groups = found.filter("n_shingles > 0").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct()
+    named = keep(groups.join(rows, "__key"), "named")
+    best = named.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key")).alias("b")).select("__group", F.col("b.__key").alias("__best"))
+    stays = named.join(best, "__group").withColumn("__stays", F.col("__key") == F.col("__best"))
+    gone = stays.filter("NOT __stays OR __n > 1").select("__key")
+    repeated = keep(stays.filter("__stays AND __n > 1").select("__key"), "repeated")
+    whole = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    out = whole.join(gone, "__key", "left_anti").select("__row")
+    if not repeated.isEmpty():
+        one = whole.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+        out = out.union(one.select("__row"))
+    return out.select("__row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
