@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -20,6 +22,9 @@ CHUNK_CHARS = 250_000
 #: Bytes of text that a task turns into Python objects at once; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
 
+#: Rows that a kept table's writer holds back before they go to disk.
+ROW_GROUP_BYTES = 16 << 20
+
 _own_folder: list[str] = []
 
 
@@ -44,7 +49,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """df written once to the shared folder and read again: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
@@ -58,6 +63,13 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def trim() -> None:
+    """Gives memory that Python has done with back to the system: idle workers live on beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about limit bytes of column at most, whatever the number of rows that came at once."""
     for batch in batches:
@@ -66,6 +78,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    trim()
 
 
 def chunked(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
