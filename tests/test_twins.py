@@ -184,6 +184,28 @@ def test_similar_runs_of_one(spark):
     assert matching.similar_runs(runs, everything=True, of=1).count() == 4
 
 
+def test_similar_runs_of_a_popular_beach(spark):
+    """The newest of each run from the newest of its beaches: the same as all pairs, ranked."""
+    rng = random.Random(7)
+    runs = [(i, float(rng.randrange(50)), rng.randrange(3) if i % 3 else 0, rng.randrange(12)) for i in range(120)]
+    got = defaultdict(list)
+    for r in matching.similar_runs(spark.createDataFrame(runs, "run_id long, ts double, start_pos int, end_pos int"), top=7).collect():
+        got[r.run_id].append((r["rank"], r.other))
+    for i, _, s, e in runs:
+        others = sorted((-ts, j) for j, ts, s2, e2 in runs if j != i and (s == s2 or e == e2))[:7]
+        assert [o for _, o in sorted(got[i])] == [j for _, j in others]
+
+
+def test_beaches_by_grid_equal_all_beaches(spark):
+    rng = random.Random(9)
+    beaches = [(k, f"b{k}", "R", rng.choice([rng.uniform(20, 21), rng.uniform(-80, 80)]), rng.uniform(-179, 179) if k % 2 else -156 + rng.random()) for k in range(80)] + [(90, "twin", "R", 20.5, -155.5), (91, "twin", "R", 20.5, -155.5)]
+    ends = [(i, w, rng.choice([rng.uniform(20, 21), rng.uniform(-85, 85)]), rng.choice([-156 + rng.random(), rng.uniform(-179, 179)])) for i in range(40) for w in ("first", "last")] + [(50, "first", 20.5, -155.5), (51, "first", None, 1.0)]
+    got = {r.run_id: (r.start_pos, r.end_pos) for r in matching.beaches_of(spark.createDataFrame(ends, "run_id long, which string, lat double, lon double"), spark.createDataFrame(beaches, "beach_id long, beach string, region string, lat double, lon double")).collect()}
+    best = lambda y, x: None if y is None else min((math.dist((y, x), (b[3], b[4])), b[0]) for b in beaches)[1]
+    for i, w, y, x in ends:
+        assert got[i][w == "last"] == best(y, x), (i, w)
+
+
 def test_one_point_run_has_a_start_only(spark):
     points = spark.createDataFrame([(1, 0, 0.0, 20.81, -156.6, 1.0, 0, 1.0)], POINT)
     beaches = spark.createDataFrame([(1, "A", "R", 20.8, -156.6), (2, "B", "R", 20.82, -156.6), (3, "C", "R", 20.9, -156.6)], "beach_id long, beach string, region string, lat double, lon double")
@@ -204,9 +226,10 @@ def test_write_back_modes_and_upsert(spark):
 
 def test_nearest_land_equals_product_form(spark):
     rng = random.Random(4)
-    pts = [(i, 20 + rng.random(), -156 + rng.random()) for i in range(60)]
+    pts = [(i, 20 + rng.random(), -156 + rng.random()) for i in range(60)] + [(100 + i, rng.uniform(-60, 70), rng.uniform(-170, -20)) for i in range(20)] + [(200, 20.5, -155.5), (201, 20.5, -155.5)]
     segs = [(f, s, 20 + rng.random(), -156 + rng.random(), 20 + rng.random(), -156 + rng.random()) for f in range(5) for s in range(6)]
-    segs += [(9, 0, 20.5, -155.5, None, None), (10, 0, 20.1, -155.1, 20.1, -155.1)]
+    segs += [(9, 0, 20.5, -155.5, None, None), (10, 0, 20.1, -155.1, 20.1, -155.1), (11, 0, 60.0, -100.0, 61.0, -40.0), (12, 0, -10.0, -90.0, 10.0, -80.0)]
+    segs += [(13 + i, 0, 64.0 + i * 0.2, -150.0 + 9 * i, 65.0 + i * 0.2, -149.0 + 9 * i) for i in range(8)]
     points = spark.createDataFrame(pts, "run_id long, lat double, lon double")
     coast = spark.createDataFrame(segs, "feature_id long, seg_id long, lat1 double, lon1 double, lat2 double, lon2 double")
     want = {}
@@ -220,8 +243,8 @@ def test_nearest_land_equals_product_form(spark):
             if f not in best or d < best[f][0]:
                 best[f] = (d, p)
         want[i] = min((way((y, x), p), p) for _, p in best.values())[1]
-    for blocks in (500_000, 10):
-        got = {r.run_id: (r.nearest_land_lat, r.nearest_land_lon) for r in nearest.nearest_land(points, coast, blocks).collect()}
+    for size in (0.004, 0.02, 3.0):
+        got = {r.run_id: (r.nearest_land_lat, r.nearest_land_lon) for r in nearest.nearest_land(points, coast, size).collect()}
         assert all(near(got[i][0], want[i][0], 1e-9) and near(got[i][1], want[i][1], 1e-9) for i in want)
     assert nearest.nearest_land(points, coast.limit(0)).filter("nearest_land_lat IS NOT NULL").count() == 0
     gaps = spark.createDataFrame([(1, None, -156.0)], "run_id long, lat double, lon double")
@@ -235,6 +258,11 @@ def test_conditions_edges(spark):
     assert set(stats) == {1, 2, 3} and stats[1].avg_wavg == 1.0 and stats[1].avg_wdir == 0 and stats[3].avg_wavg is None
     got = sorted((r.run_id, r.tsi, r.event_id) for r in conditions.slice_for_runs(runs, wind, conditions.WIND_SITES).collect())
     assert got == [(1, 7200.0, 1), (1, 7800.0, 2), (2, 7200.0, 1), (2, 7800.0, 2)]
+    # Three hours further west the day began at 03:00, so the reading before is of another day; the run's end is on the same.
+    west = spark.createDataFrame([(1, 10900.0, 600.0, "Kihei"), (2, 90000.0, 30000.0, "Kihei")], "run_id long, ts double, duration_sec double, region string")
+    wind = spark.createDataFrame([("kihei", t, 1.0, 1.0, 1.0, i) for i, t in enumerate([10700.0, 11000.0, 86000.0, 97000.0, 97300.0])], "site string, tsi double, wavg double, wgust double, wdir double, event_id int")
+    got = sorted((r.run_id, r.tsi, r.event_id) for r in conditions.slice_for_runs(west, wind, conditions.WIND_SITES, zone="Etc/GMT+3").collect())
+    assert got == [(1, 10900.0, 1), (2, 90000.0, 2), (2, 97000.0, 3)]
 
 
 def test_wind_rose_keeps_odd_bins(spark):

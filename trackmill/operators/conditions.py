@@ -27,9 +27,9 @@ def site_of(region: Column, sites: Mapping[str, str]) -> Column:
     return out
 
 
-def in_interval(runs: DataFrame, readings: DataFrame, begin: Column, end: Column, sites: Mapping[str, str], key: str = "run_id") -> DataFrame:
-    """key, __begin and the readings (site, tsi, ..) of each run (with region) from begin to end, both included."""
-    asked = runs.select(key, site_of(F.col("region"), sites).alias("__site"), begin.alias("__begin"), end.alias("__end")).filter("__site IS NOT NULL AND __begin <= __end")
+def in_interval(runs: DataFrame, readings: DataFrame, begin: Column, end: Column, sites: Mapping[str, str], key: str = "run_id", carry: Mapping[str, Column] | None = None) -> DataFrame:
+    """key, __begin, the columns of carry and the readings (site, tsi, ..) of each run (with region) from begin to end, both included."""
+    asked = runs.select(key, *[c.alias(n) for n, c in (carry or {}).items()], site_of(F.col("region"), sites).alias("__site"), begin.alias("__begin"), end.alias("__end")).filter("__site IS NOT NULL AND __begin <= __end")
     hours = asked.withColumn("__hour", F.explode(F.sequence(F.floor(F.col("__begin") / HOUR), F.floor(F.col("__end") / HOUR))))
     cut = readings.withColumn("__hour", F.floor(F.col("tsi") / HOUR))
     met = hours.join(cut, (F.col("__site") == F.col("site")) & (hours["__hour"] == cut["__hour"]))
@@ -54,16 +54,18 @@ def with_wind(runs: DataFrame, wind: DataFrame, sites: Mapping[str, str] = WIND_
     return runs.join(wind_by_run(runs, wind, sites, key=key), key, "left")
 
 
-def slice_for_runs(runs: DataFrame, readings: DataFrame, sites: Mapping[str, str], key: str = "run_id", same_day: bool = True, lookback_s: float = 86_400) -> DataFrame:
+def slice_for_runs(runs: DataFrame, readings: DataFrame, sites: Mapping[str, str], key: str = "run_id", same_day: bool = True, lookback_s: float = 86_400, zone: str = "UTC") -> DataFrame:
     """Readings of each run in [start, end] and the last one before; the first row's time is moved to the start.
 
-    same_day keeps to readings of the start's (UTC) day, as they are stored; else the one before may be up to lookback_s
+    same_day keeps to readings of the start's day in zone; else the one before may be up to lookback_s
     old. A run without any reading has no rows.
     """
-    day = F.floor(F.col("ts") / 86_400) * 86_400
+    local = F.from_utc_timestamp(F.timestamp_seconds(F.col("ts")), zone)
+    midnight = lambda t: F.unix_micros(F.to_utc_timestamp(t, zone)) / 1_000_000
+    day, next_day = midnight(F.date_trunc("day", local)), midnight(F.date_trunc("day", local) + F.expr("INTERVAL 1 DAY"))
     begin = day if same_day else F.col("ts") - lookback_s
-    end = F.least(F.col("ts") + F.col("duration_sec"), day + 86_400 - 0.000001) if same_day else F.col("ts") + F.col("duration_sec")
-    met = in_interval(runs, readings, begin, end, sites, key).join(runs.select(key, F.col("ts").alias("__start")), key).drop("__begin")
+    end = F.least(F.col("ts") + F.col("duration_sec"), next_day - 0.000001) if same_day else F.col("ts") + F.col("duration_sec")
+    met = in_interval(runs, readings, begin, end, sites, key, {"__start": F.col("ts")}).drop("__begin")
     order = Window.partitionBy(key).orderBy(F.desc("tsi"), F.desc("event_id") if "event_id" in readings.columns else F.lit(0))
     before = met.filter("tsi < __start").withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
     rows = met.filter("tsi >= __start").unionByName(before)

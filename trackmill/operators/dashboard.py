@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import foil_name
-from .matching import small
 
 DRY_LIMIT = 0.97
 
@@ -95,4 +94,4 @@ def beach_names(runs: DataFrame) -> DataFrame:
 
 def recent_points(points: DataFrame, runs: DataFrame, days: int = 14, key: str = "run_id", as_of: Column | None = None) -> DataFrame:
     """Points of recent runs."""
-    return points.join(small(recent(runs, days, as_of=as_of).select(key)), key, "left_semi")
+    return points.join(recent(runs, days, as_of=as_of).select(key), key, "left_semi")

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import attach_runs, end_beaches, match_runs, new_files, require_matched
+from ..sources.sinks import by_partition
+from .dashboard import recent_points
+from .matching import attach_runs, beaches_of, file_starts, match_files, new_files, require_matched
 from .merge import apply_stats
-from .nearest import nearest_land
-from .runstats import furthest_from_land, run_stats
+from .nearest import distance_to_land, nearest_land
+from .runstats import furthest_from_land, run_ends_of, run_stats
 from .tracks import with_distance, with_trailing_means
 
 
 def import_points(staged: DataFrame, runs: DataFrame, known: DataFrame, coast: DataFrame) -> DataFrame:
-    """Points (run_id and derived columns) of the staged files that are new; raises if one matches no run."""
+    """Points (run_id and derived columns) of the staged files that are new; raises if one matches no run.
+
+    Fixes of one file at one tsi are ordered by seq; where staged has none, by a hash of their values, which a repeated
+    read gives again (a row number made while reading would not be the same after a retry).
+    """
     fresh = new_files(staged, runs, known)
     rows = fresh.withColumn("seq", F.xxhash64("tsi", "lat", "lon")) if "seq" not in fresh.columns else fresh
-    matches = match_runs(rows, runs)
-    require_matched(rows, matches)
+    # One row for each file: kept, so that the check and the join do not read all points for it again.
+    starts = file_starts(rows).persist()
+    matches = match_files(starts, runs)
+    require_matched(starts, matches)
     measured = with_trailing_means(with_distance(rows.drop("distance", "avg_speed_15s", "avg_speed_1k"), "filename"), "filename")
     return nearest_land(attach_runs(measured, matches).withColumnRenamed("id", "run_id"), coast)
 
@@ -26,7 +34,8 @@ def update_runs(runs: DataFrame, points: DataFrame, beaches: DataFrame) -> DataF
     """runs (id) with all statistics of points (run_id), each written back in its own mode."""
     stats = run_stats(points)
     out = runs
-    groups = {"overwrite": ["ts", "max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km", "longest_segment_distance", "longest_segment_start", "longest_segment_end"],
+    days = [c for c in ("date", "time") if c in stats.columns]
+    groups = {"overwrite": ["ts", *days, "max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km", "longest_segment_distance", "longest_segment_start", "longest_segment_end"],
               "all": ["duration_on_foil", "distance_on_foil"]}
     for mode, columns in groups.items():
         out = apply_stats(out, stats.select(F.col("run_id").alias("id"), *columns), "id", mode)
@@ -35,6 +44,11 @@ def update_runs(runs: DataFrame, points: DataFrame, beaches: DataFrame) -> DataF
         out = apply_stats(out, some, "id", "overwrite")
     for columns in (["min_foiling_hr", "avg_foiling_hr"], ["max_speed_1k"]):
         out = apply_stats(out, stats.select(F.col("run_id").alias("id"), *columns), "id", "fill")
-    for side in (furthest_from_land(points), end_beaches(points, beaches)):
+    for side in (furthest_from_land(points), beaches_of(run_ends_of(stats), beaches)):
         out = apply_stats(out, side.withColumnRenamed("run_id", "id"), "id", "fill")
     return out
+
+
+def publish_points(points: DataFrame, runs: DataFrame, path: str, days: int = 14, as_of: Column | None = None, key: str = "run_id") -> None:
+    """Points (with the nearest land) of recent runs with distance_to_land, one folder and one sorted, gzipped file for each run."""
+    by_partition(distance_to_land(recent_points(points, runs, days, key, as_of)), path, [key], "tsi", gzip=True)

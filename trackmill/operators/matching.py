@@ -6,29 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import flat_distance
+from . import grid
 
-#: Beaches, regions and the run list are reference tables; up to so many rows they are broadcast.
-BROADCAST_ROWS = 200_000
 
+def file_starts(points: DataFrame) -> DataFrame:
+    """filename and first_tsi of each file: all that matching needs of the points."""
+    return points.groupBy("filename").agg(F.min("tsi").alias("first_tsi"))
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a bounded count shows that it is small; else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-
-def match_runs(points: DataFrame, runs: DataFrame, tolerance_s: float = 300, sport: str = "Downwind") -> DataFrame:
+def match_files(starts: DataFrame, runs: DataFrame, tolerance_s: float = 300, sport: str = "Downwind") -> DataFrame:
     """filename, id: each file with every run of the sport that starts less than tolerance_s from the file's first fix.
 
     A band join by time buckets: a file looks into its own bucket and both neighbours.
     """
-    first = points.groupBy("filename").agg(F.min("tsi").alias("first_tsi"))
-    near = first.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("first_tsi") / tolerance_s) + d)))
+    near = starts.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("first_tsi") / tolerance_s) + d)))
     listed = runs.filter(F.col("sport") == sport).select("id", F.col("ts").alias("__ts"), F.floor(F.col("ts") / tolerance_s).alias("__b"))
     return near.join(listed, "__b").filter(F.abs(F.col("__ts") - F.col("first_tsi")) < tolerance_s).select("filename", "id")
 
 
+def match_runs(points: DataFrame, runs: DataFrame, tolerance_s: float = 300, sport: str = "Downwind") -> DataFrame:
+    """match_files() of points."""
+    return match_files(file_starts(points), runs, tolerance_s, sport)
+
+
 def unmatched(points: DataFrame, matches: DataFrame) -> DataFrame:
-    """Files without a run."""
+    """Files without a run. points may be file_starts() of them."""
     return points.select("filename").distinct().subtract(matches.select("filename"))
 
 
@@ -40,8 +42,8 @@ def require_matched(points: DataFrame, matches: DataFrame, shown: int = 20) -> N
 
 
 def attach_runs(points: DataFrame, matches: DataFrame) -> DataFrame:
-    """points with the id of each run that their file matches."""
-    return points.join(small(matches), "filename")
+    """points with the id of each run that their file matches; the planner picks the join by what matches turn out to weigh."""
+    return points.join(matches, "filename")
 
 
 def new_files(files: DataFrame, runs: DataFrame, points: DataFrame, key: str = "run_id") -> DataFrame:
@@ -55,7 +57,7 @@ def resolve_beaches(runs: DataFrame, beaches: DataFrame) -> DataFrame:
     start = beaches.select(F.col("beach_id").alias("start_pos"), F.col("beach").alias("start_beach"), "region")
     end = beaches.select(F.col("beach_id").alias("end_pos"), F.col("beach").alias("end_beach"))
     kept = runs.select(*[c for c in runs.columns if c != "region"])
-    return kept.join(small(start), "start_pos").join(small(end), "end_pos")
+    return kept.join(start, "start_pos").join(end, "end_pos")
 
 
 def run_ends(points: DataFrame, key: str = "run_id") -> DataFrame:
@@ -67,33 +69,43 @@ def run_ends(points: DataFrame, key: str = "run_id") -> DataFrame:
     return rows.filter("e.which = 'first' OR n > 1").select(key, "e.which", "e.lat", "e.lon")
 
 
-def end_beaches(points: DataFrame, beaches: DataFrame, key: str = "run_id", step: float = 0.5) -> DataFrame:
-    """key, start_pos, end_pos: the beaches nearest, in flat degrees, to each run's first and last fix (ties: the smaller id).
+def end_beaches(points: DataFrame, beaches: DataFrame, key: str = "run_id", size: float = grid.SIZE) -> DataFrame:
+    """key, start_pos, end_pos: the beaches nearest, in flat degrees, to each run's first and last fix (ties: the smaller id)."""
+    return beaches_of(run_ends(points, key), beaches, key, size)
 
-    The few beaches are folded into one array row (a count bounds it), so each end picks its own without a product of tables.
-    """
-    if beaches.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} beaches: split them by region")
-    listed = beaches.agg(F.sort_array(F.collect_list(F.struct("beach_id", "lat", "lon"))).alias("all"))
-    ends = run_ends(points, key).join(F.broadcast(listed), F.lit(True))
-    far = F.transform("all", lambda b: F.struct(flat_distance(F.col("lat"), F.col("lon"), b["lat"], b["lon"]).alias("d"), b["beach_id"].alias("beach_id")))
-    near = ends.withColumn("beach_id", F.array_min(far)["beach_id"])
+
+def beaches_of(ends: DataFrame, beaches: DataFrame, key: str = "run_id", size: float = grid.SIZE) -> DataFrame:
+    """The same from ends (key, which, lat, lon), which meet only the beaches near their own cell of a grid."""
+    places = ends.select("lat", "lon").filter(grid.usable(F.col("lat"), F.col("lon"), size)).distinct()
+    spots = beaches.select("beach_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lit(None).cast("double").alias("lat2"), F.lit(None).cast("double").alias("lon2"))
+    met = grid.with_cell(places, size).join(grid.candidates(places, spots, ["beach_id"], size=size), ["ci", "cj"])
+    far = flat_distance(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))
+    best = met.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("far"), "beach_id")).alias("b")).select("lat", "lon", F.col("b.beach_id").alias("beach_id"))
+    near = ends.join(best, ["lat", "lon"], "left")
     return near.groupBy(key).agg(F.max(F.when(F.col("which") == "first", F.col("beach_id"))).alias("start_pos"), F.max(F.when(F.col("which") == "last", F.col("beach_id"))).alias("end_pos"))
 
 
-def similar_runs(runs: DataFrame, key: str = "run_id", everything: bool = False, of: object | None = None) -> DataFrame:
-    """key, other, other_ts, rank: the other runs that share a start or end beach with each (or all others of run `of`), newest first.
+def similar_runs(runs: DataFrame, key: str = "run_id", everything: bool = False, of: object | None = None, top: int = 20) -> DataFrame:
+    """key, other, other_ts, rank: the other runs that share a start or end beach with run `of` (or, with everything, all others), newest first.
 
-    Two equi-joins instead of an OR join. With everything, `of` names the one run asked about.
+    Without `of`, the newest `top` of each run: beaches are cut down to their newest runs first, so a popular beach never
+    pairs all its runs.
     """
     other = runs.select(F.col(key).alias("other"), F.col("ts").alias("other_ts"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"))
-    own = runs if of is None else runs.filter(F.col(key) == of)
+    newest = Window.partitionBy(key).orderBy(F.desc("other_ts"), "other")
     if everything:
         if of is None:
             raise ValueError("all other runs are listed for one run at a time")
         pairs = other.filter(F.col("other") != of).select(F.lit(of).alias(key), "other", "other_ts")
-    else:
-        by_start = own.join(other, F.col("start_pos") == F.col("__s")).select(key, "other", "other_ts")
-        by_end = own.join(other, F.col("end_pos") == F.col("__e")).select(key, "other", "other_ts")
-        pairs = by_start.union(by_end).filter(F.col(key) != F.col("other")).dropDuplicates([key, "other"])
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("other_ts"), "other")))
+        return pairs.withColumn("rank", F.row_number().over(newest))
+    own = runs if of is None else runs.filter(F.col(key) == of)
+
+    def sharing(side: str, own_side: str) -> DataFrame:
+        # A run's own row may be among the newest of its beach, hence one more.
+        place = Window.partitionBy(side).orderBy(F.desc("other_ts"), "other")
+        some = other if of is not None else other.withColumn("__rn", F.row_number().over(place)).filter(F.col("__rn") <= top + 1)
+        return own.join(some, F.col(own_side) == F.col(side)).select(key, "other", "other_ts")
+
+    pairs = sharing("__s", "start_pos").union(sharing("__e", "end_pos")).filter(F.col(key) != F.col("other")).dropDuplicates([key, "other"])
+    ranked = pairs.withColumn("rank", F.row_number().over(newest))
+    return ranked if of is not None else ranked.filter(F.col("rank") <= top)

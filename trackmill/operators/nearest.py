@@ -2,94 +2,36 @@
 
 Within a feature (a line, or a single point) the nearest point is found in the flat latitude/longitude plane;
 among features the one whose nearest point is closest on the sphere wins (ties: the smaller feature id). A fix
-without any feature keeps nulls.
+without any feature, or without a position, keeps nulls.
+
+Fixes meet only the segments near their own cell of a grid, by equi-joins; each different position is held against
+them once. All of it is column expressions, joins and sums, and nothing of the coastline passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_RADIUS_M, haversine_m
-from ..shipping import ship
-
-#: Segments that go to each task as arrays (five doubles each); longer coastlines go in so many passes.
-SEGMENTS = 500_000
-
-
-def _sphere(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
-    a, b = np.radians(lat1), np.radians(lat2)
-    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(h, 1)))
-
+from ..functions.geo import haversine_m
+from . import grid
 
-class Coast:
-    """Segments sorted by feature, ready for whole columns of fixes."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values(["feature_id", "seg_id"])
-        self.ids, self.first = np.unique(rows["feature_id"].to_numpy(), return_index=True)
-        self.y, self.x = rows["lat1"].to_numpy(float), rows["lon1"].to_numpy(float)
-        self.dy = rows["lat2"].fillna(rows["lat1"]).to_numpy(float) - self.y
-        self.dx = rows["lon2"].fillna(rows["lon1"]).to_numpy(float) - self.x
-        self.square = self.dy**2 + self.dx**2
-
-    def nearest(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Latitude, longitude and great-circle distance of the nearest point of each fix."""
-        along = (lat[:, None] - self.y) * self.dy + (lon[:, None] - self.x) * self.dx
-        t = np.clip(np.divide(along, self.square, out=np.zeros_like(along), where=self.square > 0), 0, 1)
-        py, px = self.y + t * self.dy, self.x + t * self.dx
-        flat = (lat[:, None] - py) ** 2 + (lon[:, None] - px) ** 2
-        best = np.minimum.reduceat(flat, self.first, axis=1)
-        owner = np.repeat(np.arange(len(self.ids)), np.diff(np.append(self.first, flat.shape[1])))
-        at = np.where(flat == best[:, owner], np.arange(flat.shape[1]), flat.shape[1])
-        at = np.minimum.reduceat(at, self.first, axis=1)  # the first segment at that distance
-        row = np.arange(len(lat))[:, None]
-        far = _sphere(lat[:, None], lon[:, None], py[row, at], px[row, at])
-        win = far.argmin(axis=1)
-        pick = at[np.arange(len(lat)), win]
-        return py[np.arange(len(lat)), pick], px[np.arange(len(lat)), pick], far[np.arange(len(lat)), win]
-
-
-def nearest_land(points: DataFrame, segments: DataFrame, block: int = SEGMENTS) -> DataFrame:
+def nearest_land(points: DataFrame, segments: DataFrame, size: float = grid.SIZE) -> DataFrame:
     """points plus nearest_land_lat and nearest_land_lon; segments: feature_id, seg_id, lat1, lon1, lat2, lon2 (null: a point).
 
-    The coastline reaches the driver and the tasks in blocks of whole features, each of about block segments; points
-    pass once per block and keep the closest so far.
+    size: degrees of the grid's smallest cell, which only matters for speed.
     """
-    ship(points.sparkSession)
-    out = points.withColumns({"nearest_land_lat": F.lit(None).cast("double"), "nearest_land_lon": F.lit(None).cast("double"), "__far": F.lit(None).cast("double")})
-    count = segments.count()
-    blocks = max(1, -(-count // block)) if count else 0
-    for b in range(blocks):
-        part = segments.filter(F.pmod(F.xxhash64("feature_id"), F.lit(blocks)) == b).toPandas()
-        if not len(part):
-            continue
-        shared = points.sparkSession.sparkContext.broadcast(Coast(part))
-
-        def passed(batches: Iterator[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
-            step = max(1, 4_000_000 // len(shared.value.x))
-            for pdf in batches:
-                for a in range(0, len(pdf), step):
-                    some = pdf.iloc[a : a + step].copy()
-                    lat, lon = some["lat"].to_numpy(float), some["lon"].to_numpy(float)
-                    ok = ~(np.isnan(lat) | np.isnan(lon))
-                    y, x, far = (np.full(len(some), np.nan) for _ in range(3))
-                    if ok.any():
-                        y[ok], x[ok], far[ok] = shared.value.nearest(lat[ok], lon[ok])
-                    old = some["__far"].to_numpy(float)
-                    better = ok & ~(old <= far)
-                    for name, new in (("nearest_land_lat", y), ("nearest_land_lon", x), ("__far", far)):
-                        some[name] = np.where(better, new, some[name].to_numpy(float))
-                    yield some
-
-        out = out.mapInPandas(passed, out.schema)
-        out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("nearest_land_lat", "nearest_land_lon", "__far")})
-    return out.drop("__far")
+    places = points.select("lat", "lon").filter(grid.usable(F.col("lat"), F.col("lon"), size)).distinct()
+    near = grid.candidates(places, segments, ["feature_id"], sphere=True, size=size)
+    met = grid.with_cell(places, size).join(near, ["ci", "cj"])
+    y, x, square = grid.point_on(F.col("lat"), F.col("lon"))
+    flat = met.select("lat", "lon", "feature_id", y.alias("y"), x.alias("x"), square.alias("square"))
+    of_feature = flat.groupBy("lat", "lon", "feature_id").agg(F.min_by("y", "square").alias("y"), F.min_by("x", "square").alias("x"))
+    far = haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
+    best = of_feature.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("far"), "feature_id", "y", "x")).alias("b"))
+    best = best.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("b.y").alias("nearest_land_lat"), F.col("b.x").alias("nearest_land_lon"))
+    return points.join(best, (F.col("lat") == F.col("__lat")) & (F.col("lon") == F.col("__lon")), "left").drop("__lat", "__lon")
 
 
 def distance_to_land(points: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ def micros(seconds: Column) -> Column:
     return F.rint(seconds * 1_000_000).cast("long")
 
 
-def with_distance(points: DataFrame, key: str = "run_id", lat: str = "lat", lon: str = "lon") -> DataFrame:
+def with_distance(points: DataFrame, key: str = "run_id", lat: str = "lat", lon: str = "lon", order: WindowSpec | None = None) -> DataFrame:
     """points plus step_m (metres from the previous fix, 0 for the first) and distance (running metres)."""
-    w = by_run(key)
+    w = order or by_run(key)
     step = F.coalesce(haversine_m(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon)), F.lit(0.0))
     return points.withColumn("step_m", step).withColumn("distance", F.sum("step_m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 

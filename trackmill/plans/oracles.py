@@ -89,10 +89,11 @@ def N(*columns: str) -> str:
     return ", ".join(f"round({c} + 1e-9, 6) AS {c.split('.')[-1]}" for c in columns)
 
 
-def slice_sql(table: str, sites: str, columns: str) -> str:
+def slice_sql(table: str, sites: str, columns: str, shift: int = 0) -> str:
+    """shift: seconds by which the day begins later than in UTC."""
     return f"""SELECT run_id, event_id, round(CASE WHEN row_number() OVER (PARTITION BY run_id ORDER BY tsi, event_id) = 1 THEN ts ELSE tsi END, 6) AS tsi, {columns} FROM
       (SELECT r.run_id, r.ts, w.*, row_number() OVER (PARTITION BY r.run_id, w.tsi < r.ts ORDER BY w.tsi DESC, w.event_id DESC) AS k FROM regions r JOIN {table} w ON w.site = {sites}
-       AND w.tsi >= floor(r.ts / 86400) * 86400 AND w.tsi <= least(r.ts + r.duration_sec, floor(r.ts / 86400) * 86400 + 86400 - 0.000001)) x WHERE tsi >= ts OR k = 1"""
+       AND w.tsi >= floor((r.ts - {shift}) / 86400) * 86400 + {shift} AND w.tsi <= least(r.ts + r.duration_sec, floor((r.ts - {shift}) / 86400) * 86400 + {shift} + 86400 - 0.000001)) x WHERE tsi >= ts OR k = 1"""
 
 
 _STATS = "max_speed_kmh,avg_speed_kmh,duration_sec,distance_km,avg_foiling_hr,max_speed_1k,duration_on_foil,distance_on_foil,longest_segment_distance,longest_segment_start,longest_segment_end,distance_to_first_paddle_up".split(",")
@@ -103,6 +104,13 @@ _COMPASS = "list_extract(['N','E','S','W'], CAST(floor(sector * 10 / 90.0 + 0.5)
 
 _POINTS = (["N", "E", "S", "W"], ["N", "NE", "E", "SE", "S", "SW", "W", "NW"], "N NNE NE ENE E ESE SE SSE S SSW SW WSW W WNW NW NNW".split())
 
+_US = "CAST(round_even(tsi * 1000000, 0) AS BIGINT)"
+_WEEKS = "(SELECT * REPLACE (ts + run_id * 400000 AS ts, CAST(make_timestamp(CAST((ts + run_id * 400000) * 1000000 AS BIGINT)) AS DATE) - CAST(dayofweek(make_timestamp(CAST((ts + run_id * 400000) * 1000000 AS BIGINT))) AS INT) AS week) FROM info)"
+_ISO = "strftime(make_timestamp({0}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN us % 1000000 > 0 THEN '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') ELSE '' END"
+_BUOY = """SELECT strftime(make_timestamp(CAST(floor(tsi / 60) * 60 AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN event_id % 10 <> 0 THEN round(floor(wave_height * 10) / 10, 1) END AS wave_height, round(wave_period, 1) AS wave_period,
+      round(floor(water_temp * 10) / 10, 1) AS water_temp, CAST(wave_direction AS INT) AS wave_direction FROM swell"""
+_RECENT = 1704067200 + 2 * 86400
+
 BODIES = {
     "run_stats": f"SELECT r.run_id, r.ts, {R(*['r.' + c for c in _STATS[:4]])}, h.min_foiling_hr, {R('h.avg_foiling_hr')}, {N('k.max_speed_1k')}, {R('f.duration_on_foil', 'f.distance_on_foil', *['l.' + c for c in _STATS[8:11]])}, p.paddle_up_count, {R('d.distance_to_first_paddle_up')} FROM rolled r LEFT JOIN hearts h USING (run_id) LEFT JOIN best1k k USING (run_id) LEFT JOIN foil f USING (run_id) LEFT JOIN longest l USING (run_id) LEFT JOIN paddle p USING (run_id) LEFT JOIN firsts d USING (run_id)",
     "distance_running": f"SELECT run_id, seq, {R('step_m', 'distance')} FROM dist",
@@ -112,7 +120,7 @@ BODIES = {
     "islands_longest": f"SELECT run_id, {R('longest_segment_distance', 'longest_segment_start', 'longest_segment_end')} FROM longest",
     "paddle_ups": "SELECT run_id, paddle_up_count FROM paddle",
     "first_paddle_up": f"SELECT run_id, {R('distance_to_first_paddle_up')} FROM firsts",
-    "run_rollup": f"SELECT run_id, {R('ts', 'max_speed_kmh', 'avg_speed_kmh', 'duration_sec', 'distance_km')} FROM rolled",
+    "run_rollup": f"SELECT run_id, date, time, {R('ts', 'max_speed_kmh', 'avg_speed_kmh', 'duration_sec', 'distance_km')} FROM rolled JOIN (SELECT run_id, min(strftime(make_timestamp(us), '%Y-%m-%d')) AS date, min(strftime(make_timestamp(us), '%H:%M:%S')) AS time FROM dist GROUP BY run_id) d USING (run_id)",
     "heart_rates": f"SELECT run_id, min_foiling_hr, {R('avg_foiling_hr')} FROM hearts",
     "max_speed_1k": f"SELECT run_id, {N('max_speed_1k')} FROM best1k",
     "foil_totals": f"SELECT run_id, {R('duration_on_foil', 'distance_on_foil')} FROM foil",
@@ -136,7 +144,7 @@ BODIES = {
     "write_back_overwrite": "SELECT r.run_id, round(CASE WHEN s.run_id IS NULL THEN r.duration_sec ELSE s.duration_on_foil END, 6) AS duration_sec FROM run_list r LEFT JOIN (SELECT * FROM foil WHERE run_id % 2 = 0) s USING (run_id)",
     "write_back_fill": "SELECT r.run_id, round(CASE WHEN r.run_id % 3 = 0 THEN s.duration_on_foil ELSE r.duration_sec END, 6) AS duration_sec FROM run_list r LEFT JOIN foil s USING (run_id)",
     "write_back_all": "SELECT r.run_id, round(s.duration_on_foil, 6) AS duration_sec FROM run_list r LEFT JOIN (SELECT * FROM foil WHERE run_id % 2 = 0) s USING (run_id)",
-    "similar_runs": "SELECT a.run_id, b.run_id AS other, row_number() OVER (PARTITION BY a.run_id ORDER BY b.ts DESC, b.run_id) AS rank FROM resolved a JOIN resolved b ON a.run_id <> b.run_id AND (a.start_pos = b.start_pos OR a.end_pos = b.end_pos)",
+    "similar_runs": "SELECT a.run_id, b.run_id AS other, row_number() OVER (PARTITION BY a.run_id ORDER BY b.ts DESC, b.run_id) AS rank FROM resolved a JOIN resolved b ON a.run_id <> b.run_id AND (a.start_pos = b.start_pos OR a.end_pos = b.end_pos) QUALIFY rank <= 20",
     "wind_by_run": f"SELECT run_id, {R('avg_wavg', 'max_wavg', 'avg_wgust', 'max_wgust')}, avg_wdir FROM regions LEFT JOIN wind_stats USING (run_id) WHERE region <> 'ASIA'",
     "run_list_with_wind": f"SELECT run_id, region, {R('avg_wavg', 'max_wgust')}, avg_wdir FROM regions LEFT JOIN wind_stats USING (run_id)",
     "wind_slice": slice_sql("wind", "CASE r.region WHEN 'AFRICA' THEN 'kihei' WHEN 'AMERICA' THEN 'hookipa' END", R("wavg", "wgust", "wdir")),
@@ -184,16 +192,41 @@ BODIES = {
     "enriched_runs": "SELECT run_id, strftime(month, '%Y-%m-%d') AS month, strftime(week, '%Y-%m-%d') AS week, dry, round(distance_on_foil / nullif(distance_km * 1000, 0), 6) AS pct_dist_on_foil, round(duration_on_foil / nullif(duration_sec, 0), 6) AS pct_time_on_foil FROM info",
     "dashboard_totals": f"SELECT count(*) AS n_runs, {', '.join(f'round(sum({c}), 4) AS sum_{c}' for c in ('duration_sec', 'distance_km'))}, CAST(sum(paddle_up_count) AS BIGINT) AS sum_paddle_up_count, {', '.join(f'round(max({c}) + 1e-9, 6) AS {c}, arg_max(run_id, struct_pack(v := {c}, t := -ts)) AS {c}_run' for c in ('max_speed_kmh', 'max_speed_1k', 'longest_segment_distance'))} FROM info",
     "outings": "SELECT strftime(month, '%Y-%m-%d') AS month, region, count(*) AS n, round(sum(duration_sec), 4) AS duration_sec, CAST(sum(count(*)) OVER (PARTITION BY month) AS BIGINT) AS month_n, round(sum(sum(duration_sec)) OVER (PARTITION BY month), 4) AS month_duration_sec FROM info GROUP BY info.month, region",
-    "weekly_band": "SELECT strftime(week, '%Y-%m-%d') AS week, round(min(max_speed_1k) + 1e-9, 6) AS low, round(max(max_speed_1k) + 1e-9, 6) AS high, count(*) AS n, arg_min(start_beach, ts) AS start_beach, arg_min(end_beach, ts) AS end_beach FROM info GROUP BY info.week",
-    "weekly_heart_rates": "SELECT strftime(week, '%Y-%m-%d') AS week, min(min_foiling_hr) AS low_min_foiling_hr, max(min_foiling_hr) AS high_min_foiling_hr, round(min(avg_foiling_hr), 6) AS low_avg_foiling_hr, round(max(avg_foiling_hr), 6) AS high_avg_foiling_hr, count(*) AS n FROM info WHERE min_foiling_hr > 0 GROUP BY info.week",
+    "weekly_band": "SELECT strftime(week, '%Y-%m-%d') AS week, round(min(max_speed_1k) + 1e-9, 6) AS low, round(max(max_speed_1k) + 1e-9, 6) AS high, count(*) AS n, arg_min(start_beach, ts) AS start_beach, arg_min(end_beach, ts) AS end_beach FROM " + _WEEKS + " i GROUP BY i.week",
+    "weekly_heart_rates": "SELECT strftime(week, '%Y-%m-%d') AS week, min(min_foiling_hr) AS low_min_foiling_hr, max(min_foiling_hr) AS high_min_foiling_hr, round(min(avg_foiling_hr), 6) AS low_avg_foiling_hr, round(max(avg_foiling_hr), 6) AS high_avg_foiling_hr, count(*) AS n FROM " + _WEEKS + " i WHERE min_foiling_hr > 0 GROUP BY i.week",
     "launches": "SELECT start_beach, end_beach, count(*) AS n FROM info GROUP BY ALL",
     "beach_totals": "SELECT beach, CAST(sum(a) AS BIGINT) AS launches, CAST(sum(b) AS BIGINT) AS landings FROM (SELECT start_beach AS beach, 1 AS a, 0 AS b FROM info UNION ALL SELECT end_beach, 0, 1 FROM info) x GROUP BY beach",
     "beach_names": "SELECT start_beach AS beach FROM info UNION SELECT end_beach FROM info",
-    "dry_runs": "SELECT run_id, ts FROM info WHERE dry ORDER BY ts DESC",
+    "dry_runs": "SELECT run_id, ts FROM info WHERE longest_segment_distance / nullif(distance_on_foil, 0) > 0.12 ORDER BY ts DESC",
     "newest_first": "SELECT run_id, ts FROM info ORDER BY ts DESC, run_id",
     "latest_run": "SELECT run_id, ts FROM info ORDER BY ts DESC, run_id LIMIT 1",
     "recent_points": "SELECT p.run_id, p.seq FROM track_points p JOIN run_list r USING (run_id) WHERE r.ts > 1704067200 + 16 * 86400 - 14 * 86400",
     "compare_splits": "SELECT coalesce(l.left_run, r.left_run) AS left_run, coalesce(l.right_run, r.right_run) AS right_run, coalesce(l.split, r.split) AS split, round(l.avg_speed, 6) AS left_avg_speed, round(r.avg_speed, 6) AS right_avg_speed, round(greatest(l.max_speed, r.max_speed), 6) AS top_speed FROM (SELECT run_id AS left_run, run_id + 1 AS right_run, * FROM split WHERE run_id + 1 IN (SELECT run_id FROM run_list)) l FULL JOIN (SELECT run_id - 1 AS left_run, run_id AS right_run, * FROM split WHERE run_id - 1 IN (SELECT run_id FROM run_list)) r ON l.left_run = r.left_run AND l.split = r.split",
     "shared_maxima": "SELECT a.run_id AS left_run, b.run_id AS right_run, round(greatest(a.max_speed_kmh, b.max_speed_kmh), 6) AS max_speed, round(greatest(a.distance_km, b.distance_km) * 1000, 4) AS max_distance, round(greatest(a.duration_sec, b.duration_sec), 6) AS max_duration FROM rolled a JOIN rolled b ON b.run_id = a.run_id + 1",
+    "dashboard_totals_land": "SELECT count(*) AS n_runs, round(max(m), 3) AS max_distance, arg_max(run_id, struct_pack(v := m, t := -ts)) AS max_distance_run FROM info LEFT JOIN (SELECT run_id, max(distance_to_land) AS m FROM land GROUP BY run_id) d USING (run_id)",
+    "landing_matrix": "SELECT start_beach, " + ", ".join(f"count(*) FILTER (WHERE end_beach = (SELECT beach FROM beaches WHERE beach_id = {i})) AS to_{i}" for i in range(5)) + " FROM info GROUP BY start_beach",
+    "weekly_trend": "SELECT CASE WHEN count(*) > 1 THEN round(regr_slope(high, x), 5) END AS slope, CASE WHEN count(*) > 1 THEN round(regr_intercept(high, x), 5) END AS intercept FROM (SELECT date_diff('day', DATE '2024-01-01', week) / 7.0::DOUBLE AS x, max(max_speed_1k) AS high FROM " + _WEEKS + " i GROUP BY week) w",
+    "enriched_wind": "SELECT run_id, CASE WHEN run_id % 4 > 0 THEN 'Foil ' || run_id ELSE 'unknown foil' END AS foil, round(avg_wavg, 6) AS avg_avg, round(max_wavg, 6) AS avg_max, round(avg_wgust, 6) AS gust_avg, round(max_wgust, 6) AS gust_max, avg_wdir AS avg_dir FROM regions LEFT JOIN wind_stats USING (run_id)",
+    "wind_slice_local": slice_sql("wind", "CASE r.region WHEN 'AFRICA' THEN 'kihei' WHEN 'AMERICA' THEN 'hookipa' END", R("wavg"), 36000),
+    "callout_furthest": "SELECT run_id, round(max(distance_to_land), 3) AS value FROM land GROUP BY run_id",
+    "segment_land": "SELECT run_id, segment, round(avg(distance_to_land), 3) AS avg_land_distance FROM segs JOIN land USING (run_id, seq) GROUP BY run_id, segment",
+    "read_points": f"SELECT 'run ' || run_id AS filename, strftime(make_timestamp({_US}), '%Y-%m-%d') AS date, strftime(make_timestamp({_US}), '%H:%M:%S') AS time, {R('tsi', 'lat', 'lon')}, round(speed / 3.6 * 3.6, 6) AS speed, {_HR} AS hr, 0.0::DOUBLE AS distance FROM track_points",
+    "drop_folder": f"SELECT 'run ' || run_id AS filename, {R('tsi')}, round(speed / 3.6 * 3.6, 6) AS speed, {_HR} AS hr FROM track_points",
+    "read_run_list": """SELECT 'Waterspeed ' || strftime(make_timestamp(CAST(round_even(ts * 1000000, 0) AS BIGINT)), '%Y-%m-%d %H.%M.%S') AS filename, round(ts, 6) AS ts, 30.5::DOUBLE AS max_speed_kmh, round(duration_sec, 6) AS duration_sec, round(run_id * 1.5::DOUBLE, 6) AS distance_km,
+      strftime(make_timestamp(CAST(round_even(ts * 1000000, 0) AS BIGINT)), '%Y-%m-%d') AS date, strftime(make_timestamp(CAST(round_even(ts * 1000000, 0) AS BIGINT)), '%H:%M:%S') AS time, 'Run, no. ' || run_id AS name, run_id % 5 AS feeling, 'Board' AS board, 'Foil 725.0 cm2' AS foil FROM run_list""",
+    "list_filenames": "SELECT run_id, 'Waterspeed ' || strftime(make_timestamp(CAST(round_even(ts * 1000000, 0) AS BIGINT)), '%Y-%m-%d %H.%M.%S') AS filename FROM run_list",
+    "read_gpx": f"SELECT 'run_' || run_id || '.gpx' AS filename, row_number() OVER {_W} - 1 AS idx, {R('tsi', 'lat', 'lon', 'hdop')}, {_HR} AS hr FROM track_points WHERE event_id % 50 <> 0",
+    "read_buoy": "SELECT *, 'meters' AS wave_height_unit, 'seconds' AS wave_period_unit, 'degrees' AS wave_direction_unit, 'degrees' AS water_temp_unit FROM (" + _BUOY + ") b",
+    "buoy_table": "SELECT * REPLACE (ts || 'Z' AS ts) FROM (" + _BUOY + ") b",
+    "unit_names": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, list_extract(['degrees', 'meters_per_sec', 'seconds', 'hecto_pascal', 'nautical_miles', 'feet', NULL, 'year'], CAST(n_nationkey % 8 + 1 AS INT)) AS unit FROM nation",
+    "export_by_partition": f"SELECT site, strftime(day, '%Y-%m-%d') AS day, event_id, {R('tsi', 'wavg', 'wgust', 'wlull', 'wdir')} FROM wind WHERE tsi > {_RECENT}",
+    "read_site_day": f"SELECT site, strftime(day, '%Y-%m-%d') AS day, event_id, {R('tsi', 'wavg')} FROM wind WHERE tsi > {_RECENT} AND site = 'kihei' AND day = DATE '2024-01-10'",
+    "export_gzip_sorted": f"SELECT site, strftime(day, '%Y-%m-%d') AS day, CAST(1 AS BIGINT) AS files, count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM wind WHERE tsi > {_RECENT} GROUP BY site, wind.day",
+    "export_recent_points": f"SELECT l.run_id, l.seq, round(p.tsi, 6) AS tsi, round(distance_to_land, 3) AS distance_to_land FROM land l JOIN track_points p USING (run_id, seq) JOIN run_list r ON r.run_id = l.run_id WHERE r.ts > {_RECENT}",
+    "export_order": f"SELECT run_id, seq, row_number() OVER {_W} AS place FROM track_points",
+    "read_run_points": f"SELECT seq, {R('tsi', 'speed')}, strftime(make_timestamp({_US}), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM track_points WHERE run_id = 1",
+    "track_rows": f"""SELECT run_id, seq AS idx, {_ISO.format('us')} || '+00:00' AS time_utc, {_ISO.format('us - 36000000000')} || '-10:00' AS time_local, round(lat, 6) AS lat_raw, round(lon_held, 6) AS lon_filtered, round(speed_2s, 3) AS speed_2s_kmh, round(speed_final, 3) AS speed_final_kmh,
+      round(distance, 2) AS distance_cumulative_m, hr, CASE WHEN geo AND bad THEN 'both' WHEN geo THEN 'geometric' WHEN bad THEN 'hdop' ELSE '' END AS position_outlier_reason, sanity_capped FROM cleaned""",
+    "export_cleaned_tracks": f"SELECT run_id, seq AS idx, {_ISO.format('us')} || '+00:00' AS time_utc, round(lat_held, 6) AS lat_filtered, round(speed_final, 3) AS speed_final_kmh, round(distance, 2) AS distance_cumulative_m, hampel_outlier FROM cleaned",
 }
 SQL = {name: f"{CTES}\n{body}" for name, body in BODIES.items()}

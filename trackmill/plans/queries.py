@@ -62,10 +62,18 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.resolve_beaches(runs, beaches)
 
 
-def info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = runstats.run_stats(means(spark, sf_dir))
-    places = resolved(spark, sf_dir).select("run_id", "start_pos", "end_pos", "start_beach", "end_beach", "region")
-    return dashboard.enrich(stats.join(places, "run_id"))
+def info(spark: SparkSession, sf_dir: str, spread_s: int = 0, **limits: float) -> DataFrame:
+    """Enriched runs, all from one pass over the points; spread_s: seconds put between runs, so that weeks differ."""
+    stats = runstats.run_stats(means(spark, sf_dir)).withColumn("ts", F.col("ts") + F.col("run_id") * spread_s)
+    beaches = view(spark, sf_dir, "beaches")
+    places = stats.join(matching.beaches_of(runstats.run_ends_of(stats), beaches), "run_id")
+    return dashboard.enrich(matching.resolve_beaches(places, beaches), **limits)
+
+
+#: Seconds between runs where a query needs several weeks.
+WEEKS_S = 400_000
+#: The share of the longest stretch beyond which a run of the fixtures counts as dry.
+DRY = 0.12
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +129,9 @@ def first_paddle_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runstats.rollup(dist(spark, sf_dir)).select("run_id", *r("ts", "max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km"))
+    at = F.timestamp_micros(tracks.micros(F.col("tsi")))
+    points = dist(spark, sf_dir).withColumns({"date": F.to_date(at), "time": F.date_format(at, "HH:mm:ss")})
+    return runstats.rollup(points).select("run_id", day("date"), "time", *r("ts", "max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km"))
 
 
 @query
@@ -272,6 +282,13 @@ def wind_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wind_slice(spark, sf_dir).select("run_id", "event_id", *r("tsi", "wavg", "wgust", "wdir"))
 
 
+@query
+def wind_slice_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wind of each run's day in Hawaii."""
+    out = conditions.slice_for_runs(regions(spark, sf_dir), view(spark, sf_dir, "wind"), fixtures.SITES, zone="Pacific/Honolulu")
+    return out.select("run_id", "event_id", *r("tsi", "wavg"))
+
+
 @query
 def swell_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = conditions.slice_for_runs(regions(spark, sf_dir), conditions.in_feet(view(spark, sf_dir, "swell")), fixtures.SWELL_SITES)
@@ -356,6 +373,20 @@ def callouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.callouts(dist(spark, sf_dir)).select("run_id", "kind", *r("lat", "lon", "value"))
 
 
+@query
+def callout_furthest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each run is furthest from land."""
+    points = nearest.distance_to_land(nearest.nearest_land(dist(spark, sf_dir), view(spark, sf_dir, "coast_segments")))
+    return segments.callouts(points).filter("kind = 'furthest'").select("run_id", *r("value", digits=3))
+
+
+@query
+def segment_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean distance from land of each segment."""
+    rows = nearest.distance_to_land(nearest.nearest_land(_segments(spark, sf_dir), view(spark, sf_dir, "coast_segments")))
+    return segments.segment_stats(rows).select("run_id", "segment", *r("avg_land_distance", digits=3))
+
+
 @query
 def speed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.speed_classes(pts(spark, sf_dir)).select("run_id", "seq", "speed_class")
@@ -439,6 +470,37 @@ def dashboard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("n_runs", *r("sum_duration_sec", "sum_distance_km", digits=4), "sum_paddle_up_count", *n(*tops), *[f"{c}_run" for c in tops])
 
 
+@query
+def dashboard_totals_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals with the largest distance from land and its run."""
+    runs = info(spark, sf_dir).join(runstats.furthest_from_land(_on_land(spark, sf_dir)), "run_id", "left")
+    return dashboard.totals(runs).select("n_runs", *r("max_distance", digits=3), "max_distance_run")
+
+
+@query
+def landing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs from each start beach to the beaches of the fixture's first five numbers."""
+    names = [x[0] for x in view(spark, sf_dir, "beaches").filter("beach_id < 5").orderBy("beach_id").select("beach").collect()]
+    out = dashboard.landing_matrix(info(spark, sf_dir), names)
+    return out.select("start_beach", *[F.col(f"`{x}`").cast("long").alias(f"to_{i}") for i, x in enumerate(names)])
+
+
+@query
+def weekly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of each week's best 1 km speed."""
+    weeks = dashboard.weekly_band(info(spark, sf_dir, WEEKS_S)).withColumn("x", F.datediff("week", F.lit("2024-01-01").cast("date")) / 7)
+    return segments.trend(weeks, "x", "high").select(*r("slope", "intercept", digits=5))
+
+
+@query
+def enriched_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foil names and the wind of enriched runs."""
+    runs = conditions.with_wind(regions(spark, sf_dir), view(spark, sf_dir, "wind"), fixtures.SITES)
+    named = runs.withColumns({"foil": F.when(F.col("run_id") % 4 > 0, F.concat(F.lit("Foil "), F.col("run_id").cast("string"), F.lit(" 725.0 cm2"))), **{c: F.lit(None).cast("double") for c in ("distance_on_foil", "distance_km", "duration_on_foil", "longest_segment_distance")}})
+    out = dashboard.enrich(named)
+    return out.select("run_id", "foil", *[F.round(f"wind_data.{c}", 6).alias(c) for c in ("avg_avg", "avg_max", "gust_avg", "gust_max")], F.col("wind_data.avg_dir").alias("avg_dir"))
+
+
 @query
 def outings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.outings(info(spark, sf_dir)).select(day("month"), "region", "n", *r("duration_sec", digits=4), "month_n", *r("month_duration_sec", digits=4))
@@ -446,12 +508,12 @@ def outings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def weekly_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.weekly_band(info(spark, sf_dir)).select(day("week"), *n("low", "high"), "n", "start_beach", "end_beach")
+    return dashboard.weekly_band(info(spark, sf_dir, WEEKS_S)).select(day("week"), *n("low", "high"), "n", "start_beach", "end_beach")
 
 
 @query
 def weekly_heart_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.weekly_heart_rates(info(spark, sf_dir)).select(day("week"), "low_min_foiling_hr", "high_min_foiling_hr", *r("low_avg_foiling_hr", "high_avg_foiling_hr"), "n")
+    return dashboard.weekly_heart_rates(info(spark, sf_dir, WEEKS_S)).select(day("week"), "low_min_foiling_hr", "high_min_foiling_hr", *r("low_avg_foiling_hr", "high_avg_foiling_hr"), "n")
 
 
 @query
@@ -471,7 +533,7 @@ def beach_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dry_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dashboard.dry_runs(info(spark, sf_dir)).select("run_id", "ts")
+    return dashboard.dry_runs(info(spark, sf_dir, dry_limit=DRY)).select("run_id", "ts")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import roundtrips  # noqa: F401  registers its queries
 from .oracles import SQL
 from .queries import QUERIES, Query
 
