@@ -543,6 +543,20 @@ def test_neighbours_equal_brute_force(spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_neighbours_by_divided_lists(spark):
+    """More lists than coarse centroids: each is divided by shared residuals, and recall stays."""
+    rows = vectors(np.random.default_rng(10), 1500)
+    df = frame(spark, rows, "vec_id long, vector array<float>")
+    index = ann.fit(df.withColumn("vector", F.col("vector").cast("array<double>")), lists=32, coarse=8)
+    assert len(index.centroids) == 8 and len(index.fine) == 4 and index.lists == 32
+    x = np.array([v for _, v in rows])
+    found = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20, index=index, block=100).collect():
+        found[r.query_id].add(r.vec_id)
+    best = lambda q: {i for i in np.argsort(-(x @ x[q]), kind="stable")[:21].tolist() if i != q}
+    assert np.mean([len(found[q] & best(q)) / 20 for q in range(0, 1500, 20)]) >= 0.9
+
+
 def test_few_neighbours(spark):
     some = ann.search(frame(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, vector array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in some) == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]

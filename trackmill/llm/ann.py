@@ -1,6 +1,8 @@
 """Approximate nearest neighbours: inverted file of coarse centroids, product-quantised residuals, exact reranking.
 
-Centroids and codebooks are fitted on a bounded sample; every vector is indexed. An index row is a block of up to
+Centroids and codebooks are fitted on a bounded sample; every vector is indexed. There are about half as many lists as
+the square root of the vectors: beyond COARSE_LISTS each coarse list is divided by a second set of centroids, of
+residuals, which all lists share, so the lists go on growing though the sample does not. An index row is a block of up to
 BLOCK vectors of one list (a list of any size is many blocks): ids, codes and the vectors themselves. Queries
 travel to the lists they probe in groups of QUERY_GROUP, so a task scores a group against a block at once with the
 queries' asymmetric tables, keeps the RERANK * k best of each query by table, scores those exactly in double
@@ -18,6 +20,7 @@ fewer than k candidates: all are returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,11 +33,16 @@ from .common import keep
 
 #: Bound of the vectors that centroids and codebooks are fitted on.
 FIT_VECTORS = 16_384
+COARSE_LISTS = 2048
+#: Scores of queries by lists that are held at once.
+PLAN_SCORES = 1 << 19
 SUBSPACES = 16
 CODES = 64
 BLOCK = 2048
 PART_BLOCKS = 16
 QUERY_GROUP = 256
+#: Queries that wait for their groups to fill, counted once for each list they probe; then all groups go as they are.
+WAITING = 100_000
 RERANK = 8
 TARGET = 0.96
 
@@ -42,6 +50,7 @@ TARGET = 0.96
 @dataclass
 class Index:
     centroids: np.ndarray
+    fine: np.ndarray  # residuals that divide each centroid's list; one of zeros if there are few lists
     books: np.ndarray  # subspace, code, component
     probes: int
     sample_ids: np.ndarray
@@ -49,6 +58,23 @@ class Index:
 
     sample_list: np.ndarray
 
+    @property
+    def lists(self) -> int:
+        return len(self.centroids) * len(self.fine)
+
+    def centre(self, own: np.ndarray | int) -> np.ndarray:
+        """What the vectors of a list are residuals from."""
+        return self.centroids[own // len(self.fine)] + self.fine[own % len(self.fine)]
+
+    def own_list(self, x: np.ndarray) -> np.ndarray:
+        own = nearest(x, self.centroids)
+        return own * len(self.fine) + nearest(x - self.centroids[own], self.fine)
+
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """Lists by falling inner product of each query with their centres."""
+        score = (q @ self.centroids.T)[:, :, None] + (q @ self.fine.T)[:, None, :]
+        return np.argsort(-score.reshape(len(q), -1), axis=1, kind="stable")
+
     def plan(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Which lists each query probes, and the least score that is of use from each.
 
@@ -56,8 +82,8 @@ class Index:
         their best whatever it is, so that no query stays short; from the others only a score counts that is no worse
         than the k-th best of the sample's vectors in all probed lists.
         """
-        order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
-        size = np.bincount(self.sample_list, minlength=len(self.centroids))[order]
+        order = self.order(q)
+        size = np.bincount(self.sample_list, minlength=self.lists)[order]
         full = np.cumsum(size, axis=1) - size >= 2 * k + 1
         ahead = np.zeros_like(full)
         np.put_along_axis(ahead, order, ~full, axis=1)
@@ -90,8 +116,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """List and codes of each vector."""
-    own = nearest(x, index.centroids)
-    rest = (x - index.centroids[own]).reshape(len(x), len(index.books), -1)
+    own = index.own_list(x)
+    rest = (x - index.centre(own)).reshape(len(x), len(index.books), -1)
     return own, np.stack([nearest(rest[:, m], index.books[m]) for m in range(len(index.books))], axis=1).astype(np.uint8)
 
 
@@ -105,8 +131,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, finite) & F.exists(vector, lambda v: v != 0)
 
 
-def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target: float = TARGET, seed: int = 7) -> Index | None:
-    """Index from a hash sample of vectors (vec_id, vector), fit_vectors of them at most in expectation."""
+def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target: float = TARGET, seed: int = 7, lists: int | None = None, coarse: int = COARSE_LISTS) -> Index | None:
+    """Index of about so many lists (by default from the number of vectors) from a hash sample of vectors (vec_id, vector), fit_vectors of them at most in expectation."""
     count = vectors.count()
     if not count:
         return None
@@ -119,23 +145,25 @@ def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target:
     x, ids = x[by], ids[by]
     rng = np.random.default_rng(seed)
     dims = x.shape[1]
-    lists = int(min(len(np.unique(x, axis=0)), max(1, 2 ** round(np.log2(max(1, min(count, 1 << 24) ** 0.5 / 2))))))
-    centroids = kmeans(np.unique(x, axis=0), lists, 8, rng)
+    lists = lists or 2 ** round(math.log2(max(1.0, count**0.5 / 2)))
+    centroids = kmeans(np.unique(x, axis=0), min(lists, coarse, len(np.unique(x, axis=0))), 8, rng)
+    apart = x - centroids[nearest(x, centroids)]
+    fine = kmeans(np.unique(apart, axis=0), min(-(-lists // coarse), len(np.unique(apart, axis=0))), 8, rng) if lists > coarse else np.zeros((1, dims))
+    index = Index(centroids, fine, np.zeros((0, 0, 0)), 1, ids, x.astype(np.float32) if (x == x.astype(np.float32)).all() else x, np.zeros(0, np.int64))
+    own = index.sample_list = index.own_list(x)
     subspaces = next(m for m in range(min(SUBSPACES, dims), 0, -1) if dims % m == 0)
-    rest = (x - centroids[nearest(x, centroids)]).reshape(len(x), subspaces, -1)
-    books = np.stack([kmeans(rest[:, m], min(CODES, len(x)), 6, rng) for m in range(subspaces)])
-    index = Index(centroids, books, 1, ids, x.astype(np.float32) if (x == x.astype(np.float32)).all() else x, nearest(x, centroids))
+    rest = (x - index.centre(own)).reshape(len(x), subspaces, -1)
+    index.books = np.stack([kmeans(rest[:, m], min(CODES, len(x)), 6, rng) for m in range(subspaces)])
     q = np.unique(x, axis=0)
-    q = q[rng.permutation(len(q))[:200]]
+    q = q[rng.permutation(len(q))[: max(20, min(200, 100 * PLAN_SCORES // index.lists))]]
     exact = q @ x.T
     best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-    own = nearest(x, centroids)
-    order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
+    order = index.order(q)
     where = np.empty_like(order)
-    np.put_along_axis(where, order, np.arange(len(centroids))[None, :].repeat(len(q), axis=0), axis=1)
+    np.put_along_axis(where, order, np.broadcast_to(np.arange(index.lists), order.shape), axis=1)
     rank = np.take_along_axis(where, own[best], axis=1)  # the probe at which each true neighbour turns up
-    while index.probes < len(centroids) and (rank < index.probes).mean() < target:
-        index.probes = min(len(centroids), index.probes + max(1, index.probes // 4))
+    while index.probes < index.lists and (rank < index.probes).mean() < target:
+        index.probes = min(index.lists, index.probes + max(1, index.probes // 4))
     return index
 
 
@@ -166,7 +194,7 @@ def _search(vectors: DataFrame, k: int, index: Index | None, rerank: int, block:
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(index)  # sqrt(n) / 2 centroids, 2048 at most, the codebooks and the sample
+    shared = spark.sparkContext.broadcast(index)  # COARSE_LISTS centroids at most, the residuals, the codebooks and the sample
     dims = index.centroids.shape[1]
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -206,11 +234,13 @@ def _search(vectors: DataFrame, k: int, index: Index | None, rerank: int, block:
 
         for batch in batches:
             ids, x = batch.column("vec_id").to_numpy(), matrix(batch.column("vector"))
-            for a in range(0, len(ids), 256):
-                probed, low = shared.value.plan(ids[a : a + 256], x[a : a + 256], k)
-                yield from asked(ids[a : a + 256], x[a : a + 256], probed, low, waiting, packed)
-        for whose in list(waiting):
-            yield packed(whose)
+            step = max(8, min(256, PLAN_SCORES // shared.value.lists))
+            for a in range(0, len(ids), step):
+                probed, low = shared.value.plan(ids[a : a + step], x[a : a + step], k)
+                yield from asked(ids[a : a + step], x[a : a + step], probed, low, waiting, packed)
+                if sum(map(len, waiting.values())) >= WAITING:
+                    yield from map(packed, list(waiting))
+        yield from map(packed, list(waiting))
 
     def asked(ids: np.ndarray, x: np.ndarray, probed: np.ndarray, low: np.ndarray, waiting: dict, packed: Callable) -> Iterator[pa.RecordBatch]:
         for i, v, floor, row in zip(ids.tolist(), x, low, probed, strict=True):
@@ -229,7 +259,7 @@ def _search(vectors: DataFrame, k: int, index: Index | None, rerank: int, block:
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dims)
                 floor = np.frombuffer(row["floors"], np.float64)
                 table = tables(ix, q)
-                near = (q @ ix.centroids[row["list"]])[:, None] + sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
+                near = (q @ ix.centre(row["list"]))[:, None] + sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
                 near -= np.arange(len(ids)) * (1e-12 * (1 + np.abs(near).max()))  # ids ascend, so ties keep the smaller
                 near[q_ids[:, None] == ids[None, :]] = -np.inf
                 some = min(rerank * k, len(ids))
