@@ -197,7 +197,7 @@ BODIES = {
     "launches": "SELECT start_beach, end_beach, count(*) AS n FROM info GROUP BY ALL",
     "beach_totals": "SELECT beach, CAST(sum(a) AS BIGINT) AS launches, CAST(sum(b) AS BIGINT) AS landings FROM (SELECT start_beach AS beach, 1 AS a, 0 AS b FROM info UNION ALL SELECT end_beach, 0, 1 FROM info) x GROUP BY beach",
     "beach_names": "SELECT start_beach AS beach FROM info UNION SELECT end_beach FROM info",
-    "dry_runs": "SELECT run_id, ts FROM info WHERE longest_segment_distance / nullif(distance_on_foil, 0) > 0.12 ORDER BY ts DESC",
+    "dry_runs": "SELECT run_id, ts FROM info WHERE longest_segment_distance / nullif(distance_on_foil, 0) > 0.262 ORDER BY ts DESC",
     "newest_first": "SELECT run_id, ts FROM info ORDER BY ts DESC, run_id",
     "latest_run": "SELECT run_id, ts FROM info ORDER BY ts DESC, run_id LIMIT 1",
     "recent_points": "SELECT p.run_id, p.seq FROM track_points p JOIN run_list r USING (run_id) WHERE r.ts > 1704067200 + 16 * 86400 - 14 * 86400",

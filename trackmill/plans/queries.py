@@ -73,7 +73,7 @@ def info(spark: SparkSession, sf_dir: str, spread_s: int = 0, **limits: float) -
 #: Seconds between runs where a query needs several weeks.
 WEEKS_S = 400_000
 #: The share of the longest stretch beyond which a run of the fixtures counts as dry.
-DRY = 0.12
+DRY = 0.262
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
