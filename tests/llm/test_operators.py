@@ -65,6 +65,17 @@ def test_jaccard_rest_of_large_blocks(spark):
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_of_long_texts_by_blocks_of_columns(spark):
+    """Sets of one, two, four and eight blocks of columns, some linked across a change of that number, some just not."""
+    words = [f"w{i}" for i in range(20_000)]
+    cuts = (20_000, 18_000, 16_100, 16_300, 12_000, 8_300, 8_100, 6_700, 4_200, 4_050, 3_300, 3_000)
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate(cuts)] + [(50 + i, " ".join(words[9_000 : 9_000 + n])) for i, n in enumerate((4_300, 4_000, 3_600))]
+    found = jaccard.join(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute.jaccard(rows)
+    sets = {i: brute.shingles(t) for i, t in rows}
+    assert {r.doc_id: r.n_links for r in found} == {i: sum(100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items() if j != i) for i, x in sets.items()}
+
+
 def test_jaccard_small_blocks_of_rows_agree(spark):
     rows = awkward(3)
     docs = frame(spark, rows)
