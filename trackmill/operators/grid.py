@@ -69,16 +69,15 @@ def candidates(positions: DataFrame, shapes: DataFrame, ids: list[str], sphere:
 
     extent = F.greatest(F.abs("dlat"), F.abs("dlon"))
     own = spans.withColumn("own", F.when(extent <= size, 0).otherwise(F.least(F.lit(TOP), F.ceil(F.log2(extent / size)))).cast("int"))
-    asked = [r[0] for r in near.select("level").distinct().collect()]  # TOP + 1 numbers at most
-    largest = own.agg(F.max("own").alias("n")).first()["n"]
-    if not asked or largest is None:
-        asked, largest = [0], 0
-    at = F.explode(F.array_distinct(F.transform(F.array(*[F.lit(x) for x in sorted(asked)]), lambda a: F.greatest(a, F.col("own")))))
+    # Two rows that go to every task: the levels asked for (TOP + 1 numbers at most) and the largest level of a shape.
+    asked = near.agg(F.collect_set("level").alias("asked"))
+    largest = own.agg(F.coalesce(F.max("own"), F.lit(0)).alias("largest"))
+    at = F.explode(F.array_distinct(F.transform("asked", lambda a: F.greatest(a, F.col("own")))))
     low = lambda a, d: F.least(F.col(a), F.col(a) + F.col(d))
     high = lambda a, d: F.greatest(F.col(a), F.col(a) + F.col(d))
     cover = lambda df, lo, hi, into: df.withColumns({"__lo": _index(lo, size), "__hi": _index(hi, size)}).withColumn(into, F.explode(F.expr("sequence(shiftright(__lo, m), shiftright(__hi, m))"))).drop("__lo", "__hi")
-    standing = cover(cover(own.withColumn("m", at), low("lat1", "dlat"), high("lat1", "dlat"), "i"), low("lon1", "dlon"), high("lon1", "dlon"), "j")
-    looking = near.withColumn("m", F.explode(F.sequence(F.col("level"), F.greatest(F.col("level"), F.lit(largest)))))
+    standing = cover(cover(own.join(F.broadcast(asked), F.lit(True)).withColumn("m", at).drop("asked"), low("lat1", "dlat"), high("lat1", "dlat"), "i"), low("lon1", "dlon"), high("lon1", "dlon"), "j")
+    looking = near.join(F.broadcast(largest), F.lit(True)).withColumn("m", F.explode(F.sequence("level", F.greatest("level", "largest")))).drop("largest")
     looking = cover(cover(looking, F.col("south") - F.col("reach"), F.col("south") + F.col("reach") + size, "i"), F.col("west") - F.col("reach"), F.col("west") + F.col("reach") + size, "j")
     met = looking.join(standing, ["m", "i", "j"]).filter((F.col("m") == F.col("level")) | (F.col("m") == F.col("own")))
     _, _, square = point_on(F.col("south") + size / 2, F.col("west") + size / 2)
