@@ -32,4 +32,31 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(text) + length(role) + {_MORE.format('text')} + {_MORE.format('role')} + 23) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
-SQL: dict[str, str] = {"op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}
+# What remains to be paid from each turn on in the states s (nothing placed), p (a system placed), a (an assistant is due) and u (a user is due).
+_GO = "CASE st WHEN 's' THEN {0}.s WHEN 'p' THEN {0}.p WHEN 'a' THEN {0}.a ELSE {0}.u END"
+_PUT = "least({now} + 4, CASE WHEN gone THEN 1000000000 ELSE {then} + t + CASE WHEN ini = '{role}' THEN 0 ELSE 3 END END)"
+OP11 = f"""WITH RECURSIVE crct AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) r(i)) z),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+lots AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS k FROM conversations, crct),
+hurt AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM lots, range(2) r(j) WHERE k <> 0 AND (j = 0 OR k = 3)),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS ini FROM hurt),
+marked AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, lag(ini) OVER (PARTITION BY c ORDER BY i) AS former FROM placed),
+rows AS (SELECT *, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND cut THEN 3 ELSE 0 END AS t FROM marked),
+back AS (SELECT DISTINCT c, n + 1 AS i, 0 AS s, 6 AS p, 3 AS a, 0 AS u FROM rows
+  UNION ALL SELECT c, i, least(xs, least(xa, xu + 3) + 3), least(xp, least(xa, xu + 3) + 3), least(xa, xu + 3), least(xu, xa + 3) FROM (
+    SELECT r.c, r.i, least({_PUT.format(now='b.s', then='b.a', role='u')}, CASE WHEN ini = 's' AND NOT gone THEN b.p + t ELSE 1000000000 END) AS xs, {_PUT.format(now='b.p', then='b.a', role='u')} AS xp, {_PUT.format(now='b.a', then='b.u', role='a')} AS xa, {_PUT.format(now='b.u', then='b.a', role='u')} AS xu
+    FROM back b JOIN rows r ON r.c = b.c AND r.i = b.i - 1) x),
+walk AS (SELECT DISTINCT c, CAST(1 AS BIGINT) AS i, 's' AS st, '' AS audit, CAST([] AS VARCHAR[]) AS body, n FROM rows
+  UNION ALL SELECT c, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE WHEN e = 'D' THEN st WHEN e = 'K' AND st = 's' AND ini = 's' THEN 'p' WHEN st = 'a' THEN 'u' ELSE 'a' END, audit || e,
+    CASE e WHEN 'D' THEN body WHEN 'I' THEN list_append(body, due || ':') WHEN 'K' THEN list_append(body, role || ':' || text) ELSE list_append(body, due || ':' || text) END, n FROM (
+      SELECT w.*, r.ini, r.role, r.text, CASE WHEN st = 'a' THEN 'assistant' ELSE 'user' END AS due, CASE WHEN w.i <= w.n AND {_GO.format('y')} + 4 = {_GO.format('x')} THEN 'D' WHEN CASE WHEN st = 'a' THEN x.u ELSE x.a END + 3 = {_GO.format('x')} THEN 'I'
+        WHEN ini = CASE WHEN st = 'a' THEN 'a' ELSE 'u' END OR ini = 's' AND st = 's' AND y.p + t = x.s THEN 'K' ELSE 'R' END AS e
+      FROM walk w JOIN back x ON x.c = w.c AND x.i = w.i LEFT JOIN back y ON y.c = w.c AND y.i = w.i + 1 LEFT JOIN rows r ON r.c = w.c AND r.i = w.i WHERE w.i <= w.n OR st IN ('a', 'p')) z),
+ends AS (SELECT c, audit, body FROM walk WHERE i = n + 1 AND st IN ('s', 'u')),
+counts AS (SELECT conv_id, c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate, count_if(t > 0) AS truncated, count_if(former || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id, c)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(coalesce(b.s, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ends e ON e.c = k.c LEFT JOIN back b ON b.c = k.c AND b.i = 1"""
+
+SQL: dict[str, str] = {"op11_conversation_repair": OP11, "op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}

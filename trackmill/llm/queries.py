@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, licenses, mixing, pii, shards, urltree
+from . import ann, chat, decontam, jaccard, langid, licenses, mixing, pii, repair, shards, urltree
 from .common import table
 
 #: Factors on each domain's expected tokens.
@@ -89,10 +89,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         *[count(k) for k in more], F.size("spans").cast("long").alias("n_found"), F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    lot = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary"))
+    found = repair.repair(repair.damage(rows, lot))
+    written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = rows.select(F.col("conv_id").alias("__id")).distinct().join(found, F.col("__id").eqNullSafe(F.col("conv_id")), "left")
+    return out.select(F.col("__id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(written, F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data)
+    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data, op11_conversation_repair)
     return {f.__name__: f for f in own} | {"op4_link_counts": op4_ngram_jaccard} | {"pipeline": corpus_pipeline.run}
 
 
