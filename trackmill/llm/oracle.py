@@ -59,4 +59,11 @@ SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(bla
   CAST(coalesce(b.s, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
 FROM ids LEFT JOIN counts k ON k.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ends e ON e.c = k.c LEFT JOIN back b ON b.c = k.c AND b.i = 1"""
 
-SQL: dict[str, str] = {"op11_conversation_repair": OP11, "op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}
+OP13 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+SQL: dict[str, str] = {"op13_hard_negatives": OP13, "op11_conversation_repair": OP11, "op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}

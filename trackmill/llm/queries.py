@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, licenses, mixing, pii, repair, shards, urltree
+from . import ann, chat, decontam, jaccard, langid, licenses, mixing, negatives, pii, repair, shards, urltree
 from .common import table
 
 #: Factors on each domain's expected tokens.
@@ -99,10 +99,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(written, F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data, op11_conversation_repair)
+    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data, op11_conversation_repair, op13_hard_negatives)
     return {f.__name__: f for f in own} | {"op4_link_counts": op4_ngram_jaccard} | {"pipeline": corpus_pipeline.run}
 
 
