@@ -66,4 +66,27 @@ pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pa
 SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
 FROM pos JOIN pairs USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
 
-SQL: dict[str, str] = {"op13_hard_negatives": OP13, "op11_conversation_repair": OP11, "op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}
+def _either(word: str) -> str:
+    """word in any mixture of cases."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))
+_SAME = "|".join(f"{c if c.isalnum() else chr(92) + c}{{5}}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+_FORMS = {"assign": rf"(?:{_NAMES})[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9+/_.=-]+", "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}", "string": "[A-Za-z0-9+/_-]{20,}={0,2}"}
+_NEAR = "lower(substr(text, greatest(a - 48, 0) + 1, a - greatest(a - 48, 0)) || ' ' || substr(text, e + 1, 48))"
+_RANDOM = f"""(length(v) >= 16 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 8 AND NOT regexp_matches(v, '(?i)example|sample|dummy|change_?me|placeholder|your[_-]|test|x{{4}}|0123|1234|abcd|{_SAME}'))"""
+OP12 = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+hits AS ({" UNION ALL ".join(f"SELECT r, doc_id, source, text, {i} AS no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS h, string_split_regex(text, '{p}') AS g FROM d" for i, (k, p) in enumerate(_FORMS.items()))}),
+each AS (SELECT *, h[i] AS m, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM hits) x),
+placed AS (SELECT r, doc_id, source, text, no, kind, CAST(sum(gap + length(m)) OVER (PARTITION BY r, no ORDER BY i) AS BIGINT) AS e, CAST(sum(gap + length(m)) OVER (PARTITION BY r, no ORDER BY i) - length(m) AS BIGINT) AS a, CASE WHEN kind = 'assign' THEN regexp_extract(m, '^[A-Za-z_]+["'']?\\x20*[:=]\\x20*["'']?(.*)$', 1) ELSE m END AS v FROM each),
+found AS (SELECT *, e - length(v) AS b, {_RANDOM} AS random FROM placed WHERE length(v) >= CASE kind WHEN 'assign' THEN 8 WHEN 'access' THEN 16 WHEN 'hex' THEN 32 ELSE 20 END
+  AND (kind <> 'string' OR {_RANDOM} AND regexp_matches({_NEAR}, '\\b(?:[a-z_]*(?:token|secret|key|passw(?:or)?d|pwd|credential)s?|bearer|authorization|oauth)\\b') AND NOT regexp_matches({_NEAR}, '\\b(?:commit|revision|sha1|sha256|md5|checksum|digest|uuid|etag)\\b'))),
+counts AS (SELECT v, count(*) AS owners, sum(n) AS repositories FROM (SELECT v, source, count(*) AS n FROM (SELECT DISTINCT v, source, doc_id FROM found) x GROUP BY v, source) y GROUP BY v),
+judged AS (SELECT DISTINCT r, b, e, v, CASE WHEN owners > 2 OR repositories > 20 THEN 'copied' WHEN random THEN 'live' ELSE 'weak' END AS verdict FROM found JOIN counts USING (v)),
+spans AS (SELECT r, no, a, e, kind FROM found WHERE kind <> 'string' UNION ALL SELECT r, 4, b, e, 'live' FROM judged WHERE verdict = 'live'),
+lists AS (SELECT r, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, no, e) FILTER (WHERE kind <> 'live') AS base, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, no, e) AS spans FROM spans GROUP BY r),
+verdicts AS (SELECT r, count_if(verdict = 'live') AS n_live, count_if(verdict = 'copied') AS n_copied, count_if(verdict = 'weak') AS n_weak FROM judged GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_live", "n_copied", "n_weak"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists USING (r) LEFT JOIN verdicts USING (r)"""
+
+SQL: dict[str, str] = {"op12_secret_scan": OP12, "op13_hard_negatives": OP13, "op11_conversation_repair": OP11, "op4_ngram_jaccard": OP4, "op4_link_counts": OP4, "op6_decontamination": OP6, "op7_chat_format": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, langid, licenses, mixing, negatives, pii, repair, shards, urltree
+from . import ann, chat, credentials, decontam, jaccard, langid, licenses, mixing, negatives, pii, repair, shards, urltree
 from .common import table
 
 #: Factors on each domain's expected tokens.
@@ -99,6 +99,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(written, F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository of its source, which owns it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = credentials.scan(docs, F.col("source"), F.col("doc_id"), ["doc_id"])
+    base = [k.name for k in credentials.KINDS if k.base]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    judged = lambda verdict: F.size(F.filter("judged", lambda s: s["verdict"] == verdict)).cast("long").alias(f"n_{verdict}")
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(written(F.filter("spans", lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *[judged(v) for v in (credentials.LIVE, "copied", "weak")])
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
@@ -108,7 +119,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data, op11_conversation_repair, op13_hard_negatives)
+    own = (op1_language_id, op2_sharding, op3_mixing, op4_ngram_jaccard, op5_nearest_neighbours, op6_decontamination, op7_chat_format, op8_license_scan, op9_url_filter, op10_personal_data, op11_conversation_repair, op12_secret_scan, op13_hard_negatives)
     return {f.__name__: f for f in own} | {"op4_link_counts": op4_ngram_jaccard} | {"pipeline": corpus_pipeline.run}
 
 
