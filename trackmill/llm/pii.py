@@ -1,14 +1,13 @@
 """Personal data: patterns propose spans, checksum validators confirm them, context words adjust the score.
 
-DataFrame functions only. The places of a pattern's matches follow from the pieces that split() leaves between
-them and the matches that regexp_extract_all() gives, both of one leftmost scan. Patterns start at the first
-character of a run (or where the last match ended), and repeat possessively, so a scan stays linear on long runs.
+DataFrame functions only. Patterns start at the first character of a run (or where the last match ended), and repeat
+possessively, so a scan stays linear on long runs; their places follow from one scan (see places.py).
 
 A kind's score is raised where context words of it stand near and lowered where words stand near that speak against
 it. Base kinds (email, ip, card, phone) stay whatever their score; kinds of the method (iban, ssn, secret) need
 MIN_SCORE: an account code that passes its checksum stays unless it is called something else, a nine-digit number or a
-long random string counts only where it is called a taxpayer number or a key. Time for one text grows with its length
-and with the square of its valid spans of one kind. Definitions at the edges: a null or empty text has no spans; spans of
+long random string counts only where it is called a taxpayer number or a key. Time for one text grows with its length.
+Definitions at the edges: a null or empty text has no spans; spans of
 different kinds may overlap; repeated rows are judged alike; columns called spans are replaced.
 """
 
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import without
+from .places import around, let, pieces, places
 
 MIN_SCORE = 0.5
 #: Characters on either side of a span in which context words count.
@@ -96,29 +96,18 @@ SPAN = "array<struct<begin:bigint,kind_no:int,kind:string,end:bigint,score:doubl
 
 def found(text: Column, kind: Kind, number: int) -> Column:
     """Spans of one kind in text, in order."""
-    pattern = F.lit(kind.pattern)
-    hits, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, kind.pattern, -1)
-    sizes = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.char_length(g).cast("long").alias("gap")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<h:string,begin:bigint,end:bigint>>").alias("got"))
-
-    def place(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.char_length(x["h"])
-        return F.struct(end.cast("long").alias("at"), F.when(valid(kind.name, x["h"]), F.concat(acc["got"], F.array(F.struct(x["h"].alias("h"), begin.alias("begin"), end.cast("long").alias("end"))))).otherwise(acc["got"]).alias("got"))
-
-    placed = F.aggregate(sizes, zero, place, lambda acc: acc["got"])
-
-    def scored(s: Column) -> Column:
-        low = F.greatest(s["begin"] - CONTEXT_CHARS, F.lit(0))
-        around = F.concat_ws(" ", F.substr(text, (low + 1).cast("int"), (s["begin"] - low).cast("int")), F.substr(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS)))
-        says = lambda words: F.lower(around).rlike(rf"\b(?:{words})\b")
+    def scored(s: Column, of: Column) -> Column:
+        near = F.lower(around(of, s["begin"], s["end"], CONTEXT_CHARS))
+        says = lambda words: near.rlike(rf"\b(?:{words})\b")
         shift = F.when(says(kind.context), CONTEXT_BONUS).otherwise(0.0) - F.when(says(kind.against), CONTEXT_MALUS).otherwise(0.0)
         return F.struct(s["begin"].alias("begin"), F.lit(number).alias("kind_no"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(kind.score) + shift)), 6).alias("score"))
 
-    spans = F.transform(placed, scored)
+    none = F.array().cast(SPAN)
+    right = F.filter(places(text, kind.pattern), lambda s: valid(kind.name, s["h"]))
+    spans = let(right, lambda x: F.when(F.size(x) > 0, let(pieces(text), lambda of: F.transform(x, lambda s: scored(s, of)))).otherwise(none))
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
-    return F.when(text.rlike(kind.needs), spans).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(kind.needs), spans).otherwise(none)
 
 
 def find(docs: DataFrame, kinds: Sequence[Kind] = KINDS) -> DataFrame:
