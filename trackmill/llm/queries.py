@@ -94,9 +94,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     lot = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary"))
     found = repair.repair(repair.damage(rows, lot))
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
-    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
-    out = rows.select(F.col("conv_id").alias("__id")).distinct().join(found, F.col("__id").eqNullSafe(F.col("conv_id")), "left")
-    return out.select(F.col("__id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce(written, F.lit("")).cast("binary"), 256).alias("repaired_sha256"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    short = found.select("conv_id", *names, "audit", digest(written).alias("repaired_sha256"))
+    out = rows.select(F.col("conv_id").alias("__id")).distinct().join(short, F.col("__id").eqNullSafe(F.col("conv_id")), "left")
+    return out.select(F.col("__id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", digest(F.lit(""))).alias("repaired_sha256"))
 
 
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
