@@ -7,10 +7,12 @@ import random
 import statistics
 from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trackmill.functions import geo
-from trackmill.operators import conditions, crashes, dashboard, gpsclean, islands, matching, merge, nearest, segments, tracks
+from trackmill.operators import conditions, crashes, dashboard, gpsclean, grid, islands, matching, merge, nearest, segments, tracks
 
 POINT = "run_id long, seq long, tsi double, lat double, lon double, speed double, hr int, hdop double"
 
@@ -196,11 +198,18 @@ def test_similar_runs_of_a_popular_beach(spark):
         assert [o for _, o in sorted(got[i])] == [j for _, j in others]
 
 
-def test_beaches_by_grid_equal_all_beaches(spark):
+def test_beaches_by_grid_equal_all_beaches(spark, monkeypatch):
     rng = random.Random(9)
     beaches = [(k, f"b{k}", "R", rng.choice([rng.uniform(20, 21), rng.uniform(-80, 80)]), rng.uniform(-179, 179) if k % 2 else -156 + rng.random()) for k in range(80)] + [(90, "twin", "R", 20.5, -155.5), (91, "twin", "R", 20.5, -155.5)]
     ends = [(i, w, rng.choice([rng.uniform(20, 21), rng.uniform(-85, 85)]), rng.choice([-156 + rng.random(), rng.uniform(-179, 179)])) for i in range(40) for w in ("first", "last")] + [(50, "first", 20.5, -155.5), (51, "first", None, 1.0)]
-    got = {r.run_id: (r.start_pos, r.end_pos) for r in matching.beaches_of(spark.createDataFrame(ends, "run_id long, which string, lat double, lon double"), spark.createDataFrame(beaches, "beach_id long, beach string, region string, lat double, lon double")).collect()}
+    by_run = {i: {w: (y, x) for j, w, y, x in ends if j == i} for i, *_ in ends}
+    rows = spark.createDataFrame([(i, e["first"], e.get("last"), len(e)) for i, e in by_run.items()], "run_id long, first struct<lat:double,lon:double>, last struct<lat:double,lon:double>, n long")
+    found = lambda: {r.run_id: (r.start_pos, r.end_pos) for r in matching.beaches_of(rows, spark.createDataFrame(beaches, "beach_id long, beach string, region string, lat double, lon double")).collect()}
+    got = found()
+    monkeypatch.setattr(matching, "FEW_BEACHES", 10)
+    for part in (4096, 10):
+        monkeypatch.setattr(grid.attach, "__defaults__", (False, grid.SIZE, "nearest", part))
+        assert found() == got
     best = lambda y, x: None if y is None else min((math.dist((y, x), (b[3], b[4])), b[0]) for b in beaches)[1]
     for i, w, y, x in ends:
         assert got[i][w == "last"] == best(y, x), (i, w)
@@ -251,6 +260,53 @@ def test_nearest_land_equals_product_form(spark):
     assert nearest.nearest_land(gaps, coast).first().nearest_land_lat is None
 
 
+def _coast(rng, lat, lon, n, features):
+    out, y, x = [], float(lat), float(lon)
+    for i in range(n):
+        y2, x2 = y + 0.0006 * rng.uniform(0.3, 1), x + rng.uniform(-0.0003, 0.0003)
+        out.append((i * features // n, i, y, x, y2, x2))
+        y, x = y2, x2
+    return out
+
+
+def _product_form(points, segs):
+    """Nearest land of each point: every segment, in the plane for a feature, on the sphere among features."""
+    s, own = np.array([x[2:] for x in segs]), np.array([x[0] for x in segs])
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    dy, dx = s[:, 2] - s[:, 0], s[:, 3] - s[:, 1]
+    square = dy * dy + dx * dx
+    out = []
+    for y, x in points:
+        t = np.clip(((y - s[:, 0]) * dy + (x - s[:, 1]) * dx) / square, 0, 1)
+        py, px = s[:, 0] + t * dy, s[:, 1] + t * dx
+        d = (y - py) ** 2 + (x - px) ** 2
+        best = [a + int(d[a:b].argmin()) for a, b in zip(starts, [*starts[1:], len(own)], strict=True)]
+        out.append(min((way((y, x), (py[k], px[k])), own[k], py[k], px[k]) for k in best)[2:])
+    return out
+
+
+@pytest.mark.parametrize("case", ["greenwich", "equator", "meridian", "open sea", "pole"])
+def test_nearest_land_where_grids_have_borders(spark, case):
+    rng = random.Random(case)
+    at = {
+        "greenwich": ([(51.5 + rng.uniform(0, 4), -0.01 + rng.uniform(-0.01, 0.005)) for _ in range(400)], _coast(rng, 51.4, 0.01, 12_000, 9)),
+        "equator": ([(rng.uniform(-1, 1), 100 + rng.uniform(-0.02, 0.02)) for _ in range(400)], _coast(rng, -3, 100.0, 12_000, 9)),
+        "meridian": ([(20 + rng.uniform(0, 0.3), rng.choice([179.98, -179.99]) + rng.uniform(-0.01, 0.01)) for _ in range(60)], _coast(rng, 19.9, 179.99, 4000, 300) + [(500 + f, *r) for f, *r in _coast(rng, 19.9, -179.97, 1500, 40)]),
+        "open sea": ([(20 + rng.uniform(0, 3), -156.0) for _ in range(100)], _coast(rng, 19, -154, 8000, 5)),
+        "pole": ([(89.95, 10.0), (-89.9, 100.0), (89.5, -170.0), (0.0, 0.0), (90.0, 0.0)], [(0, 0, 89.9, -170.0, 89.95, -160.0), (1, 0, 80.0, 10.0, 81.0, 11.0), (2, 1, -70.0, 0.0, -71.0, 50.0)]),
+    }[case]
+    points = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(at[0])] + [(-1, None, 1.0), (-2, 1.0, None), (-3, float("nan"), 1.0), (-4, 95.0, 1.0)], "run_id long, lat double, lon double")
+    coast = spark.createDataFrame(at[1], "feature_id long, seg_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    for few in (0, 1 << 20) if case in ("pole", "meridian") else (0,):
+        cells = grid.table(points.filter("run_id >= 0"), coast, "feature_id", True, few=few).select(F.size("parts").alias("n"))
+        got = {r.run_id: (r.nearest_land_lat, r.nearest_land_lon) for r in nearest.nearest_land(points, coast, few=few).collect()}
+        assert all(got.pop(i) == (None, None) for i in (-1, -2, -3, -4))
+        for i, want in enumerate(_product_form(*at)):
+            assert near(got[i][0], want[0], 1e-7) and near(got[i][1], want[1], 1e-7), (i, at[0][i])
+        if case in ("greenwich", "equator"):  # of 12,000; about 1.5 km of coast on either side lie as near as the cell is wide
+            assert cells.agg(F.max("n")).first()[0] <= 120
+
+
 def test_conditions_edges(spark):
     runs = spark.createDataFrame([(1, 7200.0, 600.0, "Kihei"), (2, 7200.0, 600.0, "Kihei"), (3, 90000.0, 60.0, "Kihei"), (4, 7200.0, 600.0, None)], "run_id long, ts double, duration_sec double, region string")
     wind = spark.createDataFrame([("kihei", t, float(i), float(i), d, i) for i, (t, d) in enumerate([(5400.0, 10.0), (7000.0, 350.0), (7800.0, 0.0), (7801.0, 90.0), (100.0, 5.0)])], "site string, tsi double, wavg double, wgust double, wdir double, event_id int")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import by_partition
 from .dashboard import recent_points
-from .matching import attach_runs, beaches_of, file_starts, match_files, new_files, require_matched
-from .merge import apply_stats
+from .kept import keep
+from .matching import attach_runs, file_starts, match_files, new_files, require_matched, with_beaches
+from .merge import write_back
 from .nearest import distance_to_land, nearest_land
-from .runstats import furthest_from_land, run_ends_of, run_stats
+from .runstats import run_stats
 from .tracks import with_distance, with_trailing_means
 
 
@@ -22,8 +23,8 @@ def import_points(staged: DataFrame, runs: DataFrame, known: DataFrame, coast: D
     """
     fresh = new_files(staged, runs, known)
     rows = fresh.withColumn("seq", F.xxhash64("tsi", "lat", "lon")) if "seq" not in fresh.columns else fresh
-    # One row for each file: kept, so that the check and the join do not read all points for it again.
-    starts = file_starts(rows).persist()
+    # One row for each file: written once, so that the check and the join do not read all points for it again.
+    starts = keep(file_starts(rows), "file-starts")
     matches = match_files(starts, runs)
     require_matched(starts, matches)
     measured = with_trailing_means(with_distance(rows.drop("distance", "avg_speed_15s", "avg_speed_1k"), "filename"), "filename")
@@ -31,22 +32,15 @@ def import_points(staged: DataFrame, runs: DataFrame, known: DataFrame, coast: D
 
 
 def update_runs(runs: DataFrame, points: DataFrame, beaches: DataFrame) -> DataFrame:
-    """runs (id) with all statistics of points (run_id), each written back in its own mode."""
+    """runs (id) with all statistics of points (run_id), each written back in its own mode, from one pass over the points and one join."""
     stats = run_stats(points)
-    out = runs
+    ends = stats.withColumns({n: F.struct(F.col(f"{n}_lat").alias("lat"), F.col(f"{n}_lon").alias("lon")) for n in ("first", "last")}).withColumn("n", F.col("n_points"))
     days = [c for c in ("date", "time") if c in stats.columns]
-    groups = {"overwrite": ["ts", *days, "max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km", "longest_segment_distance", "longest_segment_start", "longest_segment_end"],
-              "all": ["duration_on_foil", "distance_on_foil"]}
-    for mode, columns in groups.items():
-        out = apply_stats(out, stats.select(F.col("run_id").alias("id"), *columns), "id", mode)
-    for columns in (["paddle_up_count"], ["distance_to_first_paddle_up"]):
-        some = stats.select(F.col("run_id").alias("id"), *columns).filter(F.col(columns[0]).isNotNull())
-        out = apply_stats(out, some, "id", "overwrite")
-    for columns in (["min_foiling_hr", "avg_foiling_hr"], ["max_speed_1k"]):
-        out = apply_stats(out, stats.select(F.col("run_id").alias("id"), *columns), "id", "fill")
-    for side in (furthest_from_land(points), beaches_of(run_ends_of(stats), beaches)):
-        out = apply_stats(out, side.withColumnRenamed("run_id", "id"), "id", "fill")
-    return out
+    groups = [
+        ("overwrite", ["ts", *days, "max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km", "longest_segment_distance", "longest_segment_start", "longest_segment_end"]),
+        ("all", ["duration_on_foil", "distance_on_foil"]), ("present", ["paddle_up_count"]), ("present", ["distance_to_first_paddle_up"]),
+        ("fill", ["min_foiling_hr", "avg_foiling_hr"]), ("fill", ["max_speed_1k"]), ("fill", ["max_distance"]), ("fill", ["start_pos", "end_pos"])]
+    return write_back(runs, with_beaches(ends, beaches).withColumnRenamed("run_id", "id"), "id", groups)
 
 
 def publish_points(points: DataFrame, runs: DataFrame, path: str, days: int = 14, as_of: Column | None = None, key: str = "run_id") -> None:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import flat_distance
 from . import grid
 
+#: Beaches that every end of a run is held against.
+FEW_BEACHES = 256
+
 
 def file_starts(points: DataFrame) -> DataFrame:
     """filename and first_tsi of each file: all that matching needs of the points."""
@@ -61,12 +63,10 @@ def resolve_beaches(runs: DataFrame, beaches: DataFrame) -> DataFrame:
 
 
 def run_ends(points: DataFrame, key: str = "run_id") -> DataFrame:
-    """key, which (first or last), lat, lon of each run; a run of one fix has a first only."""
+    """key, first and last (lat and lon of these fixes) and n, the number of fixes, of each run."""
     first = F.min_by(F.struct("lat", "lon"), F.struct("tsi", "seq"))
     last = F.max_by(F.struct("lat", "lon"), F.struct("tsi", "seq"))
-    both = points.groupBy(key).agg(first.alias("first"), last.alias("last"), F.count(F.lit(1)).alias("n"))
-    rows = both.select(key, "n", F.explode(F.array(F.struct(F.lit("first").alias("which"), F.col("first.lat").alias("lat"), F.col("first.lon").alias("lon")), F.struct(F.lit("last").alias("which"), F.col("last.lat").alias("lat"), F.col("last.lon").alias("lon")))).alias("e"))
-    return rows.filter("e.which = 'first' OR n > 1").select(key, "e.which", "e.lat", "e.lon")
+    return points.groupBy(key).agg(first.alias("first"), last.alias("last"), F.count(F.lit(1)).alias("n"))
 
 
 def end_beaches(points: DataFrame, beaches: DataFrame, key: str = "run_id", size: float = grid.SIZE) -> DataFrame:
@@ -75,14 +75,24 @@ def end_beaches(points: DataFrame, beaches: DataFrame, key: str = "run_id", size
 
 
 def beaches_of(ends: DataFrame, beaches: DataFrame, key: str = "run_id", size: float = grid.SIZE) -> DataFrame:
-    """The same from ends (key, which, lat, lon), which meet only the beaches near their own cell of a grid."""
-    places = ends.select("lat", "lon").filter(grid.usable(F.col("lat"), F.col("lon"), size)).distinct()
+    """The same from ends: key, first and last (each lat and lon), n."""
+    return with_beaches(ends, beaches, key, size).select(key, "start_pos", "end_pos")
+
+
+def with_beaches(ends: DataFrame, beaches: DataFrame, key: str = "run_id", size: float = grid.SIZE) -> DataFrame:
+    """ends (key, first, last, n, ..), one row a run, with start_pos and end_pos.
+
+    Up to FEW_BEACHES (which is counted) travel to the ends as one row; of more, ends meet those near their own cell of a grid.
+    """
     spots = beaches.select("beach_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.lit(None).cast("double").alias("lat2"), F.lit(None).cast("double").alias("lon2"))
-    met = grid.with_cell(places, size).join(grid.candidates(places, spots, ["beach_id"], size=size), ["ci", "cj"])
-    far = flat_distance(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))
-    best = met.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("far"), "beach_id")).alias("b")).select("lat", "lon", F.col("b.beach_id").alias("beach_id"))
-    near = ends.join(best, ["lat", "lon"], "left")
-    return near.groupBy(key).agg(F.max(F.when(F.col("which") == "first", F.col("beach_id"))).alias("start_pos"), F.max(F.when(F.col("which") == "last", F.col("beach_id"))).alias("end_pos"))
+    last = F.when(F.col("n") > 1, F.col("last"))
+    if spots.limit(FEW_BEACHES + 1).count() <= FEW_BEACHES:
+        met = grid.attach_few(ends.withColumn("__last", last), spots, "beach_id", {"start_pos": "first", "end_pos": "__last"})
+        return met.withColumns({c: F.col(f"{c}.id") for c in ("start_pos", "end_pos")}).drop("__last")
+    each = F.array(*[F.struct(F.lit(which).alias("which"), place["lat"].alias("lat"), place["lon"].alias("lon")) for which, place in (("first", F.col("first")), ("last", last))])
+    met = grid.attach(ends.select(key, F.explode(each).alias("e")).select(key, "e.*"), spots, "beach_id", size=size, name="__near")
+    found = met.groupBy(key).agg(*[F.max(F.when(F.col("which") == which, F.col("__near.id"))).alias(name) for which, name in (("first", "start_pos"), ("last", "end_pos"))])
+    return ends.join(found, key)
 
 
 def similar_runs(runs: DataFrame, key: str = "run_id", everything: bool = False, of: object | None = None, top: int = 20) -> DataFrame:
@@ -91,21 +101,22 @@ def similar_runs(runs: DataFrame, key: str = "run_id", everything: bool = False,
     Without `of`, the newest `top` of each run: beaches are cut down to their newest runs first, so a popular beach never
     pairs all its runs.
     """
-    other = runs.select(F.col(key).alias("other"), F.col("ts").alias("other_ts"), F.col("start_pos").alias("__s"), F.col("end_pos").alias("__e"))
     newest = Window.partitionBy(key).orderBy(F.desc("other_ts"), "other")
     if everything:
         if of is None:
             raise ValueError("all other runs are listed for one run at a time")
-        pairs = other.filter(F.col("other") != of).select(F.lit(of).alias(key), "other", "other_ts")
+        pairs = runs.select(F.col(key).alias("other"), F.col("ts").alias("other_ts")).filter(F.col("other") != of).select(F.lit(of).alias(key), "other", "other_ts")
         return pairs.withColumn("rank", F.row_number().over(newest))
-    own = runs if of is None else runs.filter(F.col(key) == of)
-
-    def sharing(side: str, own_side: str) -> DataFrame:
-        # A run's own row may be among the newest of its beach, hence one more.
-        place = Window.partitionBy(side).orderBy(F.desc("other_ts"), "other")
-        some = other if of is not None else other.withColumn("__rn", F.row_number().over(place)).filter(F.col("__rn") <= top + 1)
-        return own.join(some, F.col(own_side) == F.col(side)).select(key, "other", "other_ts")
-
-    pairs = sharing("__s", "start_pos").union(sharing("__e", "end_pos")).filter(F.col(key) != F.col("other")).dropDuplicates([key, "other"])
+    # A row for each run and side, which own and other runs share: they are dealt out by side and beach once.
+    sides = F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("start_pos").alias("beach")), F.struct(F.lit("end").alias("side"), F.col("end_pos").alias("beach"))))
+    at = runs.select(key, "ts", sides.alias("s")).select(key, "ts", "s.side", "s.beach").filter("beach IS NOT NULL").repartition("side", "beach")
+    # A run's own row may be among the newest of its beach, hence one more.
+    place = Window.partitionBy("side", "beach").orderBy(F.desc("ts"), key)
+    some = at.select(F.col(key).alias("other"), F.col("ts").alias("other_ts"), "side", "beach")
+    if of is None:
+        newest_there = at.withColumn("__rn", F.row_number().over(place)).filter(F.col("__rn") <= top + 1)
+        some = newest_there.select(F.col(key).alias("other"), F.col("ts").alias("other_ts"), "side", "beach")
+    own = at.select(key, "side", "beach") if of is None else at.select(key, "side", "beach").filter(F.col(key) == of)
+    pairs = own.join(some, ["side", "beach"]).filter(F.col(key) != F.col("other")).select(key, "other", "other_ts").dropDuplicates([key, "other"])
     ranked = pairs.withColumn("rank", F.row_number().over(newest))
     return ranked if of is not None else ranked.filter(F.col("rank") <= top)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,3 +51,27 @@ def apply_stats(runs: DataFrame, stats: DataFrame, key: str, mode: str, columns:
         raise ValueError(mode)
     out = joined.withColumns({c: F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)) for c in columns})
     return out.select(*runs.columns, *[c for c in columns if c not in runs.columns])
+
+
+def write_back(runs: DataFrame, stats: DataFrame, key: str, groups: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """runs with columns from stats (one row per key), in one join, each group of columns in its own mode.
+
+    Modes as in apply_stats(), and `present`: where stats has a value for the group's first column.
+    """
+    columns = [c for _, group in groups for c in group]
+    side = stats.select(F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = runs.join(side, F.col(key) == F.col("__key"), "left")
+    old = {c: F.col(c) if c in runs.columns else F.lit(None).cast(stats.schema[c].dataType) for c in columns}
+    out = {}
+    for mode, group in groups:
+        hit = F.coalesce("__hit", F.lit(False))
+        if mode == "all":
+            hit = F.lit(True)
+        elif mode == "present":
+            hit = F.col(f"__{group[0]}").isNotNull()
+        elif mode == "fill":
+            hit = hit & functools.reduce(Column.__or__, [old[c].isNull() for c in group])
+        elif mode != "overwrite":
+            raise ValueError(mode)
+        out |= {c: F.when(hit, F.col(f"__{c}")).otherwise(old[c]) for c in group}
+    return joined.withColumns(out).select(*runs.columns, *[c for c in columns if c not in runs.columns])

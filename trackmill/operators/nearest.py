@@ -2,10 +2,11 @@
 
 Within a feature (a line, or a single point) the nearest point is found in the flat latitude/longitude plane;
 among features the one whose nearest point is closest on the sphere wins (ties: the smaller feature id). A fix
-without any feature, or without a position, keeps nulls.
+without any feature, or without a position on earth, keeps nulls.
 
-Fixes meet only the segments near their own cell of a grid, by equi-joins; each different position is held against
-them once. All of it is column expressions, joins and sums, and nothing of the coastline passes through the driver.
+A fix meets the few segments that its cell of a grid keeps (see grid.py) in one join by cell, and finds the nearest of
+them within its own row: fixes are neither regrouped nor held against the whole coast, and nothing of the coastline
+passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,21 +18,13 @@ from ..functions.geo import haversine_m
 from . import grid
 
 
-def nearest_land(points: DataFrame, segments: DataFrame, size: float = grid.SIZE) -> DataFrame:
+def nearest_land(points: DataFrame, segments: DataFrame, size: float = grid.SIZE, few: int = grid.FEW_PARTS) -> DataFrame:
     """points plus nearest_land_lat and nearest_land_lon; segments: feature_id, seg_id, lat1, lon1, lat2, lon2 (null: a point).
 
-    size: degrees of the grid's smallest cell, which only matters for speed.
+    size, few: degrees of the grid's smallest cell and the segments up to which every square chooses among all, which only matter for speed.
     """
-    places = points.select("lat", "lon").filter(grid.usable(F.col("lat"), F.col("lon"), size)).distinct()
-    near = grid.candidates(places, segments, ["feature_id"], sphere=True, size=size)
-    met = grid.with_cell(places, size).join(near, ["ci", "cj"])
-    y, x, square = grid.point_on(F.col("lat"), F.col("lon"))
-    flat = met.select("lat", "lon", "feature_id", y.alias("y"), x.alias("x"), square.alias("square"))
-    of_feature = flat.groupBy("lat", "lon", "feature_id").agg(F.min_by("y", "square").alias("y"), F.min_by("x", "square").alias("x"))
-    far = haversine_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
-    best = of_feature.groupBy("lat", "lon").agg(F.min(F.struct(far.alias("far"), "feature_id", "y", "x")).alias("b"))
-    best = best.select(F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("b.y").alias("nearest_land_lat"), F.col("b.x").alias("nearest_land_lon"))
-    return points.join(best, (F.col("lat") == F.col("__lat")) & (F.col("lon") == F.col("__lon")), "left").drop("__lat", "__lon")
+    met = grid.attach(points, segments, "feature_id", sphere=True, size=size, name="__land", few=few)
+    return met.withColumns({"nearest_land_lat": F.col("__land.y"), "nearest_land_lon": F.col("__land.x")}).drop("__land")
 
 
 def distance_to_land(points: DataFrame) -> DataFrame:

@@ -56,10 +56,10 @@ def speed_and_heart(points: DataFrame, key: str = "run_id", limit: float = ON_FO
 
 
 def run_stats(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH, hr_limit: float = FOILING_HR_KMH, paddle_up_s: float = 15, first_s: float = 60) -> DataFrame:
-    """All of the above but land distances, the islands, and the first and last fix, per run, in one pass; points have distance and avg_speed_1k.
+    """All of the above, the islands, and the first and last fix, per run, in one pass; points have distance and avg_speed_1k.
 
     date and time are there where points have them; first_lat, first_lon, last_lat, last_lon and n_points where they have
-    positions, for run_ends_of().
+    positions, for run_ends_of(); max_distance where they have their nearest land.
 
     Rows are first summed up by island (and by the stretches between), those sums by run: the windows and both
     aggregates share one hash partitioning on the run, and the points are read once.
@@ -72,6 +72,8 @@ def run_stats(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH
     ends = {f"{n}_{c}": F.when(F.col(f"__{n}"), F.col(c)) for n in ("first", "last") for c in ("lat", "lon")} if {"lat", "lon"} <= set(points.columns) else {}
     if ends:
         stepped = stepped.withColumns({"__first": F.lag(F.lit(1)).over(w).isNull(), "__last": F.lead(F.lit(1)).over(w).isNull()})
+    land = {"max_distance": haversine_m(F.col("lat"), F.col("lon"), F.col("nearest_land_lat"), F.col("nearest_land_lon"))} if {"nearest_land_lat", "nearest_land_lon"} <= set(points.columns) else {}
+    ends |= land  # largest value of each, like the ends
     parts = stepped.groupBy(key, "island", "__fast").agg(
         F.min("tsi").alias("lo"), F.max("tsi").alias("hi"), F.min("distance").alias("from"), F.max("distance").alias("to"), F.max("speed").alias("top"), F.sum("speed").alias("sum"), F.count("speed").alias("n"),
         F.min(F.when(quick, hr)).alias("hr_min"), F.sum(F.when(quick, hr)).alias("hr_sum"), F.count(F.when(quick, hr)).alias("hr_n"), F.max("avg_speed_1k").alias("best"), F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in days], *[F.max(v).alias(n) for n, v in ends.items()], *_totals(limit))
@@ -81,12 +83,11 @@ def run_stats(points: DataFrame, key: str = "run_id", limit: float = ON_FOIL_KMH
     out = parts.groupBy(key).agg(
         F.min("lo").alias("ts"), F.max("top").alias("max_speed_kmh"), F.try_divide(F.sum("sum"), F.sum("n")).alias("avg_speed_kmh"), (F.max("hi") - F.min("lo")).alias("duration_sec"), (F.max("to") / 1000).alias("distance_km"),
         F.min("hr_min").alias("min_foiling_hr"), F.try_divide(F.sum("hr_sum"), F.sum("hr_n")).alias("avg_foiling_hr"), F.max("best").alias("max_speed_1k"), F.sum("duration_on_foil").alias("duration_on_foil"), F.sum("distance_on_foil").alias("distance_on_foil"),
-        *[F.min(c).alias(c) for c in days], *[F.max(n).alias(n) for n in ends], *([F.sum("rows").alias("n_points")] if ends else []), longest.alias("__l"), F.when(lasting > 0, lasting).alias("paddle_up_count"), F.min_by("from", F.when(island & (span >= first_s), F.col("lo"))).alias("distance_to_first_paddle_up"))
+        *[F.min(c).alias(c) for c in days], *[F.max(n).alias(n) for n in ends], *([F.sum("rows").alias("n_points")] if len(ends) > len(land) else []), longest.alias("__l"), F.when(lasting > 0, lasting).alias("paddle_up_count"), F.min_by("from", F.when(island & (span >= first_s), F.col("lo"))).alias("distance_to_first_paddle_up"))
     named = {"longest_segment_distance": "way", "longest_segment_start": "lo", "longest_segment_end": "hi"}
     return out.withColumns({n: F.col(f"__l.{c}") for n, c in named.items()}).drop("__l")
 
 
 def run_ends_of(stats: DataFrame, key: str = "run_id") -> DataFrame:
-    """key, which (first or last), lat, lon from run_stats(); a run of one fix has a first only."""
-    both = F.array(*[F.struct(F.lit(n).alias("which"), F.col(f"{n}_lat").alias("lat"), F.col(f"{n}_lon").alias("lon")) for n in ("first", "last")])
-    return stats.select(key, "n_points", F.explode(both).alias("e")).filter("e.which = 'first' OR n_points > 1").select(key, "e.which", "e.lat", "e.lon")
+    """key, first and last (lat and lon) and n from run_stats(), as matching.run_ends() gives them from points."""
+    return stats.select(key, *[F.struct(F.col(f"{n}_lat").alias("lat"), F.col(f"{n}_lon").alias("lon")).alias(n) for n in ("first", "last")], F.col("n_points").alias("n"))
