@@ -144,6 +144,18 @@ BODIES = {
     "write_back_overwrite": "SELECT r.run_id, round(CASE WHEN s.run_id IS NULL THEN r.duration_sec ELSE s.duration_on_foil END, 6) AS duration_sec FROM run_list r LEFT JOIN (SELECT * FROM foil WHERE run_id % 2 = 0) s USING (run_id)",
     "write_back_fill": "SELECT r.run_id, round(CASE WHEN r.run_id % 3 = 0 THEN s.duration_on_foil ELSE r.duration_sec END, 6) AS duration_sec FROM run_list r LEFT JOIN foil s USING (run_id)",
     "write_back_all": "SELECT r.run_id, round(s.duration_on_foil, 6) AS duration_sec FROM run_list r LEFT JOIN (SELECT * FROM foil WHERE run_id % 2 = 0) s USING (run_id)",
+    "import_points": f"SELECT m.run_id, 'run ' || m.run_id AS filename, m.seq, round(m.distance, 4) AS distance, {N('avg_speed_15s', 'avg_speed_1k')}, round(nearest_land_lat, 6) AS nearest_land_lat, round(nearest_land_lon, 6) AS nearest_land_lon FROM means m JOIN land l ON l.run_id = m.run_id AND l.seq = m.seq WHERE m.run_id % 2 = 1",
+    "update_runs": f"""SELECT r.run_id AS id, o.ts, r.sport, {R(*['o.' + c for c in _STATS[:4]])}, round(longest_segment_distance, 6) AS longest_segment_distance, {R('duration_on_foil', 'distance_on_foil')}, coalesce(paddle_up_count, 77) AS paddle_up_count, {R('distance_to_first_paddle_up')},
+      CASE WHEN r.run_id % 3 = 0 THEN 99 ELSE min_foiling_hr END AS min_foiling_hr, round(CASE WHEN r.run_id % 3 = 0 THEN 98.5 ELSE avg_foiling_hr END + 1e-9, 6) AS avg_foiling_hr, round(CASE WHEN r.run_id % 2 = 0 THEN 12.5 ELSE max_speed_1k END + 1e-9, 6) AS max_speed_1k,
+      CASE WHEN r.run_id % 4 = 0 THEN 1.5 ELSE round(away, 3) END AS max_distance, CASE WHEN r.run_id % 10 = 0 THEN 3 ELSE start_pos END AS start_pos, CASE WHEN r.run_id % 10 = 0 THEN 4 ELSE end_pos END AS end_pos
+      FROM run_list r JOIN rolled o USING (run_id) LEFT JOIN hearts USING (run_id) LEFT JOIN best1k USING (run_id) LEFT JOIN foil USING (run_id) LEFT JOIN longest USING (run_id) LEFT JOIN paddle USING (run_id) LEFT JOIN firsts USING (run_id) LEFT JOIN run_beaches USING (run_id)
+      LEFT JOIN (SELECT run_id, max(distance_to_land) AS away FROM land GROUP BY run_id) a USING (run_id)""",
+    "wind_slice_any_age": """SELECT run_id, event_id, round(CASE WHEN rn = 1 THEN ts ELSE tsi END, 6) AS tsi, round(wavg, 6) AS wavg FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY tsi, event_id) AS rn FROM (
+      SELECT r.run_id, r.ts, w.tsi, w.event_id, w.wavg, w.tsi < r.ts AS early, row_number() OVER (PARTITION BY r.run_id, w.tsi < r.ts ORDER BY w.tsi DESC, w.event_id DESC) AS back
+      FROM (SELECT * FROM regions UNION ALL SELECT run_id + 100000, ts + 45 * 86400, duration_sec, region FROM regions) r JOIN wind w ON w.site = CASE r.region WHEN 'AFRICA' THEN 'kihei' WHEN 'AMERICA' THEN 'hookipa' END AND w.tsi <= r.ts + r.duration_sec) x WHERE NOT early OR back = 1) y""",
+    "export_ordered_files": "SELECT run_id, true AS several, count(*) AS n, CAST(0 AS BIGINT) AS misplaced FROM track_points GROUP BY run_id",
+    "drop_import": """SELECT concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12)) AS id, 'run ' || run_id AS file, filename, 'Downwind' AS sport, round(ts, 6) AS ts, n, round(distance, 4) AS distance FROM (
+      SELECT *, sha256(filename) AS h FROM (SELECT run_id, ts, 'Waterspeed ' || strftime(make_timestamp(CAST(round_even(ts * 1000000, 0) AS BIGINT)), '%Y-%m-%d %H.%M.%S') AS filename FROM run_list) l) x JOIN (SELECT run_id, count(*) AS n, max(distance) AS distance FROM dist GROUP BY run_id) d USING (run_id)""",
     "similar_runs": "SELECT a.run_id, b.run_id AS other, row_number() OVER (PARTITION BY a.run_id ORDER BY b.ts DESC, b.run_id) AS rank FROM resolved a JOIN resolved b ON a.run_id <> b.run_id AND (a.start_pos = b.start_pos OR a.end_pos = b.end_pos) QUALIFY rank <= 20",
     "wind_by_run": f"SELECT run_id, {R('avg_wavg', 'max_wavg', 'avg_wgust', 'max_wgust')}, avg_wdir FROM regions LEFT JOIN wind_stats USING (run_id) WHERE region <> 'ASIA'",
     "run_list_with_wind": f"SELECT run_id, region, {R('avg_wavg', 'max_wgust')}, avg_wdir FROM regions LEFT JOIN wind_stats USING (run_id)",
@@ -204,7 +216,7 @@ BODIES = {
     "compare_splits": "SELECT coalesce(l.left_run, r.left_run) AS left_run, coalesce(l.right_run, r.right_run) AS right_run, coalesce(l.split, r.split) AS split, round(l.avg_speed, 6) AS left_avg_speed, round(r.avg_speed, 6) AS right_avg_speed, round(greatest(l.max_speed, r.max_speed), 6) AS top_speed FROM (SELECT run_id AS left_run, run_id + 1 AS right_run, * FROM split WHERE run_id + 1 IN (SELECT run_id FROM run_list)) l FULL JOIN (SELECT run_id - 1 AS left_run, run_id AS right_run, * FROM split WHERE run_id - 1 IN (SELECT run_id FROM run_list)) r ON l.left_run = r.left_run AND l.split = r.split",
     "shared_maxima": "SELECT a.run_id AS left_run, b.run_id AS right_run, round(greatest(a.max_speed_kmh, b.max_speed_kmh), 6) AS max_speed, round(greatest(a.distance_km, b.distance_km) * 1000, 4) AS max_distance, round(greatest(a.duration_sec, b.duration_sec), 6) AS max_duration FROM rolled a JOIN rolled b ON b.run_id = a.run_id + 1",
     "dashboard_totals_land": "SELECT count(*) AS n_runs, round(max(m), 3) AS max_distance, arg_max(run_id, struct_pack(v := m, t := -ts)) AS max_distance_run FROM info LEFT JOIN (SELECT run_id, max(distance_to_land) AS m FROM land GROUP BY run_id) d USING (run_id)",
-    "landing_matrix": "SELECT start_beach, " + ", ".join(f"count(*) FILTER (WHERE end_beach = (SELECT beach FROM beaches WHERE beach_id = {i})) AS to_{i}" for i in range(5)) + " FROM info GROUP BY start_beach",
+    "landing_matrix": "SELECT start_beach, " + ", ".join(f"count(*) FILTER (WHERE end_beach = (SELECT beach FROM beaches WHERE beach_id = {i})) AS to_{i}" for i in range(25)) + " FROM info GROUP BY start_beach",
     "weekly_trend": "SELECT CASE WHEN count(*) > 1 THEN round(regr_slope(high, x), 5) END AS slope, CASE WHEN count(*) > 1 THEN round(regr_intercept(high, x), 5) END AS intercept FROM (SELECT date_diff('day', DATE '2024-01-01', week) / 7.0::DOUBLE AS x, max(max_speed_1k) AS high FROM " + _WEEKS + " i GROUP BY week) w",
     "enriched_wind": "SELECT run_id, CASE WHEN run_id % 4 > 0 THEN 'Foil ' || run_id ELSE 'unknown foil' END AS foil, round(avg_wavg, 6) AS avg_avg, round(max_wavg, 6) AS avg_max, round(avg_wgust, 6) AS gust_avg, round(max_wgust, 6) AS gust_max, avg_wdir AS avg_dir FROM regions LEFT JOIN wind_stats USING (run_id)",
     "wind_slice_local": slice_sql("wind", "CASE r.region WHEN 'AFRICA' THEN 'kihei' WHEN 'AMERICA' THEN 'hookipa' END", R("wavg"), 36000),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, conditions, crashes, dashboard, gpsclean, islands, matching, merge, nearest, runstats, segments, tracks
+from ..operators import compare, conditions, crashes, dashboard, gpsclean, ingest, islands, matching, merge, nearest, runstats, segments, tracks
 from . import fixtures
 from .fixtures import view
 
@@ -66,8 +66,8 @@ def info(spark: SparkSession, sf_dir: str, spread_s: int = 0, **limits: float) -
     """Enriched runs, all from one pass over the points; spread_s: seconds put between runs, so that weeks differ."""
     stats = runstats.run_stats(means(spark, sf_dir)).withColumn("ts", F.col("ts") + F.col("run_id") * spread_s)
     beaches = view(spark, sf_dir, "beaches")
-    places = stats.join(matching.beaches_of(runstats.run_ends_of(stats), beaches), "run_id")
-    return dashboard.enrich(matching.resolve_beaches(places, beaches), **limits)
+    ends = stats.withColumns({n: F.struct(F.col(f"{n}_lat").alias("lat"), F.col(f"{n}_lon").alias("lon")) for n in ("first", "last")}).withColumn("n", F.col("n_points"))
+    return dashboard.enrich(matching.resolve_beaches(matching.with_beaches(ends, beaches), beaches), **limits)
 
 
 #: Seconds between runs where a query needs several weeks.
@@ -256,6 +256,27 @@ def write_back_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _write_back(spark, sf_dir, "all", True)
 
 
+@query
+def import_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as the import makes them, of the files whose runs (those of odd number) have none yet."""
+    named = listed(spark, sf_dir).withColumn("filename", F.concat(F.lit("run "), F.col("id").cast("string")))
+    known = pts(spark, sf_dir).filter("run_id % 2 = 0").select("run_id")
+    out = ingest.import_points(staged(spark, sf_dir), named, known, view(spark, sf_dir, "coast_segments"))
+    return out.select("run_id", "filename", "seq", *r("distance", digits=4), *n("avg_speed_15s", "avg_speed_1k"), *r("nearest_land_lat", "nearest_land_lon"))
+
+
+@query
+def update_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics written back into runs that have some of them already."""
+    some = lambda k, value, kind: F.when(F.col("id") % k == 0, F.lit(value)).cast(kind)
+    runs = listed(spark, sf_dir).withColumns({
+        "min_foiling_hr": F.when(F.col("id") % 3 < 2, 99).cast("int"), "avg_foiling_hr": some(3, 98.5, "double"), "max_distance": some(4, 1.5, "double"), "start_pos": some(5, 3, "long"),
+        "end_pos": some(10, 4, "long"), "paddle_up_count": F.lit(77).cast("long"), "duration_on_foil": F.lit(5.5), "max_speed_1k": some(2, 12.5, "double")})
+    points = nearest.nearest_land(means(spark, sf_dir), view(spark, sf_dir, "coast_segments"))
+    out = ingest.update_runs(runs, points, view(spark, sf_dir, "beaches"))
+    return out.select("id", "ts", "sport", *r("max_speed_kmh", "avg_speed_kmh", "duration_sec", "distance_km", "longest_segment_distance", "duration_on_foil", "distance_on_foil"), "paddle_up_count", *r("distance_to_first_paddle_up"), "min_foiling_hr", *n("avg_foiling_hr", "max_speed_1k"), *r("max_distance", digits=3), "start_pos", "end_pos")
+
+
 @query
 def similar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.similar_runs(resolved(spark, sf_dir)).select("run_id", "other", F.col("rank").cast("long").alias("rank"))
@@ -282,6 +303,14 @@ def wind_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wind_slice(spark, sf_dir).select("run_id", "event_id", *r("tsi", "wavg", "wgust", "wdir"))
 
 
+@query
+def wind_slice_any_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wind of each run with the last reading before it, however old: every run is there again 45 days later, when readings have ended."""
+    runs = regions(spark, sf_dir)
+    both = runs.unionByName(runs.withColumns({"run_id": F.col("run_id") + 100_000, "ts": F.col("ts") + 45 * 86_400}))
+    return conditions.slice_for_runs(both, view(spark, sf_dir, "wind"), fixtures.SITES, same_day=False).select("run_id", "event_id", *r("tsi", "wavg"))
+
+
 @query
 def wind_slice_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wind of each run's day in Hawaii."""
@@ -479,8 +508,9 @@ def dashboard_totals_land(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def landing_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs from each start beach to the beaches of the fixture's first five numbers."""
-    names = [x[0] for x in view(spark, sf_dir, "beaches").filter("beach_id < 5").orderBy("beach_id").select("beach").collect()]
+    """Runs from each start beach to each end beach: one row per start, one column per beach of the table."""
+    # The columns of a pivot are named by the table of beaches, one name for each.
+    names = [x[0] for x in view(spark, sf_dir, "beaches").orderBy("beach_id").select("beach").collect()]
     out = dashboard.landing_matrix(info(spark, sf_dir), names)
     return out.select("start_beach", *[F.col(f"`{x}`").cast("long").alias(f"to_{i}") for i, x in enumerate(names)])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,25 @@ def drop_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("filename", *r("tsi", "speed"), "hr")
 
 
+@query
+def drop_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and point files of two folders, imported as a stream; the first attempt fails once its points are written, and their batch runs again."""
+    lists, store = folder(spark, "lists"), dropfolder.Store(spark, folder(spark, "store"), dropfolder.RUNS)
+    _listed(spark, sf_dir).write.option("header", True).option("escape", "\"").csv(lists)
+    points, coast = _point_files(spark, sf_dir), view(spark, sf_dir, "coast_segments")
+
+    def fail(table: str, number: int) -> None:
+        if table == "points":
+            raise RuntimeError("an attempt that fails after writing")
+
+    with contextlib.suppress(StreamingQueryException):
+        dropfolder.import_drop(spark, lists, points, store, coast, after=fail)
+    for _ in range(2):
+        dropfolder.import_drop(spark, lists, points, store, coast)
+    found = store.points().groupBy(F.col("run_id").alias("id"), F.col("filename").alias("file")).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("distance"))
+    return found.join(store.runs().select("id", "filename", "sport", "ts"), "id").select("id", "file", "filename", "sport", *r("ts"), "n", *r("distance", digits=4))
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.timestamp_micros(tracks.micros(F.col("ts")))
     return view(spark, sf_dir, "run_list").select(
@@ -174,6 +196,16 @@ def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _placed(back, "run_id").select("run_id", "seq", F.col("place").cast("long").alias("place"))
 
 
+@query
+def export_ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs exported to several files each: rows that stand out of order when files are read by name."""
+    out = folder(spark, "ordered")
+    sinks.by_partition(queries.pts(spark, sf_dir).select("run_id", "seq", "tsi"), out, ["run_id"], "tsi", gzip=True, files=3)
+    back = spark.read.schema("seq long, tsi double, run_id long").option("header", True).csv(out)
+    rows = _placed(back, "run_id").selectExpr("*", "row_number() OVER (PARTITION BY run_id ORDER BY tsi, seq) AS due")
+    return rows.groupBy("run_id").agg((F.countDistinct("__file") > 1).alias("several"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("place") != F.col("due")).alias("misplaced"))
+
+
 @query
 def read_run_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = folder(spark, "points")

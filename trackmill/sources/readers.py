@@ -37,7 +37,10 @@ def list_filename(ts: Column) -> Column:
 
 def run_list(spark: SparkSession, path: str) -> DataFrame:
     """Projected run list: filename, ts, date, time, speeds, duration, distance, name, description, feeling, board, foil."""
-    raw = spark.read.schema(LIST_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
+    return normalise_list(spark.read.schema(LIST_SCHEMA).option("header", True).option("enforceSchema", False).csv(path))
+
+
+def normalise_list(raw: DataFrame) -> DataFrame:
     at = F.col("`Timestamp (from 1970)`")
     names = {"Max Speed (kmh)": "max_speed_kmh", "Avg Speed (kmh)": "avg_speed_kmh", "Duration (sec)": "duration_sec", "Distance (km)": "distance_km", "Name": "name", "Desc": "description", "Feeling": "feeling", "Equip 1": "board", "Equip 2": "foil"}
     return raw.select(list_filename(at).alias("filename"), at.alias("ts"), F.to_date("Date").alias("date"), F.col("Time").alias("time"), *[F.col(f"`{a}`").alias(b) for a, b in names.items()])

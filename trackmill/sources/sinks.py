@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 def by_partition(rows: DataFrame, path: str, keys: list[str], order: str | None = None, gzip: bool = False, files: int = 1) -> None:
     """CSV folders by keys, only the partitions written being replaced; with files = 1 one (sorted) file each.
 
-    A partition too large for one task is given more files: rows are dealt out by keys and a hash of the row.
+    With more, partitions too large for one task get several files: with an order, rows are dealt out by ranges of keys and order,
+    so large partitions are cut where their rows are many, and file names in order hold the rows in order; without, by
+    keys and a hash of the row. files is the mean number over all partitions, which are counted.
     """
-    spread = [*keys, *([F.pmod(F.xxhash64(*rows.columns), F.lit(files))] if files > 1 else [])]
-    out = rows.repartition(*[F.col(k) if isinstance(k, str) else k for k in spread])
+    if files > 1 and order:
+        out = rows.repartitionByRange(files * max(1, rows.select(*keys).distinct().count()), *keys, order)
+    else:
+        spread = [F.pmod(F.xxhash64(*rows.columns), F.lit(files))] if files > 1 else []
+        out = rows.repartition(*keys, *spread)
     if order:
         out = out.sortWithinPartitions(*keys, order)
     writer = out.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
