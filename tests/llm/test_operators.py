@@ -160,6 +160,26 @@ def test_decontamination_blocks_agree(spark):
     assert decontam.check_words(text, [whole]) == decontam.check_words(text, parts)
 
 
+def test_decontaminate_decides_by_all_blocks(spark):
+    rng = random.Random(3)
+    word = lambda k: f"{'abcdefgh'[k]}{rng.randint(0, 40)}"
+    items = [(i, " ".join(word(i % 8) for _ in range(rng.choice([4, 12, 30])))) for i in range(12)] + [(None, "left out"), (90, None), (91, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    filler = lambda n: " ".join(f"z{rng.randint(0, 999)}" for _ in range(n))
+    docs = [(i, " ".join([filler(rng.randint(0, 30)), *[x for k in rng.sample(range(12), rng.randint(0, 4)) for x in (items[k][1], filler(rng.randint(0, 20)))]]), "x") for i in range(80)]
+    # 30 of one item and 30 of another, of 100 words; a cut that joins two halves of an item; rows without text; repeated rows.
+    first, second = (next(t for _, t in items[k:] if t and len(t.split()) == 30) for k in (0, 6))
+    halves = items[1][1].split()
+    docs += [(100, f"{filler(20)} {first} {filler(20)} {second}", "x"), (101, f"y y {' '.join(halves[:2])} {second} {' '.join(halves[2:])}", "x"), (102, None, "x"), (103, "", "x"), (None, first, "x"), (100, f"{filler(3)} {first}", "x"), (7, docs[7][1], "x")]
+    rows = frame(spark, docs, "doc_id long, text string, __words2 string")
+    for limits in ({"max_share": 0.5}, {"max_share": 0.5, "max_words": 1000}, {"max_words": 12}, {"max_share": 0.0}):
+        whole, many = (sorted(map(repr, map(tuple, decontam.decontaminate(rows, benchmark, block_words=n, **limits).collect()))) for n in (10**6, 20))
+        assert whole == many
+    assert repr((100, docs[80][1], "x")) not in whole
+    whole, many = (sorted(map(repr, decontam.match(rows, benchmark, block_words=n).collect())) for n in (10**6, 20))
+    assert whole == many and len(whole) == len(docs)
+
+
 def test_decontaminate_cuts_until_clean(spark):
     item = " ".join(f"q{i}" for i in range(20))
     ws = item.split()

@@ -7,8 +7,9 @@ of a run, so only stretches of item words walk the automaton.
 
 Items go in blocks of BLOCK_WORDS words at most (or one longer item), one automaton each. One block at a time is
 built on the driver (about 1 KB a word), packed into arrays (under 100 bytes a word), travels so to the tasks and meets
-all texts, so memory is that of a block whatever the benchmark's size; a benchmark of several blocks costs as many
-scans, and only rows with hits are kept between them.
+the texts, so memory is that of a block whatever the benchmark's size. Of a benchmark of several blocks, the hashes of all
+windows (8 bytes each, and the different words) travel first: one scan of the texts finds those that hold some window, and
+only they meet the blocks. What all blocks found in a text is put together before anything is decided about it.
 
 Definitions at the edges: a null text or item has no words and no hits; an item without words matches nothing;
 repeated items are reported each by its id; repeated rows are judged alike; null item ids are left out.
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import keep, sliced
+from .common import keep, mix64, sliced
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -169,20 +171,75 @@ class Automaton:
         return [(a, b) for a, b in found], items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
-    """One automaton for each block of items of benchmark (item_id, text); one at least."""
+class Sieve:
+    """Hashes of all windows of several blocks of items: whether a text can hold any of them."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.ids: dict[bytes, int] = {}
+        self.found: dict[int, set[int] | np.ndarray] = {}
+
+    def add(self, items: Sequence[tuple[str, list[bytes]]]) -> None:
+        for _, ws in items:
+            if ws:
+                n = min(len(ws), self.window)
+                self.found.setdefault(n, set()).update(self._hashes(np.array([self.ids.setdefault(w, len(self.ids)) for w in ws], np.int64), n).tolist())
+
+    def packed(self) -> Sieve:
+        self.found = {n: np.array(sorted(h), np.uint64) for n, h in self.found.items()}
+        return self
+
+    @staticmethod
+    def _hashes(code: np.ndarray, n: int) -> np.ndarray:
+        c = mix64(code.astype(np.uint64) + np.uint64(1))
+        out = np.zeros(len(c) - n + 1, np.uint64)
+        for i in range(n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + c[i : len(c) - n + 1 + i]
+        return out
+
+    def holds(self, ws: list[bytes]) -> bool:
+        """Whether a window's hash occurs in the words; none that has a window is missed."""
+        code = np.fromiter((self.ids.get(w, -1) for w in ws), np.int64, len(ws))
+        known = np.concatenate(([0], np.cumsum(code >= 0)))
+        for n, hashes in self.found.items():
+            if len(ws) >= n:
+                at = np.flatnonzero(known[n:] - known[:-n] == n)
+                if len(at) and len(hashes):
+                    own = self._hashes(code, n)[at]
+                    if (hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own).any():
+                        return True
+        return False
+
+
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Blocks of items (name, words) of benchmark (item_id, text); one at least, which may be empty."""
     block: list[tuple[str, list[bytes]]] = []
     used, made = 0, False
     rows = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).orderBy("item_id")
     for r in rows.toLocalIterator():
         ws = words(bytes(r["text"]) if r["text"] is not None else None)
         if used and used + len(ws) > block_words:
-            yield Automaton(block, window)
+            yield block
             block, used, made = [], 0, True
         block.append((r["item_id"], ws))
         used += len(ws)
     if block or not made:
-        yield Automaton(block, window)
+        yield block
+
+
+def sieve(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> tuple[Automaton | None, Sieve | None]:
+    """The automaton of a benchmark of one block, or the sieve of one of several."""
+    blocks = item_blocks(benchmark, block_words)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return Automaton(first, window), None
+    out = Sieve(window)
+    for block in (first, second):
+        out.add(block)
+    for block in blocks:
+        out.add(block)
+    return None, out.packed()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,10 +268,10 @@ _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
 def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, spans (in words) and items of each of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key"))
-
-    def against(block: Automaton) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    one, several = sieve(benchmark, window, block_words)
+    if one is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(one)
 
         def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
@@ -226,60 +283,91 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
                     hit.append(sum(b - a for a, b in got))
                     spans.append([{"begin": a, "end": b} for a, b in got])
                     items.append(seen)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), batch.column("key")], ["doc_id", "n_words", "n_hit", "spans", "items", "key"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
 
-        return rows.mapInArrow(matched, MATCH + ", key long")
+        return rows.mapInArrow(matched, MATCH)
 
-    blocks = automata(benchmark, window, block_words)
-    whole, more = against(next(blocks)), None
-    for block in blocks:
-        part = keep(against(block).filter("n_hit > 0").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "spans", "items"), "hits")
-        more = part if more is None else more.union(part)
-    if more is None:
-        return whole.drop("key")
-    # Equal rows have equal hits, so id and text name a row well enough; a row's hits over all blocks are its own size at most.
-    more = more.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.flatten(F.collect_list("spans")).alias("spans2"), F.flatten(F.collect_list("items")).alias("items2"))
-    both = whole.join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
+    flagged = sieved(rows, several)
+    hits = _hits(flagged.filter("__maybe").select("__row", "text"), benchmark, window, block_words)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [merged([(x["begin"], x["end"]) for x in (*a, *(b or ()))]) for a, b in zip(batch.column("spans").to_pylist(), batch.column("spans2").to_pylist(), strict=True)]
-            items = [sorted({*a, *(b or ())}) for a, b in zip(batch.column("items").to_pylist(), batch.column("items2").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+            spans = [merged([(x["begin"], x["end"]) for x in a or ()]) for a in batch.column("spans").to_pylist()]
+            items = [sorted(set(a or ())) for a in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__words"), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+
+    return flagged.drop("text").join(hits, "__row", "left").select("doc_id", "__words", "spans", "items").mapInArrow(joined, MATCH)
+
+
+def sieved(rows: DataFrame, several: Sieve) -> DataFrame:
+    """rows, kept, with __words, whether a text may hold a window (__maybe), and a number of the row (__row)."""
+    shared = rows.sparkSession.sparkContext.broadcast(several)
 
-    return both.select("doc_id", "n_words", "n_hit", "spans", "items", "spans2", "items2").mapInArrow(joined, MATCH)
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [(len(ws), shared.value.holds(ws)) for raw in batch.column("text").cast(pa.binary()).to_pylist() for ws in [words(raw)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([m for _, m in found], pa.bool_())], [*batch.schema.names, "__words", "__maybe"])
+
+    schema = T.StructType([*rows.schema, T.StructField("__words", T.LongType()), T.StructField("__maybe", T.BooleanType())])
+    return keep(rows.mapInArrow(judged, schema).withColumn("__row", F.monotonically_increasing_id()), "sieved")
+
+
+def _hits(some: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """__row, spans and items that any block finds in some (__row, text); rows without are left out."""
+    out = None
+    for block in item_blocks(benchmark, block_words):
+        shared = some.sparkSession.sparkContext.broadcast(Automaton(block, window))
+
+        def matched(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in sliced(batches):
+                found = [check_words(words(raw), [shared.value]) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array([[{"begin": a, "end": b} for a, b in got] for got, _ in found], _SPANS), pa.array([seen for _, seen in found], pa.list_(pa.string()))], ["__row", "spans", "items"])
+
+        part = keep(some.mapInArrow(matched, "__row long, spans array<struct<begin:int,end:int>>, items array<string>").filter(F.size("items") > 0), "hits")
+        shared.destroy()
+        out = part if out is None else out.union(part)
+    # A row's hits over all blocks are of its own size at most.
+    return out.groupBy("__row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+
+def cut_out(raw: bytes, spans: Sequence[tuple[int, int]], max_words: int, max_share: float) -> bytes | None:
+    """raw without the spans (in words) of more than max_words words, or None if all spans make up more than max_share of its words."""
+    folded = raw.translate(FOLD)
+    n = len(folded.split())
+    if n and sum(b - a for a, b in spans) > max_share * n:
+        return None
+    spans = [(a, b) for a, b in spans if b - a > max_words]
+    if not spans:
+        return raw
+    flags = np.frombuffer(b" " + folded, np.uint8) != 32
+    starts = np.flatnonzero(flags[1:] & ~flags[:-1])
+    ends = np.flatnonzero(flags[1:] & ~np.append(flags[2:], False)) + 1
+    parts, at = [], 0
+    for a, b in spans:
+        parts.append(raw[at : starts[a]])
+        at = int(ends[b - 1])
+    return b" ".join([*parts, raw[at:]])
 
 
 def cleaned(raw: bytes, blocks: list[Automaton], max_words: int, max_share: float) -> bytes | None:
-    """raw without the spans of more than max_words words, or None if spans make up more than max_share of its words."""
+    """cut_out() until nothing more is cut: what is joined may match anew."""
     while True:
-        folded = raw.translate(FOLD)
-        ws = folded.split()
-        spans, _ = check_words(ws, blocks)
-        if ws and sum(b - a for a, b in spans) > max_share * len(ws):
-            return None
-        spans = [(a, b) for a, b in spans if b - a > max_words]
-        if not spans:
-            return raw
-        flags = np.frombuffer(b" " + folded, np.uint8) != 32
-        starts = np.flatnonzero(flags[1:] & ~flags[:-1])
-        ends = np.flatnonzero(flags[1:] & ~np.append(flags[2:], False)) + 1
-        parts, at = [], 0
-        for a, b in spans:
-            parts.append(raw[at : starts[a]])
-            at = int(ends[b - 1])
-        raw = b" ".join([*parts, raw[at:]])  # what is joined may match anew, so it is checked again
+        spans, _ = check_words(words(raw), blocks)
+        new = cut_out(raw, spans, max_words, max_share)
+        if new is None or new == raw:
+            return new
+        raw = new
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = 0, max_share: float = 1.0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with all columns, matched spans of more than max_words words cut out of text, and rows gone whose spans cover more than max_share of their words.
 
-    With several blocks of items the share is that of each block, and rounds go on until no text changes, since what is
-    joined by a cut may match another block anew.
+    A text is checked again after each cut, since what is joined may match anew. The number of blocks changes nothing in
+    the result: the spans of all blocks are put together first.
     """
-
-    def against(rows: DataFrame, block: Automaton) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    one, several = sieve(benchmark, window, block_words)
+    if one is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(one)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
@@ -291,18 +379,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
                 arrays[k] = pa.array([t for _, t in found], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, kept.schema.names)
 
-        return rows.mapInArrow(cut, rows.schema)
+        return docs.mapInArrow(cut, docs.schema)
+
+    flagged = sieved(docs, several)
+    todo, ended = flagged.filter("__maybe").select("__row", "text"), None
+
+    def cut_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows, new, gone = [], [], []
+            for row, raw, spans in zip(batch.column("__row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                text = cut_out(raw, merged([(x["begin"], x["end"]) for x in spans]), max_words, max_share)
+                if text != raw:
+                    rows.append(row)
+                    new.append(text)
+                    gone.append(text is None)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(new, pa.binary()).cast(pa.string()), pa.array(gone, pa.bool_())], ["__row", "text", "gone"])
 
-    rows, before = docs, None
+    number = 0
     while True:
-        blocks = automata(benchmark, window, block_words)
-        rows, several = against(rows, next(blocks)), False
-        for block in blocks:
-            rows, several = against(keep(rows, "cut"), block), True
-        if not several:
-            return rows
-        rows = keep(rows, "cut")
-        now = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-        if now == before:
-            return rows
-        before = now
+        hits = _hits(todo, benchmark, window, block_words)
+        now = keep(todo.join(hits.select("__row", "spans"), "__row").mapInArrow(cut_once, "__row long, text string, gone boolean"), "cut")
+        if now.isEmpty():
+            break
+        some = now.withColumn("round", F.lit(number))
+        ended = some if ended is None else ended.unionByName(some)
+        todo, number = now.filter("NOT gone").select("__row", "text"), number + 1
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if ended is None:
+        return flagged.select(*columns)
+    last = ended.groupBy("__row").agg(F.max_by(F.struct("text", "gone"), "round").alias("__last"))
+    name = next(c for c in docs.columns if c.lower() == "text")
+    some = flagged.filter("__maybe").join(last, "__row", "left").filter("__last IS NULL OR NOT __last.gone")
+    some = some.withColumn(name, F.coalesce("__last.text", F.col(f"`{name}`")))
+    return flagged.filter("NOT __maybe").select(*columns).unionByName(some.select(*columns))
