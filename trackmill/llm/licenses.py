@@ -12,6 +12,7 @@ notice and place (overlapping candidates of a notice merge); repeated rows are j
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -83,6 +84,46 @@ class Scanner:
             return []
         return [(m.start(), self.labels[m.lastindex - 1]) for m in self.phrase.finditer(low)]
 
+    def best_first(self, low: str, begin: int, end: int, n: int) -> list:
+        """Matches of notice n in a stretch that do not overlap: the best first (ties: the leftmost), then the best of what it leaves, and so on.
+
+        A long stretch is searched in windows that overlap by a match's length; a match found makes only the windows it
+        touches be searched again, so time is in proportion to the stretch.
+        """
+        reach = len(self.notices[n][1]) + self.notices[n][2]
+        step = 3 * reach if end - begin > 6 * reach else end - begin
+        count = max(1, -(-(end - begin) // max(1, step)))
+        taken: list[list[tuple[int, int]]] = [[] for _ in range(count)]
+        heap: list[tuple[int, int, int, int, object]] = []
+        version = [0] * count
+
+        def look(k: int) -> None:
+            """The best match of window k beside what is taken there."""
+            version[k] += 1
+            at, stop = begin + k * step, min(end, begin + (k + 1) * step + reach)
+            best = None
+            for a, b in [*sorted(taken[k]), (stop, stop)]:
+                if a > at and (m := self.fuzzy[n].search(low, at, min(a, stop))) and (best is None or sum(m.fuzzy_counts) < sum(best.fuzzy_counts)):
+                    best = m
+                at = max(at, b)
+            if best:
+                heapq.heappush(heap, (sum(best.fuzzy_counts), best.start(), k, version[k], best))
+
+        for k in range(count):
+            look(k)
+        out = []
+        while heap:
+            _, _, k, seen, m = heapq.heappop(heap)
+            if seen != version[k]:
+                continue
+            out.append(m)
+            touched = [j for j in range(max(0, k - 2), min(count, k + 3)) if begin + j * step < m.end() and m.start() < begin + (j + 1) * step + reach]
+            for j in touched:
+                taken[j].append((m.start(), m.end()))
+            for j in touched:
+                look(j)
+        return out
+
     def spans(self, low: str) -> list[tuple[int, int, str, float]]:
         """begin, end, label and score of each notice found with its errors or fewer."""
         near: dict[int, list[list[int]]] = {}
@@ -99,12 +140,7 @@ class Scanner:
         for n, stretch in near.items():
             label, text, _ = self.notices[n]
             for a, b in stretch:
-                todo = [(a, b)]
-                while todo:
-                    a, b = todo.pop()
-                    if m := self.fuzzy[n].search(low, a, b):
-                        found.append((m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(text)))
-                        todo += [(a, m.start()), (m.end(), b)]
+                found += [(m.start(), m.end(), label, 1 - sum(m.fuzzy_counts) / len(text)) for m in self.best_first(low, a, b, n)]
         return sorted(found)
 
 
