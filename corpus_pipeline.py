@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.llm import decontam, jaccard, langid, mixing, shards
-from trackmill.llm.common import keep, shared_folder, table
+from trackmill.llm.common import forget, keep, shared_folder, table
 from trackmill.llm.queries import TARGETS
 
 
@@ -63,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents, each written as Parquet and read again; what a stage has read goes when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        docs.kept_at = path
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
