@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackmill.llm import ann, chat, decontam, jaccard, langid, licenses, mixing, pii, shards, urltree
+from trackmill.llm import ann, chat, credentials, decontam, jaccard, langid, licenses, mixing, negatives, pii, repair, shards, urltree
 
 from . import brute
 
@@ -653,13 +653,170 @@ def test_mixing_long_texts_ties_and_rich_vocabularies(spark):
     assert long[0].posterior == long[1].posterior and long[0].rate == long[1].rate
 
 
+def least_edits(initials, gone, cut):
+    """Least cost and least audit by states (nothing placed, a system placed, an assistant due, a user due), every edit tried."""
+    best = {}
+
+    def go(i, state, inserted=0):
+        if (i, state, inserted) not in best:
+            ways = [(0, "")] if i == len(initials) and state in "SU" else []
+            then = lambda cost, letter, *to: ways.append((cost + go(*to)[0], letter + go(*to)[1]))
+            due, after = ("a", "U") if state == "A" else ("u", "A")
+            if i < len(initials):
+                then(4, "D", i + 1, state)
+                if not gone[i]:
+                    here = 3 if cut[i] else 0
+                    then(here, "K", i + 1, after) if initials[i] == due else then(here + 3, "R", i + 1, after)
+                    if state == "S" and initials[i] == "s":
+                        then(here, "K", i + 1, "P")
+            if inserted < 3:
+                then(3, "I", i, after, inserted + 1)
+            best[i, state, inserted] = min(ways) if ways else (1 << 30, "")
+        return best[i, state, inserted]
+
+    return go(0, "S")
+
+
+def test_repair_finds_the_least_edits():
+    rng = random.Random(1)
+    for _ in range(1500):
+        n = rng.randint(0, 10)
+        initials = [rng.choice(["u", "a", "s", "", "x", "u", "a"]) for _ in range(n)]
+        gone = [rng.random() < 0.2 for _ in range(n)]
+        cut = [not g and rng.random() < 0.3 for g in gone]
+        assert repair.Alignment(initials, gone, cut, rng.choice([0, 1 << 22])).best() == least_edits(initials, gone, cut), (initials, gone, cut)
+    long = ["ua"[i % 2] if rng.random() < 0.9 else rng.choice("uas") for i in range(3000)]
+    none = [False] * len(long)
+    assert repair.Alignment(long, none, none, 0).best() == repair.Alignment(long, none, none, 1 << 30).best()
+
+
+def test_repair_of_awkward_conversations(spark):
+    rows = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes"), (1, 3, "user", "Hi."), (1, None, "system", "Be kind."), (2, 5, None, None), (2, 5, "", " \t"), (None, 0, "user", "One?"), (None, 1, "assistant", "Two!"), (3, 0, "assistant", "a."), (3, 0, "user", "b.")]
+    rows += [(4, i, "user" if i % 2 else "assistant", f"turn {i}.") for i in range(2000)] + [(4, 1, "user", "turn 1.")] * 2
+    got = {r.conv_id: r for r in repair.repair(frame(spark, [(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, audit string, Cost string")).collect()}
+    assert (got[1].gaps, got[1].blank, got[1].duplicate, got[1].truncated, got[1].illegal, got[1].cost, got[1].audit) == (1, 0, 1, 1, 0, 7, "KKKD")
+    assert [(t.role, t.text) for t in got[1].turns] == [("system", "Be kind."), ("user", "Hi."), ("assistant", "Yes")]
+    assert (got[2].blank, got[2].cost, got[2].audit, got[2].turns, got[2].gaps) == (2, 8, "DD", [], 0)
+    assert (got[None].cost, got[None].audit) == (0, "KK") and (got[3].audit, got[3].cost, got[3].illegal) == ("IKKI", 6, 0)
+    assert (got[4].duplicate, got[4].gaps, len(got[4].turns) % 2, got[4].audit.count("D")) == (2, 0, 0, 2)
+    assert repair.repair(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
+    rows = [(1, k, "assistant", "Well. Yes!") for k in range(5)] + [(1, 9, None, None)]
+    hurt = repair.damage(frame(spark, rows, "conv_id long, turn long, role string, text string"), F.col("turn"), 20)
+    assert sorted(map(tuple, hurt.collect())) == [(1, 1, "assistant", ""), (1, 2, "assistant", "Well Yes"), (1, 3, "assistant", "Well. Yes!"), (1, 3, "assistant", "Well. Yes!"), (1, 4, "user", "Well. Yes!"), (1, 9, " ", " ")]
+
+
+def plain_secrets(text):
+    """Spans of the base kinds by one plain expression each."""
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(rf"(?:{names})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return sorted(found + [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def test_secret_spans_equal_plain_expressions(spark):
+    rng = random.Random(6)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", "'", '"', "abc", "0123456789abcdef", "AKIA", "ABCDEF123456", "\n", "é𝒳", "==", "token:secret =abcdefghi", "-", "f" * 33]
+    docs = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(1, 60)))) for i in range(300)] + [(900, None), (901, ""), (902, "token=" + "a1b2c3d4" * 20_000), (903, "token = a1b2c3d4e5f6g7h8; " * 8000), (903, "AKIA" * 9)]
+    rows = frame(spark, [(i, t, "s", "x") for i, t in docs], "doc_id long, text string, source string, SPANS string")
+    got = credentials.scan(rows, F.col("source"), F.col("doc_id"))
+    assert got.columns == ["doc_id", "source", "spans", "judged"]
+    base = lambda spans: tuple((s.begin, s.kind_no, s.kind, s.end) for s in spans if s.kind != "live")
+    assert Counter((r.doc_id, base(r.spans)) for r in got.collect()) == Counter((i, tuple(plain_secrets(t or ""))) for i, t in docs)
+    assert credentials.scan(rows.limit(0), F.col("source"), F.col("doc_id")).count() == 0
+
+
+def test_secrets_by_ownership(spark):
+    live, shared, forked, weak = "k3Jd93kLmQ82xTz0", "Zq82Lm3kd0TxJ93k", "M4nbV7cXz1LkJ9hG", "example0example1"
+    rows = [(1, f"token={live}", "a"), (2, f"token={live} again token={live}", "a"), (3, f"password: {weak}", "b"), (4, f"Bearer key {live}{shared} here", None), (5, "commit 3f2a" + live * 2, "b")]
+    rows += [(10 + i, f"secret = {shared}", f"owner{i % 40}") for i in range(400)] + [(1000 + i, f"secret = {forked}", "one") for i in range(30)] + [(2000, f"token={'Pq7' * 8}", None), (2000, f"token={'Pq7' * 8}", None)]
+    docs = frame(spark, rows, "doc_id long, text string, source string", 5)
+    by = {}
+    for share in (credentials.HOT_SHARE, 0.4, 1.0):  # hot values apart, one only, none
+        got = credentials.scan(docs, F.col("source"), F.col("doc_id"), ["doc_id"], hot_share=share).collect()
+        by[share] = Counter((r.doc_id, tuple((s.kind, s.begin, s.end) for s in r.spans), tuple((j.owners, j.repositories, j.verdict) for j in r.judged)) for r in got)
+    assert len(by) == 3 and len(set(map(str, map(sorted, by.values())))) == 1
+    found = {k[0]: k[1:] for k in by[1.0]}
+    assert found[1] == ((("assign", 0, 22), ("live", 6, 22)), ((1, 2, "live"),)) and found[3] == ((("assign", 0, 26),), ((1, 1, "weak"),))
+    assert found[10] == ((("assign", 0, 25),), ((40, 400, "copied"),)) and found[1000][1] == ((1, 30, "copied"),) and len(found[2][0]) == 4
+    assert found[4] == ((("live", 11, 43),), ((1, 1, "live"),)) and found[5] == ((), ()) and found[2000][1] == ((1, 1, "weak"),)
+
+
+@pytest.mark.parametrize("size", [1, 300, 40_000, 1 << 40])
+def test_packed_products_are_exact(size):
+    rng = np.random.default_rng(size)
+    for m, n, d in ((3, 7, 5), (1, 1, 1), (4, 33, 64), (2, 5, 0)):
+        a, x = rng.integers(-size, size + 1, (m, d)), rng.integers(-size, size + 1, (n, d))
+        want = a.astype(object) @ x.astype(object).T if d else np.zeros((m, n), object)
+        got = negatives.products(a.astype(object) if size > 1 << 31 else a, x)
+        assert (got == np.clip(want, -(1 << 63), (1 << 63) - 1).astype(np.int64)).all()
+
+
+def plain_negatives(rows, anchors):
+    rows = [(i, l, [math.floor(256 * c) if abs(c) < 1e300 else int(c) * 256 for c in v]) for i, l, v in rows if i is not None and l is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out, done = [], set()
+    for a, label, v in rows:
+        if not anchors(a) or (a, label, tuple(v)) in done:
+            continue
+        done.add((a, label, tuple(v)))
+        scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(v, w, strict=True)))), i, m) for i, m, w in rows if i != a and len(w) == len(v))
+        for p, i, _ in [s for s in scored if s[2] == label][:5]:
+            fits = [(j, -s) for s, j, m in scored if m != label and 30 * -p <= 100 * -s <= 90 * -p][:10]
+            out += [(a, i, k + 1, j, -p, s) for k, (j, s) in enumerate(fits)]
+    return sorted(out)
+
+
+def test_hard_negatives_equal_all_pairs(spark):
+    rng = random.Random(8)
+    vector = lambda n=6: [rng.choice([rng.uniform(-1, 1), 0.5, -0.25]) for _ in range(n)]
+    rows = [(i, rng.choice([0, 0, 0, 1, 2]), vector()) for i in range(260)] + [(300 + i, i % 3, vector(3)) for i in range(40)]
+    rows += [(400, None, vector()), (401, 1, None), (402, 1, [1.0, None]), (403, 1, [float("nan")] * 6), (404, 1, [float("inf")] * 6), (None, 1, vector()), (405, 2, []), (410, 2, [])]
+    rows += [(20, *rows[20][1:]), (21, *rows[21][1:]), (30, 1, vector()), (500, 7, [1e300] * 2), (510, 7, [1e300, 1.0]), (520, 8, [0.5, 0.5]), (530, 9, [0.0] * 6)]
+    df = frame(spark, [(*r, "x") for r in rows], "vec_id long, label int, vector array<double>, rank string")
+    for block, chunk in ((7, 200), (4096, 1 << 25)):
+        got = negatives.mine(df, F.col("vec_id") % 10 == 0, block=block, chunk_bytes=chunk)
+        assert sorted(map(tuple, got.collect())) == plain_negatives(rows, lambda i: i % 10 == 0)
+    assert negatives.mine(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_url_query_merges_and_rejects(spark, tmp_path):
+    """The query of op9 over tables in which one section is bad and two are alike."""
+    from trackmill.llm import queries
+
+    pages, labels = [], []
+    for k in range(1500):
+        section = ("casino", "news", "blog")[k % 3]
+        pages.append((k, f"https://site{k % 2}.io/{section}/item{k}/{k}"))
+        labels.append((k, 0 if section == "casino" else 1, 0))
+    pages += [(5000, None), (5001, "no host"), (5002, "https://site0.io"), (5003, "https://site0.io/")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.page_id: r for r in queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and all(got[k].verdict == ("block" if k % 3 == 0 else "allow") for k in range(1500))
+    assert got[1].template == "/{blog|news}/{mixed}/{num}" and got[0].template == "/casino/{mixed}/{num}" and all(got[k].verdict == "allow" for k in range(5000, 5004))
+
+
+def test_long_texts_of_notices_and_addresses(spark):
+    import time
+
+    scanner = licenses.Scanner()
+    begun = time.time()
+    assert len(scanner.spans("all rights resrved " * 20_000)) == 20_000 and time.time() - begun < 5
+    mixed = "all rights resrved. all rights reserved. all rights reservd " * 40
+    assert len(scanner.spans(mixed)) == 120
+    text = "".join(f"write to person{i}@example{i}.org now é " for i in range(20_000))
+    pii.find(frame(spark, [(0, "a@b.c")])).collect()
+    begun = time.time()
+    spans = pii.find(frame(spark, [(1, text)], parts=1)).first().spans
+    assert time.time() - begun < 10 and len(spans) == 20_000 and text[spans[-1].begin : spans[-1].end] == "person19999@example19999.org"
+
+
 def run_duck(name, sf_dir):
     import duckdb
 
     from trackmill.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     cur = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cur.description]

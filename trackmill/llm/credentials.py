@@ -13,7 +13,7 @@ candidates by hash. Rows without candidates are not shuffled, and no text is.
 
 Definitions at the edges: a null or empty text has no spans; a null owner or repository is one owner or repository
 of its own, named null; equal repository names of two owners are two repositories; repeated rows are judged each, and
-count as one repository; an equal value proposed by several kinds at one place is judged once. Time for one text
+count as one repository; columns called spans or judged are replaced; an equal value proposed by several kinds at one place is judged once. Time for one text
 grows with its length.
 """
 
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, carry: Sequence[str
     spans: begin, kind_no, kind, end (code points, exclusive) of the base kinds and of `live`, in order. judged: begin, end,
     hash, owners, repositories and verdict (live, copied or weak) of each candidate's value.
     """
-    carry = [c for c in docs.columns if c.lower() != "text"] if carry is None else list(carry)
+    carry = [c for c in docs.columns if c.lower() not in ("text", "spans", "judged")] if carry is None else list(carry)
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = F.struct(*[F.col(f"`{c}`") for c in carry])
     found = docs.select(whole.alias("__carried"), owner.alias("__owner"), repository.alias("__repository"), F.concat(*[candidates(text, k, i) for i, k in enumerate(kinds)]).alias("__found"))

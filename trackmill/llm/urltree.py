@@ -71,6 +71,7 @@ def templates(pages: DataFrame, min_urls: int = MIN_URLS, min_share: float = MIN
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("boolean").alias("bad")).withColumn("__segs", seen).withColumn("template", F.lit(""))
     labelled, bad = F.count("bad"), F.count_if("bad")
     level, kept = 0, None
+    ended: list[DataFrame] = []  # rows whose path has ended: they take no part in what follows, and are written once
     while True:
         at = rows.withColumn("__seg", F.try_element_at("__segs", F.lit(level + 1)))
         largest = at.filter(F.col("__seg").isNotNull()).groupBy("host", "template").count().agg(F.max("count").alias("n")).first()["n"] or 0
@@ -92,13 +93,17 @@ def templates(pages: DataFrame, min_urls: int = MIN_URLS, min_share: float = MIN
         names = F.array_sort(F.collect_list("__seg").over(whole))
         name = F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("__seg"))
         known = keep(grouped.select("host", "template", "__seg", name.alias("__name")).union(apart), "branches")
-        joined = at.join(known, ["host", "template", "__seg"], "left")
-        step = F.when(F.col("__seg").isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("__name", _shape(F.col("__seg")))))
+        ended.append(keep(at.filter(F.col("__seg").isNull()).drop("__seg"), "ended"))
+        joined = at.filter(F.col("__seg").isNotNull()).join(known, ["host", "template", "__seg"], "left")
+        step = F.concat(F.lit("/"), F.coalesce("__name", _shape(F.col("__seg"))))
         rows = keep(joined.withColumn("template", F.concat("template", step)).drop("__seg", "__name"), "rows")
         forget(known, *([kept] if kept else []))
         level, kept = level + 1, rows
     rest = F.transform(F.slice("__segs", level + 1, F.greatest(F.size("__segs") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), _shape(s)))
-    return rows.withColumn("template", F.concat("template", F.array_join(rest, ""))).drop("__segs")
+    out = rows.withColumn("template", F.concat("template", F.array_join(rest, "")))
+    for part in ended:
+        out = out.unionByName(part)
+    return out.drop("__segs")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], prior_weight: float = PRIOR_WEIGHT, reject: float = REJECT_PURITY, lift: float = REJECT_LIFT, reject_z: float = REJECT_Z, **tree: float) -> DataFrame:
