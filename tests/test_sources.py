@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from trackmill.functions import text
-from trackmill.operators import gpsclean, ingest
+from trackmill.operators import conditions, gpsclean, ingest
 from trackmill.sources import readers, sinks
 from trackmill.streaming import dropfolder
 
@@ -104,6 +106,86 @@ def test_drop_folder(spark, tmp_path):
     assert seen == ["Run 1", "Run 2"]
 
 
+def test_files_of_a_partition_in_order(spark, tmp_path):
+    rows = spark.range(4000).select((F.col("id") % 2).alias("run_id"), F.pmod(F.col("id") * 7919, F.lit(4000)).cast("double").alias("tsi"), F.lit("x").alias("text"))
+    sinks.by_partition(rows.filter("run_id = 0 OR tsi < 400"), str(tmp_path / "out"), ["run_id"], "tsi", files=4)
+    for run, least in ((0, 5), (1, 1)):  # the large run gets more files than the small one
+        files = sorted((tmp_path / "out" / f"run_id={run}").glob("part-*.csv"))
+        times = [float(line.split(",")[0]) for f in files for line in f.read_text().splitlines()[1:]]
+        assert len(files) >= least and times == sorted(times) and len(times) == (2000 if run == 0 else 200)
+
+
+@pytest.mark.parametrize("when", ["before", "while", "after"])
+def test_import_that_fails_and_runs_again(spark, tmp_path, when):
+    """Whenever the first attempt at the points fails, the tables end up the same, and read files in the archive."""
+    lists, inbox = tmp_path / "lists", tmp_path / "in"
+    lists.mkdir(), inbox.mkdir()
+    head = "Timestamp (from 1970),Date,Time,Max Speed (kmh),Avg Speed (kmh),Duration (sec),Distance (km),Name,Desc,Feeling,Equip 1,Equip 2\n"
+    write(lists, "one.csv", head + "1704067200,2024-01-01,00:00:00,30,20,60,1,A,B,3,Board,Foil\n")
+    write(inbox, "Run 1.csv", HEAD + "".join(f"{1704067200 + 5 * i},2024-01-01,00:00:00,{20.8 + 0.0003 * i},-156.6,6,90,120,1,2\n" for i in range(20)))
+    coast = spark.createDataFrame([(1, 0, 20.8, -156.7, 20.9, -156.7)], "feature_id long, seg_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    store = dropfolder.Store(spark, str(tmp_path / "store"), dropfolder.RUNS)
+    real, tries = dropfolder.import_points, []
+
+    def flawed(*a):
+        tries.append(1)
+        if len(tries) == 1 and when == "before":
+            raise RuntimeError("before")
+        out = real(*a)
+        return out.withColumn("speed", F.raise_error(F.lit("while")).cast("double")) if len(tries) == 1 and when == "while" else out
+
+    def after(table, number):
+        if table == "points" and when == "after" and len(tries) == 1:
+            raise RuntimeError("after")
+
+    take = lambda: dropfolder.import_drop(spark, str(lists), str(inbox), store, coast, str(tmp_path / "archive"), after)
+    try:
+        dropfolder.import_points = flawed
+        with pytest.raises(StreamingQueryException):
+            take()
+        assert when == "after" or store.points() is None  # what was not written to the end does not count
+        take()
+        write(lists, "two.csv", head + "1704067200,2024-01-01,00:00:00,31,20,60,1,A,B,3,Board,Other\n1704153600,2024-01-02,00:00:00,30,20,60,1,A,B,3,Board,Foil\n")
+        write(inbox, "Run 2.csv", HEAD + "1704153610,2024-01-02,00:00:00,20.8,-156.6,5,90,0,1,2\n")
+        take()
+    finally:
+        dropfolder.import_points = real
+    runs = {r.filename: (r.max_speed_kmh, r.foil, r.id) for r in store.runs().collect()}
+    assert {k: v[:2] for k, v in runs.items()} == {"Waterspeed 2024-01-01 00.00.00": (31.0, "Other"), "Waterspeed 2024-01-02 00.00.00": (30.0, "Foil")}
+    assert {(r.filename, r.run_id, r.n) for r in store.points().groupBy("filename", "run_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {("Run 1", runs["Waterspeed 2024-01-01 00.00.00"][2], 20), ("Run 2", runs["Waterspeed 2024-01-02 00.00.00"][2], 1)}
+
+
+def test_conditions_read_only_the_days_asked_for(spark, tmp_path):
+    wind = spark.range(24 * 60).select(F.lit("kihei").alias("site"), (F.col("id") * 3600.0).alias("tsi"), F.lit(1.0).alias("wavg"), F.lit(2.0).alias("wgust"), F.lit(90.0).alias("wdir"), F.col("id").alias("event_id"), F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") / 24).cast("int")).alias("day"))
+    wind.write.partitionBy("site", "day").parquet(str(tmp_path / "wind"))
+    stored = spark.read.parquet(str(tmp_path / "wind"))
+    spark.createDataFrame([(1, 10 * 86_400.0 + 5400, 7200.0, "Kihei"), (2, 20 * 86_400.0 - 1800, 3600.0, "Kihei"), (3, 100 * 86_400.0, 60.0, "Kihei"), (4, 5.0, 60.0, "Nowhere")], "run_id long, ts double, duration_sec double, region string").write.parquet(str(tmp_path / "runs"))
+    runs = spark.read.parquet(str(tmp_path / "runs"))
+
+    def files(df):
+        df.collect()
+        plan, found = df._jdf.queryExecution().executedPlan(), []
+        todo = [plan.executedPlan() if hasattr(plan, "executedPlan") else plan]
+        text = df._jdf.queryExecution().toString()
+        assert "dynamicpruning" in text
+        while todo:
+            p = todo.pop()
+            if p.nodeName().startswith("Scan parquet") and p.metrics().contains("numFiles"):
+                found.append(p.metrics().apply("numFiles").value())
+            subs = [p.plan()] if "QueryStage" in p.nodeName() else []
+            todo += subs + [p.children().apply(i) for i in range(p.children().size())]
+        return found
+
+    met = conditions.in_interval(runs, stored, F.col("ts"), F.col("ts") + F.col("duration_sec"), conditions.WIND_SITES)
+    assert sorted((r.run_id, r.event_id) for r in met.collect()) == [(1, 242), (1, 243), (2, 480)]
+    assert max(files(conditions.in_interval(runs, stored, F.col("ts"), F.col("ts") + F.col("duration_sec"), conditions.WIND_SITES))) <= 4  # of 60 days
+    # The last reading before the third run is 40 days old.
+    got = sorted((r.run_id, r.tsi, r.event_id) for r in conditions.slice_for_runs(runs, stored, conditions.WIND_SITES, same_day=False).collect())
+    assert got == [(1, 10 * 86_400.0 + 5400, 241), (1, 871_200.0, 242), (1, 874_800.0, 243), (2, 20 * 86_400.0 - 1800, 479), (2, 1_728_000.0, 480), (3, 100 * 86_400.0, 24 * 60 - 1)]
+    some = conditions.slice_for_runs(runs, stored, conditions.WIND_SITES, same_day=False, lookback_s=86_400)
+    assert sorted((r.run_id, r.event_id) for r in some.collect()) == [(1, 241), (1, 242), (1, 243), (2, 479), (2, 480)]
+
+
 def test_import_end_to_end(spark, tmp_path):
     body = "".join(f"{1704067200 + 5 * i},2024-01-01,00:00:00,{20.8 + 0.0003 * i},-156.6,{6 if i > 3 else 1},90,120,1,2\n" for i in range(60))
     write(tmp_path, "Waterspeed 2024-01-01 00.00.30.csv", HEAD + body)
