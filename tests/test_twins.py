@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackmill.functions import geo
-from trackmill.operators import conditions, crashes, dashboard, gpsclean, grid, islands, matching, merge, nearest, segments, tracks
+from trackmill.operators import conditions, crashes, dashboard, gpsclean, grid, islands, matching, merge, nearest, pieces, segments, tracks
 
 POINT = "run_id long, seq long, tsi double, lat double, lon double, speed double, hr int, hdop double"
 
@@ -198,6 +198,36 @@ def test_similar_runs_of_a_popular_beach(spark):
         assert [o for _, o in sorted(got[i])] == [j for _, j in others]
 
 
+def test_pieces_equal_whole_windows(spark):
+    """Runs cut into dozens of pieces: empty pieces between, ties over borders, null speeds, null and one-row runs."""
+    rows = [(r[0], *r[1:]) for r in random_tracks(11, 14, 200)] + [(None, 0, 1.7e9, 20.0, -156.0, 12.0, 1, 1.0), (None, 1, 1.7e9 + 70, 20.001, -156.0, None, 1, 1.0)]
+    rows += [(77, k, 1.7e9 + 9000 * k, 20.0 + 0.01 * k, -156.0, 20.0 * (k % 3), 1, 1.0) for k in range(12)] + [(78, 0, 1.7e9, None, -156.0, 12.0, 1, 1.0), (78, 1, 1.7e9 + 20, 20.0, -156.0, 13.0, 1, 1.0)]
+    points = spark.createDataFrame(rows, POINT)
+    key = lambda r: (str(r.run_id), r.seq)
+    whole = tracks.with_trailing_means(tracks.with_distance(points))
+    dist = pieces.with_distance(points, piece_s=15)
+    assert dist.columns == [*points.columns, "step_m", "distance"]
+    cut = {key(r): r for r in pieces.with_trailing_means(tracks.with_distance(points), piece_s=15, piece_m=1000).collect()}
+    own = {key(r): r for r in dist.collect()}
+    for r in whole.collect():
+        assert near(own[key(r)].distance, r.distance) and near(own[key(r)].step_m, r.step_m)
+        assert near(cut[key(r)].avg_speed_15s, r.avg_speed_15s, 1e-9) and near(cut[key(r)].avg_speed_1k, r.avg_speed_1k, 1e-9)
+    assert len(own) == len(cut) == len(rows)
+    for limit in (11.0, 0.0):
+        marks = [{key(r): (r.__getitem__("__fast"), r.island) for r in f.collect()} for f in (islands.with_islands(points, limit=limit), pieces.with_islands(points, limit=limit, piece_s=15))]
+        assert marks[0] == marks[1]
+    held = {key(r): r.held for r in pieces.with_last(points, F.when(F.col("speed") > 20, F.col("speed")), "held", piece_s=15).collect()}
+    for run, pts in by_run(rows).items():
+        last = None
+        for p in sorted(pts, key=lambda p: (p[2], p[1])):
+            last = p[5] if p[5] is not None and p[5] > 20 else last
+            assert held[str(run), p[1]] == last
+    found = [sorted(map(str, f.select("run_id", "seq", F.round("avg_speed", 9)).collect())) for f in (crashes.crashes(points, margin_s=20, mean_over=10), pieces.crashes(points, margin_s=20, mean_over=10, piece_s=15))]
+    assert found[0] == found[1] and len(found[0]) > 3
+    with pytest.raises(ValueError):
+        pieces.with_trailing_means(points, piece_s=10)
+
+
 def test_beaches_by_grid_equal_all_beaches(spark, monkeypatch):
     rng = random.Random(9)
     beaches = [(k, f"b{k}", "R", rng.choice([rng.uniform(20, 21), rng.uniform(-80, 80)]), rng.uniform(-179, 179) if k % 2 else -156 + rng.random()) for k in range(80)] + [(90, "twin", "R", 20.5, -155.5), (91, "twin", "R", 20.5, -155.5)]

@@ -241,4 +241,7 @@ BODIES = {
       round(distance, 2) AS distance_cumulative_m, hr, CASE WHEN geo AND bad THEN 'both' WHEN geo THEN 'geometric' WHEN bad THEN 'hdop' ELSE '' END AS position_outlier_reason, sanity_capped FROM cleaned""",
     "export_cleaned_tracks": f"SELECT run_id, seq AS idx, {_ISO.format('us')} || '+00:00' AS time_utc, round(lat_held, 6) AS lat_filtered, round(speed_final, 3) AS speed_final_kmh, round(distance, 2) AS distance_cumulative_m, hampel_outlier FROM cleaned",
 }
+# Windows over pieces give what windows over whole runs give.
+BODIES |= {f"{name}_in_pieces": BODIES[of] for name, of in (("distance", "distance_running"), ("islands", "islands"), ("crashes", "crashes"), ("clean_hold", "clean_hold"))}
+BODIES["trailing_means_in_pieces"] = f"SELECT run_id, seq, {N('avg_speed_15s', 'avg_speed_1k')} FROM means"
 SQL = {name: f"{CTES}\n{body}" for name, body in BODIES.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, conditions, crashes, dashboard, gpsclean, ingest, islands, matching, merge, nearest, runstats, segments, tracks
+from ..operators import compare, conditions, crashes, dashboard, gpsclean, ingest, islands, matching, merge, nearest, pieces, runstats, segments, tracks
 from . import fixtures
 from .fixtures import view
 
@@ -101,6 +101,44 @@ def trailing_mean_1k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(spark, sf_dir).select("run_id", "seq", *n("avg_speed_1k"))
 
 
+def _in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points with distance, made in pieces of half a minute."""
+    return pieces.with_distance(pts(spark, sf_dir), piece_s=30)
+
+
+@query
+def distance_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_pieces(spark, sf_dir).select("run_id", "seq", *r("step_m", "distance"))
+
+
+@query
+def trailing_means_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Distances as elsewhere, so that the same rows lie exactly at the end of a frame.
+    return pieces.with_trailing_means(dist(spark, sf_dir), piece_s=30, piece_m=1000).select("run_id", "seq", *n("avg_speed_15s", "avg_speed_1k"))
+
+
+@query
+def islands_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.with_islands(_in_pieces(spark, sf_dir), piece_s=30).filter("__fast")
+    found = rows.groupBy("run_id", "island").agg(F.min("tsi").alias("start_tsi"), F.max("tsi").alias("end_tsi"), F.min("distance").alias("start_distance"), (F.max("distance") - F.min("distance")).alias("distance"))
+    return found.withColumn("duration", F.col("end_tsi") - F.col("start_tsi")).select("run_id", "island", *r("start_tsi", "end_tsi", "start_distance", "distance", "duration"))
+
+
+@query
+def crashes_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.crashes(pts(spark, sf_dir), piece_s=30).select("run_id", "seq", *r("tsi", "speed", "avg_speed"))
+
+
+@query
+def clean_hold_in_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions held over flagged rows, carried from piece to piece."""
+    flagged = gpsclean.flag_positions(pts(spark, sf_dir))
+    first = F.row_number().over(tracks.by_run()) == 1
+    good = F.when(first | ~F.col("position_outlier"), F.struct("lat", "lon"))
+    out = pieces.with_last(flagged.withColumn("__good", good), F.col("__good"), "held", piece_s=30)
+    return out.select("run_id", "seq", *[F.round(F.col(f"held.{c}"), 7).alias(f"{c}_held") for c in ("lat", "lon")])
+
+
 def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.islands(dist(spark, sf_dir))
 
