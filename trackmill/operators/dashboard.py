@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,27 @@ def weekly_heart_rates(runs: DataFrame) -> DataFrame:
     return rows.groupBy("week").agg(*[f(c).alias(f"{n}_{c}") for c in ("min_foiling_hr", "avg_foiling_hr") for n, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("n"))
 
 
+#: The groups of overview(), each by its columns.
+OVERVIEW = {"all": (), "month": ("month",), "region of month": ("month", "region"), "week": ("week",), "launch": ("start_beach",), "landing": ("end_beach",), "way": ("start_beach", "end_beach")}
+
+
+def overview(runs: DataFrame, key: str = "run_id") -> DataFrame:
+    """What totals(), outings(), weekly_band(), beach_totals() and launches() count, from one pass over the runs: a row for each group of each kind of OVERVIEW.
+
+    kind, the columns of its group (others are null), n, sums of duration, distance and paddle-ups, the least and largest
+    speed over 1 km, and the first run with its beaches.
+    """
+    columns = list(dict.fromkeys(c for by in OVERVIEW.values() for c in by))
+    # The bits of a grouping id stand for the columns that a group leaves out, the first column's highest.
+    number = lambda by: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in by)
+    kind = functools.reduce(lambda out, k: F.when(F.col("__set") == number(OVERVIEW[k]), k).otherwise(out), OVERVIEW, F.lit(None).cast("string"))
+    first = F.min_by(F.struct(F.col(key).alias("run"), F.col("start_beach").alias("from"), F.col("end_beach").alias("to")), F.struct("ts", key))
+    rows = runs.groupingSets([[F.col(c) for c in by] for by in OVERVIEW.values()], *columns).agg(
+        F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in ("duration_sec", "distance_km", "paddle_up_count")],
+        F.min("max_speed_1k").alias("low_speed_1k"), F.max("max_speed_1k").alias("high_speed_1k"), first.alias("__first"))
+    return rows.withColumns({"kind": kind, "first_run": F.col("__first.run"), "first_from": F.col("__first.from"), "first_to": F.col("__first.to")}).drop("__set", "__first")
+
+
 def launches(runs: DataFrame) -> DataFrame:
     """Runs from each beach to each beach."""
     return runs.groupBy("start_beach", "end_beach").agg(F.count(F.lit(1)).alias("n"))

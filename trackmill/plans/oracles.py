@@ -244,4 +244,7 @@ BODIES = {
 # Windows over pieces give what windows over whole runs give.
 BODIES |= {f"{name}_in_pieces": BODIES[of] for name, of in (("distance", "distance_running"), ("islands", "islands"), ("crashes", "crashes"), ("clean_hold", "clean_hold"))}
 BODIES["trailing_means_in_pieces"] = f"SELECT run_id, seq, {N('avg_speed_15s', 'avg_speed_1k')} FROM means"
+BODIES["overview"] = f"""SELECT CASE GROUPING(i.month, i.region, i.week, i.start_beach, i.end_beach) WHEN 31 THEN 'all' WHEN 15 THEN 'month' WHEN 7 THEN 'region of month' WHEN 27 THEN 'week' WHEN 29 THEN 'launch' WHEN 30 THEN 'landing' ELSE 'way' END AS kind, strftime(i.month, '%Y-%m-%d') AS month, i.region, strftime(i.week, '%Y-%m-%d') AS week, i.start_beach, i.end_beach,
+  count(*) AS n, round(sum(duration_sec), 4) AS sum_duration_sec, round(sum(distance_km), 4) AS sum_distance_km, CAST(sum(paddle_up_count) AS BIGINT) AS sum_paddle_up_count, round(min(max_speed_1k) + 1e-9, 6) AS low_speed_1k, round(max(max_speed_1k) + 1e-9, 6) AS high_speed_1k, arg_min(run_id, ts) AS first_run, arg_min(i.start_beach, ts) AS first_from, arg_min(i.end_beach, ts) AS first_to
+  FROM (SELECT * REPLACE (CAST(date_trunc('month', make_timestamp(CAST(ts * 1000000 AS BIGINT))) AS DATE) AS month) FROM {_WEEKS} w) i GROUP BY GROUPING SETS ((), (i.month), (i.month, i.region), (i.week), (i.start_beach), (i.end_beach), (i.start_beach, i.end_beach))"""
 SQL = {name: f"{CTES}\n{body}" for name, body in BODIES.items()}

@@ -569,6 +569,13 @@ def enriched_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "foil", *[F.round(f"wind_data.{c}", 6).alias(c) for c in ("avg_avg", "avg_max", "gust_avg", "gust_max")], F.col("wind_data.avg_dir").alias("avg_dir"))
 
 
+@query
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by month, region, week and beach in one pass."""
+    out = dashboard.overview(info(spark, sf_dir, WEEKS_S))
+    return out.select("kind", day("month"), "region", day("week"), "start_beach", "end_beach", "n", *r("sum_duration_sec", "sum_distance_km", digits=4), "sum_paddle_up_count", *n("low_speed_1k", "high_speed_1k"), "first_run", "first_from", "first_to")
+
+
 @query
 def outings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.outings(info(spark, sf_dir)).select(day("month"), "region", "n", *r("duration_sec", digits=4), "month_n", *r("month_duration_sec", digits=4))
