@@ -107,18 +107,3 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add (compared without case, as Spark does)."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
-
-
-#: Of keys with more than this share of all rows there are fewer than its inverse, so they may travel to all tasks.
-HOT_SHARE = 0.0005
-
-
-def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], n: str = "n", share: float = HOT_SHARE) -> DataFrame:
-    """rows joined with counts, which has one row for each key and in n how many rows it has; n is dropped.
-
-    Rows of keys with more than share of all rows meet them where they are; the others are dealt out by key. counts is
-    read several times, so it should be a kept table.
-    """
-    most = (counts.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0] or 0) * share
-    hot, cold = counts.filter(F.col(n) > most).drop(n), counts.filter(F.col(n) <= most).drop(n)
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on))

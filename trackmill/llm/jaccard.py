@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunked, forget, join_counted, keep, mix64, sliced
+from .common import chunked, forget, keep, mix64, sliced
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -339,14 +339,11 @@ def sub_blocks(rows: DataFrame, key: str, weight: Column, most: int) -> DataFram
     Counts by key and size come from sums over all rows, and rows are dealt to sub-blocks by their hash, so no key is ever
     gathered in one place. A key that weighs no more than most is one sub-block.
     """
-    scaled = keep(rows.withColumn("__scale", F.floor(F.log2("n") * 3).cast("long")), "scaled")
-    sums = scaled.groupBy(key, "__scale").agg(F.sum(weight).alias("__w"), F.count(F.lit(1)).alias("__n"))
-    parts = sums.withColumn("__lone", F.sum("__w").over(Window.partitionBy(key)) <= most).select(key, "__scale", "__lone", F.ceil(F.col("__w") / most).alias("__parts"), "__n")
-    parts = keep(parts, "parts")
+    scaled = rows.withColumn("__scale", F.floor(F.log2("n") * 3).cast("long"))
+    sums = scaled.groupBy(key, "__scale").agg(F.sum(weight).alias("__w"))
+    parts = sums.withColumn("__lone", F.sum("__w").over(Window.partitionBy(key)) <= most).select(key, "__scale", "__lone", F.ceil(F.col("__w") / most).alias("__parts"))
     own = F.when(F.col("__lone"), F.lit(0)).otherwise(F.col("__scale") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("__parts")))
-    out = keep(join_counted(scaled, parts, [key, "__scale"], "__n").withColumn("own", own.cast("long")).drop("__scale", "__lone", "__parts"), "placed")
-    forget(scaled, parts)
-    return out
+    return keep(scaled.join(parts, [key, "__scale"]).withColumn("own", own.cast("long")).drop("__scale", "__lone", "__parts"), "placed")
 
 
 def meeting(placed: DataFrame, key: str, percent: int = PERCENT) -> DataFrame:
@@ -451,8 +448,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: boo
     """doc_id, n_shingles, component_id and, if count, n_links of each of docs (doc_id, text)."""
     rows = keep(incidence(docs, words, percent, heavy_shingles(docs, words, percent)), "incidence")
     columns = rows.filter(F.col("prefix").isNotNull()).select("node", F.explode("prefix").alias("h"))
-    ends = keep(columns.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi"), "ends")
-    blocks = keep(join_counted(columns, ends, ["h"]), "blocks")
+    # Sums by shingle, then a plain join, whose large partitions Spark can split: a window would gather each shingle's rows.
+    ends = columns.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    blocks = keep(columns.join(ends, "h"), "blocks")
     sketches = [F.element_at("sketch", i + 1).alias(c) for i, c in enumerate(SKETCH)]
     once = [F.first(c, ignorenulls=True).alias(c) for c in ("sketch", "more")]
     classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("doc_id").alias("weight"), *once)
@@ -471,13 +469,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, count: boo
     labels = keep(components(links), "labels")
 
     inner = _labelled(blocks.filter("node != lo AND node != hi").select("h", "node").distinct(), labels, "node", "label")
-    mixed = keep(inner.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y").select("h", "n"), "mixed")
-    left_over = keep(join_counted(inner, mixed, ["h"]), "rest")
+    mixed = inner.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("h")
+    left_over = keep(inner.join(mixed, "h", "left_semi"), "rest")
     if not left_over.isEmpty():
         last = linked(docs, rest_pairs(left_over, briefs, percent=percent), briefs, words, percent)
         if not last.isEmpty():
             labels = keep(components(links.union(last)), "labels")
-    forget(blocks, briefs, known, left_over, ends, mixed)
+    forget(blocks, briefs, known, left_over)
 
     named = _labelled(classes.select("node", "doc_id", "weight"), labels, "node", "label")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
