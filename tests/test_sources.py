@@ -215,3 +215,10 @@ def test_texts(spark):
     assert texts(spark, text.run_key(lit("file:/a/b%20c.csv.csv")), text.unit_name(lit("degT")), text.unit_name(lit("na")), text.comma(lit(1234567))) == ["b c.csv", "degrees", None, "1,234,567"]
     at = F.timestamp_seconds(lit(1704164645))
     assert texts(spark, text.date(at), text.time(at), text.timestamp(at), text.month_year(at)) == ["2024-01-02", "03:04:05", "2024-01-02 03:04:05", "Jan 2024"]
+
+
+def test_numbers_are_rounded_by_their_exact_values(spark):
+    values = [0.5, 1.5, 2.5, 140.5, 139.5, 0.125, 0.375, 2.675, 1.005, 12.345, 0.285, 1234567.125, 99.995, 0.004999999999999999, 8.0, 27.4999999999999]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.heart_rate(F.col("v")).alias("whole"), text.speed(F.col("v")).alias("two")).collect()
+    assert [(r.whole, r.two) for r in got] == [(f"{r.v:.0f} bpm", f"{r.v:.2f} kph") for r in got]
+    assert texts(spark, text.seconds(F.lit(30.5)), text.seconds(F.lit(29.5))) == ["31s", "30s"]

@@ -11,13 +11,20 @@ def _whole(x: Column) -> Column:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """Rounded by the exact value of the double, halves to even, as C and DuckDB print; Java's formatter rounds the shortest decimals, halves up."""
+    x, scale = x.cast("double"), float(10**digits)
+    scaled, high = x * scale, x.cast("float").cast("double")
+    # What the product lost: of a float and of the rest it is exact. It decides where the product stands on a half.
+    lost = (high * scale - scaled) + (x - high) * scale
+    half = scaled - F.floor(scaled) == 0.5
+    whole = F.when(half & (lost > 0), F.ceil(scaled).cast("double")).when(half & (lost < 0), F.floor(scaled).cast("double")).otherwise(F.rint(scaled))
+    return F.format_string(f"%.{digits}f", whole / scale)
 
 
 def seconds(total: Column) -> Column:
-    """`1h 2m 3s`; zero parts are left out. The seconds are rounded, so they can read 60."""
+    """`1h 2m 3s`; zero parts are left out. The seconds are rounded, halves up, so they can read 60."""
     hours, minutes, rest = total / 3600, F.pmod(total.cast("double"), F.lit(3600.0)) / 60, F.pmod(total.cast("double"), F.lit(60.0))
-    parts = (F.when(F.floor(hours) > 0, F.concat(_whole(hours), F.lit("h"))), F.when(F.floor(minutes) > 0, F.concat(_whole(minutes), F.lit("m"))), F.when(rest >= 0.5, F.concat(_fixed(rest, 0), F.lit("s"))))
+    parts = (F.when(F.floor(hours) > 0, F.concat(_whole(hours), F.lit("h"))), F.when(F.floor(minutes) > 0, F.concat(_whole(minutes), F.lit("m"))), F.when(rest >= 0.5, F.concat(_whole(rest + 0.5), F.lit("s"))))
     return F.concat_ws(" ", *parts)
 
 
