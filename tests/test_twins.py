@@ -337,6 +337,19 @@ def test_nearest_land_where_grids_have_borders(spark, case):
             assert cells.agg(F.max("n")).first()[0] <= 120
 
 
+def test_dense_long_segments_leave_few_to_choose_from(spark):
+    """Thousands of segments that cross a whole area: cells are divided until few are left, and nothing nearer is lost."""
+    rng = random.Random(5)
+    segs = [(i // 240, i, 20 + 0.3 * rng.random(), -156 + 0.1 * rng.random(), 20 + 0.3 * rng.random(), -156 + 0.1 * rng.random()) for i in range(6000)]
+    at = [(20.1 + 0.00005 * k, -155.95 + 0.00008 * k) for k in range(200)] + [(20.15 + 0.1 * rng.random(), -155.96 + 0.05 * rng.random()) for _ in range(40)] + [(21.0, -155.0)]
+    points = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate(at)], "run_id long, lat double, lon double")
+    coast = spark.createDataFrame(segs, "feature_id long, seg_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    assert grid.table(points, coast, "feature_id", True).agg(F.avg(F.size("parts"))).first()[0] < grid.MANY
+    got = {r.run_id: (r.nearest_land_lat, r.nearest_land_lon) for r in nearest.nearest_land(points, coast).collect()}
+    for i, want in enumerate(_product_form(at, segs)):
+        assert near(got[i][0], want[0], 1e-7) and near(got[i][1], want[1], 1e-7), at[i]
+
+
 def test_conditions_edges(spark):
     runs = spark.createDataFrame([(1, 7200.0, 600.0, "Kihei"), (2, 7200.0, 600.0, "Kihei"), (3, 90000.0, 60.0, "Kihei"), (4, 7200.0, 600.0, None)], "run_id long, ts double, duration_sec double, region string")
     wind = spark.createDataFrame([("kihei", t, float(i), float(i), d, i) for i, (t, d) in enumerate([(5400.0, 10.0), (7000.0, 350.0), (7800.0, 0.0), (7801.0, 90.0), (100.0, 5.0)])], "site string, tsi double, wavg double, wgust double, wdir double, event_id int")

@@ -5,14 +5,16 @@ point of some shape (long shapes are taken at several points): the next smaller
 nearest shape is about as far as such a square is wide. Cells then ask together, in squares of an eighth of that
 width, for every shape within the bound that the points around give; those are met by equi-joins on cells about as
 large as the bound. Within the shapes met, real distances from the centre of a cell decide which can be nearest to any
-position in it, first for the asking square, then for each cell. A position finds its nearest shape within its own
-row, among the few that its cell keeps.
+position in it, first for the asking square, then for each cell. Where shapes are so dense that cells keep many, cells are
+divided by eight, up to three times, and each choose anew among what the larger one keeps. A position finds its nearest
+shape within its own row, among the few that its cell keeps.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ _SHIFT = 1 << (TOP - 1)
 FINER = 3
 #: A shape is taken at its ends and at points between, so many cells apart, but at no more than MOST_POINTS.
 POINT_CELLS, MOST_POINTS = 8, 1024
+#: A part is cut into pieces about as large as the squares that ask for it, but into no more than MOST_PIECES.
+MOST_PIECES = 1024
+#: Where the mean position has more than MANY parts to choose from, cells are divided by eight until about ENOUGH are left, DEEPEST times at most.
+MANY, ENOUGH, DEEPEST = 24, 8, 3
 #: Parts that are so few that every square chooses among all of them: they travel as one row.
 FEW_PARTS = 4096
 #: Where a position's surroundings reach beyond this latitude, all longitudes are near.
@@ -44,19 +50,24 @@ def usable(lat: Column, lon: Column) -> Column:
     return F.coalesce((F.abs(lat) <= 90) & (F.abs(lon) <= 360) & ~F.isnan(lat) & ~F.isnan(lon), F.lit(False))
 
 
-def _index(x: Column, size: float) -> Column:
-    return F.least(F.greatest(F.floor(x / size).cast("long") + _SHIFT, F.lit(0)), F.lit((1 << TOP) - 1))
+def _index(x: Column, size: float, deep: int = 0) -> Column:
+    return F.least(F.greatest(F.floor(x / (size / 8**deep)).cast("long") + (_SHIFT << 3 * deep), F.lit(0)), F.lit((1 << TOP + 3 * deep) - 1))
 
 
-def cell(size: float = SIZE) -> dict[str, Column]:
-    """ci and cj of a usable position (lat, lon)."""
-    return {"ci": _index(F.col("lat"), size), "cj": _index(F.col("lon"), size)}
+def cell(size: float = SIZE, deep: int = 0) -> dict[str, Column]:
+    """ci and cj of a usable position (lat, lon), of cells that are deep times divided by eight."""
+    return {"ci": _index(F.col("lat"), size, deep), "cj": _index(F.col("lon"), size, deep)}
+
+
+def _along(lat: Column, lon: Column) -> Column:
+    """The place of the point that point_on() gives, from 0 to 1."""
+    along, square = (lat - F.col("lat1")) * F.col("dlat") + (lon - F.col("lon1")) * F.col("dlon"), F.col("dlat") * F.col("dlat") + F.col("dlon") * F.col("dlon")
+    return F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / square))).otherwise(0.0)
 
 
 def point_on(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
     """The point of the part in the columns lat1, lon1, dlat and dlon that is nearest to lat and lon in the flat plane (y, x), and the square of the distance."""
-    along, square = (lat - F.col("lat1")) * F.col("dlat") + (lon - F.col("lon1")) * F.col("dlon"), F.col("dlat") * F.col("dlat") + F.col("dlon") * F.col("dlon")
-    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / square))).otherwise(0.0)
+    t = _along(lat, lon)
     y, x = F.col("lat1") + t * F.col("dlat"), F.col("lon1") + t * F.col("dlon")
     return y, x, (lat - y) * (lat - y) + (lon - x) * (lon - x)
 
@@ -130,15 +141,21 @@ def _asking(levels: DataFrame, points: DataFrame, size: float, sphere: bool) ->
 
 
 def _meet(asking: DataFrame, parts: DataFrame, size: float) -> DataFrame:
-    """asking's columns with every part whose distance from (cy, sx) is r at most, once each."""
-    extent = F.greatest(F.abs("dlat"), F.abs("dlon"))
+    """asking's columns with every part whose distance from (cy, sx) is r at most, once each.
+
+    Parts stand in the grid by pieces, so that a long one meets only the squares along it; the piece with its nearest point counts.
+    """
     level_of = lambda x: F.when(x <= size, 0).otherwise(F.least(F.lit(TOP), F.ceil(F.log2(x / size)))).cast("int")
-    own, look = parts.withColumn("own", level_of(extent)), asking.withColumn("level", level_of(F.col("r")))
-    # The levels that squares ask at, and those that parts have: TOP + 1 numbers at most.
-    asked, owned = ([r[0] for r in rows.distinct().collect()] for rows in (look.select("level"), own.select("own")))
+    look = asking.withColumn("level", level_of(F.col("r")))
+    # The levels that squares ask at, and those of pieces cut for them: TOP + 1 numbers at most, squared at most.
+    asked = [r[0] for r in look.select("level").distinct().collect()]
+    extent = F.greatest(F.abs("dlat"), F.abs("dlon"))
+    cut = parts.withColumn("level", F.explode(F.array(*[F.lit(a) for a in asked or [0]])))
+    cut = cut.withColumn("n", F.greatest(F.lit(1), F.least(F.lit(MOST_PIECES), F.ceil(extent / (F.pow(F.lit(2.0), F.col("level")) * size)))).cast("int")).withColumn("m", F.greatest(F.col("level"), level_of(extent / F.col("n"))))
+    found: dict[int, list[int]] = {}
+    for level, m in cut.select("level", "m").distinct().collect():
+        found.setdefault(level, []).append(m)
     squares = lambda low, high, at: F.sequence(F.expr(f"shiftright({low}, {at})"), F.expr(f"shiftright({high}, {at})"))
-    low = lambda a, d: F.least(F.col(a), F.col(a) + F.col(d))
-    high = lambda a, d: F.greatest(F.col(a), F.col(a) + F.col(d))
 
     def spread(rows: DataFrame, ends: dict[str, Column], name: str) -> DataFrame:
         """A row for each square of level m that a box covers; its lowest square stays beside."""
@@ -146,16 +163,21 @@ def _meet(asking: DataFrame, parts: DataFrame, size: float) -> DataFrame:
         at = at.withColumn("i", F.explode(squares("__s", "__n", "m"))).withColumn("j", F.explode(squares("__w", "__e", "m")))
         return at.withColumns({f"{name}_i": F.expr("shiftright(__s, m)"), f"{name}_j": F.expr("shiftright(__w, m)")}).drop(*ends)
 
-    at_level = lambda mine, levels: F.explode(F.array_distinct(F.array(*[F.greatest(F.lit(a), F.col(mine)) for a in levels or [0]])))
-    standing = own.withColumn("m", at_level("own", asked))
-    standing = spread(standing, {"__s": low("lat1", "dlat"), "__n": high("lat1", "dlat"), "__w": low("lon1", "dlon"), "__e": high("lon1", "dlon")}, "part")
-    looking = look.withColumn("m", at_level("level", owned))
+    def side(of: str, d: str, end: Callable[..., Column], by: float) -> Column:
+        """Where a piece ends, and a little beyond."""
+        return end(*[F.col(of) + F.col(d) * ((F.col("piece") + k) / F.col("n")) for k in (0, 1)]) + by
+
+    standing = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    standing = spread(standing, {"__s": side("lat1", "dlat", F.least, -1e-12), "__n": side("lat1", "dlat", F.greatest, 1e-12), "__w": side("lon1", "dlon", F.least, -1e-12), "__e": side("lon1", "dlon", F.greatest, 1e-12)}, "part")
+    of_level = functools.reduce(lambda c, a: c.when(F.col("level") == a, F.array(*[F.lit(m) for m in found[a]])), found, F.when(F.lit(False), F.array(F.lit(0))))
+    looking = look.withColumn("m", F.explode(of_level))
     looking = spread(looking, {"__s": F.col("cy") - F.col("r"), "__n": F.col("cy") + F.col("r"), "__w": F.col("sx") - F.col("r"), "__e": F.col("sx") + F.col("r")}, "square")
-    # Of all squares that both cover, the lowest one counts, at the larger of both levels.
-    once = (F.col("m") == F.greatest("level", "own")) & (F.col("i") == F.greatest("part_i", "square_i")) & (F.col("j") == F.greatest("part_j", "square_j"))
-    met = looking.join(standing, ["m", "i", "j"]).filter(once)
+    # Of all squares that both cover, the lowest one counts.
+    once = (F.col("i") == F.greatest("part_i", "square_i")) & (F.col("j") == F.greatest("part_j", "square_j"))
+    met = looking.join(standing, ["level", "m", "i", "j"]).filter(once)
     _, _, square = point_on(F.col("cy"), F.col("sx"))
-    return met.filter(square <= F.col("r") * F.col("r")).select(*asking.columns, *parts.columns)
+    nearest = F.least(F.col("n") - 1, F.floor(_along(F.col("cy"), F.col("sx")) * F.col("n")))
+    return met.filter((square <= F.col("r") * F.col("r")) & (F.col("piece") == nearest)).select(*asking.columns, *parts.columns)
 
 
 def _at_the_meridian(asking: DataFrame) -> DataFrame:
@@ -213,10 +235,41 @@ def table(positions: DataFrame, shapes: DataFrame, key: str, sphere: bool = Fals
     shapes: key, lat1, lon1, lat2, lon2 (null: a point), several rows for a shape of several parts. Nearest means by flat
     distance in degrees or, with sphere, by the great-circle distance of the point of a shape that is nearest in the
     flat plane. No part is missing that is nearest so. Of up to few parts (which are counted) all squares choose
-    themselves; for more, the small tables between are written when this is called.
+    themselves; for more, the small tables between are written when this is called. Cells are as _table() divides them.
     """
+    return _table(positions, shapes, key, sphere, size, few)[0]
+
+
+def _depth(kept: DataFrame, cells: DataFrame) -> int:
+    """How often cells are to be divided by eight, so that the mean position has few parts to choose from; cells: ci, cj, n (positions)."""
+    size = F.aggregate("shapes", F.lit(0).cast("long"), lambda n, s: n + F.size(s["parts"]))
+    mean = kept.withColumn("__parts", size).join(cells, ["ci", "cj"]).agg(F.try_divide(F.sum(F.col("__parts") * F.col("n")), F.sum("n"))).first()[0] or 0
+    return min(DEEPEST, math.ceil(math.log(mean / ENOUGH, 8))) if mean > MANY else 0
+
+
+def _divided(kept: DataFrame, positions: DataFrame, size: float, deep: int, sphere: bool) -> DataFrame:
+    """kept (ci, cj, shapes) for the cells of positions that are deep times divided by eight, each step choosing among what the last one kept."""
+    cells = keep(positions.select(*[c.alias(n) for n, c in cell(size, deep).items()]).distinct(), "grid-cells")
+    cores, written = positions.sparkSession.sparkContext.defaultParallelism, [cells]
+    for step in range(1, deep + 1):
+        width = size / 8**step
+        middle = lambda c, step=step, width=width: f"(({c} - {_SHIFT << 3 * step} + 0.5D) * {width!r}D)"
+        up = 3 * (deep - step)
+        here = cells.select(F.expr(f"shiftright(ci, {up})").alias("ci"), F.expr(f"shiftright(cj, {up})").alias("cj"))
+        here = (here.distinct() if up else here).repartition(8 * cores, "ci", "cj").withColumns({"__pi": F.expr("shiftright(ci, 3)"), "__pj": F.expr("shiftright(cj, 3)")})
+        met = here.join(kept.select(F.col("ci").alias("__pi"), F.col("cj").alias("__pj"), "shapes"), ["__pi", "__pj"])
+        kept = keep(met.select("ci", "cj", _pruned("shapes", middle("ci"), middle("cj"), f"{width * math.sqrt(0.5)!r}D", sphere).alias("shapes")), "grid")
+        written.append(kept)
+    forget(*written[:-1])
+    return kept
+
+
+def _table(positions: DataFrame, shapes: DataFrame, key: str, sphere: bool, size: float, few: int) -> tuple[DataFrame, int]:
+    """What table() gives, and how often its cells are divided by eight."""
     parts = parts_of(shapes, key)
-    cells = positions.select(cell(size)["ci"].alias("ci"), cell(size)["cj"].alias("cj")).distinct()
+    cells = positions.select(cell(size)["ci"].alias("ci"), cell(size)["cj"].alias("cj")).groupBy("ci", "cj").agg(F.count(F.lit(1)).alias("n"))
+    # Spreading over squares and choosing cost far more than the few rows weigh, so they are dealt out to all cores.
+    cores = positions.sparkSession.sparkContext.defaultParallelism
     square = ["q", "qi", "qj", "cy", "cx", "h"]
     packed = lambda rows, *by: rows.groupBy(*by, "id", "far").agg(F.collect_list(F.struct(*PART)).alias("parts")).groupBy(*by).agg(F.collect_list(F.struct("id", "far", "parts")).alias("shapes"))
     written: list[DataFrame] = []
@@ -225,16 +278,15 @@ def table(positions: DataFrame, shapes: DataFrame, key: str, sphere: bool = Fals
         levels = cells.select("ci", "cj", F.lit(FINER).alias("q"), F.shiftright("ci", FINER).alias("qi"), F.shiftright("cj", FINER).alias("qj"))
         of_square = levels.select("q", "qi", "qj").distinct().withColumns(_centre(size)).join(F.broadcast(packed(parts.withColumn("far", F.lit(False)))), F.lit(True))
     else:
+        parts, cells = keep(parts.repartition(8 * cores), "grid-parts"), keep(cells, "grid-cells")
         points = keep(_points(parts, size), "grid-points")
         levels = keep(_levels(cells, points), "grid-levels")
         asking = keep(_asking(levels, points, size, sphere), "grid-asking")
-        written += [points, levels, asking]
+        written += [parts, cells, points, levels, asking]
         met = _meet(asking.withColumn("sx", F.col("cx")), parts, size).withColumn("far", F.lit(False))
         if sphere and not (edge := _at_the_meridian(asking)).isEmpty():
             met = met.drop("sx").unionByName(_across(edge, parts, size).withColumn("far", F.lit(True)))
         of_square = packed(met.repartition("q", "qi", "qj"), *square)
-    # Choosing costs far more than the few rows weigh, so it is dealt out to all cores.
-    cores = positions.sparkSession.sparkContext.defaultParallelism
     of_square = of_square.repartition(cores, "q", "qi", "qj") if all_few else of_square
     first = of_square.select("q", "qi", "qj", _pruned("shapes", "cy", "cx", "h", sphere, all_few and sphere).alias("shapes"))
     middle = lambda c: f"(({c} - {_SHIFT} + 0.5D) * {size!r}D)"
@@ -242,11 +294,14 @@ def table(positions: DataFrame, shapes: DataFrame, key: str, sphere: bool = Fals
     own = (own.repartition(cores, "q", "qi", "qj") if all_few else own).join(first, ["q", "qi", "qj"])
     # A cell that asked for itself has been served.
     again = F.when(F.col("q") == 0, F.col("shapes")).otherwise(_pruned("shapes", middle("ci"), middle("cj"), f"{size * math.sqrt(0.5)!r}D", sphere))
-    out = own.select("ci", "cj", again.alias("shapes")).select("ci", "cj", F.expr(_LISTED).alias("parts"))
+    out, deep = own.select("ci", "cj", again.alias("shapes")), 0
     if written:
         out = keep(out, "grid")
+        if deep := _depth(out, cells):
+            written.append(out)
+            out = _divided(out, positions, size, deep, sphere)
         forget(*written)
-    return out
+    return out.select("ci", "cj", F.expr(_LISTED).alias("parts")), deep
 
 
 def attach(positions: DataFrame, shapes: DataFrame, key: str, sphere: bool = False, size: float = SIZE, name: str = "nearest", few: int = FEW_PARTS) -> DataFrame:
@@ -256,9 +311,10 @@ def attach(positions: DataFrame, shapes: DataFrame, key: str, sphere: bool = Fal
     under a key of its own, so that they do not gather in one task.
     """
     ok = usable(F.col("lat"), F.col("lon"))
-    cells = table(positions.filter(ok).select("lat", "lon"), shapes, key, sphere, size, few).select(F.col("ci").alias("__ci"), F.col("cj").alias("__cj"), F.col("parts").alias("__parts"))
+    found, deep = _table(positions.filter(ok).select("lat", "lon"), shapes, key, sphere, size, few)
+    cells, place = found.select(F.col("ci").alias("__ci"), F.col("cj").alias("__cj"), F.col("parts").alias("__parts")), cell(size, deep)
     apart = F.xxhash64(*[F.col(f"`{c}`") for c in positions.columns if positions.schema[c].dataType.typeName() not in ("map", "variant")])
-    keyed = positions.withColumns({"__i": F.when(ok, cell(size)["ci"]).otherwise(F.lit(-1).cast("long")), "__j": F.when(ok, cell(size)["cj"]).otherwise(apart)})
+    keyed = positions.withColumns({"__i": F.when(ok, place["ci"]).otherwise(F.lit(-1).cast("long")), "__j": F.when(ok, place["cj"]).otherwise(apart)})
     met = keyed.join(cells, (F.col("__i") == F.col("__ci")) & (F.col("__j") == F.col("__cj")), "left")
     return met.withColumn(name, best("__parts", sphere=sphere)).drop("__i", "__j", "__ci", "__cj", "__parts")
 
