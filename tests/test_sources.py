@@ -115,6 +115,25 @@ def test_files_of_a_partition_in_order(spark, tmp_path):
         assert len(files) >= least and times == sorted(times) and len(times) == (2000 if run == 0 else 200)
 
 
+def test_few_tasks_write_many_partitions(spark, tmp_path):
+    """The tasks that write do not grow in number as partitions do, each partition still gets several files, and they stand in order."""
+    rows = spark.range(1800).select((F.col("id") % 300).alias("run_id"), F.pmod(F.col("id") * 7919, F.lit(1800)).cast("double").alias("tsi"))
+    sinks.by_partition(rows, str(tmp_path / "out"), ["run_id"], "tsi", files=3)
+    files = sorted((tmp_path / "out").glob("run_id=*/part-*.csv"))
+    assert len({f.name.split("-")[1] for f in files}) <= 9
+    for run in (0, 150, 299):
+        own = [f for f in files if f.parent.name == f"run_id={run}"]
+        times = [float(line) for f in own for line in f.read_text().splitlines()[1:]]
+        assert len(own) >= 3 and times == sorted(times) and len(times) == 6
+
+
+def test_run_points_lists_one_folder(spark, tmp_path):
+    sinks.by_partition(spark.createDataFrame([("r1", 2.0), ("r1", 1.0), ("r2", 3.0)], "run_id string, tsi double"), str(tmp_path), ["run_id"], "tsi")
+    (tmp_path / "other=1").mkdir()
+    (tmp_path / "other=1" / "part.csv").write_text("tsi\n5.0\n")  # would be a conflict of partitions, were it looked at
+    assert [(r.run_id, r.tsi) for r in readers.run_points(spark, str(tmp_path), "tsi double", "r1").collect()] == [("r1", 1.0), ("r1", 2.0)]
+
+
 @pytest.mark.parametrize("when", ["before", "while", "after"])
 def test_import_that_fails_and_runs_again(spark, tmp_path, when):
     """Whenever the first attempt at the points fails, the tables end up the same, and read files in the archive."""

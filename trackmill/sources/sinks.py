@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Files that a task writes on average where partitions get several; the names of a thousand still sort.
+FILES_A_TASK = 100
 
 def by_partition(rows: DataFrame, path: str, keys: list[str], order: str | None = None, gzip: bool = False, files: int = 1) -> None:
     """CSV folders by keys, only the partitions written being replaced; with files = 1 one (sorted) file each.
 
     With more, partitions too large for one task get several files: with an order, rows are dealt out by ranges of keys and order,
-    so large partitions are cut where their rows are many, and file names in order hold the rows in order; without, by
-    keys and a hash of the row. files is the mean number over all partitions, which are counted.
+    and a task begins a new file when one is full, so large partitions are cut where their rows are many, and file names in order
+    hold the rows in order; without, by keys and a hash of the row. files is the mean number over all partitions, which are
+    counted. Tasks are many files each, so their number does not grow as that of the partitions does.
     """
+    full = None
     if files > 1 and order:
-        out = rows.repartitionByRange(files * max(1, rows.select(*keys).distinct().count()), *keys, order)
+        found, n = rows.groupBy(*keys).count().agg(F.count(F.lit(1)), F.sum("count")).first()
+        due = files * max(1, found)
+        full = math.ceil((n or 1) / due)
+        shuffled = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = rows.repartitionByRange(min(due, max(shuffled, math.ceil(due / FILES_A_TASK))), *keys, order)
     else:
         spread = [F.pmod(F.xxhash64(*rows.columns), F.lit(files))] if files > 1 else []
         out = rows.repartition(*keys, *spread)
     if order:
         out = out.sortWithinPartitions(*keys, order)
     writer = out.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+    writer = writer.option("maxRecordsPerFile", full) if full else writer
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 
