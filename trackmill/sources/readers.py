@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +95,9 @@ def site_day(spark: SparkSession, path: str, schema: str, site: str, day: str) -
 
 
 def run_points(spark: SparkSession, path: str, schema: str, run: str, key: str = "run_id") -> DataFrame:
-    """One run's points of a CSV table partitioned by run, by tsi, with ts."""
-    rows = spark.read.schema(f"{schema}, {key} string").option("header", True).csv(path).filter(F.col(key) == run)
+    """One run's points of a CSV table partitioned by run, by tsi, with ts; where the run's name stands in its folder's as it is, no other folder is listed."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={run}")
+    plain = re.fullmatch(r"[A-Za-z0-9_-]+", run) and own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(own)
+    found = spark.read.schema(f"{schema}, {key} string").option("header", True).option("basePath", path).csv(own.toString() if plain else path)
+    rows = found.filter(F.col(key) == run)
     return rows.withColumn("ts", F.timestamp_micros(micros(F.col("tsi")))).orderBy("tsi")
