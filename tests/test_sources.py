@@ -174,6 +174,25 @@ def test_import_that_fails_and_runs_again(spark, tmp_path, when):
     assert {(r.filename, r.run_id, r.n) for r in store.points().groupBy("filename", "run_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {("Run 1", runs["Waterspeed 2024-01-01 00.00.00"][2], 20), ("Run 2", runs["Waterspeed 2024-01-02 00.00.00"][2], 1)}
 
 
+def test_import_measures_all_new_files_at_once(spark, tmp_path, monkeypatch):
+    """Files come in by batches, but the coast is gone through once; nothing to take in is no error."""
+    lists, inbox, calls = tmp_path / "lists", tmp_path / "in", []
+    lists.mkdir(), inbox.mkdir()
+    coast = spark.createDataFrame([(1, 0, 20.8, -156.7, 20.9, -156.7)], "feature_id long, seg_id long, lat1 double, lon1 double, lat2 double, lon2 double")
+    store = dropfolder.Store(spark, str(tmp_path / "store"), dropfolder.RUNS)
+    real, stream = dropfolder.import_points, dropfolder.point_stream
+    monkeypatch.setattr(dropfolder, "import_points", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(dropfolder, "point_stream", lambda spark, folder, archive=None: stream(spark, folder, archive, files_per_batch=1))
+    dropfolder.import_drop(spark, str(lists), str(inbox), store, coast)
+    assert calls == [] and store.points() is None
+    head = "Timestamp (from 1970),Date,Time,Max Speed (kmh),Avg Speed (kmh),Duration (sec),Distance (km),Name,Desc,Feeling,Equip 1,Equip 2\n"
+    write(lists, "one.csv", head + "".join(f"{1704067200 + 7200 * k},2024-01-01,00:00:00,30,20,60,1,A,B,3,Board,Foil\n" for k in range(3)))
+    for k in range(3):
+        write(inbox, f"Run {k}.csv", HEAD + f"{1704067200 + 7200 * k},2024-01-01,00:00:00,20.8,-156.6,6,90,120,1,2\n")
+    dropfolder.import_drop(spark, str(lists), str(inbox), store, coast)
+    assert calls == [1] and sorted(r.filename for r in store.points().collect()) == ["Run 0", "Run 1", "Run 2"]
+
+
 def test_conditions_read_only_the_days_asked_for(spark, tmp_path):
     wind = spark.range(24 * 60).select(F.lit("kihei").alias("site"), (F.col("id") * 3600.0).alias("tsi"), F.lit(1.0).alias("wavg"), F.lit(2.0).alias("wgust"), F.lit(90.0).alias("wdir"), F.col("id").alias("event_id"), F.date_add(F.lit("1970-01-01").cast("date"), (F.col("id") / 24).cast("int")).alias("day"))
     wind.write.partitionBy("site", "day").parquet(str(tmp_path / "wind"))

@@ -77,6 +77,7 @@ def import_drop(spark: SparkSession, lists: str, points: str, store: Store, coas
 
     Later lists update runs of the same file name; files whose run has points already are left out; a file that matches
     no run stops the import, as import_points() does. after(table, number) is called when a batch has been written.
+    Point files are staged first, then all that is staged and not yet imported is one batch.
     """
     done = after or (lambda table, number: None)
 
@@ -93,4 +94,7 @@ def import_drop(spark: SparkSession, lists: str, points: str, store: Store, coas
         done("points", number)
 
     ingest(list_stream(spark, lists, archive and f"{archive}/lists"), f"{store.path}/state/lists", take_list).awaitTermination()
-    ingest(point_stream(spark, points, archive and f"{archive}/points"), f"{store.path}/state/points", take_points).awaitTermination()
+    # Files are taken in by small batches, but measured together: a batch's work includes the whole coast.
+    staged, files = f"{store.path}/staged", point_stream(spark, points, archive and f"{archive}/points")
+    files.writeStream.format("parquet").option("path", staged).option("checkpointLocation", f"{store.path}/state/files").trigger(availableNow=True).start().awaitTermination()
+    ingest(spark.readStream.schema(files.schema).parquet(staged), f"{store.path}/state/points", take_points).awaitTermination()
