@@ -106,6 +106,32 @@ def test_drop_folder(spark, tmp_path):
     assert seen == ["Run 1", "Run 2"]
 
 
+def test_one_file_though_a_join_went_by_the_same_key(spark, tmp_path):
+    """A join by the key before the export is broadcast while it runs: rows of a run still end in one file."""
+    rows = spark.range(40_000).select((F.col("id") % 20).alias("run_id"), F.floor(F.col("id") / 20).alias("seq"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    rows.repartition(16).write.parquet(str(tmp_path / "in"))
+    rows, was = spark.read.parquet(str(tmp_path / "in")), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        some = rows.groupBy("run_id").agg(F.min("seq").alias("first")).filter("first >= 0")
+        sinks.by_partition(rows.repartition(16, "seq").join(some, "run_id", "left_semi"), str(tmp_path / "out"), ["run_id"], "seq", gzip=True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(list((tmp_path / "out").glob("run_id=*"))) == len(list((tmp_path / "out").glob("run_id=*/*.gz"))) == 20
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").alias("run_id"), F.lit(1.5).alias("tsi"))
+    sinks.by_partition(rows, str(tmp_path), ["run_id"], "tsi")
+    spark.sparkContext.setJobGroup("listing", "")
+    back = readers.folders(spark, str(tmp_path), "tsi double, run_id long")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [spark.sparkContext.statusTracker().getStageInfo(i) for j in jobs for i in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    assert stages and all(s.numTasks <= 4 for s in stages) and spark.conf.get(readers.LISTING) == "10000"
+    assert sorted(back.collect()) == [(1.5, i) for i in range(300)]
+
+
 def test_files_of_a_partition_in_order(spark, tmp_path):
     rows = spark.range(4000).select((F.col("id") % 2).alias("run_id"), F.pmod(F.col("id") * 7919, F.lit(4000)).cast("double").alias("tsi"), F.lit("x").alias("text"))
     sinks.by_partition(rows.filter("run_id = 0 OR tsi < 400"), str(tmp_path / "out"), ["run_id"], "tsi", files=4)

@@ -183,7 +183,7 @@ POINTS = "seq long, tsi double, speed double, lat double, lon double, nearest_la
 
 @query
 def export_recent_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = spark.read.schema(f"{POINTS}, run_id long").option("header", True).csv(_exported(spark, sf_dir))
+    back = readers.folders(spark, _exported(spark, sf_dir), f"{POINTS}, run_id long")
     return back.select("run_id", "seq", *r("tsi"), *r("distance_to_land", digits=3))
 
 
@@ -192,7 +192,7 @@ def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each point in its run's exported file."""
     out = folder(spark, "sorted")
     sinks.by_partition(queries.pts(spark, sf_dir).select("run_id", "seq", "tsi"), out, ["run_id"], "tsi", gzip=True)
-    back = spark.read.schema("seq long, tsi double, run_id long").option("header", True).csv(out)
+    back = readers.folders(spark, out, "seq long, tsi double, run_id long")
     return _placed(back, "run_id").select("run_id", "seq", F.col("place").cast("long").alias("place"))
 
 
@@ -201,7 +201,7 @@ def export_ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs exported to several files each: rows that stand out of order when files are read by name."""
     out = folder(spark, "ordered")
     sinks.by_partition(queries.pts(spark, sf_dir).select("run_id", "seq", "tsi"), out, ["run_id"], "tsi", gzip=True, files=3)
-    back = spark.read.schema("seq long, tsi double, run_id long").option("header", True).csv(out)
+    back = readers.folders(spark, out, "seq long, tsi double, run_id long")
     rows = _placed(back, "run_id").selectExpr("*", "row_number() OVER (PARTITION BY run_id ORDER BY tsi, seq) AS due")
     return rows.groupBy("run_id").agg((F.countDistinct("__file") > 1).alias("several"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("place") != F.col("due")).alias("misplaced"))
 

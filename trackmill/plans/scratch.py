@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.sinks import dealt
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the session's shared one; where it names none, a temporary one on a single machine, and an error on a cluster."""
@@ -22,7 +24,7 @@ def folder(spark: SparkSession, name: str) -> str:
 def named_files(rows: DataFrame, path: str, key: str, order: list[str], name: str, lines: bool = False) -> str:
     """One sorted file for each value of key, called by name with `{}` for it: as people drop them. lines: a single column of text, else CSV with a header."""
     spark = rows.sparkSession
-    written = rows.repartition(key).sortWithinPartitions(key, *order)
+    written = dealt(rows, key).sortWithinPartitions(key, *order)
     writer = written.drop(*[o for o in order if o.startswith("__")]).write.partitionBy(key)
     writer.text(f"{path}-parts") if lines else writer.option("header", True).csv(f"{path}-parts")
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()

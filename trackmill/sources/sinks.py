@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Files that a task writes on average where partitions get several; the names of a thousand still sort.
 FILES_A_TASK = 100
 
+
+def dealt(rows: DataFrame, *keys: str | Column) -> DataFrame:
+    """rows with those of equal keys in one partition, also when they are written.
+
+    Keys are hashed first: Spark drops a repartition by the very keys of a join or sum before it, and may then read that
+    exchange map by map, which scatters the keys. Files take time rather than bytes, so partitions are not put together.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def by_partition(rows: DataFrame, path: str, keys: list[str], order: str | None = None, gzip: bool = False, files: int = 1) -> None:
     """CSV folders by keys, only the partitions written being replaced; with files = 1 one (sorted) file each.
 
@@ -27,7 +37,7 @@ def by_partition(rows: DataFrame, path: str, keys: list[str], order: str | None
         out = rows.repartitionByRange(min(due, max(shuffled, math.ceil(due / FILES_A_TASK))), *keys, order)
     else:
         spread = [F.pmod(F.xxhash64(*rows.columns), F.lit(files))] if files > 1 else []
-        out = rows.repartition(*keys, *spread)
+        out = dealt(rows, *keys, *spread)
     if order:
         out = out.sortWithinPartitions(*keys, order)
     writer = out.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
