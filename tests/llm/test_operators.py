@@ -588,6 +588,26 @@ def test_neighbours_by_divided_lists(spark):
     assert np.mean([len(found[q] & best(q)) / 20 for q in range(0, 1500, 20)]) >= 0.9
 
 
+def test_few_pairs_are_scored_exactly(spark):
+    """Scores by table leave a small share of all pairs for exact scores, and hide none of a query's nearest."""
+    x = np.random.default_rng(12).normal(size=(3000, 32)).astype(np.float32).astype(np.float64)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    index = ann.fit(df, lists=16)
+    own, codes = ann.encode(index, x)
+    q, near = x[::50], np.empty((60, len(x)))
+    for whose in range(index.lists):
+        at = np.flatnonzero(own == whose)
+        near[:, at] = ann.asymmetric(index, whose, codes[at], q)
+    tables = np.einsum("qmd,mcd->qmc", q.reshape(len(q), len(index.books), -1), index.books)
+    assert np.allclose(near, q @ index.centre(own).T + sum(tables[:, m, codes[:, m]] for m in range(codes.shape[1])))
+    score = q @ x.T
+    floor = -np.sort(-score, axis=1)[:, 20]
+    met = ann.promising(index, q, near, floor, 3000)
+    assert met.mean() < 0.2 and met[score >= floor[:, None]].mean() > 0.99
+    few = ann.promising(index, q, near, floor, 30)
+    assert few.sum(axis=1).max() == 30 and not (few & ~met).any()
+
+
 def test_few_neighbours(spark):
     some = ann.search(frame(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [1.0, 0.0])], "vec_id long, vector array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in some) == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (20, 1, 0, 1.0), (20, 2, 1, 0.5)]

@@ -5,9 +5,11 @@ the square root of the vectors: beyond COARSE_LISTS each coarse list is divided
 residuals, which all lists share, so the lists go on growing though the sample does not. An index row is a block of up to
 BLOCK vectors of one list (a list of any size is many blocks): ids, codes and the vectors themselves. Queries
 travel to the lists they probe in groups of QUERY_GROUP, so a task scores a group against a block at once with the
-queries' asymmetric tables, keeps the RERANK * k best of each query by table, scores those exactly in double
-precision, and passes on k at most: only those no worse than the query's k-th best in the fitted sample, whose
-vectors are candidates as well. The k best over all blocks follow by a window over each query. A list of many blocks
+queries' asymmetric scores (one product of matrices: whole queries by what the codes stand for, which are the sums of
+their tables' entries), and keeps the RERANK * k best of each query at most: only those that may be no worse than the
+query's k-th best in the fitted sample, whose vectors are candidates as well. By how much such a score may be too low
+is the largest shortfall of the sampled queries' true neighbours, measured while fitting. Those kept are scored exactly in
+double precision, and k at most that are no worse are passed on. The k best over all blocks follow by a window over each query. A list of many blocks
 is dealt out in parts of about PART_BLOCKS, each of which gets the list's query groups, so no list need fit a task
 and equal vectors in any number only add parts.
 
@@ -57,6 +59,7 @@ class Index:
     sample: np.ndarray
 
     sample_list: np.ndarray
+    margin: float = 0.0  # by how much the tables' score of a true neighbour may be too low, for a query of length 1
 
     @property
     def lists(self) -> int:
@@ -121,9 +124,19 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own, np.stack([nearest(rest[:, m], index.books[m]) for m in range(len(index.books))], axis=1).astype(np.uint8)
 
 
-def tables(index: Index, q: np.ndarray) -> np.ndarray:
-    """Of each query: inner products with every code of every subspace."""
-    return np.einsum("qmd,mcd->qmc", q.reshape(len(q), len(index.books), -1), index.books)
+def asymmetric(index: Index, own: int, codes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of whole queries with what a list's codes stand for: the sums of the queries' table entries, by one product of matrices."""
+    return q @ (index.centre(own) + index.books[np.arange(len(index.books)), codes].reshape(len(codes), -1)).T
+
+
+def promising(index: Index, q: np.ndarray, near: np.ndarray, floor: np.ndarray, most: int) -> np.ndarray:
+    """Which vectors of a block (near: their scores by table) may be no worse than each query's floor; of more than most, the best by table."""
+    least = floor - index.margin * np.linalg.norm(q, axis=1)
+    met = near >= np.maximum(least, np.finfo(np.float64).min)[:, None]
+    for i in np.flatnonzero(np.count_nonzero(met, axis=1) > most).tolist():
+        nudged = near[i] - np.arange(near.shape[1]) * (1e-12 * (1 + np.abs(near[i][met[i]]).max()))  # ids ascend, so ties keep the smaller
+        met[i, np.argpartition(-nudged, most - 1)[most:]] = False
+    return met
 
 
 def usable(vector: Column) -> Column:
@@ -158,6 +171,10 @@ def fit(vectors: DataFrame, fit_vectors: int = FIT_VECTORS, k: int = 20, target:
     q = q[rng.permutation(len(q))[: max(20, min(200, 100 * PLAN_SCORES // index.lists))]]
     exact = q @ x.T
     best = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+    rest = np.stack([index.books[m][nearest(rest[:, m], index.books[m])] for m in range(subspaces)], axis=1).reshape(len(x), dims)
+    decoded = index.centre(own) + rest
+    short = np.take_along_axis(exact, best, axis=1) - np.einsum("qd,qnd->qn", q, decoded[best])
+    index.margin = max(0.0, float((short / np.linalg.norm(q, axis=1)[:, None]).max()))
     order = index.order(q)
     where = np.empty_like(order)
     np.put_along_axis(where, order, np.broadcast_to(np.arange(index.lists), order.shape), axis=1)
@@ -258,18 +275,16 @@ def _search(vectors: DataFrame, k: int, index: Index | None, rerank: int, block:
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"], np.float64).reshape(-1, dims)
                 floor = np.frombuffer(row["floors"], np.float64)
-                table = tables(ix, q)
-                near = (q @ ix.centre(row["list"]))[:, None] + sum(table[:, m, codes[:, m]] for m in range(codes.shape[1]))
-                near -= np.arange(len(ids)) * (1e-12 * (1 + np.abs(near).max()))  # ids ascend, so ties keep the smaller
+                near = asymmetric(ix, row["list"], codes, q)
                 near[q_ids[:, None] == ids[None, :]] = -np.inf
-                some = min(rerank * k, len(ids))
-                top = np.argpartition(-near, some - 1, axis=1)[:, :some]
-                score = np.einsum("qd,qrd->qr", q, x[top].astype(np.float64))
-                score[(np.take_along_axis(near, top, axis=1) == -np.inf) | (score < floor[:, None])] = -np.inf
-                best = np.lexsort((ids[top], -score), axis=1)[:, :k]
-                out_id, out = np.take_along_axis(ids[top], best, axis=1), np.take_along_axis(score, best, axis=1)
-                ok = out != -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids[:, None], out.shape)[ok]), pa.array(out_id[ok]), pa.array(out[ok])], ["query_id", "vec_id", "score"])
+                met = promising(ix, q, near, floor, rerank * k)
+                a, b = np.nonzero(met)
+                score = np.einsum("pd,pd->p", q[a], x[b].astype(np.float64))
+                use = np.flatnonzero(score >= floor[a])
+                use = use[np.lexsort((ids[b[use]], -score[use], a[use]))]
+                whose = a[use]
+                use = use[np.arange(len(use)) - np.searchsorted(whose, whose) < k]
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[use]]), pa.array(ids[b[use]]), pa.array(score[use])], ["query_id", "vec_id", "score"])
 
     blocks = keep(good.select("vec_id", "vector").mapInArrow(indexed, "list int, ids binary, codes binary, vectors binary"), "index")
     probes = good.filter("q").select("vec_id", "vector").distinct().mapInArrow(probing, "list int, q_ids binary, q_vectors binary, floors binary")
