@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions import text
 from trackmill.operators import conditions, gpsclean, ingest
+from trackmill.plans import scratch
 from trackmill.sources import readers, sinks
 from trackmill.streaming import dropfolder
 
@@ -132,6 +133,26 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
     assert sorted(back.collect()) == [(1.5, i) for i in range(300)]
 
 
+def test_files_of_a_batch_are_listed_by_few_tasks(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(40):
+        write(inbox, f"Run {i}.csv", HEAD + f"{i},2024-01-01,00:00:00,20.8,-156.6,5,90,0,1,2\n")
+    seen = []
+    q = dropfolder.ingest_all(dropfolder.point_stream(spark, str(inbox)), str(tmp_path / "check"), lambda df, n: seen.extend(r.filename for r in df.collect()))
+    found = spark.sparkContext.statusTracker()
+    stages = [found.getStageInfo(i) for j in found.getJobIdsForGroup(q.runId) for i in found.getJobInfo(j).stageIds]
+    assert sorted(seen) == sorted(f"Run {i}" for i in range(40)) and spark.conf.get(readers.LISTING) == "10000"
+    assert stages and max(s.numTasks for s in stages) < 40
+
+
+def test_named_files(spark, tmp_path):
+    """One file for each value, also of values that hold commas."""
+    rows = spark.createDataFrame([(k, f"{k} {i}", i) for k in ("a", "b, c", "d=e") for i in range(3)], "k string, line string, __order long")
+    path = scratch.named_files(rows, str(tmp_path / "named"), "k", ["__order"], "the {}.txt", lines=True)
+    assert {f.name: f.read_text().splitlines() for f in (tmp_path / "named").glob("*.txt")} == {f"the {n}.txt": [f"{k} {i}" for i in range(3)] for k, n in (("a", "a"), ("b, c", "b, c"), ("d=e", "d%3De"))}, path
+
+
 def test_files_of_a_partition_in_order(spark, tmp_path):
     rows = spark.range(4000).select((F.col("id") % 2).alias("run_id"), F.pmod(F.col("id") * 7919, F.lit(4000)).cast("double").alias("tsi"), F.lit("x").alias("text"))
     sinks.by_partition(rows.filter("run_id = 0 OR tsi < 400"), str(tmp_path / "out"), ["run_id"], "tsi", files=4)

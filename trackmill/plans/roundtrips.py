@@ -41,7 +41,7 @@ def drop_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a folder, streamed into a table in one go; a second call finds nothing new."""
     path, out = _point_files(spark, sf_dir), folder(spark, "streamed")
     for _ in range(2):
-        dropfolder.ingest(dropfolder.point_stream(spark, path, f"{out}-archive"), f"{out}-state", lambda batch, number: batch.write.mode("append").parquet(out)).awaitTermination()
+        dropfolder.ingest_all(dropfolder.point_stream(spark, path, f"{out}-archive"), f"{out}-state", lambda batch, number: batch.write.mode("append").parquet(out))
     return spark.read.parquet(out).select("filename", *r("tsi", "speed"), "hr")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import listed_by_few
 from ..sources.sinks import dealt
 
 
@@ -31,10 +33,11 @@ def named_files(rows: DataFrame, path: str, key: str, order: list[str], name: st
     source, target = jvm.org.apache.hadoop.fs.Path(f"{path}-parts"), jvm.org.apache.hadoop.fs.Path(path)
     files = source.getFileSystem(conf)
     files.mkdirs(target)
-    for part in files.listStatus(source):
-        if part.isDirectory():
-            value = part.getPath().getName().split("=", 1)[1]
-            for file in files.listStatus(part.getPath()):
-                if file.getPath().getName().startswith("part-"):
-                    files.rename(file.getPath(), jvm.org.apache.hadoop.fs.Path(target, name.format(value)))
+    # Spark lists the files: asking the file system from here for each folder's would take most of the time where they are many.
+    with listed_by_few(spark):
+        found = [unquote(f) for f in spark.read.text(f"{path}-parts").inputFiles()]
+    for part in found:
+        value = part.rsplit("/", 2)[1].split("=", 1)[1]
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(target, name.format(value))):
+            raise OSError(f"{part} could not be renamed")
     return path

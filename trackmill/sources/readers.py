@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,20 +91,27 @@ def buoy(spark: SparkSession, path: str) -> DataFrame:
     return out.select("filename", "ts", *cols)
 
 
-#: Spark's setting of how many tasks list the folders of a table.
+#: Spark's setting of how many tasks list a table's folders or a batch's files.
 LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
-def folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table of many folders, listed at once by a task for each core: Spark would start one for each folder."""
+@contextlib.contextmanager
+def listed_by_few(spark: SparkSession) -> Iterator[None]:
+    """Many paths are listed by a task for each core: Spark would start one for each path, up to 10,000."""
     was = spark.conf.get(LISTING)
     spark.conf.set(LISTING, spark.sparkContext.defaultParallelism)
     try:
-        return spark.read.schema(schema).option("header", True).csv(path)
+        yield
     finally:
         spark.conf.set(LISTING, was)
 
 
+def folders(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table of many folders, listed at once."""
+    with listed_by_few(spark):
+        return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def site_day(spark: SparkSession, path: str, schema: str, site: str, day: str) -> DataFrame:
     """Readings of one site and day of a CSV table partitioned by both: only that folder is read."""
     return spark.read.schema(schema + ", site string, day date").option("header", True).csv(path).filter((F.col("site") == site) & (F.col("day") == F.lit(day).cast("date")))

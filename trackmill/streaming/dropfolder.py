@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import import_points
 from ..operators.merge import LIST_COLUMNS, upsert
-from ..sources.readers import LIST_SCHEMA, POINT_SCHEMA, normalise_list, normalise_points
+from ..sources.readers import LIST_SCHEMA, POINT_SCHEMA, listed_by_few, normalise_list, normalise_points
 
 
 def point_stream(spark: SparkSession, folder: str, archive: str | None = None, files_per_batch: int = 1000) -> DataFrame:
@@ -31,6 +31,14 @@ def ingest(points: DataFrame, checkpoint: str, load: Callable[[DataFrame, int],
     return points.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_all(points: DataFrame, checkpoint: str, load: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """ingest() to its end; a batch's files are listed by a task for each core instead of one for each file."""
+    with listed_by_few(points.sparkSession):
+        query = ingest(points, checkpoint, load)
+        query.awaitTermination()
+    return query
+
+
 def list_stream(spark: SparkSession, folder: str, archive: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """Entries of run lists as they appear."""
     reader = spark.readStream.schema(LIST_SCHEMA).option("header", True).option("escape", '"').option("maxFilesPerTrigger", files_per_batch)
@@ -93,8 +101,9 @@ def import_drop(spark: SparkSession, lists: str, points: str, store: Store, coas
         store.write("points", number, import_points(batch, store.runs(), known, coast))
         done("points", number)
 
-    ingest(list_stream(spark, lists, archive and f"{archive}/lists"), f"{store.path}/state/lists", take_list).awaitTermination()
+    ingest_all(list_stream(spark, lists, archive and f"{archive}/lists"), f"{store.path}/state/lists", take_list)
     # Files are taken in by small batches, but measured together: a batch's work includes the whole coast.
     staged, files = f"{store.path}/staged", point_stream(spark, points, archive and f"{archive}/points")
-    files.writeStream.format("parquet").option("path", staged).option("checkpointLocation", f"{store.path}/state/files").trigger(availableNow=True).start().awaitTermination()
-    ingest(spark.readStream.schema(files.schema).parquet(staged), f"{store.path}/state/points", take_points).awaitTermination()
+    with listed_by_few(spark):
+        files.writeStream.format("parquet").option("path", staged).option("checkpointLocation", f"{store.path}/state/files").trigger(availableNow=True).start().awaitTermination()
+    ingest_all(spark.readStream.schema(files.schema).parquet(staged), f"{store.path}/state/points", take_points)
