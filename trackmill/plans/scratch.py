@@ -29,15 +29,15 @@ def named_files(rows: DataFrame, path: str, key: str, order: list[str], name: st
     written = dealt(rows, key).sortWithinPartitions(key, *order)
     writer = written.drop(*[o for o in order if o.startswith("__")]).write.partitionBy(key)
     writer.text(f"{path}-parts") if lines else writer.option("header", True).csv(f"{path}-parts")
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    source, target = jvm.org.apache.hadoop.fs.Path(f"{path}-parts"), jvm.org.apache.hadoop.fs.Path(path)
-    files = source.getFileSystem(conf)
+    place = spark._jvm.org.apache.hadoop.fs.Path  # looked up once: each part of the name is a call to the JVM
+    target = place(path)
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files.mkdirs(target)
     # Spark lists the files: asking the file system from here for each folder's would take most of the time where they are many.
     with listed_by_few(spark):
         found = [unquote(f) for f in spark.read.text(f"{path}-parts").inputFiles()]
     for part in found:
         value = part.rsplit("/", 2)[1].split("=", 1)[1]
-        if not files.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(target, name.format(value))):
+        if not files.rename(place(part), place(target, name.format(value))):
             raise OSError(f"{part} could not be renamed")
     return path
